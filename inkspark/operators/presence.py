@@ -21,12 +21,17 @@ def _timed(heartbeats: DataFrame) -> DataFrame:
     return heartbeats.filter("doc_id <> ''").withColumn("expire_at", expire_at(F.col("sec"), F.col("ttl")))
 
 
-def state(heartbeats: DataFrame) -> DataFrame:
-    """Per (document, user): name and expiry of the latest heartbeat, even if it expires sooner."""
+def state(heartbeats: DataFrame, now: int | None = None) -> DataFrame:
+    """Per (document, user): name and expiry of the latest heartbeat, even if it expires sooner.
+
+    With `now`, heartbeats after that second are not looked at.
+    """
     last = F.max_by(F.struct("username", "expire_at"), F.struct(*_ORDER))
+    seen = _timed(heartbeats)
+    if now is not None:
+        seen = seen.filter(F.col("sec") <= now)
     return (
-        _timed(heartbeats)
-        .groupBy(*_MEMBER)
+        seen.groupBy(*_MEMBER)
         .agg(last.alias("last"))
         .select(*_MEMBER, "last.username", "last.expire_at")
     )

@@ -52,7 +52,7 @@ def lossy_log(i: Inputs) -> DataFrame:
 
 
 def member_state(i: Inputs) -> DataFrame:
-    return presence.state(i.heartbeats())
+    return presence.state(i.heartbeats(), AS_OF)
 
 
 def member_names(i: Inputs) -> DataFrame:
@@ -236,7 +236,7 @@ def count_convert(i: Inputs) -> DataFrame:
 
 @query
 def presence_state(i: Inputs) -> DataFrame:
-    return member_state(i)
+    return presence.state(i.heartbeats())
 
 
 @query
@@ -413,7 +413,7 @@ def apply_delta_cases(i: Inputs) -> DataFrame:
 
 @query
 def key_format(i: Inputs) -> DataFrame:
-    rows = member_state(i)
+    rows = presence.state(i.heartbeats())
     keys = scalars.key_columns(F.col("doc_id"), F.col("user_id"), F.col("username"))
     return rows.select("doc_id", "user_id", *[c.alias(n) for n, c in keys.items()])
 

@@ -98,11 +98,16 @@ VIEWS = {
         SELECT event_id, ts, sec, doc_id, user_id, 'u' || CAST(user_id AS VARCHAR) AS username,
                CAST(CASE WHEN event_id % 10 = 0 THEN 600 ELSE 21600 END AS BIGINT) AS ttl
         FROM ev""",
-    "members": """
+    "final_members": """
         SELECT doc_id, user_id, username, sec + ttl AS expire_at
         FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, user_id ORDER BY ts DESC, event_id DESC) AS newest
               FROM heartbeats)
         WHERE newest = 1""",
+    "members": f"""
+        SELECT doc_id, user_id, username, sec + ttl AS expire_at
+        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, user_id ORDER BY ts DESC, event_id DESC) AS newest
+              FROM heartbeats WHERE sec <= {AS_OF})
+        WHERE newest = 1""",
     "names": "SELECT doc_id, user_id, username FROM members WHERE user_id % 7 <> 0",
     "alive": f"""
         SELECT m.doc_id, m.user_id, m.expire_at, coalesce(n.username, '') AS username,
@@ -269,7 +274,7 @@ BODIES = {
                              WHEN 4 THEN ' ' || CAST(event_id AS VARCHAR)
                              ELSE '9223372036854775' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') END AS raw
                     FROM ev))""",
-    "presence_state": "SELECT doc_id, user_id, username, expire_at FROM members",
+    "presence_state": "SELECT doc_id, user_id, username, expire_at FROM final_members",
     "presence_expired": f"SELECT doc_id, user_id, expire_at FROM members WHERE expire_at <= {AS_OF}",
     "presence_alive": "SELECT doc_id, user_id, expire_at, username, ord FROM alive",
     "presence_alive_semi": "SELECT doc_id, user_id, username FROM alive",
@@ -413,7 +418,7 @@ BODIES = {
                'auth:user:{' || CAST(user_id AS VARCHAR) || '}' AS auth_user_key,
                'auth:login:name:{' || username || '}' AS auth_login_key,
                'presence:docs' AS docs_key
-        FROM members""",
+        FROM final_members""",
     "score_rank": """
         SELECT doc_id, member, score,
                row_number() OVER (PARTITION BY doc_id ORDER BY score, member) - 1 AS rank,
