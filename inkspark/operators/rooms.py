@@ -48,7 +48,8 @@ def delivery_ranges(ops: DataFrame, stays: DataFrame) -> DataFrame:
     """Per stay that saw ops: their revision range, their number, and how many were delivered
     (all but the connection's own).
 
-    `ops`: doc_id, revision, conn_id (the sender) and ts_us; revisions grow with time.
+    `ops`: doc_id, revision, conn_id (the sender) and ts_us; revisions are dense and grow with
+    time, so the ops of a stay are one unbroken range.
     """
     messages = ops.select(
         "doc_id", "conn_id", F.lit(None).cast("long").alias("joined_us"),
@@ -68,19 +69,19 @@ def delivery_ranges(ops: DataFrame, stays: DataFrame) -> DataFrame:
     def at(edge, name):
         return F.max(F.when(edge, F.col(name)))
 
-    first = F.coalesce(at(joined, "reached"), F.lit(0)) + 1
     return (
         rows.filter("phase = 0")
         .groupBy("conn_id", "doc_id", "joined_us")
         .agg(
-            first.alias("first_revision"),
             at(left, "reached").alias("last_revision"),
             (at(left, "total") - at(joined, "total")).alias("ops_in_stay"),
             (at(left, "own") - at(joined, "own")).alias("own_ops"),
         )
         .filter("ops_in_stay > 0")
         .select(
-            "conn_id", "doc_id", "joined_us", "first_revision", "last_revision", "ops_in_stay",
+            "conn_id", "doc_id", "joined_us",
+            (F.col("last_revision") - F.col("ops_in_stay") + 1).alias("first_revision"),
+            "last_revision", "ops_in_stay",
             (F.col("ops_in_stay") - F.col("own_ops")).alias("delivered"),
         )
     )

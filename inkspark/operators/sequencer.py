@@ -288,3 +288,10 @@ def exit_state(labelled: DataFrame, entry: DataFrame | None = None) -> DataFrame
     per_client = marks.groupBy("doc_id", "client_id").agg(F.max("last_seq").alias("last_seq"))
     per_doc = marks.groupBy("doc_id").agg(F.max("revision").alias("revision"))
     return per_client.join(per_doc, "doc_id")
+
+
+def resumed_fold(doc_id: str, revision: int, marks: dict[str, int]) -> _Slice:
+    """The fold of one document, resumed from its state."""
+    fold = _Slice((doc_id, 0))
+    fold.revision, fold.marks = revision, marks
+    return fold

@@ -1,6 +1,6 @@
 """DuckDB SQL for each batch query, written independently of the Spark operators.
 
-`VIEWS` are named sub-queries; `_sql` prepends the ones a query needs as one WITH list.
+`VIEWS` are named sub-queries; `sql_for` prepends the ones a query needs as one WITH list.
 """
 
 from __future__ import annotations
@@ -442,7 +442,7 @@ def _needed(sql: str, own: str | None, found: dict[str, None]) -> None:
             found[word] = None
 
 
-def _sql(body: str) -> str:
+def sql_for(body: str) -> str:
     found: dict[str, None] = {}
     _needed(body, None, found)
     parts = [f"{n} AS {'' if n in RECURSIVE else 'MATERIALIZED '}({VIEWS[n]})" for n in found]
@@ -450,4 +450,4 @@ def _sql(body: str) -> str:
     return f"WITH {recursive}{', '.join(parts)} {body}" if parts else body
 
 
-ORACLE = {name: _sql(body) for name, body in BODIES.items()}
+ORACLE = {name: sql_for(body) for name, body in BODIES.items()}

@@ -1,2 +1,150 @@
-STREAM_QUERIES = {}
-STREAM_ORACLE = {}
+"""Streaming queries: each replays derived inputs as a stream and must equal its batch twin."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.scalars import epoch_micros
+from ..operators import oplog
+from ..runtime import materialize, new_path
+from ..sources.fixtures import Inputs
+from ..streaming import feeds, interactions, log, presence, sequencer
+from . import batch
+from .oracle import BODIES, ORACLE, sql_for
+
+STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(fn: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
+    STREAM_QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Inputs(spark, sf_dir))
+    return fn
+
+
+def _timed(rows: DataFrame) -> DataFrame:
+    """Event time as TIMESTAMP for watermarks, and as microseconds for ordering."""
+    return rows.withColumn("ts_us", epoch_micros(F.col("ts"))).withColumn(
+        "ts", F.timestamp_micros("ts_us")
+    )
+
+
+def _far_row(rows: DataFrame, **values) -> DataFrame:
+    """A closing row of no document, a century after the data."""
+    spark = rows.sparkSession
+    names = {f.name: F.lit(None) for f in rows.schema.fields}
+    names |= {k: F.lit(v) for k, v in values.items()}
+    return spark.range(1).select(*[c.alias(n) for n, c in names.items()])
+
+
+_FAR = "2124-01-01 00:00:00"
+_FAR_US = 4_859_740_800_000_000
+
+
+@query
+def stream_sequencer(i: Inputs) -> DataFrame:
+    rows = i.submissions().withColumn("ts_us", epoch_micros(F.col("ts")))
+    return feeds.replay_to_table(rows, "ts_us", sequencer.sequence_stream)
+
+
+@query
+def stream_sequencer_batches(i: Inputs) -> DataFrame:
+    rows = i.submissions().withColumn("ts_us", epoch_micros(F.col("ts")))
+    out = new_path(i.spark, "labelled")
+    feeds.replay_batches(rows, "ts_us", sequencer.BatchSequencer(i.spark, out))
+    return i.spark.read.parquet(out).select(
+        "doc_id", "arrival_seq", "client_id", "client_seq", "base_revision", "status", "revision"
+    )
+
+
+@query
+def stream_presence(i: Inputs) -> DataFrame:
+    rows = _timed(i.heartbeats())
+    closing = _far_row(rows, doc_id="-", user_id=-1, event_id=-1, ts=_FAR, ts_us=_FAR_US,
+                       sec=_FAR_US // 1_000_000, ttl=1)
+    out = feeds.replay_to_table(rows, "ts_us", presence.session_stream, closing=closing)
+    return out.filter("user_id >= 0")
+
+
+@query
+def stream_interactions(i: Inputs) -> DataFrame:
+    rows = i.interactions().withColumn("ts_us", epoch_micros(F.col("ts")))
+    steps = feeds.replay_to_table(rows, "ts_us", interactions.toggle_stream)
+    out = new_path(i.spark, "counts")
+    feeds.replay_batches(steps, "ts_us", interactions.RunningCounts(i.spark, out))
+    return i.spark.read.parquet(out).drop("batch")
+
+
+@query
+def stream_cursor(i: Inputs) -> DataFrame:
+    return feeds.replay_to_table(_timed(i.cursors()), "ts_us", presence.cursor_stream)
+
+
+def _published(i: Inputs) -> DataFrame:
+    """The lossy log as published: in each run of four revisions the earlier ones are sent
+    later, and repeated events are sent again six hours after."""
+    hour = 3_600_000_000
+    late = (3 - F.col("revision") % 4) * F.lit(8 * hour)
+    rows = batch.log(i).filter("revision % 17 <> 0").withColumn("ts_us", epoch_micros(F.col("ts")))
+    rows = rows.withColumn("applied_at", F.timestamp_micros("ts_us"))
+    rows = rows.withColumn("sent", F.col("ts_us") + late)
+    again = rows.filter("revision % 13 = 0").withColumn("sent", F.col("sent") + F.lit(6 * hour))
+    return rows.unionByName(again)
+
+
+@query
+def stream_oplog_dedup(i: Inputs) -> DataFrame:
+    rows = _published(i).select(
+        "doc_id", "revision", "operation_id", "client_id", "client_seq", "applied_at", "sent"
+    )
+    out = feeds.replay_to_table(rows, "sent", lambda s: log.dedup_stream(s, "2 days"))
+    return out.drop("applied_at", "sent")
+
+
+@query
+def stream_oplog_reorder(i: Inputs) -> DataFrame:
+    rows = _published(i).select("doc_id", "revision", "operation_id", "applied_at", "sent")
+    closing = _far_row(rows, doc_id="-", revision=1, operation_id="-", applied_at=_FAR, sent=_FAR_US)
+    out = feeds.replay_to_table(
+        rows, "sent", lambda s: log.reorder_stream(s, "2 days"), closing=closing
+    )
+    return out.filter("doc_id <> '-'")
+
+
+@query
+def stream_snapshots(i: Inputs) -> DataFrame:
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumnRenamed("doc_id", "document_id")
+
+    path = new_path(i.spark, "snapshots")
+    keyed(batch.stored_snapshots(i)).write.parquet(path)
+    feeds.replay_batches(keyed(batch.snapshot_batch(i)), "revision", log.SnapshotSink(path))
+    return i.spark.read.parquet(path).select("document_id", "revision", "content")
+
+
+@query
+def stream_fanout(i: Inputs) -> DataFrame:
+    stays = materialize(batch.stays(i), "stays")
+    out = new_path(i.spark, "ranges")
+    feeds.replay_batches(
+        oplog.op_times(batch.log(i)), "ts_us", log.FanoutSink(lambda: stays, out)
+    )
+    return log.merge_ranges(i.spark.read.parquet(out))
+
+
+STREAM_ORACLE = {
+    "stream_sequencer": ORACLE["op_sequence"],
+    "stream_sequencer_batches": ORACLE["op_sequence"],
+    "stream_presence": ORACLE["presence_sessions"],
+    "stream_interactions": ORACLE["interaction_apply"],
+    "stream_cursor": ORACLE["cursor_asof"],
+    "stream_oplog_dedup": ORACLE["op_log_dedup"],
+    "stream_oplog_reorder": sql_for(
+        f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY revision) AS position,
+                   revision, operation_id
+            FROM ({BODIES["op_log_dedup"]})"""
+    ),
+    "stream_snapshots": ORACLE["snapshot_insert_ignore"],
+    "stream_fanout": ORACLE["op_fanout"],
+}
