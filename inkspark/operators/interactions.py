@@ -10,17 +10,56 @@ from ..schemas import KINDS
 from .scan import running
 
 
-def apply_requests(requests: DataFrame) -> DataFrame:
-    """Per request: whether it changed the set, and the count right after it."""
+_MEMBER = ["kind", "doc_id", "user_id"]
+_SET = ["kind", "doc_id"]
+
+
+def apply_requests(
+    requests: DataFrame, carried: DataFrame | None = None, held: DataFrame | None = None
+) -> DataFrame:
+    """Per request: whether it changed the set, and the count right after it.
+
+    To go on from earlier requests, pass the members (kind, doc_id, user_id) and the counts
+    (kind, doc_id, cnt) they left.
+    """
     order = ["ts", "event_id"]
-    rows = running(
-        requests, ["kind", "doc_id", "user_id"], order, {"before": ("prev", F.col("action"))}
+    rows = requests.select("event_id", "ts", *_MEMBER, "action")
+    if carried is not None:
+        known = carried.join(rows.select(*_MEMBER).distinct(), _MEMBER, "left_semi").select(
+            F.lit(-1).cast("long").alias("event_id"),
+            F.expr("TIMESTAMP_NTZ'0001-01-01 00:00:00'").alias("ts"),
+            *_MEMBER,
+            F.lit("add").alias("action"),
+        )
+        rows = rows.unionByName(known)
+    rows = running(rows, _MEMBER, order, {"before": ("prev", F.col("action"))})
+    rows = rows.filter("event_id >= 0").withColumn(
+        "changed", F.col("action") != F.coalesce("before", F.lit("remove"))
     )
-    changed = F.col("action") != F.coalesce("before", F.lit("remove"))
     step = F.when(~F.col("changed"), 0).when(F.col("action") == "add", 1).otherwise(-1)
-    rows = rows.withColumn("changed", changed)
-    rows = running(rows, ["kind", "doc_id"], order, {"value": ("sum", step.cast("long"))})
-    return rows.select("event_id", "kind", "doc_id", "user_id", "changed", "value")
+    rows = running(rows, _SET, order, {"value": ("sum", step.cast("long"))})
+    if held is not None:
+        rows = rows.join(held.select(*_SET, F.col("cnt").alias("held")), _SET, "left").withColumn(
+            "value", F.col("value") + F.coalesce("held", F.lit(0))
+        )
+    return rows.select("event_id", *_MEMBER, "changed", "value")
+
+
+def members_after(requests: DataFrame, carried: DataFrame) -> DataFrame:
+    """Members (kind, doc_id, user_id) after the requests, given those before."""
+    untouched = carried.join(requests.select(*_MEMBER).distinct(), _MEMBER, "left_anti")
+    return untouched.select(*_MEMBER).unionByName(members(requests))
+
+
+def counts_after(applied: DataFrame, requests: DataFrame, held: DataFrame) -> DataFrame:
+    """Counts (kind, doc_id, cnt) after the requests: those before plus all changes."""
+    step = F.when(F.col("action") == "add", 1).otherwise(-1).cast("long")
+    changes = (
+        applied.filter("changed")
+        .join(requests.select("event_id", "action"), "event_id")
+        .select(*_SET, step.alias("cnt"))
+    )
+    return held.select(*_SET, "cnt").unionByName(changes).groupBy(*_SET).agg(F.sum("cnt").alias("cnt"))
 
 
 def members(requests: DataFrame) -> DataFrame:

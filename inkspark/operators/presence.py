@@ -14,6 +14,8 @@ from .scan import numbered, running
 _ORDER = ["ts", "event_id"]
 _MEMBER = ["doc_id", "user_id"]
 MEMBERS_PER_PAGE = 1000
+# Time of rows carried over from earlier input.
+EARLIEST = "TIMESTAMP_NTZ'0001-01-01 00:00:00'"
 
 
 def _timed(heartbeats: DataFrame) -> DataFrame:
@@ -99,12 +101,27 @@ def join_gate(requests: DataFrame, active: DataFrame) -> DataFrame:
     return requests.join(flag, "doc_id", "left").withColumn("ok", F.col("found").isNotNull()).drop("found")
 
 
-def sessions(heartbeats: DataFrame) -> DataFrame:
+def sessions(heartbeats: DataFrame, carried: DataFrame | None = None) -> DataFrame:
     """Stretches a user was online in a document without a break.
 
     A heartbeat at or before the expiry set by the one before it keeps the session going.
+    `carried`: sessions still open from earlier heartbeats, which the first ones may extend.
     """
-    rows = running(_timed(heartbeats), _MEMBER, _ORDER, {"held_until": ("prev", F.col("expire_at"))})
+    rows = _timed(heartbeats).select(
+        "event_id", "ts", "sec", *_MEMBER, "expire_at", F.lit(1).cast("long").alias("beats")
+    )
+    if carried is not None:
+        rows = rows.unionByName(
+            carried.select(
+                F.lit(-1).cast("long").alias("event_id"),
+                F.expr(EARLIEST).alias("ts"),
+                F.col("session_start").alias("sec"),
+                *_MEMBER,
+                F.col("session_end").alias("expire_at"),
+                F.col("heartbeats").alias("beats"),
+            )
+        )
+    rows = running(rows, _MEMBER, _ORDER, {"held_until": ("prev", F.col("expire_at"))})
     starts = F.col("held_until").isNull() | (F.col("sec") > F.col("held_until"))
     rows = running(
         rows, _MEMBER, _ORDER, {"session_no": ("sum", F.when(starts, 1).otherwise(0).cast("long"))}
@@ -114,7 +131,7 @@ def sessions(heartbeats: DataFrame) -> DataFrame:
         .agg(
             F.min("sec").alias("session_start"),
             F.max_by("expire_at", F.struct(*_ORDER)).alias("session_end"),
-            F.count("*").alias("heartbeats"),
+            F.sum("beats").alias("heartbeats"),
         )
         .drop("session_no")
     )
@@ -145,13 +162,29 @@ def alive_at_heartbeats(heartbeats: DataFrame) -> DataFrame:
     return swept.filter("phase = 1").select("event_id", *_MEMBER, "alive_members")
 
 
-def cursors_as_of(cursors: DataFrame) -> DataFrame:
-    """For each read: the cursor last set for that user and document, unless it expired."""
-    is_set = F.col("op") == "set"
-    rows = running(
-        cursors, _MEMBER, _ORDER,
-        {"last": ("last", F.when(is_set, F.struct("cursor_json", expire_at(F.col("sec"), F.col("ttl")).alias("until"))))},
+def _set_cursors(cursors: DataFrame, carried: DataFrame | None) -> DataFrame:
+    rows = cursors.select(
+        "event_id", "ts", "sec", *_MEMBER, "op", "cursor_json",
+        expire_at(F.col("sec"), F.col("ttl")).alias("until"),
     )
+    if carried is None:
+        return rows
+    return rows.unionByName(
+        carried.select(
+            F.lit(-1).cast("long").alias("event_id"), F.expr(EARLIEST).alias("ts"),
+            F.lit(0).cast("long").alias("sec"), *_MEMBER, F.lit("set").alias("op"),
+            "cursor_json", "until",
+        )
+    )
+
+
+def cursors_as_of(cursors: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+    """For each read: the cursor last set for that user and document, unless it expired.
+
+    `carried`: cursors (doc_id, user_id, cursor_json, until) set before these rows.
+    """
+    latest = F.when(F.col("op") == "set", F.struct("cursor_json", "until"))
+    rows = running(_set_cursors(cursors, carried), _MEMBER, _ORDER, {"last": ("last", latest)})
     live = F.col("last.until") > F.col("sec")
     return rows.filter("op = 'get'").select(
         "event_id", *_MEMBER, F.when(live, F.col("last.cursor_json")).alias("cursor_json"),
@@ -159,6 +192,19 @@ def cursors_as_of(cursors: DataFrame) -> DataFrame:
     )
 
 
+def latest_cursors(cursors: DataFrame, carried: DataFrame | None, now: int) -> DataFrame:
+    """Cursors (doc_id, user_id, cursor_json, until) in force after these rows."""
+    last = F.max_by(F.struct("cursor_json", "until"), F.struct(*_ORDER))
+    return (
+        _set_cursors(cursors, carried)
+        .filter("op = 'set'")
+        .groupBy(*_MEMBER)
+        .agg(last.alias("last"))
+        .select(*_MEMBER, "last.cursor_json", "last.until")
+        .filter(F.col("until") > now)
+    )
+
+
 def member_pages(alive: DataFrame) -> DataFrame:
     """The member list of each document as JSON pages of bounded size, from `alive_with_names`."""
     page = F.floor((F.col("ord") - 1) / MEMBERS_PER_PAGE).cast("long")

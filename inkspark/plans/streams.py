@@ -23,11 +23,8 @@ def query(fn: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
     return fn
 
 
-def _timed(rows: DataFrame) -> DataFrame:
-    """Event time as TIMESTAMP for watermarks, and as microseconds for ordering."""
-    return rows.withColumn("ts_us", epoch_micros(F.col("ts"))).withColumn(
-        "ts", F.timestamp_micros("ts_us")
-    )
+def _clocked(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("ts_us", epoch_micros(F.col("ts")))
 
 
 def _far_row(rows: DataFrame, **values) -> DataFrame:
@@ -44,15 +41,13 @@ _FAR_US = 4_859_740_800_000_000
 
 @query
 def stream_sequencer(i: Inputs) -> DataFrame:
-    rows = i.submissions().withColumn("ts_us", epoch_micros(F.col("ts")))
-    return feeds.replay_to_table(rows, "ts_us", sequencer.sequence_stream)
+    return feeds.replay_to_table(_clocked(i.submissions()), "ts_us", sequencer.sequence_stream)
 
 
 @query
 def stream_sequencer_batches(i: Inputs) -> DataFrame:
-    rows = i.submissions().withColumn("ts_us", epoch_micros(F.col("ts")))
     out = new_path(i.spark, "labelled")
-    feeds.replay_batches(rows, "ts_us", sequencer.BatchSequencer(i.spark, out))
+    feeds.replay_batches(_clocked(i.submissions()), "ts_us", sequencer.BatchSequencer(i.spark, out))
     return i.spark.read.parquet(out).select(
         "doc_id", "arrival_seq", "client_id", "client_seq", "base_revision", "status", "revision"
     )
@@ -60,25 +55,26 @@ def stream_sequencer_batches(i: Inputs) -> DataFrame:
 
 @query
 def stream_presence(i: Inputs) -> DataFrame:
-    rows = _timed(i.heartbeats())
-    closing = _far_row(rows, doc_id="-", user_id=-1, event_id=-1, ts=_FAR, ts_us=_FAR_US,
+    rows = _clocked(i.heartbeats())
+    closing = _far_row(rows, doc_id="", user_id=-1, event_id=-1, ts_us=_FAR_US,
                        sec=_FAR_US // 1_000_000, ttl=1)
-    out = feeds.replay_to_table(rows, "ts_us", presence.session_stream, closing=closing)
-    return out.filter("user_id >= 0")
+    out = new_path(i.spark, "sessions")
+    feeds.replay_batches(rows, "ts_us", presence.SessionSink(i.spark, out), closing=closing)
+    return i.spark.read.parquet(out).drop("batch")
 
 
 @query
 def stream_interactions(i: Inputs) -> DataFrame:
-    rows = i.interactions().withColumn("ts_us", epoch_micros(F.col("ts")))
-    steps = feeds.replay_to_table(rows, "ts_us", interactions.toggle_stream)
-    out = new_path(i.spark, "counts")
-    feeds.replay_batches(steps, "ts_us", interactions.RunningCounts(i.spark, out))
+    out = new_path(i.spark, "applied")
+    feeds.replay_batches(_clocked(i.interactions()), "ts_us", interactions.ToggleSink(i.spark, out))
     return i.spark.read.parquet(out).drop("batch")
 
 
 @query
 def stream_cursor(i: Inputs) -> DataFrame:
-    return feeds.replay_to_table(_timed(i.cursors()), "ts_us", presence.cursor_stream)
+    out = new_path(i.spark, "answers")
+    feeds.replay_batches(_clocked(i.cursors()), "ts_us", presence.CursorSink(i.spark, out))
+    return i.spark.read.parquet(out).drop("batch")
 
 
 def _published(i: Inputs) -> DataFrame:

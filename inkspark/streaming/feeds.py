@@ -36,6 +36,16 @@ def replay(
         writer.trigger(availableNow=True).start().awaitTermination()
 
 
+def _in_slices(
+    rows: DataFrame, clock: str, slices: int, closing: DataFrame | None
+) -> list[DataFrame]:
+    rows = materialize(rows, "feed-rows")
+    parts = time_slices(rows, clock, slices)
+    if closing is not None:
+        parts.append(closing.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema.fields]))
+    return parts
+
+
 def replay_to_table(
     rows: DataFrame,
     clock: str,
@@ -45,13 +55,9 @@ def replay_to_table(
 ) -> DataFrame:
     """Stream `rows` through `transform` into an append-only table and return the table.
 
-    `closing` rows come last; with a time far ahead they move the watermark past all timers.
+    `closing` rows come last; with a time far ahead they end everything still waiting.
     """
     spark = rows.sparkSession
-    rows = materialize(rows, "feed-rows")
-    parts = time_slices(rows, clock, slices)
-    if closing is not None:
-        parts.append(closing.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema.fields]))
     out = new_path(spark, "stream-out")
     schema = []
 
@@ -60,21 +66,33 @@ def replay_to_table(
         schema.append(result.schema)
         return result.writeStream.outputMode("append").format("parquet").option("path", out)
 
-    replay(parts, start, new_path(spark, "stream-checkpoint"))
+    replay(_in_slices(rows, clock, slices, closing), start, new_path(spark, "stream-checkpoint"))
     return spark.read.schema(schema[0]).parquet(out)
 
 
 def replay_batches(
-    rows: DataFrame, clock: str, on_batch: Callable[[DataFrame, int], None], slices: int = 3
+    rows: DataFrame,
+    clock: str,
+    on_batch: Callable[[DataFrame, int], None],
+    slices: int = 3,
+    closing: DataFrame | None = None,
 ) -> None:
     """Stream `rows` in micro-batches through `on_batch(rows, batch_id)`."""
     spark = rows.sparkSession
-    rows = materialize(rows, "feed-rows")
 
     def start(stream: DataFrame) -> DataStreamWriter:
         return stream.writeStream.foreachBatch(on_batch)
 
-    replay(time_slices(rows, clock, slices), start, new_path(spark, "stream-checkpoint"))
+    replay(_in_slices(rows, clock, slices, closing), start, new_path(spark, "stream-checkpoint"))
+
+
+def in_order(chunks, order: list[str], columns: list[str]) -> list[tuple]:
+    """The rows of one key in one micro-batch as tuples, sorted by `order`."""
+    rows: list[tuple] = []
+    for chunk in chunks:
+        rows.extend(zip(*[chunk[c].tolist() for c in (*order, *columns)]))
+    rows.sort(key=lambda row: row[: len(order)])
+    return rows
 
 
 class VersionedTable:

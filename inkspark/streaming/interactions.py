@@ -1,63 +1,29 @@
-"""Streaming toggles: which requests change a set, then the running counts."""
+"""Streaming toggles: each micro-batch is applied to the members and counts before it."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.scan import running
+from ..operators import interactions
 from .feeds import VersionedTable
 
-_STEP = "event_id LONG, ts_us LONG, kind STRING, doc_id STRING, user_id LONG, step LONG"
-
-
-def _toggle(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    inside = state.get[0] if state.exists else False
-    rows = pd.concat(list(chunks)).sort_values(["ts_us", "event_id"])
-    steps = []
-    for action in rows.action:
-        wanted = action == "add"
-        steps.append(int(wanted) - int(inside))
-        inside = wanted
-    state.update((inside,))
-    yield rows.assign(step=steps)[["event_id", "ts_us", "kind", "doc_id", "user_id", "step"]]
-
-
-def toggle_stream(requests: DataFrame) -> DataFrame:
-    """Each request with its step: +1, -1, or 0 when the user already was (or was not) a member.
-
-    State is one flag per (kind, document, user), so a popular document spreads over all tasks.
-    """
-    rows = requests.select("event_id", "ts_us", "kind", "action", "doc_id", "user_id")
-    return rows.groupBy("kind", "doc_id", "user_id").applyInPandasWithState(
-        _toggle, _STEP, "inside BOOLEAN", "append", GroupStateTimeout.NoTimeout
-    )
-
 
-class RunningCounts:
-    """Adds the count after each request, micro-batch by micro-batch.
+class ToggleSink:
+    """Writes, per request, whether it changed its set and the count after it.
 
-    State is one row per (kind, document). Within a batch the batch scan is used, which
-    splits a document with very many requests over tasks.
+    Micro-batches come in time order. Only members touched by a batch enter its scan, and a
+    document with very many requests is split over tasks as in batch.
     """
 
     def __init__(self, spark: SparkSession, out: str):
-        self.state = VersionedTable(spark, "kind STRING, doc_id STRING, value LONG")
+        self.members = VersionedTable(spark, "kind STRING, doc_id STRING, user_id LONG")
+        self.counts = VersionedTable(spark, "kind STRING, doc_id STRING, cnt LONG")
         self.out = out
 
-    def __call__(self, steps: DataFrame, batch_id: int) -> None:
-        before = self.state.before(batch_id).withColumnRenamed("value", "held")
-        key = ["kind", "doc_id"]
-        rows = running(steps, key, ["ts_us", "event_id"], {"added": ("sum", F.col("step"))})
-        rows = rows.join(before, key, "left").select(
-            "event_id", "kind", "doc_id", "user_id",
-            (F.col("step") != 0).alias("changed"),
-            (F.col("added") + F.coalesce("held", F.lit(0))).alias("value"),
-        )
-        rows.write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
-        total = before.select(*key, F.col("held").alias("step")).unionByName(steps.select(*key, "step"))
-        self.state.put(total.groupBy(*key).agg(F.sum("step").alias("value")), batch_id)
+    def __call__(self, requests: DataFrame, batch_id: int) -> None:
+        members, counts = self.members.before(batch_id), self.counts.before(batch_id)
+        path = f"{self.out}/batch={batch_id}"
+        interactions.apply_requests(requests, members, counts).write.mode("overwrite").parquet(path)
+        applied = requests.sparkSession.read.parquet(path)
+        self.counts.put(interactions.counts_after(applied, requests, counts), batch_id)
+        self.members.put(interactions.members_after(requests, members), batch_id)

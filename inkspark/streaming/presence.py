@@ -1,102 +1,51 @@
-"""Streaming presence sessions and cursors, one state per (document, user)."""
+"""Streaming presence sessions and cursors.
 
-from __future__ import annotations
+Each micro-batch runs the batch operator over its rows and what is carried over: sessions
+still open, cursors still in force. Both are bounded by their time to live, and the work
+stays in Spark's own operators whatever the number of users. Micro-batches come in time
+order; inside one, rows may come in any order.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..functions.scalars import expire_at
-
-_SESSION = "doc_id STRING, user_id LONG, session_start LONG, session_end LONG, heartbeats LONG"
-
-
-def _after_second(second: int) -> int:
-    """Timer that fires once the watermark has left this whole second."""
-    return (second + 1) * 1000 - 1
-
 
-def _sessions(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    ended = []
-    held = tuple(state.get) if state.exists else None
-    if state.hasTimedOut:
-        ended.append(held)
-        state.remove()
-    else:
-        rows = pd.concat(list(chunks)).sort_values(["ts_us", "event_id"])
-        for sec, until in zip(rows.sec, rows.expire_at):
-            sec, until = int(sec), int(until)
-            if held is not None and sec > held[1]:
-                ended.append(held)
-                held = None
-            held = (sec, until, 1) if held is None else (held[0], until, held[2] + 1)
-        state.update(held)
-        state.setTimeoutTimestamp(_after_second(held[1]))
-    if ended:
-        yield pd.DataFrame(
-            [(*key, *s) for s in ended],
-            columns=["doc_id", "user_id", "session_start", "session_end", "heartbeats"],
-        )
+from ..operators import presence
+from .feeds import VersionedTable
 
 
-def session_stream(heartbeats: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """A row per online session, once it has ended: at the next heartbeat or when time passes it.
+class SessionSink:
+    """Writes each online session once it has ended, at a later time than its expiry."""
 
-    Input: doc_id, user_id, event_id, ts (TIMESTAMP), ts_us, sec, ttl.
-    """
-    rows = heartbeats.filter("doc_id <> ''").withWatermark("ts", delay)
-    rows = rows.select(
-        "doc_id", "user_id", "event_id", "ts", "ts_us", "sec",
-        expire_at(F.col("sec"), F.col("ttl")).alias("expire_at"),
-    )
-    return rows.groupBy("doc_id", "user_id").applyInPandasWithState(
-        _sessions,
-        _SESSION,
-        "session_start LONG, session_end LONG, heartbeats LONG",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    OPEN = "doc_id STRING, user_id LONG, session_start LONG, session_end LONG, heartbeats LONG"
 
+    def __init__(self, spark: SparkSession, out: str):
+        self.state = VersionedTable(spark, self.OPEN)
+        self.out = out
 
-_CURSOR = "event_id LONG, doc_id STRING, user_id LONG, cursor_json STRING, found BOOLEAN"
+    def __call__(self, heartbeats: DataFrame, batch_id: int) -> None:
+        now = heartbeats.agg(F.max("sec")).first()[0]
+        all_sessions = presence.sessions(heartbeats, self.state.before(batch_id))
+        # A session followed by another one has ended before `now`, so at most one stays open.
+        is_open = F.col("session_end") >= F.lit(now)
+        columns = [c.split()[0] for c in self.OPEN.split(", ")]
+        self.state.put(all_sessions.filter(is_open).select(*columns), batch_id)
+        all_sessions.filter(~is_open).write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
 
 
-def _cursors(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    cursor, until = state.get if state.exists else (None, None)
-    answers = []
-    rows = pd.concat(list(chunks)).sort_values(["ts_us", "event_id"])
-    for event, sec, op, text, end in zip(rows.event_id, rows.sec, rows.op, rows.cursor_json, rows.until):
-        if op == "set":
-            cursor, until = text, int(end)
-        else:
-            live = until is not None and until > sec
-            answers.append((event, *key, cursor if live else None, live))
-    if until is not None:
-        state.update((cursor, until))
-        state.setTimeoutTimestamp(max(_after_second(until), state.getCurrentWatermarkMs() + 1))
-    if answers:
-        yield pd.DataFrame(answers, columns=["event_id", "doc_id", "user_id", "cursor_json", "found"])
+class CursorSink:
+    """Answers cursor reads from the cursors set before them."""
 
+    IN_FORCE = "doc_id STRING, user_id LONG, cursor_json STRING, until LONG"
 
-def cursor_stream(cursors: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """Answer each cursor read from the last set cursor; expired cursors leave the state.
+    def __init__(self, spark: SparkSession, out: str):
+        self.state = VersionedTable(spark, self.IN_FORCE)
+        self.out = out
 
-    Input: doc_id, user_id, event_id, ts (TIMESTAMP), ts_us, sec, op, cursor_json, ttl.
-    """
-    rows = cursors.withWatermark("ts", delay).select(
-        "doc_id", "user_id", "event_id", "ts", "ts_us", "sec", "op", "cursor_json",
-        expire_at(F.col("sec"), F.col("ttl")).alias("until"),
-    )
-    return rows.groupBy("doc_id", "user_id").applyInPandasWithState(
-        _cursors,
-        _CURSOR,
-        "cursor_json STRING, until LONG",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    def __call__(self, cursors: DataFrame, batch_id: int) -> None:
+        now = cursors.agg(F.max("sec")).first()[0]
+        carried = self.state.before(batch_id)
+        answers = presence.cursors_as_of(cursors, carried)
+        answers.write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
+        self.state.put(presence.latest_cursors(cursors, carried, now), batch_id)

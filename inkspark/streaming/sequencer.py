@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.deltas import ops_decode, ops_valid
 from ..operators.sequencer import exit_state, resumed_fold, sequence
 from ..schemas import ACCEPTED
-from .feeds import VersionedTable
+from .feeds import VersionedTable, in_order
 
 _OUT = (
     "doc_id STRING, arrival_seq LONG, client_id STRING, client_seq LONG, base_revision LONG, "
@@ -23,16 +23,16 @@ _OUT = (
 
 def _handle(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     revision, marks = state.get if state.exists else (0, "{}")
-    rows = pd.concat(list(chunks)).sort_values("arrival_seq")
     fold = resumed_fold(key[0], revision, json.loads(marks))
-    status, revisions = [], []
-    for client, seq, base, valid in zip(rows.client_id, rows.client_seq, rows.base_revision, rows.valid):
-        outcome = fold.submit(client, int(seq), int(base), bool(valid))
-        status.append(outcome)
-        revisions.append(fold.revision if outcome == ACCEPTED else None)
+    out = []
+    rows = in_order(chunks, ["arrival_seq"], ["client_id", "client_seq", "base_revision", "valid"])
+    for arrival, client, seq, base, valid in rows:
+        outcome = fold.submit(client, seq, base, valid)
+        accepted = fold.revision if outcome == ACCEPTED else None
+        out.append((*key, arrival, client, seq, base, outcome, accepted))
     state.update((fold.revision, json.dumps(fold.marks)))
-    rows = rows.assign(status=status, revision=pd.array(revisions, dtype="Int64"))
-    yield rows.drop(columns="valid")
+    labelled = pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
+    yield labelled.astype({"revision": "Int64"})
 
 
 def sequence_stream(submissions: DataFrame) -> DataFrame:
