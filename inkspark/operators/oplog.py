@@ -55,22 +55,21 @@ def client_high_water(log: DataFrame) -> DataFrame:
     return log.groupBy("doc_id", "client_id").agg(F.max("client_seq").alias("last_seq"))
 
 
-def document_content(labelled: DataFrame, requests: DataFrame) -> DataFrame:
+def document_content(submissions: DataFrame, log: DataFrame, requests: DataFrame) -> DataFrame:
     """Text, revision and length per requested document.
 
     A document exists from its first submission on, even if all were rejected; a request
     for any other document gets an error.
     """
-    known = labelled.groupBy("doc_id").agg(F.max("revision").alias("latest"))
-    texts = latest_content(op_log(labelled)).select("doc_id", "content")
+    known = submissions.select("doc_id").distinct().withColumn("known", F.lit(True))
     exists = F.col("known")
     return (
-        requests.join(known.withColumn("known", F.lit(True)), "doc_id", "left")
-        .join(texts, "doc_id", "left")
+        requests.join(known, "doc_id", "left")
+        .join(latest_content(log), "doc_id", "left")
         .withColumn("content", F.when(exists, F.coalesce("content", F.lit(""))))
         .select(
             "doc_id",
-            F.when(exists, F.coalesce("latest", F.lit(0))).alias("revision"),
+            F.when(exists, F.coalesce("revision", F.lit(0))).alias("revision"),
             "content",
             F.length("content").cast("long").alias("length"),
             F.when(exists.isNull(), "document not found").alias("error"),

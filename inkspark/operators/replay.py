@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.deltas import ops_decode
 from ..runtime import (
     REPLAY_CHUNK,
+    SMALL_BYTES,
     has_big_group,
     materialize,
     plan_bytes,
@@ -35,6 +37,7 @@ from .scan import running
 _BASE, _OPS, _COMPOSED, _MARK = 0, 1, 2, 3
 _OPEN = 2**62  # end of the unknown text before a composed run
 _BATCH_CHARS = 8_000_000
+_ROW = ["doc_id", "segment", "revision", "phase", "mark", "body"]
 
 
 def _apply_ops(text: str, ops: list[dict]) -> str:
@@ -58,9 +61,12 @@ def _apply_pieces(text: str, pieces: list) -> str:
     return "".join(p if isinstance(p, str) else text[p[0] : p[1]] for p in pieces)
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stream (doc_id, segment, revision, phase, body) and yield the text at each mark."""
-    key, text = None, ""
+def _fold(batches: Iterator[pa.RecordBatch], at_end: bool) -> Iterator[pa.RecordBatch]:
+    """Stream rows in order and yield the text after each marked row.
+
+    `at_end` yields the text after the last row of each segment instead.
+    """
+    key, text, reached = None, "", 0
     out, chars = [], 0
 
     def pack():
@@ -71,8 +77,11 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
-        for doc, segment, revision, phase, body in zip(*[c.to_pylist() for c in batch.columns]):
+        for doc, segment, revision, phase, mark, body in zip(*[c.to_pylist() for c in batch.columns]):
             if key != (doc, segment):
+                if at_end and key is not None:
+                    out.append((key[0], reached, text))
+                    chars += len(text)
                 key, text = (doc, segment), ""
             if phase == _BASE:
                 text = body
@@ -80,12 +89,15 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = _apply_ops(text, json.loads(body))
             elif phase == _COMPOSED:
                 text = _apply_pieces(text, json.loads(body))
-            else:
+            reached = revision
+            if mark and not at_end:
                 out.append((doc, revision, text))
                 chars += len(text)
-                if chars > _BATCH_CHARS:
-                    yield pack()
-                    out, chars = [], 0
+            if chars > _BATCH_CHARS:
+                yield pack()
+                out, chars = [], 0
+    if at_end and key is not None:
+        out.append((key[0], reached, text))
     if out:
         yield pack()
 
@@ -98,6 +110,7 @@ class _Run:
         self.pieces: list = [(0, _OPEN)]
         self.need = 0  # shortest text before for which the pieces are exact
         self.last_revision = 0
+        self.mark = False
 
     def _split(self, pos: int) -> int:
         """Index of the piece that starts at `pos`."""
@@ -137,15 +150,17 @@ class _Run:
                     del self.pieces[start:end]
 
 
-_RUN_SCHEMA = "doc_id STRING, segment LONG, run_no LONG, revision LONG, need LONG, body STRING"
+_RUN_SCHEMA = (
+    "doc_id STRING, segment LONG, run_no LONG, revision LONG, mark BOOLEAN, need LONG, body STRING"
+)
 
 
 def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _RUN_SCHEMA.split(", ")]
-    types = [pa.string()] + [pa.int64()] * 4 + [pa.string()]
+    types = [pa.string()] + [pa.int64()] * 3 + [pa.bool_(), pa.int64(), pa.string()]
 
     def pack(runs):
-        rows = [(*r.key, r.last_revision, r.need, json.dumps(r.pieces)) for r in runs]
+        rows = [(*r.key, r.last_revision, r.mark, r.need, json.dumps(r.pieces)) for r in runs]
         return pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names
         )
@@ -153,13 +168,14 @@ def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     current = None
     for batch in batches:
         done = []
-        for doc, segment, run_no, revision, body in zip(*[c.to_pylist() for c in batch.columns]):
+        rows = zip(*[c.to_pylist() for c in batch.columns])
+        for doc, segment, run_no, revision, mark, body in rows:
             if current is None or current.key != (doc, segment, run_no):
                 if current is not None:
                     done.append(current)
                 current = _Run((doc, segment, run_no))
             current.apply(json.loads(body))
-            current.last_revision = revision
+            current.last_revision, current.mark = revision, mark
         if done:
             yield pack(done)
     if current is not None:
@@ -170,7 +186,7 @@ def _composed_steps(ops: DataFrame) -> DataFrame:
     """Replace runs of ops by composed deltas wherever that is provably exact."""
     spark = ops.sparkSession
     chunk = setting(spark, REPLAY_CHUNK)
-    # `stop_no` keeps a run from reaching past a mark.
+    # `stop_no` keeps a run from reaching past a mark, so only its last op can carry one.
     ops = materialize(
         ops.withColumn(
             "run_no",
@@ -182,7 +198,7 @@ def _composed_steps(ops: DataFrame) -> DataFrame:
     )
     parts = shuffle_partitions(spark)
     runs = (
-        ops.select("doc_id", "segment", "run_no", "revision", "body")
+        ops.select("doc_id", "segment", "run_no", "revision", "mark", "body")
         .repartition(parts, "doc_id", "segment", "run_no")
         .sortWithinPartitions("doc_id", "segment", "run_no", "revision")
         .mapInArrow(_compose, _RUN_SCHEMA)
@@ -214,44 +230,30 @@ def _composed_steps(ops: DataFrame) -> DataFrame:
     ).select("doc_id", "segment", "run_no")
     doubtful = materialize(doubtful, "doubtful")
     keys = ["doc_id", "segment", "run_no"]
-    single = ops.join(doubtful, keys, "left_semi").select(
-        "doc_id", "segment", "revision", F.lit(_OPS).alias("phase"), "body"
-    )
-    composed = runs.join(doubtful, keys, "left_anti").select(
-        "doc_id", "segment", "revision", F.lit(_COMPOSED).alias("phase"), "body"
-    )
+    single = ops.join(doubtful, keys, "left_semi").withColumn("phase", F.lit(_OPS))
+    composed = runs.join(doubtful, keys, "left_anti").withColumn("phase", F.lit(_COMPOSED))
+    single, composed = single.select(*_ROW), composed.select(*_ROW)
     return single.unionByName(composed)
 
 
-def fold_text(ops: DataFrame, marks: DataFrame, bases: DataFrame | None = None) -> DataFrame:
-    """(doc_id, revision, content) at every mark.
+def fold_text(ops: DataFrame, others: DataFrame | None = None, at_end: bool = False) -> DataFrame:
+    """(doc_id, revision, content) after every marked row, or at the end of every segment.
 
-    `ops`: doc_id, segment, revision, body (JSON delta) and stop_no, a number that grows by
-    at least one from each mark to the next. `marks`: doc_id, segment, revision.
-    `bases`: doc_id, segment, revision, body (text) to start a segment from.
+    `ops`: doc_id, segment, revision, body (JSON delta), mark (ask for the text after this
+    op) and stop_no, a number that grows by at least one from each mark to the next op.
+    `others`: further rows with a phase: a base text to start a segment from, or a mark.
     """
     spark = ops.sparkSession
     if has_big_group(ops, ["doc_id", "segment"]):
-        steps = _composed_steps(ops)
+        rows = _composed_steps(ops)
     else:
-        steps = ops.select("doc_id", "segment", "revision", F.lit(_OPS).alias("phase"), "body")
-    rows = steps.unionByName(
-        marks.select(
-            "doc_id",
-            "segment",
-            "revision",
-            F.lit(_MARK).alias("phase"),
-            F.lit(None).cast("string").alias("body"),
-        )
-    )
-    if bases is not None:
-        rows = rows.unionByName(
-            bases.select("doc_id", "segment", "revision", F.lit(_BASE).alias("phase"), "body")
-        )
+        rows = ops.withColumn("phase", F.lit(_OPS)).select(*_ROW)
+    if others is not None:
+        rows = rows.unionByName(others.select(*_ROW))
     return (
         rows.repartition(shuffle_partitions(spark), "doc_id", "segment")
         .sortWithinPartitions("doc_id", "segment", "revision", "phase")
-        .mapInArrow(_fold, "doc_id STRING, revision LONG, content STRING")
+        .mapInArrow(partial(_fold, at_end=at_end), "doc_id STRING, revision LONG, content STRING")
     )
 
 
@@ -259,26 +261,23 @@ def latest_content(op_log: DataFrame) -> DataFrame:
     """(doc_id, revision, content) after the last op of every document in the log."""
     zero = F.lit(0).cast("long")
     ops = op_log.select(
-        "doc_id", zero.alias("segment"), "revision", F.col("ops").alias("body"), zero.alias("stop_no")
+        "doc_id", zero.alias("segment"), "revision", F.col("ops").alias("body"),
+        F.lit(False).alias("mark"), zero.alias("stop_no"),
     )
-    marks = op_log.groupBy("doc_id").agg(F.max("revision").alias("revision"))
-    return fold_text(ops, marks.withColumn("segment", zero))
+    return fold_text(ops, at_end=True)
 
 
 def content_every(op_log: DataFrame, every: int) -> DataFrame:
     """(doc_id, revision, content) at each multiple of `every`."""
-    zero = F.lit(0).cast("long")
     ops = op_log.select(
         "doc_id",
-        zero.alias("segment"),
+        F.lit(0).cast("long").alias("segment"),
         "revision",
         F.col("ops").alias("body"),
+        (F.col("revision") % every == 0).alias("mark"),
         F.floor((F.col("revision") - 1) / every).alias("stop_no"),
     )
-    marks = op_log.filter(F.col("revision") % every == 0).select(
-        "doc_id", zero.alias("segment"), "revision"
-    )
-    return fold_text(ops, marks)
+    return fold_text(ops)
 
 
 def content_at(op_log: DataFrame, snapshots: DataFrame, points: DataFrame) -> DataFrame:
@@ -286,32 +285,35 @@ def content_at(op_log: DataFrame, snapshots: DataFrame, points: DataFrame) -> Da
 
     Every point and op is assigned to the latest snapshot below it by one ordered scan, so
     segments between snapshots replay side by side and no op is paired with a request.
+    Segments without a point are not replayed.
     """
-    none = F.lit(None).cast("string")
-    points = points.select("doc_id", "revision").distinct()
+    def rows_of(df: DataFrame, phase: int, body) -> DataFrame:
+        return df.select("doc_id", "revision", F.lit(phase).alias("phase"), body.alias("body"))
+
     rows = (
-        snapshots.select("doc_id", "revision", F.lit(_BASE).alias("phase"), F.col("content").alias("body"))
-        .unionByName(
-            op_log.select("doc_id", "revision", F.lit(_OPS).alias("phase"), F.col("ops").alias("body"))
-        )
-        .unionByName(points.select("doc_id", "revision", F.lit(_MARK).alias("phase"), none.alias("body")))
+        rows_of(snapshots, _BASE, F.col("content"))
+        .unionByName(rows_of(op_log, _OPS, F.col("ops")))
+        .unionByName(rows_of(points.distinct(), _MARK, F.lit(None).cast("string")))
     )
-    # At one revision the op comes first, then the snapshot it led to, then the marks.
+    # At one revision the op comes first, then the snapshot it led to, then the mark.
     rows = rows.withColumn("at", F.when(F.col("phase") == _OPS, 0).otherwise(F.col("phase") + 1))
+    is_mark = F.col("phase") == _MARK
+    order = ["revision", "at"]
     rows = running(
         rows,
         ["doc_id"],
-        ["revision", "at"],
+        order,
         {
             "base": ("last", F.when(F.col("phase") == _BASE, F.col("revision"))),
-            "stop_no": ("sum", F.when(F.col("phase") == _MARK, 1).otherwise(0).cast("long")),
+            "stop_no": ("sum", F.when(is_mark, 1).otherwise(0).cast("long")),
         },
     ).withColumn("segment", F.coalesce("base", F.lit(0).cast("long")))
-    if plan_bytes(rows) > setting(rows.sparkSession, "spark.inkspark.smallBytes"):
+    # An op matters only if a point of its own segment lies at or above it.
+    rows = running(
+        rows, ["doc_id"], order,
+        {"asked_in": ("last", F.when(is_mark, F.col("segment")))}, descending=True,
+    ).filter(F.col("asked_in") == F.col("segment"))
+    rows = rows.withColumn("mark", is_mark)
+    if plan_bytes(rows) > setting(rows.sparkSession, SMALL_BYTES):
         rows = materialize(rows, "history")
-    asked = rows.filter(F.col("phase") == _MARK)
-    ops = rows.filter(F.col("phase") == _OPS).select(
-        "doc_id", "segment", "revision", "body", "stop_no"
-    )
-    bases = rows.filter(F.col("phase") == _BASE).select("doc_id", "segment", "revision", "body")
-    return fold_text(ops, asked.select("doc_id", "segment", "revision"), bases)
+    return fold_text(rows.filter(F.col("phase") == _OPS), rows.filter(F.col("phase") != _OPS))

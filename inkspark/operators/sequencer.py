@@ -134,13 +134,17 @@ def _in_arrival_order(df: DataFrame) -> DataFrame:
     )
 
 
-def _stepped(submissions: DataFrame) -> DataFrame:
-    return submissions.withColumns(
+def _stepped(submissions: DataFrame, keep: list[str] | None) -> DataFrame:
+    rows = submissions.withColumns(
         {
             "is_entry": F.lit(False),
             "valid": F.coalesce(ops_valid(ops_decode(F.col("ops"))), F.lit(True)),
         }
     )
+    if keep is None:
+        return rows
+    used = [c for c in _STEP if c in rows.columns] + ["arrival_seq"]
+    return rows.select(*used, *[c for c in keep if c not in used])
 
 
 def _entry_rows(entry: DataFrame, slice_no: Column) -> DataFrame:
@@ -165,20 +169,26 @@ def _label_rows(rows: DataFrame, entry: DataFrame | None) -> DataFrame:
     return labelled.drop("slice_no", "is_entry", "valid")
 
 
-def sequence(submissions: DataFrame, entry: DataFrame | None = None) -> DataFrame:
+def sequence(
+    submissions: DataFrame, entry: DataFrame | None = None, keep: list[str] | None = None
+) -> DataFrame:
     """Submissions plus `status` and, for accepted rows, `revision`.
 
+    `keep` names the columns wanted besides those the rule reads; the others, such as the
+    ops themselves, then stay out of the shuffle and of the Python workers.
     `entry` resumes from stored state: rows (doc_id, client_id, last_seq, revision), with a
     null client for a document whose clients have no mark yet.
     """
     if has_big_group(submissions, ["doc_id"]):
-        return _sequence_sliced(submissions, entry)
-    rows = _stepped(submissions).withColumn("slice_no", F.lit(0))
+        return _sequence_sliced(submissions, entry, keep)
+    rows = _stepped(submissions, keep).withColumn("slice_no", F.lit(0))
     return _label_rows(rows, None if entry is None else _entry_rows(entry, F.lit(0)))
 
 
-def _sequence_sliced(submissions: DataFrame, entry: DataFrame | None) -> DataFrame:
-    rows = range_slices(_stepped(submissions), ["doc_id"], [F.col("arrival_seq")])
+def _sequence_sliced(
+    submissions: DataFrame, entry: DataFrame | None, keep: list[str] | None
+) -> DataFrame:
+    rows = range_slices(_stepped(submissions, keep), ["doc_id"], [F.col("arrival_seq")])
     slim = rows.select(*_STEP, "arrival_seq")
     if entry is None:
         spark = rows.sparkSession

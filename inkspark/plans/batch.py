@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import deltas, scalars
 from ..operators import documents, interactions, messages, oplog, presence, ranks, replay, rooms
 from ..operators.sequencer import sequence
+from ..runtime import materialize
 from ..schemas import ACCEPTED
 from ..sources import event_log
 from ..sources.fixtures import AS_OF, BATCH_EVERY, NEW_ID_BASE, RING_CAP, SNAPSHOT_EVERY, Inputs
@@ -26,28 +27,34 @@ def query(fn: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
 
 
 def labelled(i: Inputs) -> DataFrame:
-    return sequence(i.submissions())
+    """Labelled submissions without their ops."""
+    return sequence(i.submissions(), keep=[])
 
 
 def log(i: Inputs) -> DataFrame:
-    return oplog.op_log(labelled(i))
+    return oplog.op_log(sequence(i.submissions()))
 
 
-def stored_snapshots(i: Inputs) -> DataFrame:
-    return replay.content_every(log(i), SNAPSHOT_EVERY)
+def log_table(i: Inputs) -> DataFrame:
+    """The op log as a written table, for queries that read it more than once."""
+    return materialize(log(i), "op-log")
 
 
-def snapshot_batch(i: Inputs) -> DataFrame:
+def stored_snapshots(op_log: DataFrame) -> DataFrame:
+    return replay.content_every(op_log, SNAPSHOT_EVERY)
+
+
+def snapshot_batch(op_log: DataFrame) -> DataFrame:
     """Snapshots to insert; the ones that clash with stored keys carry other text."""
     clash = F.col("revision") % SNAPSHOT_EVERY == 0
-    return replay.content_every(log(i), BATCH_EVERY).withColumn(
+    return replay.content_every(op_log, BATCH_EVERY).withColumn(
         "content", F.when(clash, F.concat(F.lit("changed:"), "content")).otherwise(F.col("content"))
     )
 
 
 def lossy_log(i: Inputs) -> DataFrame:
     """The log as a careless producer leaves it: some revisions lost, some repeated."""
-    kept = log(i).filter("revision % 17 <> 0")
+    kept = log_table(i).filter("revision % 17 <> 0")
     return kept.unionByName(kept.filter("revision % 13 = 0"))
 
 
@@ -89,23 +96,25 @@ def op_ack(i: Inputs) -> DataFrame:
 
 @query
 def current_revision(i: Inputs) -> DataFrame:
-    return oplog.current_revision(log(i), i.document_requests())
+    accepted = labelled(i).filter(F.col("status") == ACCEPTED)
+    return oplog.current_revision(accepted, i.document_requests())
 
 
 @query
 def client_high_water(i: Inputs) -> DataFrame:
-    return oplog.client_high_water(log(i))
+    return oplog.client_high_water(labelled(i).filter(F.col("status") == ACCEPTED))
 
 
 @query
 def document_content(i: Inputs) -> DataFrame:
-    return oplog.document_content(labelled(i), i.document_requests())
+    return oplog.document_content(i.submissions(), log(i), i.document_requests())
 
 
 @query
 def document_at_revision(i: Inputs) -> DataFrame:
     asked = i.ops_since_requests().select("doc_id", F.col("from_revision").alias("revision")).distinct()
-    return oplog.document_at_revision(log(i), stored_snapshots(i), asked)
+    op_log = log_table(i)
+    return oplog.document_at_revision(op_log, stored_snapshots(op_log), asked)
 
 
 @query
@@ -118,17 +127,19 @@ def snapshot_insert_ignore(i: Inputs) -> DataFrame:
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumnRenamed("doc_id", "document_id")
 
-    return documents.insert_ignore(keyed(snapshot_batch(i)), keyed(stored_snapshots(i)))
+    op_log = log_table(i)
+    stored = materialize(keyed(stored_snapshots(op_log)), "snapshots")
+    return documents.insert_ignore(keyed(snapshot_batch(op_log)), stored)
 
 
 @query
 def op_ring(i: Inputs) -> DataFrame:
-    return oplog.ring(log(i), RING_CAP).select("doc_id", "revision", "operation_id", "author_id", "ops")
+    return oplog.ring(log_table(i), RING_CAP).select("doc_id", "revision", "operation_id", "author_id", "ops")
 
 
 @query
 def ops_since(i: Inputs) -> DataFrame:
-    return oplog.ops_since(oplog.ring(log(i), RING_CAP), i.ops_since_requests())
+    return oplog.ops_since(oplog.ring(log_table(i), RING_CAP), i.ops_since_requests())
 
 
 @query

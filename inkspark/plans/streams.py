@@ -114,8 +114,9 @@ def stream_snapshots(i: Inputs) -> DataFrame:
         return df.withColumnRenamed("doc_id", "document_id")
 
     path = new_path(i.spark, "snapshots")
-    keyed(batch.stored_snapshots(i)).write.parquet(path)
-    feeds.replay_batches(keyed(batch.snapshot_batch(i)), "revision", log.SnapshotSink(path))
+    op_log = batch.log_table(i)
+    keyed(batch.stored_snapshots(op_log)).write.parquet(path)
+    feeds.replay_batches(keyed(batch.snapshot_batch(op_log)), "revision", log.SnapshotSink(path))
     return i.spark.read.parquet(path).select("document_id", "revision", "content")
 
 

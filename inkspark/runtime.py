@@ -64,8 +64,8 @@ def plan_bytes(df: DataFrame) -> int:
 def has_big_group(df: DataFrame, keys: list[str]) -> bool:
     """True when one key holds more rows than a task should sort on its own.
 
-    Small plans are answered from the size estimate; otherwise one count per key
-    runs, which combines on the map side and returns a single row.
+    Small plans are answered from the size estimate; otherwise one count per key runs,
+    which reads the key columns only, combines on the map side and returns a single row.
     """
     spark = df.sparkSession
     if plan_bytes(df) <= setting(spark, SMALL_BYTES):
