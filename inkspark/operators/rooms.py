@@ -87,6 +87,20 @@ def delivery_ranges(ops: DataFrame, stays: DataFrame) -> DataFrame:
     )
 
 
+def outbox(ranges: DataFrame, ops: DataFrame) -> DataFrame:
+    """The single messages of chosen stays: one row per (connection, op it receives).
+
+    Filter `ranges` (from `delivery_ranges`) to the connections to serve first. A range
+    becomes its revisions, so ops are found by an equi-join on (document, revision).
+    `ops`: doc_id, revision, conn_id (the sender) and any payload columns.
+    """
+    wanted = ranges.select(
+        "conn_id", "doc_id", F.explode(F.sequence("first_revision", "last_revision")).alias("revision")
+    )
+    sent = ops.withColumnRenamed("conn_id", "sender")
+    return wanted.join(sent, ["doc_id", "revision"]).filter("sender <> conn_id").drop("sender")
+
+
 def recipients(messages: DataFrame, stays: DataFrame, skip_sender: bool) -> DataFrame:
     """Connections in the room at each message, the sender's own left out if asked.
 

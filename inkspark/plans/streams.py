@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_micros
-from ..operators import oplog
+from ..operators import messages, oplog
 from ..runtime import materialize, new_path
 from ..sources.fixtures import Inputs
 from ..streaming import feeds, interactions, log, presence, sequencer
@@ -39,6 +39,16 @@ _FAR = "2124-01-01 00:00:00"
 _FAR_US = 4_859_740_800_000_000
 
 
+@query
+def stream_message_route(i: Inputs) -> DataFrame:
+    """Messages decoded and routed as they arrive; torn ones go to the quarantine route."""
+
+    def route(stream: DataFrame) -> DataFrame:
+        return messages.route(messages.decode(stream)).select("event_id", "route", "older_route")
+
+    return feeds.replay_to_table(i.messages(), "event_id", route)
+
+
 @query
 def stream_sequencer(i: Inputs) -> DataFrame:
     return feeds.replay_to_table(_clocked(i.submissions()), "ts_us", sequencer.sequence_stream)
@@ -131,6 +141,7 @@ def stream_fanout(i: Inputs) -> DataFrame:
 
 
 STREAM_ORACLE = {
+    "stream_message_route": ORACLE["message_route"],
     "stream_sequencer": ORACLE["op_sequence"],
     "stream_sequencer_batches": ORACLE["op_sequence"],
     "stream_presence": ORACLE["presence_sessions"],

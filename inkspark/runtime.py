@@ -18,7 +18,7 @@ DEFAULTS = {
     REPLAY_CHUNK: 1024,
 }
 
-_CHECKPOINT_KEY = "spark.checkpoint.dir"
+_scratch: dict[str, str] = {}  # folder per local application that names none
 
 
 def setting(spark: SparkSession, key: str) -> int:
@@ -31,14 +31,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by the cluster; a scratch folder only for an unset local session."""
-    path = spark.conf.get(_CHECKPOINT_KEY, None)
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder all executors share")
-    path = tempfile.mkdtemp(prefix="inkspark-")
-    spark.conf.set(_CHECKPOINT_KEY, path)
-    return path
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if context.applicationId not in _scratch:
+        _scratch[context.applicationId] = tempfile.mkdtemp(prefix="inkspark-")
+    return _scratch[context.applicationId]
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkspark.operators import interactions, presence, rooms
-from inkspark.operators.oplog import op_log
+from inkspark.operators.oplog import op_log, op_times
 from inkspark.operators.sequencer import sequence
 from inkspark.sources.fixtures import Inputs
 
@@ -93,6 +93,23 @@ def test_fanout_skips_only_the_sending_connection(spark):
     )
     got = {r.conn_id: (r.first_revision, r.last_revision, r.delivered) for r in rooms.delivery_ranges(ops, stays).collect()}
     assert got == {"a1": (1, 3, 2), "a2": (2, 3, 2), "b": (1, 2, 1)}
+    ranges = rooms.delivery_ranges(ops, stays)
+    messages = rooms.outbox(ranges.filter("conn_id <> 'b'"), ops.select("doc_id", "revision", "conn_id"))
+    assert sorted((r.conn_id, r.revision) for r in messages.collect()) == [
+        ("a1", 2), ("a1", 3), ("a2", 2), ("a2", 3),
+    ]
     sent = ops.withColumnRenamed("revision", "message_id")
     per_op = {r.message_id: r.recipients for r in rooms.recipients(sent, stays, True).collect()}
     assert per_op == {1: 1, 2: 2, 3: 2}
+
+
+def test_outbox_holds_every_delivery(inputs):
+    log = op_log(sequence(inputs.submissions()))
+    stays = rooms.intervals(inputs.joins(), inputs.heartbeats().select("doc_id").distinct())
+    ranges = rooms.delivery_ranges(op_times(log), stays)
+    messages = rooms.outbox(ranges, log.select("doc_id", "revision", "conn_id"))
+    per_op = messages.groupBy("doc_id", "revision").agg(F.count("*").alias("recipients"))
+    ops = op_times(log).withColumnRenamed("revision", "message_id")
+    swept = rooms.recipients(ops, stays, True).filter("recipients > 0")
+    assert spark_rows(per_op) == spark_rows(swept.withColumnRenamed("message_id", "revision"))
+    assert messages.count() == ranges.agg(F.sum("delivered")).first()[0]
