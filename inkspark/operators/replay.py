@@ -8,35 +8,41 @@ For documents with very long logs, runs of ops are first composed in parallel in
 delta each: a list of pieces, either ranges of the text before or inserted strings. The
 serial fold then takes one step per run. A composed delta is exact only if the text before
 is long enough that no position was cut off at its end. A lower bound of the length at each
-run shows which runs might break that; those few keep their single ops.
+run shows which runs might break that; those few keep their single ops. The others are merged
+further, many at a time, until a segment has few steps left to fold in series.
 """
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import rows as rows_of_batch
 from ..functions.deltas import ops_decode
 from ..runtime import (
+    MAX_REPLAY_OPS,
     REPLAY_CHUNK,
     SMALL_BYTES,
-    has_big_group,
+    largest_group,
     materialize,
     plan_bytes,
     setting,
     shuffle_partitions,
 )
-from .scan import running
+from .scan import numbered, running
 
 # Order of rows at one revision: the base text, then ops, then the mark asking for text.
 _BASE, _OPS, _COMPOSED, _MARK = 0, 1, 2, 3
 _OPEN = 2**62  # end of the unknown text before a composed run
 _BATCH_CHARS = 8_000_000
+_MERGE = 64  # composed runs merged into one at a time
 _ROW = ["doc_id", "segment", "revision", "phase", "mark", "body"]
 
 
@@ -61,7 +67,7 @@ def _apply_pieces(text: str, pieces: list) -> str:
     return "".join(p if isinstance(p, str) else text[p[0] : p[1]] for p in pieces)
 
 
-def _fold(batches: Iterator[pa.RecordBatch], at_end: bool) -> Iterator[pa.RecordBatch]:
+def _fold(arriving: Iterator[pa.RecordBatch], at_end: bool) -> Iterator[pa.RecordBatch]:
     """Stream rows in order and yield the text after each marked row.
 
     `at_end` yields the text after the last row of each segment instead.
@@ -76,8 +82,8 @@ def _fold(batches: Iterator[pa.RecordBatch], at_end: bool) -> Iterator[pa.Record
             names=["doc_id", "revision", "content"],
         )
 
-    for batch in batches:
-        for doc, segment, revision, phase, mark, body in zip(*[c.to_pylist() for c in batch.columns]):
+    for batch in arriving:
+        for doc, segment, revision, phase, mark, body in rows_of_batch(batch):
             if key != (doc, segment):
                 if at_end and key is not None:
                     out.append((key[0], reached, text))
@@ -155,7 +161,7 @@ _RUN_SCHEMA = (
 )
 
 
-def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compose(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _RUN_SCHEMA.split(", ")]
     types = [pa.string()] + [pa.int64()] * 3 + [pa.bool_(), pa.int64(), pa.string()]
 
@@ -166,10 +172,9 @@ def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     current = None
-    for batch in batches:
+    for batch in arriving:
         done = []
-        rows = zip(*[c.to_pylist() for c in batch.columns])
-        for doc, segment, run_no, revision, mark, body in rows:
+        for doc, segment, run_no, revision, mark, body in rows_of_batch(batch):
             if current is None or current.key != (doc, segment, run_no):
                 if current is not None:
                     done.append(current)
@@ -182,25 +187,110 @@ def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack([current])
 
 
+_MERGED_SCHEMA = (
+    "doc_id STRING, segment LONG, group_no LONG, run_no LONG, revision LONG, mark BOOLEAN, body STRING"
+)
+
+
+def _cut(pieces: list, ends: list[int], start: int, end: int) -> list:
+    """The pieces that make up [start, end) of a text; `ends` are the pieces' end positions."""
+    out = []
+    i = bisect_right(ends, start)
+    while i < len(pieces) and start < end:
+        piece, size = pieces[i], ends[i] - (ends[i - 1] if i else 0)
+        low = start - (ends[i] - size)
+        high = min(end, ends[i]) - (ends[i] - size)
+        out.append(piece[low:high] if isinstance(piece, str) else [piece[0] + low, piece[0] + high])
+        start = ends[i]
+        i += 1
+    return out
+
+
+def _after(first: list, second: list) -> list:
+    """One delta for `first` and then `second`: the ranges of `second` looked up in `first`."""
+    ends = list(accumulate(len(p) if isinstance(p, str) else p[1] - p[0] for p in first))
+    out: list = []
+    for piece in second:
+        for part in [piece] if isinstance(piece, str) else _cut(first, ends, *piece):
+            if isinstance(part, str) and out and isinstance(out[-1], str):
+                out[-1] += part
+            else:
+                out.append(part)
+    return out
+
+
+def _merge_all(deltas: list[list]) -> list:
+    """One delta for a sequence of them, merged pairwise so that no part is copied often."""
+    while len(deltas) > 1:
+        pairs = [_after(a, b) for a, b in zip(deltas[::2], deltas[1::2])]
+        deltas = pairs + deltas[len(pairs) * 2 :]
+    return deltas[0]
+
+
+def _merge(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in _MERGED_SCHEMA.split(", ")]
+    types = [pa.string()] + [pa.int64()] * 4 + [pa.bool_(), pa.string()]
+    key, last, deltas = None, None, []
+
+    def pack(done):
+        rows = [(*k, *l, json.dumps(_merge_all(d))) for k, l, d in done]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names
+        )
+
+    for batch in arriving:
+        done = []
+        for doc, segment, group, run, revision, mark, body in rows_of_batch(batch):
+            if key != (doc, segment, group):
+                if key is not None:
+                    done.append((key, last, deltas))
+                key, deltas = (doc, segment, group), []
+            last = (run, revision, mark)
+            deltas.append(json.loads(body))
+        if done:
+            yield pack(done)
+    if key is not None:
+        yield pack([(key, last, deltas)])
+
+
+def _merged(runs: DataFrame) -> DataFrame:
+    """Merge runs, `_MERGE` at a time, until no segment has many left to fold in series.
+
+    `runs`: doc_id, segment, block, run_no, revision, mark, body. Runs of one block follow
+    each other without a mark or single ops between them.
+    """
+    spark = runs.sparkSession
+    parts = shuffle_partitions(spark)
+    while largest_group(runs, ["doc_id", "segment", "block"]) > _MERGE:
+        ranked = numbered(
+            runs.select("doc_id", "segment", "block", "run_no"),
+            ["doc_id", "segment", "block"], ["run_no"],
+        ).withColumn("chunk", F.floor((F.col("rn") - 1) / _MERGE))
+        group = F.col("block") * F.lit(1 << 31) + F.col("chunk")
+        merged = (
+            runs.join(ranked, ["doc_id", "segment", "block", "run_no"])
+            .select("doc_id", "segment", group.alias("group_no"), "run_no", "revision", "mark", "body")
+            .repartition(parts, "doc_id", "segment", "group_no")
+            .sortWithinPartitions("doc_id", "segment", "group_no", "run_no")
+            .mapInArrow(_merge, _MERGED_SCHEMA)
+            .withColumn("block", F.floor(F.col("group_no") / F.lit(1 << 31)))
+        )
+        runs = materialize(merged.drop("group_no"), "merged")
+    return runs
+
+
 def _composed_steps(ops: DataFrame) -> DataFrame:
     """Replace runs of ops by composed deltas wherever that is provably exact."""
     spark = ops.sparkSession
     chunk = setting(spark, REPLAY_CHUNK)
     # `stop_no` keeps a run from reaching past a mark, so only its last op can carry one.
-    ops = materialize(
-        ops.withColumn(
-            "run_no",
-            F.struct(
-                F.floor((F.col("revision") - 1) / F.lit(chunk)).alias("chunk"), F.col("stop_no")
-            ),
-        ).withColumn("run_no", F.col("run_no.chunk") * F.lit(1 << 31) + F.col("run_no.stop_no")),
-        "ops",
-    )
-    parts = shuffle_partitions(spark)
+    chunk_no = F.floor((F.col("revision") - 1) / F.lit(chunk))
+    ops = ops.withColumn("run_no", chunk_no * F.lit(1 << 31) + F.col("stop_no"))
+    keys = ["doc_id", "segment", "run_no"]
     runs = (
-        ops.select("doc_id", "segment", "run_no", "revision", "mark", "body")
-        .repartition(parts, "doc_id", "segment", "run_no")
-        .sortWithinPartitions("doc_id", "segment", "run_no", "revision")
+        ops.select(*keys, "revision", "mark", "body")
+        .repartition(shuffle_partitions(spark), *keys)
+        .sortWithinPartitions(*keys, "revision")
         .mapInArrow(_compose, _RUN_SCHEMA)
     )
     size = F.aggregate(
@@ -213,27 +303,30 @@ def _composed_steps(ops: DataFrame) -> DataFrame:
             .otherwise(0)
         ).cast("long"),
     )
-    growth = ops.groupBy("doc_id", "segment", "run_no").agg(F.sum(size).alias("growth"))
-    runs = materialize(runs.join(growth, ["doc_id", "segment", "run_no"]), "runs")
+    totals = ops.groupBy(*keys).agg(F.sum(size).alias("growth"), F.max("stop_no").alias("stop_no"))
+    runs = materialize(runs.join(totals, keys), "runs")
     # Real growth is never below `growth`, and a text is never shorter than empty, so the
     # running sum less its own minimum bounds the length from below.
+    order, segment = ["run_no"], ["doc_id", "segment"]
+    walk = runs.select(*keys, "stop_no", "need", "growth")
+    walk = running(walk, segment, order, {"total": ("sum", F.col("growth"))})
+    walk = walk.withColumn("start", F.col("total") - F.col("growth"))
+    walk = running(walk, segment, order, {"lowest": ("min", F.col("start"))})
+    doubtful = F.col("need") > F.col("start") - F.least(F.col("lowest"), F.lit(0))
     walk = running(
-        runs.select("doc_id", "segment", "run_no", "need", "growth"),
-        ["doc_id", "segment"],
-        ["run_no"],
-        {"total": ("sum", F.col("growth"))},
+        walk.withColumn("doubtful", doubtful), segment, order,
+        {"doubts": ("sum", F.col("doubtful").cast("long"))},
     )
-    walk = walk.withColumn("start", F.col("total") - F.col("growth"))
-    walk = running(walk, ["doc_id", "segment"], ["run_no"], {"lowest": ("min", F.col("start"))})
-    doubtful = walk.filter(
-        F.col("need") > F.col("start") - F.least(F.col("lowest"), F.lit(0))
-    ).select("doc_id", "segment", "run_no")
-    doubtful = materialize(doubtful, "doubtful")
-    keys = ["doc_id", "segment", "run_no"]
-    single = ops.join(doubtful, keys, "left_semi").withColumn("phase", F.lit(_OPS))
-    composed = runs.join(doubtful, keys, "left_anti").withColumn("phase", F.lit(_COMPOSED))
-    single, composed = single.select(*_ROW), composed.select(*_ROW)
-    return single.unionByName(composed)
+    block = (F.col("stop_no") + F.col("doubts")).alias("block")
+    walk = materialize(walk.select(*keys, "doubtful", block), "walk")
+    single = (
+        ops.join(walk.filter("doubtful"), keys, "left_semi")
+        .withColumn("phase", F.lit(_OPS))
+        .select(*_ROW)
+    )
+    exact = runs.join(walk.filter("NOT doubtful"), keys)
+    merged = _merged(exact.select(*segment, "block", "run_no", "revision", "mark", "body"))
+    return single.unionByName(merged.withColumn("phase", F.lit(_COMPOSED)).select(*_ROW))
 
 
 def fold_text(ops: DataFrame, others: DataFrame | None = None, at_end: bool = False) -> DataFrame:
@@ -244,7 +337,14 @@ def fold_text(ops: DataFrame, others: DataFrame | None = None, at_end: bool = Fa
     `others`: further rows with a phase: a base text to start a segment from, or a mark.
     """
     spark = ops.sparkSession
-    if has_big_group(ops, ["doc_id", "segment"]):
+    # The fold copies the text at every step, so long histories pay off composing early.
+    small = setting(spark, SMALL_BYTES) // 8
+    if plan_bytes(ops) > small:
+        ops = materialize(ops, "ops")
+        long = largest_group(ops, ["doc_id", "segment"]) > setting(spark, MAX_REPLAY_OPS)
+    else:
+        long = False
+    if long:
         rows = _composed_steps(ops)
     else:
         rows = ops.withColumn("phase", F.lit(_OPS)).select(*_ROW)

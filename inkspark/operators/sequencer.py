@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..batches import rows as rows_of_batch
 from ..functions.deltas import ops_decode, ops_valid
 from ..runtime import has_big_group, materialize, range_slices, shuffle_partitions
 from ..schemas import ACCEPTED, CONFLICT, DUPLICATE, INVALID_POSITION
@@ -65,8 +66,7 @@ class _Slice:
 
 def _walk(batch: pa.RecordBatch, state: _Slice | None):
     """Yield (slice state, outcome or None for an entry row) for each row."""
-    columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in _STEP]
-    for doc, slice_no, is_entry, client, seq, base, valid in zip(*columns):
+    for doc, slice_no, is_entry, client, seq, base, valid in rows_of_batch(batch, _STEP):
         if state is None or state.key != (doc, slice_no):
             state = _Slice((doc, slice_no))
         if is_entry:
@@ -76,9 +76,9 @@ def _walk(batch: pa.RecordBatch, state: _Slice | None):
             yield state, state.submit(client, seq, base, valid)
 
 
-def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _label(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     state = None
-    for batch in batches:
+    for batch in arriving:
         keep, status, revision = [], [], []
         for state, outcome in _walk(batch, state):
             keep.append(outcome is not None)
@@ -98,7 +98,7 @@ _EXIT_SCHEMA = (
 )
 
 
-def _summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summarize(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per (document, slice, client): exit state and the entry states it holds for."""
 
     def rows(done: _Slice):
@@ -115,7 +115,7 @@ def _summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     current = None
-    for batch in batches:
+    for batch in arriving:
         out = []
         for state, _ in _walk(batch, current):
             if current is not None and state is not current:
@@ -134,13 +134,14 @@ def _in_arrival_order(df: DataFrame) -> DataFrame:
     )
 
 
+def valid_ops(ops: Column) -> Column:
+    """`ops_valid` of JSON text; without a minus sign no position can be negative."""
+    checked = F.coalesce(ops_valid(ops_decode(ops)), F.lit(True))
+    return F.when(F.contains(ops, F.lit("-")), checked).otherwise(F.lit(True))
+
+
 def _stepped(submissions: DataFrame, keep: list[str] | None) -> DataFrame:
-    rows = submissions.withColumns(
-        {
-            "is_entry": F.lit(False),
-            "valid": F.coalesce(ops_valid(ops_decode(F.col("ops"))), F.lit(True)),
-        }
-    )
+    rows = submissions.withColumns({"is_entry": F.lit(False), "valid": valid_ops(F.col("ops"))})
     if keep is None:
         return rows
     used = [c for c in _STEP if c in rows.columns] + ["arrival_seq"]

@@ -335,12 +335,12 @@ def room_intervals(i: Inputs) -> DataFrame:
 
 @query
 def op_fanout(i: Inputs) -> DataFrame:
-    return rooms.delivery_ranges(oplog.op_times(log(i)), stays(i))
+    return rooms.delivery_ranges(oplog.op_times(log_table(i)), stays(i))
 
 
 @query
 def op_recipients(i: Inputs) -> DataFrame:
-    ops = oplog.op_times(log(i)).withColumnRenamed("revision", "message_id")
+    ops = oplog.op_times(log_table(i)).withColumnRenamed("revision", "message_id")
     return rooms.recipients(ops, stays(i), skip_sender=True).withColumnRenamed("message_id", "revision")
 
 

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 # Settings (session conf keys) with their defaults.
 MAX_GROUP_ROWS = "spark.inkspark.maxGroupRows"  # a key with more rows is split over tasks
 SMALL_BYTES = "spark.inkspark.smallBytes"  # below this plan size no key can be that large
+MAX_REPLAY_OPS = "spark.inkspark.maxReplayOps"  # longer histories are composed before the fold
 REPLAY_CHUNK = "spark.inkspark.replayChunk"  # ops composed into one delta when a log is split
 DEFAULTS = {
     MAX_GROUP_ROWS: 10_000_000,
     SMALL_BYTES: 64 * 1024 * 1024,
+    MAX_REPLAY_OPS: 20_000,
     REPLAY_CHUNK: 1024,
 }
 
@@ -62,17 +64,21 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest key: a count that reads the key columns only, combines on the
+    map side and returns a single row."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
 def has_big_group(df: DataFrame, keys: list[str]) -> bool:
     """True when one key holds more rows than a task should sort on its own.
 
-    Small plans are answered from the size estimate; otherwise one count per key runs,
-    which reads the key columns only, combines on the map side and returns a single row.
+    Small plans are answered from the size estimate, larger ones by counting.
     """
     spark = df.sparkSession
     if plan_bytes(df) <= setting(spark, SMALL_BYTES):
         return False
-    top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (top or 0) > setting(spark, MAX_GROUP_ROWS)
+    return largest_group(df, keys) > setting(spark, MAX_GROUP_ROWS)
 
 
 def range_slices(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.deltas import ops_decode, ops_valid
-from ..operators.sequencer import exit_state, resumed_fold, sequence
+from ..operators.sequencer import exit_state, resumed_fold, sequence, valid_ops
 from ..schemas import ACCEPTED
 from .feeds import VersionedTable, in_order
 
@@ -41,7 +40,7 @@ def sequence_stream(submissions: DataFrame) -> DataFrame:
     A micro-batch must hold whole stretches of a document's submissions; inside it they are
     sorted by arrival. What one task holds is bounded by the size of a micro-batch.
     """
-    valid = F.coalesce(ops_valid(ops_decode(F.col("ops"))), F.lit(True))
+    valid = valid_ops(F.col("ops"))
     rows = submissions.select(
         "doc_id", "arrival_seq", "client_id", "client_seq", "base_revision", valid.alias("valid")
     )

@@ -12,6 +12,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from inkspark import runtime
+from inkspark.operators import replay
 from inkspark.operators.replay import content_at, content_every, latest_content
 from inkspark.operators.scan import running
 from inkspark.operators.sequencer import exit_state, sequence
@@ -43,6 +44,7 @@ SPLIT = {
 def hot(spark, rows, chunk=8):
     spark.conf.set(runtime.SMALL_BYTES, "0")
     spark.conf.set(runtime.MAX_GROUP_ROWS, str(rows))
+    spark.conf.set(runtime.MAX_REPLAY_OPS, str(rows))
     spark.conf.set(runtime.REPLAY_CHUNK, str(chunk))
 
 
@@ -75,6 +77,26 @@ def test_running_values_over_split_keys(spark, descending):
     assert spark_rows(running(df, ["k"], ["t", "id"], columns, descending)) == expected
 
 
+def test_merged_deltas_equal_their_sequence():
+    """Deltas over a text of unknown length, merged pairwise, against applying each."""
+    rng = random.Random(9)
+    for _ in range(200):
+        text = "".join(rng.choice("abcdef") for _ in range(60))
+        expected, deltas = text, []
+        for _ in range(rng.randint(1, 9)):
+            run = replay._Run(("d", 0, 0))
+            for _ in range(rng.randint(1, 5)):
+                ops = [{"kind": "retain", "count": rng.randint(0, 10)},
+                       rng.choice([{"kind": "insert", "text": rng.choice(["X", "YZ"])},
+                                   {"kind": "delete", "count": rng.randint(0, 3)}])]
+                run.apply(ops)
+                expected = replay_one(expected, ops)
+            assert run.need <= 60
+            deltas.append(json.loads(json.dumps(run.pieces)))
+        if max(len(expected), 1) > 45:  # otherwise a cut-off cannot be ruled out
+            assert replay._apply_pieces(text, replay._merge_all(deltas)) == expected
+
+
 def simulate(rows):
     """The sequencing rule, one submission at a time."""
     revision, marks, out = {}, {}, []
@@ -156,7 +178,7 @@ def replay_one(text, ops):
 
 
 @pytest.mark.parametrize("limit", [10**6, 20])
-def test_replay_matches_simulation(spark, limit):
+def test_replay_matches_simulation(spark, limit, monkeypatch):
     """Positions past the end are common here, so many composed runs are doubtful."""
     rng = random.Random(3)
     rows, expected = [], {}
@@ -174,6 +196,7 @@ def test_replay_matches_simulation(spark, limit):
         [(f"d{d}", r) for d in range(6) for r in (1, 7, 33, 50, 99, 100)], "doc_id STRING, revision LONG"
     )
     hot(spark, limit)
+    monkeypatch.setattr(replay, "_MERGE", 3)
 
     def texts(df):
         return {(r.doc_id, r.revision): r.content for r in df.collect()}
