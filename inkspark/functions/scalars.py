@@ -6,13 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
 def epoch_seconds(ts: Column) -> Column:
     """Whole seconds since 1970 of a TIMESTAMP_NTZ, whatever the session zone is."""
-    return F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts)
+    return F.timestamp_diff("SECOND", F.expr(_EPOCH), ts)
 
 
 def epoch_micros(ts: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts)
+    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), ts)
+
+
+def utc_time(text: Column) -> Column:
+    """RFC 3339 text to a TIMESTAMP_NTZ in UTC; null if it is no time."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(F.try_to_timestamp(text)), F.expr(_EPOCH))
 
 
 def expire_at(sec: Column, ttl: Column) -> Column:

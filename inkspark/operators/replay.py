@@ -21,7 +21,7 @@ from functools import partial
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..batches import rows as rows_of_batch
@@ -284,6 +284,10 @@ def _composed_steps(ops: DataFrame) -> DataFrame:
     spark = ops.sparkSession
     chunk = setting(spark, REPLAY_CHUNK)
     # `stop_no` keeps a run from reaching past a mark, so only its last op can carry one.
+    if "stop_no" not in ops.columns:
+        one = F.col("mark").cast("long")
+        ops = running(ops, ["doc_id", "segment"], ["revision"], {"marks": ("sum", one)})
+        ops = ops.withColumn("stop_no", F.col("marks") - one)
     chunk_no = F.floor((F.col("revision") - 1) / F.lit(chunk))
     ops = ops.withColumn("run_no", chunk_no * F.lit(1 << 31) + F.col("stop_no"))
     keys = ["doc_id", "segment", "run_no"]
@@ -332,9 +336,9 @@ def _composed_steps(ops: DataFrame) -> DataFrame:
 def fold_text(ops: DataFrame, others: DataFrame | None = None, at_end: bool = False) -> DataFrame:
     """(doc_id, revision, content) after every marked row, or at the end of every segment.
 
-    `ops`: doc_id, segment, revision, body (JSON delta), mark (ask for the text after this
-    op) and stop_no, a number that grows by at least one from each mark to the next op.
-    `others`: further rows with a phase: a base text to start a segment from, or a mark.
+    `ops`: doc_id, segment, revision, body (JSON delta) and mark (ask for the text after this
+    op). `others`: further rows with a phase: a base text to start a segment from, or a mark;
+    `ops` then also has stop_no, a number that grows from each mark to the next op.
     """
     spark = ops.sparkSession
     # The fold copies the text at every step, so long histories pay off composing early.
@@ -362,20 +366,19 @@ def latest_content(op_log: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     ops = op_log.select(
         "doc_id", zero.alias("segment"), "revision", F.col("ops").alias("body"),
-        F.lit(False).alias("mark"), zero.alias("stop_no"),
+        F.lit(False).alias("mark"),
     )
     return fold_text(ops, at_end=True)
 
 
-def content_every(op_log: DataFrame, every: int) -> DataFrame:
-    """(doc_id, revision, content) at each multiple of `every`."""
+def content_where(op_log: DataFrame, wanted: Column) -> DataFrame:
+    """(doc_id, revision, content) after every op for which `wanted` holds."""
     ops = op_log.select(
         "doc_id",
         F.lit(0).cast("long").alias("segment"),
         "revision",
         F.col("ops").alias("body"),
-        (F.col("revision") % every == 0).alias("mark"),
-        F.floor((F.col("revision") - 1) / every).alias("stop_no"),
+        wanted.alias("mark"),
     )
     return fold_text(ops)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import deltas, scalars
@@ -13,7 +13,7 @@ from ..operators.sequencer import sequence
 from ..runtime import materialize
 from ..schemas import ACCEPTED
 from ..sources import event_log
-from ..sources.fixtures import AS_OF, BATCH_EVERY, NEW_ID_BASE, RING_CAP, SNAPSHOT_EVERY, Inputs
+from ..sources.fixtures import AS_OF, BATCH_UNIT, NEW_ID_BASE, RING_CAP, SNAPSHOT_UNIT, Inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -40,15 +40,22 @@ def log_table(i: Inputs) -> DataFrame:
     return materialize(log(i), "op-log")
 
 
+def _doubling(unit: int) -> Column:
+    """Revisions unit, 2 unit, 4 unit, ...: spaced so that snapshots stay linear in the text."""
+    n = F.floor(F.col("revision") / unit)
+    return (F.col("revision") % unit == 0) & (n.bitwiseAND(n - 1) == 0)
+
+
 def stored_snapshots(op_log: DataFrame) -> DataFrame:
-    return replay.content_every(op_log, SNAPSHOT_EVERY)
+    return replay.content_where(op_log, _doubling(SNAPSHOT_UNIT))
 
 
 def snapshot_batch(op_log: DataFrame) -> DataFrame:
     """Snapshots to insert; the ones that clash with stored keys carry other text."""
-    clash = F.col("revision") % SNAPSHOT_EVERY == 0
-    return replay.content_every(op_log, BATCH_EVERY).withColumn(
-        "content", F.when(clash, F.concat(F.lit("changed:"), "content")).otherwise(F.col("content"))
+    wanted = _doubling(BATCH_UNIT) | _doubling(3 * BATCH_UNIT)
+    return replay.content_where(op_log, wanted).withColumn(
+        "content",
+        F.when(_doubling(SNAPSHOT_UNIT), F.concat(F.lit("changed:"), "content")).otherwise(F.col("content")),
     )
 
 

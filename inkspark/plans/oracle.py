@@ -204,7 +204,9 @@ BODIES = {
         SELECT t.doc_id AS document_id, t.revision, t.content
         FROM texts t JOIN latest l ON t.doc_id = l.doc_id AND t.revision = l.latest""",
     "snapshot_insert_ignore": """
-        SELECT doc_id AS document_id, revision, content FROM texts WHERE revision % 25 = 0""",
+        SELECT doc_id AS document_id, revision, content
+        FROM (SELECT *, revision // 25 AS n FROM texts WHERE revision % 25 = 0)
+        WHERE n & (n - 1) = 0 OR (n % 3 = 0 AND (n // 3) & (n // 3 - 1) = 0)""",
     "op_ring": "SELECT doc_id, revision, operation_id, author_id, ops FROM ring",
     "ops_since": """
         SELECT doc_id, from_revision, lim, oldest > from_revision + 1 AS truncated, revision,

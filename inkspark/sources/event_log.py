@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.deltas import ops_decode
+from ..functions.scalars import utc_time
 from ..schemas import DOC_OP_EVENT, EVENT_TYPE
 
 TOPIC = "doc-ops"
@@ -53,7 +54,7 @@ def decode(records: DataFrame) -> DataFrame:
         F.col("event.clientSeq").alias("client_seq"),
         F.col("event.baseRevision").alias("base_revision"),
         F.col("event.ops").alias("ops"),
-        F.try_to_timestamp("event.appliedAt").cast("timestamp_ntz").alias("applied_at"),
+        utc_time(F.col("event.appliedAt")).alias("applied_at"),
         (F.col("event.docId").isNull() | F.col("event.appliedAt").isNull()).alias("corrupt"),
     )
 

@@ -10,8 +10,8 @@ from ..operators.scan import numbered
 
 AS_OF = 1705363200  # 2024-01-16 00:00:00, the clock of the presence queries
 RING_CAP = 20
-SNAPSHOT_EVERY = 50
-BATCH_EVERY = 25
+SNAPSHOT_UNIT = 50
+BATCH_UNIT = 25
 NEW_ID_BASE = 1_000_000_000
 
 

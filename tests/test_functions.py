@@ -75,3 +75,16 @@ def test_epoch_seconds_ignores_the_session_zone(spark):
         assert df.select(scalars.epoch_seconds(F.col("ts"))).first()[0] == 1705363200
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_utc_time_reads_offsets(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame(
+            [("2024-01-16T08:00:00.25+08:00",), ("2024-01-16T00:00:00.25Z",), ("soon",)], "t STRING"
+        )
+        got = df.select(scalars.epoch_micros(scalars.utc_time(F.col("t")))).collect()
+        assert [r[0] for r in got] == [1705363200250000, 1705363200250000, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

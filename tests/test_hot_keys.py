@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from inkspark import runtime
 from inkspark.operators import replay
-from inkspark.operators.replay import content_at, content_every, latest_content
+from inkspark.operators.replay import content_at, content_where, latest_content
 from inkspark.operators.scan import running
 from inkspark.operators.sequencer import exit_state, sequence
 from inkspark.plans.batch import QUERIES
@@ -202,7 +202,7 @@ def test_replay_matches_simulation(spark, limit, monkeypatch):
         return {(r.doc_id, r.revision): r.content for r in df.collect()}
 
     assert texts(latest_content(log)) == {k: v for k, v in expected.items() if k[1] == 100}
-    snapshots = content_every(log, 20)
+    snapshots = content_where(log, F.col("revision") % 20 == 0)
     assert texts(snapshots) == {k: v for k, v in expected.items() if k[1] % 20 == 0}
     at = texts(content_at(log, snapshots.filter("revision <> 60"), points))
     assert at == {k: expected[k] for k in at} and len(at) == 36
