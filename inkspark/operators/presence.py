@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import expire_at
+from ..runtime import has_big_group
 from .scan import numbered, running
 
 _ORDER = ["ts", "event_id"]
@@ -121,11 +122,11 @@ def sessions(heartbeats: DataFrame, carried: DataFrame | None = None) -> DataFra
                 F.col("heartbeats").alias("beats"),
             )
         )
-    rows = running(rows, _MEMBER, _ORDER, {"held_until": ("prev", F.col("expire_at"))})
+    big = has_big_group(rows, _MEMBER)
+    rows = running(rows, _MEMBER, _ORDER, {"held_until": ("prev", F.col("expire_at"))}, big=big)
     starts = F.col("held_until").isNull() | (F.col("sec") > F.col("held_until"))
-    rows = running(
-        rows, _MEMBER, _ORDER, {"session_no": ("sum", F.when(starts, 1).otherwise(0).cast("long"))}
-    )
+    opened = F.when(starts, 1).otherwise(0).cast("long")
+    rows = running(rows, _MEMBER, _ORDER, {"session_no": ("sum", opened)}, big=big)
     return (
         rows.groupBy(*_MEMBER, "session_no")
         .agg(
@@ -145,8 +146,9 @@ def alive_at_heartbeats(heartbeats: DataFrame) -> DataFrame:
     the members it saw; those are the `sessions` that cover its second.
     """
     rows = _timed(heartbeats).select("event_id", "ts", "sec", *_MEMBER, "expire_at")
-    rows = running(rows, _MEMBER, _ORDER, {"held_until": ("prev", F.col("expire_at"))})
-    rows = running(rows, _MEMBER, _ORDER, {"next_sec": ("prev", F.col("sec"))}, descending=True)
+    big = has_big_group(rows, _MEMBER)
+    rows = running(rows, _MEMBER, _ORDER, {"held_until": ("prev", F.col("expire_at"))}, big=big)
+    rows = running(rows, _MEMBER, _ORDER, {"next_sec": ("prev", F.col("sec"))}, True, big)
     enters = F.col("held_until").isNull() | (F.col("held_until") <= F.col("sec"))
     runs_out = F.col("next_sec").isNull() | (F.col("next_sec") >= F.col("expire_at"))
     beat = F.struct(

@@ -30,6 +30,7 @@ from ..runtime import (
     MAX_REPLAY_OPS,
     REPLAY_CHUNK,
     SMALL_BYTES,
+    has_big_group,
     largest_group,
     materialize,
     plan_bytes,
@@ -313,13 +314,14 @@ def _composed_steps(ops: DataFrame) -> DataFrame:
     # running sum less its own minimum bounds the length from below.
     order, segment = ["run_no"], ["doc_id", "segment"]
     walk = runs.select(*keys, "stop_no", "need", "growth")
-    walk = running(walk, segment, order, {"total": ("sum", F.col("growth"))})
+    big = has_big_group(walk, segment)
+    walk = running(walk, segment, order, {"total": ("sum", F.col("growth"))}, big=big)
     walk = walk.withColumn("start", F.col("total") - F.col("growth"))
-    walk = running(walk, segment, order, {"lowest": ("min", F.col("start"))})
+    walk = running(walk, segment, order, {"lowest": ("min", F.col("start"))}, big=big)
     doubtful = F.col("need") > F.col("start") - F.least(F.col("lowest"), F.lit(0))
     walk = running(
         walk.withColumn("doubtful", doubtful), segment, order,
-        {"doubts": ("sum", F.col("doubtful").cast("long"))},
+        {"doubts": ("sum", F.col("doubtful").cast("long"))}, big=big,
     )
     block = (F.col("stop_no") + F.col("doubts")).alias("block")
     walk = materialize(walk.select(*keys, "doubtful", block), "walk")
@@ -402,6 +404,7 @@ def content_at(op_log: DataFrame, snapshots: DataFrame, points: DataFrame) -> Da
     rows = rows.withColumn("at", F.when(F.col("phase") == _OPS, 0).otherwise(F.col("phase") + 1))
     is_mark = F.col("phase") == _MARK
     order = ["revision", "at"]
+    big = has_big_group(rows, ["doc_id"])
     rows = running(
         rows,
         ["doc_id"],
@@ -410,11 +413,12 @@ def content_at(op_log: DataFrame, snapshots: DataFrame, points: DataFrame) -> Da
             "base": ("last", F.when(F.col("phase") == _BASE, F.col("revision"))),
             "stop_no": ("sum", F.when(is_mark, 1).otherwise(0).cast("long")),
         },
+        big=big,
     ).withColumn("segment", F.coalesce("base", F.lit(0).cast("long")))
     # An op matters only if a point of its own segment lies at or above it.
     rows = running(
         rows, ["doc_id"], order,
-        {"asked_in": ("last", F.when(is_mark, F.col("segment")))}, descending=True,
+        {"asked_in": ("last", F.when(is_mark, F.col("segment")))}, True, big,
     ).filter(F.col("asked_in") == F.col("segment"))
     rows = rows.withColumn("mark", is_mark)
     if plan_bytes(rows) > setting(rows.sparkSession, SMALL_BYTES):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_micros
+from ..runtime import has_big_group
 from .scan import running
 
 _FOREVER = 2**62
@@ -23,9 +24,10 @@ def intervals(joins: DataFrame, active: DataFrame) -> DataFrame:
     the connection is then in no room. Joining the same document again changes nothing.
     """
     order = ["ts", "event_id"]
-    rows = running(joins, ["conn_id"], order, {"old_doc": ("prev", F.col("doc_id"))})
+    big = has_big_group(joins, ["conn_id"])
+    rows = running(joins, ["conn_id"], order, {"old_doc": ("prev", F.col("doc_id"))}, big=big)
     moves = rows.filter(F.col("old_doc").isNull() | (F.col("old_doc") != F.col("doc_id")))
-    moves = running(moves, ["conn_id"], order, {"left_at": ("prev", F.col("ts"))}, descending=True)
+    moves = running(moves, ["conn_id"], order, {"left_at": ("prev", F.col("ts"))}, True, big)
     return moves.join(active, "doc_id", "left_semi").select(
         "conn_id",
         "user_id",

@@ -37,14 +37,16 @@ def running(
     order: list[str],
     columns: dict[str, tuple[str, Column]],
     descending: bool = False,
+    big: bool | None = None,
 ) -> DataFrame:
     """Add running columns over `keys`, ordered by `order` (which must be unique per key).
 
     Kinds: `sum`, `max`, `min` and `last` (latest non-null) include the current row;
     `prev` is the value of the row before it. `descending` walks the order backwards,
-    so `prev` becomes the next row's value.
+    so `prev` becomes the next row's value. `big` says whether some key is too large for one
+    task where the caller knows; otherwise it is checked.
     """
-    if has_big_group(df, keys):
+    if has_big_group(df, keys) if big is None else big:
         return _sliced(df, keys, order, columns, descending)
     ordered = Window.partitionBy(*keys).orderBy(*_ordering(order, descending))
     out = {}
