@@ -21,21 +21,25 @@ def ops_decode(json_text: Column) -> Column:
     )
 
 
-def ops_encode(ops: Column) -> Column:
-    """ARRAY<STRUCT> to JSON text; zero counts, empty texts and null attrs are left out."""
-    return F.to_json(
-        F.transform(
-            ops,
-            lambda op: F.struct(
-                op["kind"].alias("kind"),
-                F.nullif(op["count"], F.lit(0)).alias("count"),
-                F.nullif(op["text"], F.lit("")).alias("text"),
-                op["attrs"].alias("attrs"),
-            ),
-        )
+def ops_compact(ops: Column) -> Column:
+    """The ops as they are written to JSON: zero counts, empty texts and null attrs become
+    null, so that they are left out, and attrs become a JSON value again."""
+    return F.transform(
+        ops,
+        lambda op: F.struct(
+            op["kind"].alias("kind"),
+            F.nullif(op["count"], F.lit(0)).alias("count"),
+            F.nullif(op["text"], F.lit("")).alias("text"),
+            F.try_parse_json(op["attrs"]).alias("attrs"),
+        ),
     )
 
 
+def ops_encode(ops: Column) -> Column:
+    """ARRAY<STRUCT> to JSON text."""
+    return F.to_json(ops_compact(ops))
+
+
 def _moved(pos: Column, op: Column) -> Column:
     return (
         F.when(op["kind"] == "retain", pos + op["count"])

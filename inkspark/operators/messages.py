@@ -30,10 +30,15 @@ def _route(kind: Column, known: list[str]) -> Column:
 
 
 def route(decoded: DataFrame) -> DataFrame:
+    """Name the handler of each message, and the fixed reply of those that have one."""
     kind = F.col("message.type")
-    return decoded.withColumns(
+    routed = decoded.withColumns(
         {"route": _route(kind, ROUTES), "older_route": _route(kind, OLDER_ROUTES)}
     )
+    reply = F.when(F.col("route") == "heartbeat", "Heartbeat received").when(
+        F.col("route") == "ignored", "Unknown message type"
+    )
+    return routed.withColumn("reply", reply)
 
 
 def submissions(decoded: DataFrame) -> DataFrame:

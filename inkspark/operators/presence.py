@@ -208,14 +208,22 @@ def latest_cursors(cursors: DataFrame, carried: DataFrame | None, now: int) -> D
 
 
 def member_pages(alive: DataFrame) -> DataFrame:
-    """The member list of each document as JSON pages of bounded size, from `alive_with_names`."""
+    """The member list of each document in pages of bounded size, from `alive_with_names`:
+    as JSON (`content`) and as the text shown to users (`listing`)."""
     page = F.floor((F.col("ord") - 1) / MEMBERS_PER_PAGE).cast("long")
     member = F.struct(
         F.col("user_id").alias("userId"), F.nullif(F.col("username"), F.lit("")).alias("username")
     )
-    entries = F.array_sort(F.collect_list(F.struct("ord", member.alias("member"))))
+    shown = F.format_string("{%d %s}", "user_id", "username")
+    entries = F.array_sort(F.collect_list(F.struct("ord", member.alias("member"), shown.alias("shown"))))
     return (
         alive.withColumn("page", page)
         .groupBy("doc_id", "page")
-        .agg(F.to_json(F.transform(entries, lambda e: e["member"])).alias("content"))
+        .agg(entries.alias("entries"))
+        .select(
+            "doc_id",
+            "page",
+            F.to_json(F.col("entries.member")).alias("content"),
+            F.concat(F.lit("Alive members: ["), F.concat_ws(" ", "entries.shown"), F.lit("]")).alias("listing"),
+        )
     )

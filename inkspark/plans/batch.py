@@ -397,7 +397,7 @@ def register_users(i: Inputs) -> DataFrame:
 
 @query
 def message_route(i: Inputs) -> DataFrame:
-    return messages.route(messages.decode(i.messages())).select("event_id", "route", "older_route")
+    return messages.route(messages.decode(i.messages())).select("event_id", "route", "older_route", "reply")
 
 
 @query

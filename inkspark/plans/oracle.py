@@ -340,7 +340,9 @@ BODIES = {
         SELECT doc_id, (ord - 1) // 1000 AS page,
                '[' || string_agg('{"userId":' || CAST(user_id AS VARCHAR) ||
                                  CASE WHEN username = '' THEN '' ELSE ',"username":"' || username || '"' END || '}',
-                                 ',' ORDER BY ord) || ']' AS content
+                                 ',' ORDER BY ord) || ']' AS content,
+               'Alive members: [' || string_agg('{' || CAST(user_id AS VARCHAR) || ' ' || username || '}',
+                                                ' ' ORDER BY ord) || ']' AS listing
         FROM alive GROUP BY doc_id, (ord - 1) // 1000""",
     "cursor_fanout": f"""
         SELECT c.doc_id, c.event_id, count(s.conn_id) AS recipients
@@ -375,7 +377,9 @@ BODIES = {
         SELECT event_id,
                CASE WHEN broken THEN 'quarantine' WHEN type IN ('setCursor', 'ping') THEN 'ignored'
                     ELSE type END AS route,
-               CASE WHEN broken THEN 'quarantine' WHEN type = 'ping' THEN 'ignored' ELSE type END AS older_route
+               CASE WHEN broken THEN 'quarantine' WHEN type = 'ping' THEN 'ignored' ELSE type END AS older_route,
+               CASE WHEN broken THEN NULL WHEN type = 'heartbeat' THEN 'Heartbeat received'
+                    WHEN type IN ('setCursor', 'ping') THEN 'Unknown message type' END AS reply
         FROM messages""",
     "submission_project": """
         SELECT event_id, doc_id, k AS base_revision, 'c' || CAST(user_id % 4 AS VARCHAR) AS client_id,

@@ -44,7 +44,7 @@ def stream_message_route(i: Inputs) -> DataFrame:
     """Messages decoded and routed as they arrive; torn ones go to the quarantine route."""
 
     def route(stream: DataFrame) -> DataFrame:
-        return messages.route(messages.decode(stream)).select("event_id", "route", "older_route")
+        return messages.route(messages.decode(stream)).select("event_id", "route", "older_route", "reply")
 
     return feeds.replay_to_table(i.messages(), "event_id", route)
 

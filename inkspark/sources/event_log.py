@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.deltas import ops_decode
+from ..functions.deltas import ops_compact, ops_decode
 from ..functions.scalars import utc_time
 from ..schemas import DOC_OP_EVENT, EVENT_TYPE
 
@@ -15,15 +15,6 @@ _STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 def encode(op_log: DataFrame) -> DataFrame:
     """Op-log rows to (key, value): key is the document, value the JSON event."""
-    ops = F.transform(
-        ops_decode(F.col("ops")),
-        lambda op: F.struct(
-            op["kind"].alias("kind"),
-            F.nullif(op["count"], F.lit(0)).alias("count"),
-            F.nullif(op["text"], F.lit("")).alias("text"),
-            op["attrs"].alias("attrs"),
-        ),
-    )
     event = F.struct(
         F.lit(EVENT_TYPE).alias("eventType"),
         F.col("doc_id").alias("docId"),
@@ -33,7 +24,7 @@ def encode(op_log: DataFrame) -> DataFrame:
         F.col("client_id").alias("clientId"),
         F.col("client_seq").alias("clientSeq"),
         F.col("base_revision").alias("baseRevision"),
-        ops.alias("ops"),
+        ops_compact(ops_decode(F.col("ops"))).alias("ops"),
         F.date_format("ts", _STAMP).alias("appliedAt"),
     )
     return op_log.select(F.col("doc_id").alias("key"), F.to_json(event).alias("value"))

@@ -44,7 +44,7 @@ def test_ops_encode_drops_empty_fields(spark):
     out = df.select(deltas.ops_encode(deltas.ops_decode(F.col("ops")))).first()[0]
     assert json.loads(out) == [
         {"kind": "retain"},
-        {"kind": "insert", "text": "x", "attrs": '{"b":1}'},
+        {"kind": "insert", "text": "x", "attrs": {"b": 1}},
         {"kind": "delete", "count": 2},
     ]
 
