@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import expire_at
+from ..functions.scalars import epoch_seconds, expire_at
 from ..runtime import has_big_group
 from .scan import numbered, running
 
@@ -164,6 +164,34 @@ def alive_at_heartbeats(heartbeats: DataFrame) -> DataFrame:
     return swept.filter("phase = 1").select("event_id", *_MEMBER, "alive_members")
 
 
+def members_seen(chosen: DataFrame, heartbeats: DataFrame) -> DataFrame:
+    """The members alive at chosen heartbeats: one row per (heartbeat, member).
+
+    `chosen`: event_id, ts, sec, doc_id of the heartbeats to answer. Each heartbeat of a
+    member holds until its expiry or the next one; both sides meet in hours they share, so
+    the time conditions only see rows of one document and hour.
+    """
+    rows = _timed(heartbeats).select("event_id", "ts", *_MEMBER, "username", "sec", "expire_at")
+    turn = F.struct(*_ORDER)
+    rows = running(rows, _MEMBER, _ORDER, {"next_turn": ("prev", turn)}, descending=True)
+    until = F.least(
+        F.col("expire_at"), F.coalesce(epoch_seconds(F.col("next_turn.ts")), F.col("expire_at"))
+    )
+    held = rows.select(
+        *_MEMBER, "username", "expire_at", "next_turn", turn.alias("turn"),
+        F.explode(F.sequence(F.floor(F.col("sec") / 3600), F.floor(until / 3600))).alias("hour"),
+    )
+    asked = chosen.select(
+        "event_id", "doc_id", F.col("sec").alias("now"), F.struct(*_ORDER).alias("at"),
+        F.floor(F.col("sec") / 3600).alias("hour"),
+    )
+    return (
+        asked.join(held, ["doc_id", "hour"])
+        .filter("turn <= at AND (next_turn IS NULL OR next_turn > at) AND expire_at > now")
+        .select("event_id", *_MEMBER, "username")
+    )
+
+
 def _set_cursors(cursors: DataFrame, carried: DataFrame | None) -> DataFrame:
     rows = cursors.select(
         "event_id", "ts", "sec", *_MEMBER, "op", "cursor_json",

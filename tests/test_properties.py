@@ -113,3 +113,14 @@ def test_outbox_holds_every_delivery(inputs):
     swept = rooms.recipients(ops, stays, True).filter("recipients > 0")
     assert spark_rows(per_op) == spark_rows(swept.withColumnRenamed("message_id", "revision"))
     assert messages.count() == ranges.agg(F.sum("delivered")).first()[0]
+
+
+def test_members_seen_are_as_many_as_counted(inputs):
+    beats = inputs.heartbeats()
+    seen = presence.members_seen(beats, beats)
+    assert seen.count() == seen.select("event_id", "user_id").distinct().count()
+    counted = seen.groupBy("event_id").agg(F.count("*").alias("alive_members"))
+    swept = presence.alive_at_heartbeats(beats).select("event_id", "alive_members")
+    assert spark_rows(counted) == spark_rows(swept)
+    own = seen.join(beats.select("event_id", "user_id"), ["event_id", "user_id"], "left_semi")
+    assert own.count() == beats.count()
