@@ -4,9 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import exact_dedup as exact
 from . import line_dedup as line
-from . import quality
-from .common import table
+from . import mixing, near_dedup, packing, quality, sharding
+from .common import n_words, table
+
+
+def tokenizer_file() -> str:
+    """The public vocabulary that the contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_line_dedup(spark, sf_dir):
@@ -14,6 +22,24 @@ def op1_line_dedup(spark, sf_dir):
     return out.select("doc_id", "text", "lines_removed")
 
 
+def op2_near_dedup(spark, sf_dir):
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), shingle=4)
+
+
+def op3_mix_sources(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    return mixing.mix(sizes).select(
+        "doc_id", "size", "source_size", "target",
+        (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "source",
+    )
+
+
+def op7_best_fit_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(packing.pieces_of(docs, tokenizer_file(), with_ids=False))
+
+
 def op8_quality_rules(spark, sf_dir):
     out = quality.quality_rules(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -24,8 +50,45 @@ def op8_quality_rules(spark, sf_dir):
     )
 
 
+def op9_exact_dedup(spark, sf_dir):
+    return exact.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_shards(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
+    return sharding.shard(rows).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_near_dedup": op2_near_dedup,
+    "op3_mix_sources": op3_mix_sources,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_shards": op10_shards,
+}
+
+# Of equal texts (runs of white space as one space) the smallest id stays.
+ORACLE: dict[str, str] = {
+    "op9_exact_dedup": r"""
+        WITH hashed AS (
+          SELECT doc_id,
+                 sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'))
+                   AS text_sha256
+          FROM documents),
+        owned AS (
+          SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size
+          FROM hashed GROUP BY text_sha256)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
+        FROM hashed JOIN owned USING (text_sha256)
+    """,
 }
-ORACLE: dict[str, str] = {}
