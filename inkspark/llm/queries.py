@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..runtime import new_path
 from . import exact_dedup as exact
+from . import html_extract, licenses, mixing, near_dedup, packing, quality, sharding, token_files
 from . import line_dedup as line
-from . import mixing, near_dedup, packing, quality, sharding
 from .common import n_words, table
 
 
@@ -35,6 +36,22 @@ def op3_mix_sources(spark, sf_dir):
     )
 
 
+def op4_main_text(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_license_scan(spark, sf_dir):
+    found = licenses.license_scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "licenses", "n_sentences")
+
+
+def op6_token_files(spark, sf_dir):
+    path = new_path(spark, "token-files")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file())
+    read = token_files.read_tokens(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return token_files.with_starts(read)
+
+
 def op7_best_fit_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return packing.pack(packing.pieces_of(docs, tokenizer_file(), with_ids=False))
@@ -71,6 +88,9 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_near_dedup": op2_near_dedup,
     "op3_mix_sources": op3_mix_sources,
+    "op4_main_text": op4_main_text,
+    "op5_license_scan": op5_license_scan,
+    "op6_token_files": op6_token_files,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_exact_dedup": op9_exact_dedup,
@@ -79,6 +99,7 @@ QUERIES = {
 
 # Of equal texts (runs of white space as one space) the smallest id stays.
 ORACLE: dict[str, str] = {
+    "op5_license_scan": licenses.oracle(),
     "op9_exact_dedup": r"""
         WITH hashed AS (
           SELECT doc_id,
