@@ -1,10 +1,19 @@
-"""A training-data pipeline over `documents`: a stage reads what the one before it kept."""
+"""A training-data pipeline over `documents`: a stage reads what the one before it kept.
+
+All stages but the last return the columns of documents; the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
-from inkspark.llm.common import freeze, table
+from pyspark.sql import functions as F
+
+from inkspark.llm.common import freeze, n_words, spare, table
 from inkspark.llm.line_dedup import line_dedup
+from inkspark.llm.mixing import mix
+from inkspark.llm.near_dedup import near_dedup
+from inkspark.llm.packing import pack, pieces_of
 from inkspark.llm.quality import quality_rules
+from inkspark.llm.queries import tokenizer_file
 
 
 def filter_quality(spark, docs, sf_dir):
@@ -14,14 +23,51 @@ def filter_quality(spark, docs, sf_dir):
 
 
 def dedup_lines(spark, docs, sf_dir):
-    """Documents without later copies of repeated runs; those that lose all their words go."""
+    """Documents without the later copies of repeated line runs; n_chars follows the text.
+
+    A document that loses all its words is nothing but copies and goes.
+    """
     out = line_dedup(docs)
-    emptied = "lines_removed > 0 and trim(both ' \t\n\r' from text) = ''"
-    return out.filter(f"not ({emptied})").select(*docs.columns)
+    emptied = (F.col("lines_removed") > 0) & (n_words(F.col("text")) == 0)
+    changed = F.when(F.col("lines_removed") > 0, F.length("text").cast("long"))
+    out = out.filter(~emptied)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def dedup_near(spark, docs, sf_dir):
+    """One document of each group of near copies (five words, similarity 0.8)."""
+    row, kept = spare(docs, "near_row", "near_kept")
+    held = freeze(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    found = near_dedup(held, tie_col=row)
+    stay = found.filter("kept").select(F.col(row).alias(kept))
+    return held.join(stay, F.col(row) == F.col(kept), "left_semi").select(*docs.columns)
+
+
+def mix_sources(spark, docs, sf_dir):
+    """Documents as often as the mix takes them; those taken twice are two rows."""
+    (size,) = spare(docs, "mix_size")
+    mixed = mix(docs.withColumn(size, n_words(F.col("text"))), size_col=size)
+    times = F.explode(F.array_repeat(F.lit(1), F.col("copies")))
+    return mixed.withColumn("copy", times).select(*docs.columns)
+
+
+def pack_sequences(spark, docs, sf_dir):
+    """Pieces of the token ids of all documents with their places in sequences."""
+    return pack(pieces_of(docs, tokenizer_file(), with_ids=False))
 
 
-STAGES = [("quality rules", filter_quality), ("line dedup", dedup_lines)]
-ORACLE_SQL = None  # hashed weights and token ids have no SQL form; see tests/llm
+STAGES = [
+    ("quality rules", filter_quality),
+    ("line dedup", dedup_lines),
+    ("near dedup", dedup_near),
+    ("mix sources", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+# Hashed weights, rounded rates and token ids have no SQL form; tests/llm compare the stages
+# with brute force.
+ORACLE_SQL = None
 
 
 def run(spark, sf_dir):

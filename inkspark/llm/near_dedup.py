@@ -48,8 +48,8 @@ def shingles(text: Column, n: int = SHINGLE) -> Column:
 def _sketched(docs: DataFrame, n: int, k: int) -> DataFrame:
     """Per row: row, id, tie (hash of the text), n_shingles, two hashes of the set, sketch."""
     return docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col("id"),
+        "row",
+        "id",
         F.xxhash64("text").alias("tie"),
         _bind(
             shingles(F.col("text"), n),
@@ -204,8 +204,10 @@ def near_dedup(
     shingle: int = SHINGLE,
     percent: int = PERCENT,
     k: int = K,
+    tie_col: str | None = None,
 ) -> DataFrame:
-    """One row per row of `docs`: its id, n_shingles (LONG), component_id, kept.
+    """One row per row of `docs`: its id, n_shingles (LONG), component_id, kept; and `tie_col`
+    where it is given, a LONG column that numbers the rows.
 
     Documents are linked when their shingle sets have a Jaccard similarity of `percent` or more
     percent; a component holds all that are connected. component_id is its smallest id, null
@@ -213,7 +215,10 @@ def near_dedup(
     empty texts have no shingles and are linked with nothing, each on its own. An empty table
     gives an empty one. Other columns are not read.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    number = F.monotonically_increasing_id() if tie_col is None else F.col(tie_col)
+    docs = docs.select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), number.alias("row")
+    )
     rows = freeze(_sketched(docs, shingle, k), "sketches")
     # Documents of equal sets are one class.
     place = F.struct(F.col("id").isNull(), "id", "row")
@@ -242,6 +247,8 @@ def near_dedup(
     )
     full = rows.filter("n_shingles > 0").join(named, ["h1", "h2"])
     out = [F.col("id").alias(id_col), "n_shingles"]
+    if tie_col is not None:
+        out.append(F.col("row").alias(tie_col))
     return full.select(
         *out, "component_id", (F.col("row") == F.col("keep_row")).alias("kept")
     ).unionByName(
