@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, spare, words
+from .common import WORD, freeze, spare, words
 
 BUCKETS = 1 << 14
 MILLI = 1000
@@ -142,7 +142,7 @@ def fit_weights(
     )
     # The trusted ids are bounded by max_trusted, so they may be broadcast.
     target = docs.join(F.broadcast(trusted), F.col(id_col) == F.col(held), "left_semi")
-    counts = (
+    counts = freeze(
         spark.range(buckets)
         .select(F.col("id").cast("int").alias("bucket"))
         .join(_counts(docs, text_col, buckets, "raw"), "bucket", "left")
@@ -151,7 +151,8 @@ def fit_weights(
             "bucket",
             (F.coalesce("good", F.lit(0)) + SMOOTHING).alias("good"),
             (F.coalesce("raw", F.lit(0)) + SMOOTHING).alias("raw"),
-        )
+        ),
+        "ngram-counts",
     )
     totals = counts.agg(F.sum("good").alias("good"), F.sum("raw").alias("raw")).first()
     ratio = F.col("good") / F.lit(totals["good"]) / (F.col("raw") / F.lit(totals["raw"]))
