@@ -50,9 +50,13 @@ def create_documents(requests: DataFrame, documents: DataFrame, id_base: int) ->
 
 
 def new_snapshots(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Batch rows whose (document_id, revision) is not stored, one per key."""
+    """Batch rows whose (document_id, revision) is not stored, one per key: the first by the
+    batch's column `write_no` where it has one, else the smallest text."""
     key = ["document_id", "revision"]
-    unique = batch.groupBy(*key).agg(F.min("content").alias("content"))
+    first = F.min("content")
+    if "write_no" in batch.columns:
+        first = F.min_by("content", "write_no")
+    unique = batch.groupBy(*key).agg(first.alias("content"))
     return unique.join(stored.select(*key), key, "left_anti")
 
 
@@ -63,12 +67,16 @@ def insert_ignore(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
 def register_users(requests: DataFrame, users: DataFrame) -> DataFrame:
     """First request for a free name creates it; all others are rejected."""
-    first = requests.groupBy("username").agg(F.min("request_id").alias("request_id"))
-    winners = first.join(users.select("username"), "username", "left_anti").select(
-        "request_id", F.lit(True).alias("won")
-    )
-    return requests.join(winners, "request_id", "left").select(
-        "request_id",
-        "username",
-        F.when(F.col("won"), "created").otherwise("USERNAME_TAKEN").alias("status"),
+    # All that is needed meets on the name: the first request, and the user who has it.
+    first = requests.groupBy("username").agg(F.min("request_id").alias("first_request"))
+    taken = users.select("username").distinct().withColumn("taken", F.lit(True))
+    won = F.col("taken").isNull() & (F.col("request_id") == F.col("first_request"))
+    return (
+        requests.join(first, "username", "left")
+        .join(taken, "username", "left")
+        .select(
+            "request_id",
+            "username",
+            F.when(won, "created").otherwise("USERNAME_TAKEN").alias("status"),
+        )
     )

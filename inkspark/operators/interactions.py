@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp_count, to_count
+from ..runtime import hot_keys, hot_within
 from ..schemas import KINDS
 from .scan import running
 
@@ -23,21 +24,27 @@ def apply_requests(
     (kind, doc_id, cnt) they left.
     """
     order = ["ts", "event_id"]
-    rows = requests.select("event_id", "ts", *_MEMBER, "action")
+    rows = requests.select("event_id", "ts", *_MEMBER, "action", F.lit(True).alias("asked"))
     if carried is not None:
         known = carried.join(rows.select(*_MEMBER).distinct(), _MEMBER, "left_semi").select(
-            F.lit(-1).cast("long").alias("event_id"),
+            F.lit(None).cast("long").alias("event_id"),
             F.expr("TIMESTAMP_NTZ'0001-01-01 00:00:00'").alias("ts"),
             *_MEMBER,
             F.lit("add").alias("action"),
+            F.lit(False).alias("asked"),
         )
         rows = rows.unionByName(known)
-    rows = running(rows, _MEMBER, order, {"before": ("prev", F.col("action"))})
-    rows = rows.filter("event_id >= 0").withColumn(
+    hot = hot_keys(rows, _SET)
+    order = ["asked", *order]
+    rows = running(
+        rows, _MEMBER, order, {"before": ("prev", F.col("action"))},
+        hot=hot_within(hot, rows, _MEMBER),
+    )
+    rows = rows.filter("asked").withColumn(
         "changed", F.col("action") != F.coalesce("before", F.lit("remove"))
     )
     step = F.when(~F.col("changed"), 0).when(F.col("action") == "add", 1).otherwise(-1)
-    rows = running(rows, _SET, order, {"value": ("sum", step.cast("long"))})
+    rows = running(rows, _SET, order, {"value": ("sum", step.cast("long"))}, hot=hot)
     if held is not None:
         rows = rows.join(held.select(*_SET, F.col("cnt").alias("held")), _SET, "left").withColumn(
             "value", F.col("value") + F.coalesce("held", F.lit(0))

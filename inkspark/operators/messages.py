@@ -42,14 +42,14 @@ def route(decoded: DataFrame) -> DataFrame:
 
 
 def submissions(decoded: DataFrame) -> DataFrame:
-    """The submission carried by each `op_submit` message."""
+    """The submission carried by each `op_submit` message; absent fields are 0 or ''."""
     message = F.col("message")
     return decoded.filter(~F.col("broken") & (message["type"] == "op_submit")).select(
         "event_id",
-        message["docId"].alias("doc_id"),
-        message["baseRevision"].alias("base_revision"),
-        message["clientId"].alias("client_id"),
-        message["clientSeq"].alias("client_seq"),
+        F.coalesce(message["docId"], F.lit("")).alias("doc_id"),
+        F.coalesce(message["baseRevision"], F.lit(0)).alias("base_revision"),
+        F.coalesce(message["clientId"], F.lit("")).alias("client_id"),
+        F.coalesce(message["clientSeq"], F.lit(0)).alias("client_seq"),
         ops_encode(message["ops"]).alias("ops"),
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_micros
+from ..runtime import largest_group
 from ..schemas import ACCEPTED, RING_CAP
 from .replay import content_at, latest_content
 from .scan import running
@@ -65,7 +66,7 @@ def document_content(submissions: DataFrame, log: DataFrame, requests: DataFrame
     exists = F.col("known")
     return (
         requests.join(known, "doc_id", "left")
-        .join(latest_content(log), "doc_id", "left")
+        .join(latest_content(log, largest_group(submissions, ["doc_id"])), "doc_id", "left")
         .withColumn("content", F.when(exists, F.coalesce("content", F.lit(""))))
         .select(
             "doc_id",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_seconds, expire_at
-from ..runtime import has_big_group
+from ..runtime import hot_keys, hot_within
 from .scan import numbered, running
 
 _ORDER = ["ts", "event_id"]
@@ -24,6 +24,11 @@ def _timed(heartbeats: DataFrame) -> DataFrame:
     return heartbeats.filter("doc_id <> ''").withColumn("expire_at", expire_at(F.col("sec"), F.col("ttl")))
 
 
+def unplaced(heartbeats: DataFrame) -> DataFrame:
+    """The heartbeats that the operators here leave out: those of no document."""
+    return heartbeats.filter("doc_id IS NULL OR doc_id = ''")
+
+
 def state(heartbeats: DataFrame, now: int | None = None) -> DataFrame:
     """Per (document, user): name and expiry of the latest heartbeat, even if it expires sooner.
 
@@ -122,11 +127,11 @@ def sessions(heartbeats: DataFrame, carried: DataFrame | None = None) -> DataFra
                 F.col("heartbeats").alias("beats"),
             )
         )
-    big = has_big_group(rows, _MEMBER)
-    rows = running(rows, _MEMBER, _ORDER, {"held_until": ("prev", F.col("expire_at"))}, big=big)
+    hot = hot_keys(rows, _MEMBER)
+    rows = running(rows, _MEMBER, _ORDER, {"held_until": ("prev", F.col("expire_at"))}, hot=hot)
     starts = F.col("held_until").isNull() | (F.col("sec") > F.col("held_until"))
     opened = F.when(starts, 1).otherwise(0).cast("long")
-    rows = running(rows, _MEMBER, _ORDER, {"session_no": ("sum", opened)}, big=big)
+    rows = running(rows, _MEMBER, _ORDER, {"session_no": ("sum", opened)}, hot=hot)
     return (
         rows.groupBy(*_MEMBER, "session_no")
         .agg(
@@ -146,9 +151,11 @@ def alive_at_heartbeats(heartbeats: DataFrame) -> DataFrame:
     the members it saw; those are the `sessions` that cover its second.
     """
     rows = _timed(heartbeats).select("event_id", "ts", "sec", *_MEMBER, "expire_at")
-    big = has_big_group(rows, _MEMBER)
-    rows = running(rows, _MEMBER, _ORDER, {"held_until": ("prev", F.col("expire_at"))}, big=big)
-    rows = running(rows, _MEMBER, _ORDER, {"next_sec": ("prev", F.col("sec"))}, True, big)
+    # A heartbeat becomes two steps at most, so documents are counted at twice their rows.
+    rooms_ = hot_keys(rows.select("doc_id").withColumn("x", F.explode(F.array(F.lit(1), F.lit(2)))), ["doc_id"])
+    hot = hot_within(rooms_, rows, _MEMBER)
+    rows = running(rows, _MEMBER, _ORDER, {"held_until": ("prev", F.col("expire_at"))}, hot=hot)
+    rows = running(rows, _MEMBER, _ORDER, {"next_sec": ("prev", F.col("sec"))}, True, hot)
     enters = F.col("held_until").isNull() | (F.col("held_until") <= F.col("sec"))
     runs_out = F.col("next_sec").isNull() | (F.col("next_sec") >= F.col("expire_at"))
     beat = F.struct(
@@ -159,7 +166,7 @@ def alive_at_heartbeats(heartbeats: DataFrame) -> DataFrame:
     steps = rows.select("event_id", "ts", *_MEMBER, F.inline(moves))
     swept = running(
         steps, ["doc_id"], ["at", "phase", "ts", "event_id"],
-        {"alive_members": ("sum", F.col("step").cast("long"))},
+        {"alive_members": ("sum", F.col("step").cast("long"))}, hot=rooms_,
     )
     return swept.filter("phase = 1").select("event_id", *_MEMBER, "alive_members")
 

@@ -25,15 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..batches import rows as rows_of_batch
-from ..functions.deltas import ops_decode
+from ..functions.deltas import ops_decode, ops_encode
 from ..runtime import (
     MAX_REPLAY_OPS,
     REPLAY_CHUNK,
-    SMALL_BYTES,
-    has_big_group,
+    hot_keys,
     largest_group,
     materialize,
-    plan_bytes,
     setting,
     shuffle_partitions,
 )
@@ -314,14 +312,14 @@ def _composed_steps(ops: DataFrame) -> DataFrame:
     # running sum less its own minimum bounds the length from below.
     order, segment = ["run_no"], ["doc_id", "segment"]
     walk = runs.select(*keys, "stop_no", "need", "growth")
-    big = has_big_group(walk, segment)
-    walk = running(walk, segment, order, {"total": ("sum", F.col("growth"))}, big=big)
+    hot = hot_keys(walk, segment)
+    walk = running(walk, segment, order, {"total": ("sum", F.col("growth"))}, hot=hot)
     walk = walk.withColumn("start", F.col("total") - F.col("growth"))
-    walk = running(walk, segment, order, {"lowest": ("min", F.col("start"))}, big=big)
+    walk = running(walk, segment, order, {"lowest": ("min", F.col("start"))}, hot=hot)
     doubtful = F.col("need") > F.col("start") - F.least(F.col("lowest"), F.lit(0))
     walk = running(
         walk.withColumn("doubtful", doubtful), segment, order,
-        {"doubts": ("sum", F.col("doubtful").cast("long"))}, big=big,
+        {"doubts": ("sum", F.col("doubtful").cast("long"))}, hot=hot,
     )
     block = (F.col("stop_no") + F.col("doubts")).alias("block")
     walk = materialize(walk.select(*keys, "doubtful", block), "walk")
@@ -335,22 +333,25 @@ def _composed_steps(ops: DataFrame) -> DataFrame:
     return single.unionByName(merged.withColumn("phase", F.lit(_COMPOSED)).select(*_ROW))
 
 
-def fold_text(ops: DataFrame, others: DataFrame | None = None, at_end: bool = False) -> DataFrame:
+def fold_text(
+    ops: DataFrame,
+    others: DataFrame | None = None,
+    at_end: bool = False,
+    longest: int | None = None,
+) -> DataFrame:
     """(doc_id, revision, content) after every marked row, or at the end of every segment.
 
     `ops`: doc_id, segment, revision, body (JSON delta) and mark (ask for the text after this
     op). `others`: further rows with a phase: a base text to start a segment from, or a mark;
     `ops` then also has stop_no, a number that grows from each mark to the next op.
+    `longest`: a bound of the ops of a segment where the caller has counted; else they are
+    written and counted here.
     """
     spark = ops.sparkSession
-    # The fold copies the text at every step, so long histories pay off composing early.
-    small = setting(spark, SMALL_BYTES) // 8
-    if plan_bytes(ops) > small:
+    if longest is None:
         ops = materialize(ops, "ops")
-        long = largest_group(ops, ["doc_id", "segment"]) > setting(spark, MAX_REPLAY_OPS)
-    else:
-        long = False
-    if long:
+        longest = largest_group(ops, ["doc_id", "segment"])
+    if longest > setting(spark, MAX_REPLAY_OPS):
         rows = _composed_steps(ops)
     else:
         rows = ops.withColumn("phase", F.lit(_OPS)).select(*_ROW)
@@ -363,14 +364,21 @@ def fold_text(ops: DataFrame, others: DataFrame | None = None, at_end: bool = Fa
     )
 
 
-def latest_content(op_log: DataFrame) -> DataFrame:
-    """(doc_id, revision, content) after the last op of every document in the log."""
+def _body(ops: Column) -> Column:
+    """The delta as Spark reads it, written as JSON again; a missing one is empty."""
+    return F.coalesce(ops_encode(ops_decode(ops)), F.lit("[]"))
+
+
+def latest_content(op_log: DataFrame, longest: int | None = None) -> DataFrame:
+    """(doc_id, revision, content) after the last op of every document in the log.
+
+    `longest`: a bound of the ops of a document, if known."""
     zero = F.lit(0).cast("long")
     ops = op_log.select(
-        "doc_id", zero.alias("segment"), "revision", F.col("ops").alias("body"),
+        "doc_id", zero.alias("segment"), "revision", _body(F.col("ops")).alias("body"),
         F.lit(False).alias("mark"),
     )
-    return fold_text(ops, at_end=True)
+    return fold_text(ops, at_end=True, longest=longest)
 
 
 def content_where(op_log: DataFrame, wanted: Column) -> DataFrame:
@@ -379,7 +387,7 @@ def content_where(op_log: DataFrame, wanted: Column) -> DataFrame:
         "doc_id",
         F.lit(0).cast("long").alias("segment"),
         "revision",
-        F.col("ops").alias("body"),
+        _body(F.col("ops")).alias("body"),
         wanted.alias("mark"),
     )
     return fold_text(ops)
@@ -397,14 +405,14 @@ def content_at(op_log: DataFrame, snapshots: DataFrame, points: DataFrame) -> Da
 
     rows = (
         rows_of(snapshots, _BASE, F.col("content"))
-        .unionByName(rows_of(op_log, _OPS, F.col("ops")))
+        .unionByName(rows_of(op_log, _OPS, _body(F.col("ops"))))
         .unionByName(rows_of(points.distinct(), _MARK, F.lit(None).cast("string")))
     )
     # At one revision the op comes first, then the snapshot it led to, then the mark.
     rows = rows.withColumn("at", F.when(F.col("phase") == _OPS, 0).otherwise(F.col("phase") + 1))
     is_mark = F.col("phase") == _MARK
     order = ["revision", "at"]
-    big = has_big_group(rows, ["doc_id"])
+    hot = hot_keys(rows, ["doc_id"])
     rows = running(
         rows,
         ["doc_id"],
@@ -413,14 +421,14 @@ def content_at(op_log: DataFrame, snapshots: DataFrame, points: DataFrame) -> Da
             "base": ("last", F.when(F.col("phase") == _BASE, F.col("revision"))),
             "stop_no": ("sum", F.when(is_mark, 1).otherwise(0).cast("long")),
         },
-        big=big,
+        hot=hot,
     ).withColumn("segment", F.coalesce("base", F.lit(0).cast("long")))
     # An op matters only if a point of its own segment lies at or above it.
     rows = running(
         rows, ["doc_id"], order,
-        {"asked_in": ("last", F.when(is_mark, F.col("segment")))}, True, big,
+        {"asked_in": ("last", F.when(is_mark, F.col("segment")))}, True, hot,
     ).filter(F.col("asked_in") == F.col("segment"))
-    rows = rows.withColumn("mark", is_mark)
-    if plan_bytes(rows) > setting(rows.sparkSession, SMALL_BYTES):
-        rows = materialize(rows, "history")
-    return fold_text(rows.filter(F.col("phase") == _OPS), rows.filter(F.col("phase") != _OPS))
+    rows = materialize(rows.withColumn("mark", is_mark), "history")
+    ops = rows.filter(F.col("phase") == _OPS)
+    longest = largest_group(ops, ["doc_id", "segment"])
+    return fold_text(ops, rows.filter(F.col("phase") != _OPS), longest=longest)

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_micros
-from ..runtime import has_big_group
-from .scan import running
+from ..runtime import hot_keys, hot_within
+from .scan import COUNT, running
 
 _FOREVER = 2**62
 
@@ -24,10 +24,10 @@ def intervals(joins: DataFrame, active: DataFrame) -> DataFrame:
     the connection is then in no room. Joining the same document again changes nothing.
     """
     order = ["ts", "event_id"]
-    big = has_big_group(joins, ["conn_id"])
-    rows = running(joins, ["conn_id"], order, {"old_doc": ("prev", F.col("doc_id"))}, big=big)
+    hot = hot_keys(joins, ["conn_id"])
+    rows = running(joins, ["conn_id"], order, {"old_doc": ("prev", F.col("doc_id"))}, hot=hot)
     moves = rows.filter(F.col("old_doc").isNull() | (F.col("old_doc") != F.col("doc_id")))
-    moves = running(moves, ["conn_id"], order, {"left_at": ("prev", F.col("ts"))}, True, big)
+    moves = running(moves, ["conn_id"], order, {"left_at": ("prev", F.col("ts"))}, True, hot)
     return moves.join(active, "doc_id", "left_semi").select(
         "conn_id",
         "user_id",
@@ -46,14 +46,23 @@ def _stay_edges(stays: DataFrame) -> DataFrame:
     return stays.select("doc_id", "conn_id", "joined_us", F.inline(edges)).withColumn("phase", F.lit(0))
 
 
+def sent_times(ops: DataFrame, hot=COUNT) -> DataFrame:
+    """`ops` with ts_us raised to the latest time up to their revision."""
+    return running(ops, ["doc_id"], ["revision"], {"sent_us": ("max", F.col("ts_us"))}, hot=hot).select(
+        *[F.col("sent_us").alias(c) if c == "ts_us" else F.col(c) for c in ops.columns]
+    )
+
+
 def delivery_ranges(ops: DataFrame, stays: DataFrame) -> DataFrame:
     """Per stay that saw ops: their revision range, their number, and how many were delivered
     (all but the connection's own).
 
-    `ops`: doc_id, revision, conn_id (the sender) and ts_us; revisions are dense and grow with
-    time, so the ops of a stay are one unbroken range.
+    `ops`: doc_id, revision, conn_id (the sender) and ts_us. Messages are sent in the order of
+    the log, so an op goes out no sooner than the ops before it, whatever its own clock says:
+    its time is the latest up to its revision. So the ops of a stay are one unbroken range.
     """
-    messages = ops.select(
+    hot = hot_keys(ops.select("doc_id").unionByName(_stay_edges(stays).select("doc_id")), ["doc_id"])
+    messages = sent_times(ops, hot).select(
         "doc_id", "conn_id", F.lit(None).cast("long").alias("joined_us"),
         F.col("ts_us").alias("at"), F.lit(0).alias("step"), F.lit(1).alias("phase"), "revision",
     )
@@ -61,10 +70,11 @@ def delivery_ranges(ops: DataFrame, stays: DataFrame) -> DataFrame:
     rows = rows.withColumn("tie", F.coalesce("revision", "joined_us"))
     order = ["at", "phase", "step", "tie"]
     sent = F.col("revision").isNotNull().cast("long")
-    rows = running(rows, ["doc_id", "conn_id"], order, {"own": ("sum", sent)})
+    pairs = ["doc_id", "conn_id"]
+    rows = running(rows, pairs, order, {"own": ("sum", sent)}, hot=hot_within(hot, rows, pairs))
     rows = running(
         rows, ["doc_id"], [*order, "conn_id"],
-        {"total": ("sum", sent), "reached": ("last", F.col("revision"))},
+        {"total": ("sum", sent), "reached": ("last", F.col("revision"))}, hot=hot,
     )
     joined, left = F.col("step") == 1, F.col("step") == -1
 
@@ -116,16 +126,41 @@ def recipients(messages: DataFrame, stays: DataFrame, skip_sender: bool) -> Data
     rows = edges.select(*sent.columns).unionByName(sent)
     order = ["at", "phase", "step", "tie"]
     count = F.col("step").cast("long")
+    hot = hot_keys(rows, ["doc_id"])
     if skip_sender:
-        rows = running(rows, ["doc_id", "conn_id"], order, {"own": ("sum", count)})
+        pairs = ["doc_id", "conn_id"]
+        rows = running(rows, pairs, order, {"own": ("sum", count)}, hot=hot_within(hot, rows, pairs))
     else:
         rows = rows.withColumn("own", F.lit(0).cast("long"))
-    rows = running(rows, ["doc_id"], [*order, "conn_id"], {"here": ("sum", count)})
+    rows = running(rows, ["doc_id"], [*order, "conn_id"], {"here": ("sum", count)}, hot=hot)
     return rows.filter("phase = 1").select(
         "doc_id", F.col("tie").alias("message_id"), (F.col("here") - F.col("own")).alias("recipients")
     )
 
 
+def receivers(messages: DataFrame, stays: DataFrame) -> DataFrame:
+    """The connections in the room at each of some chosen messages: (event_id, conn_id).
+
+    `messages`: event_id, doc_id, ts_us. Stays and messages meet in the days they share, so
+    the time conditions only see rows of one document and day.
+    """
+    day = 86_400_000_000
+    last = messages.agg(F.max("ts_us")).first()[0]
+    until = F.least(F.coalesce("left_us", F.lit(_FOREVER)), F.lit(last or 0))
+    held = stays.filter(F.col("joined_us") <= F.lit(last or 0)).select(
+        "doc_id", "conn_id", "joined_us", F.coalesce("left_us", F.lit(_FOREVER)).alias("left_us"),
+        F.explode(
+            F.sequence(F.floor(F.col("joined_us") / day), F.floor(F.greatest(until, "joined_us") / day))
+        ).alias("day"),
+    )
+    asked = messages.withColumn("day", F.floor(F.col("ts_us") / day))
+    return (
+        asked.join(held, ["doc_id", "day"])
+        .filter("joined_us <= ts_us AND left_us > ts_us")
+        .select("event_id", "doc_id", "conn_id")
+    )
+
+
 def in_room(stays: DataFrame, now_us: int) -> DataFrame:
     """Connections in each room at an instant."""
     return stays.filter(

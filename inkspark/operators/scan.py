@@ -1,7 +1,7 @@
 """Ordered running values per key that survive a key too large for one task.
 
-Normal keys use a plain window. When a key is too large, rows are cut into ordered
-slices, each slice is scanned on its own, and one carry row per (key, slice) is added.
+Normal keys use a plain window. The rows of keys that are too large, and only theirs, are cut
+into ordered slices; each slice is scanned on its own, and one carry row per (key, slice) is added.
 """
 
 from __future__ import annotations
@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import has_big_group, range_slices
+from ..runtime import hot_keys, range_slices
+
+COUNT = object()  # the caller does not know which keys are hot
 
 
 def _ordering(order: list[str], descending: bool) -> list[Column]:
@@ -37,17 +39,23 @@ def running(
     order: list[str],
     columns: dict[str, tuple[str, Column]],
     descending: bool = False,
-    big: bool | None = None,
+    hot=COUNT,
 ) -> DataFrame:
     """Add running columns over `keys`, ordered by `order` (which must be unique per key).
 
     Kinds: `sum`, `max`, `min` and `last` (latest non-null) include the current row;
     `prev` is the value of the row before it. `descending` walks the order backwards,
-    so `prev` becomes the next row's value. `big` says whether some key is too large for one
-    task where the caller knows; otherwise it is checked.
+    so `prev` becomes the next row's value. `hot`: the keys too large for one task (None: no key
+    is); without it they are counted here.
     """
-    if has_big_group(df, keys) if big is None else big:
-        return _sliced(df, keys, order, columns, descending)
+    if hot is COUNT:
+        hot = hot_keys(df, keys)
+    if hot is not None:
+        named = hot.select(*[F.col(k).alias(f"{k}__hot") for k in keys])
+        match = [F.col(k).eqNullSafe(F.col(f"{k}__hot")) for k in keys]
+        rest = df.join(named, match, "left_anti")
+        split = _sliced(df.join(named, match, "left_semi"), keys, order, columns, descending)
+        return running(rest, keys, order, columns, descending, None).unionByName(split)
     ordered = Window.partitionBy(*keys).orderBy(*_ordering(order, descending))
     out = {}
     for name, (kind, value) in columns.items():
@@ -115,6 +123,8 @@ def _sliced(df, keys, order, columns, descending) -> DataFrame:
     return joined.select(*df.columns, *out)
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rn") -> DataFrame:
+def numbered(
+    df: DataFrame, keys: list[str], order: list[str], name: str = "rn", hot=COUNT
+) -> DataFrame:
     """row_number over `keys` by `order`, as a LONG."""
-    return running(df, keys, order, {name: ("sum", F.lit(1).cast("long"))})
+    return running(df, keys, order, {name: ("sum", F.lit(1).cast("long"))}, hot=hot)

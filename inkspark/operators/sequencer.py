@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from ..batches import rows as rows_of_batch
 from ..functions.deltas import ops_decode, ops_valid
-from ..runtime import has_big_group, materialize, range_slices, shuffle_partitions
-from ..schemas import ACCEPTED, CONFLICT, DUPLICATE, INVALID_POSITION
+from ..runtime import hot_keys, materialize, range_slices, shuffle_partitions
+from ..schemas import ACCEPTED, CONFLICT, DUPLICATE, INVALID_OPS, INVALID_POSITION, OPS
 
-_STEP = ["doc_id", "slice_no", "is_entry", "client_id", "client_seq", "base_revision", "valid"]
+_STEP = ["doc_id", "slice_no", "is_entry", "client_id", "client_seq", "base_revision", "fault"]
 _FAR = 2**62
 
 
@@ -43,7 +43,7 @@ class _Slice:
         if client is not None:
             self.marks[client] = mark
 
-    def submit(self, client, seq, base, valid):
+    def submit(self, client, seq, base, fault):
         last = self.marks.get(client, 0)
         seen = self.seen.get(client)
         if seen is None:
@@ -57,8 +57,8 @@ class _Slice:
             return DUPLICATE
         if base != self.revision:
             return CONFLICT
-        if not valid:
-            return INVALID_POSITION
+        if fault is not None:
+            return fault
         self.revision += 1
         self.marks[client] = seen[2] = seq
         return ACCEPTED
@@ -66,14 +66,14 @@ class _Slice:
 
 def _walk(batch: pa.RecordBatch, state: _Slice | None):
     """Yield (slice state, outcome or None for an entry row) for each row."""
-    for doc, slice_no, is_entry, client, seq, base, valid in rows_of_batch(batch, _STEP):
+    for doc, slice_no, is_entry, client, seq, base, fault in rows_of_batch(batch, _STEP):
         if state is None or state.key != (doc, slice_no):
             state = _Slice((doc, slice_no))
         if is_entry:
             state.enter(client, seq, base)
             yield state, None
         else:
-            yield state, state.submit(client, seq, base, valid)
+            yield state, state.submit(client, seq, base, fault)
 
 
 def _label(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,14 +134,27 @@ def _in_arrival_order(df: DataFrame) -> DataFrame:
     )
 
 
-def valid_ops(ops: Column) -> Column:
-    """`ops_valid` of JSON text; without a minus sign no position can be negative."""
-    checked = F.coalesce(ops_valid(ops_decode(ops)), F.lit(True))
-    return F.when(F.contains(ops, F.lit("-")), checked).otherwise(F.lit(True))
+def ops_fault(ops: Column) -> Column:
+    """Why a delta in JSON text must be refused; null where it is sound.
+
+    A missing delta is an empty one. Without a minus sign no position can be negative.
+    """
+    torn = ops.isNotNull() & F.from_json(ops, OPS).isNull()
+    below = F.contains(ops, F.lit("-")) & ~F.coalesce(ops_valid(ops_decode(ops)), F.lit(True))
+    return F.when(torn, INVALID_OPS).when(below, INVALID_POSITION)
 
 
 def _stepped(submissions: DataFrame, keep: list[str] | None) -> DataFrame:
-    rows = submissions.withColumns({"is_entry": F.lit(False), "valid": valid_ops(F.col("ops"))})
+    rows = submissions.withColumns(
+        {
+            "is_entry": F.lit(False),
+            "fault": ops_fault(F.col("ops")),
+            # Fields a client leaves out count as 0 and ''.
+            "client_id": F.coalesce("client_id", F.lit("")),
+            "client_seq": F.coalesce("client_seq", F.lit(0).cast("long")),
+            "base_revision": F.coalesce("base_revision", F.lit(0).cast("long")),
+        }
+    )
     if keep is None:
         return rows
     used = [c for c in _STEP if c in rows.columns] + ["arrival_seq"]
@@ -157,7 +170,7 @@ def _entry_rows(entry: DataFrame, slice_no: Column) -> DataFrame:
         F.col("last_seq").alias("client_seq"),
         F.col("revision").alias("base_revision"),
         F.lit(True).alias("is_entry"),
-        F.lit(True).alias("valid"),
+        F.lit(None).cast("string").alias("fault"),
     )
 
 
@@ -167,7 +180,7 @@ def _label_rows(rows: DataFrame, entry: DataFrame | None) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     ordered = _in_arrival_order(rows)
     labelled = ordered.mapInArrow(_label, f"{schema}, status STRING, revision LONG")
-    return labelled.drop("slice_no", "is_entry", "valid")
+    return labelled.drop("slice_no", "is_entry", "fault")
 
 
 def sequence(
@@ -180,8 +193,21 @@ def sequence(
     `entry` resumes from stored state: rows (doc_id, client_id, last_seq, revision), with a
     null client for a document whose clients have no mark yet.
     """
-    if has_big_group(submissions, ["doc_id"]):
-        return _sequence_sliced(submissions, entry, keep)
+    hot = hot_keys(submissions, ["doc_id"])
+    if hot is not None:
+        # Only the hot documents are sliced; every row of the others goes the plain way.
+        def part(df: DataFrame | None, how: str) -> DataFrame | None:
+            return None if df is None else df.join(hot, "doc_id", how).select(*df.columns)
+
+        split = _sequence_sliced(part(submissions, "left_semi"), part(entry, "left_semi"), keep)
+        rest = _sequence_plain(part(submissions, "left_anti"), part(entry, "left_anti"), keep)
+        return rest.unionByName(split)
+    return _sequence_plain(submissions, entry, keep)
+
+
+def _sequence_plain(
+    submissions: DataFrame, entry: DataFrame | None, keep: list[str] | None
+) -> DataFrame:
     rows = _stepped(submissions, keep).withColumn("slice_no", F.lit(0))
     return _label_rows(rows, None if entry is None else _entry_rows(entry, F.lit(0)))
 

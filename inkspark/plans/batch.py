@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import deltas, scalars
 from ..operators import documents, interactions, messages, oplog, presence, ranks, replay, rooms
+from ..operators.scan import running
 from ..operators.sequencer import sequence
-from ..runtime import materialize
+from ..runtime import materialize, new_path
 from ..schemas import ACCEPTED
 from ..sources import event_log
-from ..sources.fixtures import AS_OF, BATCH_UNIT, NEW_ID_BASE, RING_CAP, SNAPSHOT_UNIT, Inputs
+from ..sources.fixtures import AS_OF, BATCH_UNIT, NEW_ID_BASE, SMALL_RING, SNAPSHOT_UNIT, Inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -65,6 +66,12 @@ def lossy_log(i: Inputs) -> DataFrame:
     return kept.unionByName(kept.filter("revision % 13 = 0"))
 
 
+def repeated_log(i: Inputs) -> DataFrame:
+    """The log with some events published twice, none lost."""
+    whole = log_table(i)
+    return whole.unionByName(whole.filter("revision % 13 = 0"))
+
+
 def member_state(i: Inputs) -> DataFrame:
     return presence.state(i.heartbeats(), AS_OF)
 
@@ -75,7 +82,8 @@ def member_names(i: Inputs) -> DataFrame:
 
 
 def alive(i: Inputs) -> DataFrame:
-    return presence.alive_with_names(member_state(i), member_names(i), AS_OF)
+    state = materialize(member_state(i), "members")
+    return presence.alive_with_names(state, state, AS_OF)
 
 
 def active(i: Inputs) -> DataFrame:
@@ -139,14 +147,29 @@ def snapshot_insert_ignore(i: Inputs) -> DataFrame:
     return documents.insert_ignore(keyed(snapshot_batch(op_log)), stored)
 
 
+def _ring_columns(ring: DataFrame) -> DataFrame:
+    return ring.select("doc_id", "revision", "operation_id", "author_id", "ops")
+
+
 @query
 def op_ring(i: Inputs) -> DataFrame:
-    return oplog.ring(log_table(i), RING_CAP).select("doc_id", "revision", "operation_id", "author_id", "ops")
+    return _ring_columns(oplog.ring(log_table(i)))
 
 
 @query
 def ops_since(i: Inputs) -> DataFrame:
-    return oplog.ops_since(oplog.ring(log_table(i), RING_CAP), i.ops_since_requests())
+    return oplog.ops_since(oplog.ring(log_table(i)), i.ops_since_requests())
+
+
+@query
+def op_small_ring(i: Inputs) -> DataFrame:
+    return _ring_columns(oplog.ring(log_table(i), SMALL_RING))
+
+
+@query
+def ops_since_small_ring(i: Inputs) -> DataFrame:
+    """Catch-up from a ring so short that most requests find a gap below it."""
+    return oplog.ops_since(oplog.ring(log_table(i), SMALL_RING), i.ops_since_requests())
 
 
 @query
@@ -156,7 +179,7 @@ def op_log_gaps(i: Inputs) -> DataFrame:
 
 @query
 def op_log_dedup(i: Inputs) -> DataFrame:
-    return oplog.dedup(lossy_log(i)).select("doc_id", "revision", "operation_id", "client_id", "client_seq")
+    return oplog.dedup(repeated_log(i)).select("doc_id", "revision", "operation_id", "client_id", "client_seq")
 
 
 def _event_columns(decoded: DataFrame) -> DataFrame:
@@ -203,11 +226,31 @@ def op_log_quarantine(i: Inputs) -> DataFrame:
     records = event_log.encode(log(i)).withColumn(
         "revision", F.get_json_object("value", "$.revision").cast("long")
     )
+    text_revision = F.regexp_replace("value", '"revision":\\d+', '"revision":"x7"')
     torn = records.withColumn(
-        "value", F.when(F.col("revision") % 31 == 0, F.substring("value", 1, 40)).otherwise(F.col("value"))
-    )
+        "value",
+        F.when(F.col("revision") % 31 == 0, F.substring("value", 1, 40))
+        .when(F.col("revision") % 23 == 0, text_revision)
+        .otherwise(F.col("value")),
+    ).drop("revision")
     _, bad = event_log.split_corrupt(event_log.decode(torn))
-    return bad.groupBy("key").agg(F.count("*").alias("bad_records"))
+    return bad
+
+
+@query
+def op_log_files(i: Inputs) -> DataFrame:
+    """The keyed log written to files and read back: per document its events, its records in
+    the order of files and lines that break the order of revisions, and its last revision."""
+    path = new_path(i.spark, "keyed-log")
+    event_log.write_files(log(i), path)
+    rows = event_log.read_ordered(i.spark, path)
+    order = ["file_no", "line_no"]
+    rows = running(rows, ["doc_id"], order, {"before": ("prev", F.col("revision"))})
+    return rows.groupBy("doc_id").agg(
+        F.count("*").alias("events"),
+        F.count_if(F.col("revision") <= F.col("before")).alias("out_of_order"),
+        F.max_by("revision", F.struct(*order)).alias("last_revision"),
+    )
 
 
 # -- interactions --
@@ -264,7 +307,14 @@ def presence_expired(i: Inputs) -> DataFrame:
 
 @query
 def presence_alive(i: Inputs) -> DataFrame:
-    return alive(i)
+    """With some names missing from the name table."""
+    return presence.alive_with_names(member_state(i), member_names(i), AS_OF)
+
+
+@query
+def presence_quarantine(i: Inputs) -> DataFrame:
+    """Heartbeats that belong to no document."""
+    return presence.unplaced(i.loose_heartbeats()).select("event_id", "user_id", "doc_id")
 
 
 @query
@@ -345,9 +395,42 @@ def op_fanout(i: Inputs) -> DataFrame:
     return rooms.delivery_ranges(oplog.op_times(log_table(i)), stays(i))
 
 
+@query
+def op_outbox(i: Inputs) -> DataFrame:
+    """The single messages of the connections of one user in 32, from clocks that run apart:
+    those of even users are six hours behind."""
+    hours = F.lit(6 * 3_600_000_000)
+    log_ = log_table(i)
+    even = F.col("author_id") % 2 == 0
+    ops = log_.select(
+        "doc_id", "revision", "conn_id",
+        (scalars.epoch_micros(F.col("ts")) - F.when(even, hours).otherwise(0)).alias("ts_us"),
+    )
+    ranges = rooms.delivery_ranges(ops, materialize(stays(i), "stays"))
+    user = F.regexp_extract("conn_id", r"^u(\d+)-", 1).cast("long")
+    payload = log_.select("doc_id", "revision", "conn_id", "operation_id", "author_id")
+    return rooms.outbox(ranges.filter(user % 32 == 0), payload)
+
+
+@query
+def heartbeat_members(i: Inputs) -> DataFrame:
+    """The members that one heartbeat in 64 saw alive."""
+    chosen = i.heartbeats().filter("event_id % 64 = 0")
+    return presence.members_seen(chosen, i.heartbeats())
+
+
+@query
+def cursor_receivers(i: Inputs) -> DataFrame:
+    """The connections that one cursor message in 64 went to."""
+    sets = i.cursors().filter("op = 'set' and event_id % 64 = 0").select(
+        "event_id", "doc_id", scalars.epoch_micros(F.col("ts")).alias("ts_us")
+    )
+    return rooms.receivers(sets, stays(i))
+
+
 @query
 def op_recipients(i: Inputs) -> DataFrame:
-    ops = oplog.op_times(log_table(i)).withColumnRenamed("revision", "message_id")
+    ops = rooms.sent_times(oplog.op_times(log_table(i))).withColumnRenamed("revision", "message_id")
     return rooms.recipients(ops, stays(i), skip_sender=True).withColumnRenamed("message_id", "revision")
 
 

@@ -33,7 +33,13 @@ VIEWS = {
                '[{"kind":"retain","count":' || CAST(event_id % 20 AS VARCHAR) || '},' ||
                CASE WHEN event_id % 5 = 0
                     THEN '{"kind":"delete","count":' || CAST(event_id % 4 AS VARCHAR) || '}]'
-                    ELSE '{"kind":"insert","text":"' || event_type || 'é"}]' END AS ops,
+                    ELSE '{"kind":"insert","text":"' || event_type || 'é"}]' END AS plain_ops,
+               CASE WHEN event_id % 41 = 0 THEN NULL WHEN event_id % 43 = 0 THEN '[{"kind":"ins'
+                    WHEN event_id % 37 = 0 THEN '[{"kind":"retain","count":-3},{"kind":"insert","text":"X"}]'
+                    WHEN event_id % 29 = 0 THEN '[{"kind":"insert","text":"b","attrs":{"bold":true}}]'
+                    ELSE plain_ops END AS ops,
+               CASE WHEN event_id % 41 = 0 THEN NULL WHEN event_id % 43 = 0 THEN 'INVALID_OPS'
+                    WHEN event_id % 37 = 0 THEN 'INVALID_POSITION' END AS fault,
                event_id, event_type, ts
         FROM (SELECT *, 'c' || CAST(user_id % 4 AS VARCHAR) AS client_id,
                      row_number() OVER (PARTITION BY doc_id ORDER BY ts, event_id) AS arrival_seq,
@@ -51,6 +57,7 @@ VIEWS = {
         FROM (SELECT s.doc_id, s.arrival_seq, p.rev, p.marks, s.client_id, s.client_seq,
                      CASE WHEN s.client_seq <= coalesce(p.marks[s.client_id], 0) THEN 'DUPLICATE_OR_OUT_OF_ORDER'
                           WHEN s.base_revision <> p.rev THEN 'REVISION_CONFLICT'
+                          WHEN s.fault IS NOT NULL THEN s.fault
                           ELSE 'accepted' END AS status
               FROM steps p JOIN submissions s
                 ON s.doc_id = p.doc_id AND s.arrival_seq = p.arrival_seq + 1)""",
@@ -59,7 +66,8 @@ VIEWS = {
         FROM submissions s JOIN steps p USING (doc_id, arrival_seq)""",
     "log": """
         SELECT doc_id, revision, 'o-' || doc_id || '-' || CAST(revision AS VARCHAR) AS operation_id,
-               author_id, conn_id, client_id, client_seq, base_revision, ops, ts, epoch_us(ts) AS ts_us,
+               author_id, conn_id, client_id, client_seq, base_revision, ops, plain_ops, ts,
+               epoch_us(ts) AS ts_us,
                event_id, event_type
         FROM labelled WHERE status = 'accepted'""",
     # One row per single op of the log, numbered through the document.
@@ -70,7 +78,7 @@ VIEWS = {
                coalesce(json_extract_string(op, '$.text'), '') AS txt
         FROM (SELECT doc_id, revision, unnest(CAST(ops AS JSON[])) AS op,
                      unnest(range(1, CAST(json_array_length(ops) AS BIGINT) + 1)) AS idx
-              FROM log)""",
+              FROM (SELECT doc_id, revision, coalesce(ops, '[{"kind":"none"}]') AS ops FROM log))""",
     "replay": """
         SELECT doc_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS pos, '' AS body, CAST(0 AS BIGINT) AS revision
         FROM (SELECT DISTINCT doc_id FROM flat)
@@ -89,6 +97,9 @@ VIEWS = {
         WHERE revision > 0 GROUP BY doc_id, revision""",
     "latest": "SELECT doc_id, max(revision) AS latest FROM log GROUP BY doc_id",
     "ring": """
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY revision DESC) AS newest FROM log)
+        WHERE newest <= 1024""",
+    "small_ring": """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY revision DESC) AS newest FROM log)
         WHERE newest <= 20""",
     "lossy": """
@@ -109,11 +120,20 @@ VIEWS = {
               FROM heartbeats WHERE sec <= {AS_OF})
         WHERE newest = 1""",
     "names": "SELECT doc_id, user_id, username FROM members WHERE user_id % 7 <> 0",
-    "alive": f"""
+    "named": f"""
         SELECT m.doc_id, m.user_id, m.expire_at, coalesce(n.username, '') AS username,
                row_number() OVER (PARTITION BY m.doc_id ORDER BY m.expire_at, CAST(m.user_id AS VARCHAR)) AS ord
         FROM members m LEFT JOIN names n USING (doc_id, user_id)
         WHERE m.expire_at > {AS_OF}""",
+    "alive": f"""
+        SELECT doc_id, user_id, expire_at, username,
+               row_number() OVER (PARTITION BY doc_id ORDER BY expire_at, CAST(user_id AS VARCHAR)) AS ord
+        FROM members WHERE expire_at > {AS_OF}""",
+    "skewed": """
+        SELECT doc_id, revision, conn_id, operation_id, author_id,
+               max(ts_us - CASE WHEN author_id % 2 = 0 THEN 21600000000 ELSE 0 END)
+                 OVER (PARTITION BY doc_id ORDER BY revision ROWS UNBOUNDED PRECEDING) AS sent_us
+        FROM log""",
     "cursors": """
         SELECT event_id, ts, sec, us, doc_id, user_id,
                CASE WHEN event_type = 'purchase' THEN 'get' ELSE 'set' END AS op,
@@ -208,6 +228,7 @@ BODIES = {
         FROM (SELECT *, revision // 25 AS n FROM texts WHERE revision % 25 = 0)
         WHERE n & (n - 1) = 0 OR (n % 3 = 0 AND (n // 3) & (n // 3 - 1) = 0)""",
     "op_ring": "SELECT doc_id, revision, operation_id, author_id, ops FROM ring",
+    "op_small_ring": "SELECT doc_id, revision, operation_id, author_id, ops FROM small_ring",
     "ops_since": """
         SELECT doc_id, from_revision, lim, oldest > from_revision + 1 AS truncated, revision,
                operation_id, author_id, ops
@@ -223,21 +244,34 @@ BODIES = {
         FROM (SELECT doc_id, revision, lag(revision, 1, 0) OVER (PARTITION BY doc_id ORDER BY revision) AS before
               FROM (SELECT DISTINCT doc_id, revision FROM lossy))
         WHERE revision - before > 1""",
-    "op_log_dedup": "SELECT DISTINCT doc_id, revision, operation_id, client_id, client_seq FROM lossy",
+    "op_log_dedup": "SELECT doc_id, revision, operation_id, client_id, client_seq FROM log",
     "op_log_encode": """
         SELECT doc_id AS key, 'OP_APPLIED' AS event_type, doc_id, operation_id, client_id,
                strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS applied_at,
                revision, author_id, client_seq, base_revision,
-               nullif(event_id % 20, 0) AS retained,
-               CASE WHEN event_id % 5 = 0 THEN nullif(event_id % 4, 0) END AS deleted,
-               CASE WHEN event_id % 5 <> 0 THEN event_type || 'é' END AS inserted
+               CASE WHEN ops = plain_ops THEN nullif(event_id % 20, 0) END AS retained,
+               CASE WHEN ops = plain_ops AND event_id % 5 = 0 THEN nullif(event_id % 4, 0) END AS deleted,
+               CASE WHEN ops = plain_ops AND event_id % 5 <> 0 THEN event_type || 'é' END AS inserted
         FROM log""",
     "op_log_decode": """
         SELECT doc_id AS key, doc_id, operation_id, revision, author_id, client_id, client_seq, base_revision,
                replace(ops, ',"count":0}', '}') AS ops, ts_us AS applied_us
         FROM log WHERE revision % 31 <> 0""",
     "op_log_quarantine": """
-        SELECT doc_id AS key, count(*) AS bad_records FROM log WHERE revision % 31 = 0 GROUP BY doc_id""",
+        SELECT doc_id AS key,
+               CASE WHEN revision % 31 = 0 THEN substr(event, 1, 40)
+                    ELSE replace(event, '"revision":' || CAST(revision AS VARCHAR), '"revision":"x7"') END AS value
+        FROM (SELECT *, '{"eventType":"OP_APPLIED","docId":"' || doc_id || '","operationId":"' || operation_id ||
+                     '","revision":' || CAST(revision AS VARCHAR) || ',"authorId":' || CAST(author_id AS VARCHAR) ||
+                     ',"clientId":"' || client_id || '","clientSeq":' || CAST(client_seq AS VARCHAR) ||
+                     ',"baseRevision":' || CAST(base_revision AS VARCHAR) ||
+                     coalesce(',"ops":' || replace(ops, ',"count":0}', '}'), '') ||
+                     ',"appliedAt":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '"}' AS event
+              FROM log)
+        WHERE revision % 31 = 0 OR revision % 23 = 0""",
+    "op_log_files": """
+        SELECT doc_id, count(*) AS events, CAST(0 AS BIGINT) AS out_of_order, max(revision) AS last_revision
+        FROM log GROUP BY doc_id""",
     "interaction_apply": """
         SELECT event_id, kind, doc_id, user_id, delta <> 0 AS changed,
                CAST(sum(delta) OVER (PARTITION BY kind, doc_id ORDER BY ts, event_id
@@ -278,8 +312,11 @@ BODIES = {
                     FROM ev))""",
     "presence_state": "SELECT doc_id, user_id, username, expire_at FROM final_members",
     "presence_expired": f"SELECT doc_id, user_id, expire_at FROM members WHERE expire_at <= {AS_OF}",
-    "presence_alive": "SELECT doc_id, user_id, expire_at, username, ord FROM alive",
-    "presence_alive_semi": "SELECT doc_id, user_id, username FROM alive",
+    "presence_alive": "SELECT doc_id, user_id, expire_at, username, ord FROM named",
+    "presence_quarantine": """
+        SELECT event_id, user_id, CASE WHEN event_id % 53 = 0 THEN '' END AS doc_id
+        FROM heartbeats WHERE event_id % 53 = 0 OR event_id % 59 = 0""",
+    "presence_alive_semi": "SELECT doc_id, user_id, username FROM named",
     "room_members": "SELECT DISTINCT doc_id, user_id FROM heartbeats",
     "active_documents": f"SELECT DISTINCT doc_id FROM heartbeats WHERE sec <= {AS_OF}",
     "active_documents_from_keys": "SELECT DISTINCT doc_id FROM heartbeats",
@@ -327,6 +364,24 @@ BODIES = {
         FROM stays s JOIN log o ON o.doc_id = s.doc_id AND o.ts_us >= s.joined_us
                                AND o.ts_us < coalesce(s.left_us, {FOREVER})
         GROUP BY s.conn_id, s.doc_id, s.joined_us""",
+    "op_outbox": f"""
+        SELECT s.conn_id, o.doc_id, o.revision, o.operation_id, o.author_id
+        FROM skewed o JOIN stays s ON o.doc_id = s.doc_id AND o.sent_us >= s.joined_us
+                                  AND o.sent_us < coalesce(s.left_us, {FOREVER}) AND s.conn_id <> o.conn_id
+        WHERE s.user_id % 32 = 0""",
+    "heartbeat_members": """
+        SELECT h.event_id, h.doc_id, m.user_id, m.username
+        FROM heartbeats h JOIN (
+          SELECT *, lead(row(ts, event_id)) OVER (PARTITION BY doc_id, user_id ORDER BY ts, event_id) AS next_beat
+          FROM heartbeats) m
+          ON m.doc_id = h.doc_id AND row(m.ts, m.event_id) <= row(h.ts, h.event_id)
+         AND (m.next_beat IS NULL OR m.next_beat > row(h.ts, h.event_id)) AND m.sec + m.ttl > h.sec
+        WHERE h.event_id % 64 = 0""",
+    "cursor_receivers": f"""
+        SELECT c.event_id, c.doc_id, s.conn_id
+        FROM cursors c JOIN stays s ON c.doc_id = s.doc_id AND c.us >= s.joined_us
+                                   AND c.us < coalesce(s.left_us, {FOREVER})
+        WHERE c.op = 'set' AND c.event_id % 64 = 0""",
     "op_recipients": f"""
         SELECT o.doc_id, o.revision, count(s.conn_id) AS recipients
         FROM log o LEFT JOIN stays s ON o.doc_id = s.doc_id AND o.ts_us >= s.joined_us
@@ -382,8 +437,12 @@ BODIES = {
                     WHEN type IN ('setCursor', 'ping') THEN 'Unknown message type' END AS reply
         FROM messages""",
     "submission_project": """
-        SELECT event_id, doc_id, k AS base_revision, 'c' || CAST(user_id % 4 AS VARCHAR) AS client_id,
-               event_id AS client_seq, CAST(NULL AS VARCHAR) AS ops
+        SELECT event_id, doc_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE k END AS base_revision,
+               CASE WHEN event_id % 5 = 0 THEN '' ELSE 'c' || CAST(user_id % 4 AS VARCHAR) END AS client_id,
+               CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id END AS client_seq,
+               CASE WHEN event_id % 5 <> 0
+                    THEN replace('[{"kind":"retain","count":' || CAST(k AS VARCHAR) ||
+                                 '},{"kind":"insert","text":"m"}]', ',"count":0}', '}') END AS ops
         FROM messages WHERE type = 'op_submit' AND NOT broken""",
     "request_doc_id": """
         SELECT event_id, doc_id, CASE WHEN doc_id IS NULL THEN 'missing doc_id' END AS error
@@ -456,4 +515,5 @@ def sql_for(body: str) -> str:
     return f"WITH {recursive}{', '.join(parts)} {body}" if parts else body
 
 
+BODIES["ops_since_small_ring"] = re.sub(r"\bring\b", "small_ring", BODIES["ops_since"])
 ORACLE = {name: sql_for(body) for name, body in BODIES.items()}

@@ -1,8 +1,8 @@
-"""Session-level helpers: shared folder for written tables, size checks, partition counts."""
+"""Session-level helpers: shared folder for written tables, hot keys, partition counts."""
 
 from __future__ import annotations
 
-import tempfile
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,17 +10,14 @@ from pyspark.sql import functions as F
 
 # Settings (session conf keys) with their defaults.
 MAX_GROUP_ROWS = "spark.inkspark.maxGroupRows"  # a key with more rows is split over tasks
-SMALL_BYTES = "spark.inkspark.smallBytes"  # below this plan size no key can be that large
 MAX_REPLAY_OPS = "spark.inkspark.maxReplayOps"  # longer histories are composed before the fold
 REPLAY_CHUNK = "spark.inkspark.replayChunk"  # ops composed into one delta when a log is split
 DEFAULTS = {
     MAX_GROUP_ROWS: 10_000_000,
-    SMALL_BYTES: 64 * 1024 * 1024,
     MAX_REPLAY_OPS: 20_000,
     REPLAY_CHUNK: 1024,
 }
-
-_scratch: dict[str, str] = {}  # folder per local application that names none
+WORK_DIR = "spark.inkspark.workDir"  # folder for written tables where no checkpoint folder is set
 
 
 def setting(spark: SparkSession, key: str) -> int:
@@ -31,17 +28,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the cluster; a scratch folder only for an unset local session."""
+    """The folder of this application for written tables: below the checkpoint folder that the
+    cluster names, else below `WORK_DIR`, else below the warehouse on the default file system."""
     context = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if path:
-        return path.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if context.applicationId not in _scratch:
-        _scratch[context.applicationId] = tempfile.mkdtemp(prefix="inkspark-")
-    return _scratch[context.applicationId]
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    base = base or spark.conf.get(WORK_DIR, None)
+    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_inkspark"
+    return f"{base.rstrip('/')}/inkspark-{context.applicationId}"
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Delete the tables that this application wrote on the way."""
+    path = _path(spark, shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -59,26 +63,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate (from file sizes; joins are over-estimated)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     """Rows of the largest key: a count that reads the key columns only, combines on the
     map side and returns a single row."""
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
-def has_big_group(df: DataFrame, keys: list[str]) -> bool:
-    """True when one key holds more rows than a task should sort on its own.
+def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys with more rows than a task should sort on its own, as a written table; None
+    if there are none. Always counts; pass the answer on instead of asking again."""
+    limit = setting(df.sparkSession, MAX_GROUP_ROWS)
+    if largest_group(df, keys) <= limit:
+        return None
+    counts = df.groupBy(*keys).count()
+    return materialize(counts.filter(F.col("count") > limit).select(*keys), "hot-keys")
 
-    Small plans are answered from the size estimate, larger ones by counting.
-    """
-    spark = df.sparkSession
-    if plan_bytes(df) <= setting(spark, SMALL_BYTES):
-        return False
-    return largest_group(df, keys) > setting(spark, MAX_GROUP_ROWS)
+
+def hot_within(hot: DataFrame | None, df: DataFrame, keys: list[str]) -> DataFrame | None:
+    """`hot_keys` for finer keys, given those of coarser ones: no key is larger than the key
+    that holds it, so nothing is counted where none of those is hot."""
+    return None if hot is None else hot_keys(df, keys)
 
 
 def range_slices(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -88,6 +92,6 @@ def range_slices(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     written with the rows, so later reads all see the same cut.
     """
     spark = df.sparkSession
-    parts = max(shuffle_partitions(spark), -(-df.count() // setting(spark, MAX_GROUP_ROWS)))
+    parts = max(shuffle_partitions(spark), math.ceil(df.count() / setting(spark, MAX_GROUP_ROWS)))
     cut = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
     return materialize(cut.withColumn("slice_no", F.spark_partition_id()), "slices")

@@ -32,6 +32,7 @@ ACCEPTED = "accepted"
 DUPLICATE = "DUPLICATE_OR_OUT_OF_ORDER"
 CONFLICT = "REVISION_CONFLICT"
 INVALID_POSITION = "INVALID_POSITION"
+INVALID_OPS = "INVALID_OPS"
 EVENT_TYPE = "OP_APPLIED"
 RING_CAP = 1024
 PRESENCE_TTL = 600

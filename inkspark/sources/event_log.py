@@ -30,11 +30,22 @@ def encode(op_log: DataFrame) -> DataFrame:
     return op_log.select(F.col("doc_id").alias("key"), F.to_json(event).alias("value"))
 
 
-def decode(records: DataFrame) -> DataFrame:
-    """Records to typed rows; `corrupt` is true where the value is not a whole event."""
-    event = F.from_json("value", DOC_OP_EVENT)
+def decode(records: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Records to typed rows; `corrupt` is true where the value is not a whole event: not JSON,
+    a field of another type, or no document, revision, time or known type. `keep` names other
+    columns of the records to carry along."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    event = F.from_json("value", f"{DOC_OP_EVENT}, _corrupt STRING", options)
     rows = records.withColumn("event", event)
+    whole = (
+        F.col("event._corrupt").isNull()
+        & F.col("event.docId").isNotNull()
+        & F.col("event.revision").isNotNull()
+        & utc_time(F.col("event.appliedAt")).isNotNull()
+        & (F.col("event.eventType") == EVENT_TYPE)
+    )
     return rows.select(
+        *(keep or []),
         "key",
         "value",
         F.col("event.docId").alias("doc_id"),
@@ -46,7 +57,7 @@ def decode(records: DataFrame) -> DataFrame:
         F.col("event.baseRevision").alias("base_revision"),
         F.col("event.ops").alias("ops"),
         utc_time(F.col("event.appliedAt")).alias("applied_at"),
-        (F.col("event.docId").isNull() | F.col("event.appliedAt").isNull()).alias("corrupt"),
+        (~F.coalesce(whole, F.lit(False))).alias("corrupt"),
     )
 
 
@@ -72,6 +83,17 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return decode(spark.read.schema("key STRING, value STRING").json(path))
 
 
+def read_ordered(spark: SparkSession, path: str) -> DataFrame:
+    """The decoded log with the number of each record's file and its place in the file."""
+    files = spark.read.schema("key STRING, value STRING").json(path)
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    placed = files.select("key", "value", part.alias("file_no"), F.col("_metadata.file_block_start").alias("at"))
+    # The ids grow along the lines of a block.
+    numbered = placed.withColumn("line_no", F.struct("at", F.monotonically_increasing_id().alias("n")))
+    where = numbered.select("file_no", "line_no", "key", "value")
+    return decode(where, ["file_no", "line_no"])
+
+
 def write_kafka(op_log: DataFrame, servers: str, topic: str = TOPIC) -> None:
     """Publish the encoded log, each document in revision order through one writer.
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_seconds
 from ..operators.scan import numbered
+from ..runtime import hot_keys, hot_within
 
 AS_OF = 1705363200  # 2024-01-16 00:00:00, the clock of the presence queries
-RING_CAP = 20
+SMALL_RING = 20  # of the queries that show a ring with a gap below it
 SNAPSHOT_UNIT = 50
 BATCH_UNIT = 25
 NEW_ID_BASE = 1_000_000_000
@@ -47,8 +48,10 @@ class Inputs:
 
     def submissions(self) -> DataFrame:
         ev = self.ev().withColumn("client_id", F.concat(F.lit("c"), (F.col("user_id") % 4).cast("string")))
-        rows = numbered(ev, ["doc_id"], ["ts", "event_id"], "arrival_seq")
-        rows = numbered(rows, ["doc_id", "client_id"], ["ts", "event_id"], "seq0")
+        hot = hot_keys(ev, ["doc_id"])
+        pairs = ["doc_id", "client_id"]
+        rows = numbered(ev, ["doc_id"], ["ts", "event_id"], "arrival_seq", hot)
+        rows = numbered(rows, pairs, ["ts", "event_id"], "seq0", hot_within(hot, ev, pairs))
         offer = F.col("arrival_seq") - 1
         stale = (F.col("arrival_seq") % 7 == 0) & (offer % 3 == 0)
         edit = F.when(
@@ -58,6 +61,15 @@ class Inputs:
         ops = F.concat(
             F.lit('[{"kind":"retain","count":'), (F.col("event_id") % 20).cast("string"), F.lit("},"), edit
         )
+        # A few deltas are missing, torn, at a negative position, or carry attributes.
+        event = F.col("event_id")
+        ops = (
+            F.when(event % 41 == 0, F.lit(None).cast("string"))
+            .when(event % 43 == 0, F.lit('[{"kind":"ins'))
+            .when(event % 37 == 0, F.lit('[{"kind":"retain","count":-3},{"kind":"insert","text":"X"}]'))
+            .when(event % 29 == 0, F.lit('[{"kind":"insert","text":"b","attrs":{"bold":true}}]'))
+            .otherwise(ops)
+        )
         return rows.select(
             "doc_id",
             "arrival_seq",
@@ -81,6 +93,12 @@ class Inputs:
             F.concat(F.lit("u"), _text("user_id")).alias("username"), ttl.alias("ttl"),
         )
 
+    def loose_heartbeats(self) -> DataFrame:
+        """Heartbeats of which some come before any document was joined."""
+        event = F.col("event_id")
+        doc = F.when(event % 53 == 0, "").when(event % 59 != 0, F.col("doc_id"))
+        return self.heartbeats().withColumn("doc_id", doc)
+
     def cursors(self) -> DataFrame:
         is_get = F.col("event_type") == "purchase"
         return self.ev().select(
@@ -158,11 +176,19 @@ class Inputs:
                  "saveDocument", "loadDocumentContent", "setCursor", "ping"]
         kind = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % 9 + 1).cast("int"))
         doc = F.when(F.col("event_id") % 11 == 0, "").otherwise(F.col("doc_id"))
-        body = F.concat(
-            F.lit('{"type":"'), kind, F.lit('","docId":"'), doc, F.lit('","baseRevision":'), _text("k"),
-            F.lit(',"clientId":"c'), (F.col("user_id") % 4).cast("string"),
-            F.lit('","clientSeq":'), _text("event_id"), F.lit("}"),
+        delta = F.concat(
+            F.lit(',"ops":[{"kind":"retain","count":'), _text("k"),
+            F.lit('},{"kind":"insert","text":"m"}]'),
+        )
+        # Every fifth message leaves out what a client may leave out, the others carry a delta.
+        rest = F.when(F.col("event_id") % 5 == 0, F.lit("}")).otherwise(
+            F.concat(
+                F.lit(',"baseRevision":'), _text("k"),
+                F.lit(',"clientId":"c'), (F.col("user_id") % 4).cast("string"),
+                F.lit('","clientSeq":'), _text("event_id"), delta, F.lit("}"),
+            )
         )
+        body = F.concat(F.lit('{"type":"'), kind, F.lit('","docId":"'), doc, F.lit('"'), rest)
         # Every 97th message is cut short, as a broken frame would be.
         return self.ev().select(
             "event_id",

@@ -99,13 +99,13 @@ class VersionedTable:
     """A small state table rewritten once per micro-batch, under the batch's own name.
 
     A batch run again after a failure reads the version before it and overwrites its own,
-    so it gives the same state.
+    so it gives the same state. The folder is the caller's, so a new process goes on from it.
     """
 
-    def __init__(self, spark: SparkSession, schema: str):
+    def __init__(self, spark: SparkSession, schema: str, folder: str):
         self.spark = spark
         self.schema = schema
-        self.folder = new_path(spark, "state")
+        self.folder = folder
 
     def before(self, batch_id: int) -> DataFrame:
         if batch_id == 0:

@@ -16,8 +16,8 @@ class ToggleSink:
     """
 
     def __init__(self, spark: SparkSession, out: str):
-        self.members = VersionedTable(spark, "kind STRING, doc_id STRING, user_id LONG")
-        self.counts = VersionedTable(spark, "kind STRING, doc_id STRING, cnt LONG")
+        self.members = VersionedTable(spark, "kind STRING, doc_id STRING, user_id LONG", f"{out}-members")
+        self.counts = VersionedTable(spark, "kind STRING, doc_id STRING, cnt LONG", f"{out}-counts")
         self.out = out
 
     def __call__(self, requests: DataFrame, batch_id: int) -> None:

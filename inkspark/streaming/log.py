@@ -81,20 +81,23 @@ class SnapshotSink:
         self.path = path
 
     def __call__(self, rows: DataFrame, batch_id: int) -> None:
-        stored = rows.sparkSession.read.parquet(self.path)
-        fresh = new_snapshots(rows, stored.select("document_id", "revision"))
+        stored = rows.sparkSession.read.parquet(self.path).select("document_id", "revision")
+        touched = rows.select("document_id").distinct()
+        fresh = new_snapshots(rows, stored.join(touched, "document_id", "left_semi"))
         fresh.write.mode("append").parquet(self.path)
 
 
 class FanoutSink:
-    """Delivery ranges of each micro-batch against the stays known when it runs."""
+    """Delivery ranges of each micro-batch against the stays known when it runs, of which only
+    those of its documents are swept."""
 
     def __init__(self, stays: Callable[[], DataFrame], out: str):
         self.stays = stays
         self.out = out
 
     def __call__(self, ops: DataFrame, batch_id: int) -> None:
-        ranges = delivery_ranges(ops, self.stays())
+        touched = ops.select("doc_id").distinct()
+        ranges = delivery_ranges(ops, self.stays().join(touched, "doc_id", "left_semi"))
         ranges.write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
 
 

@@ -3,7 +3,8 @@
 Each micro-batch runs the batch operator over its rows and what is carried over: sessions
 still open, cursors still in force. Both are bounded by their time to live, and the work
 stays in Spark's own operators whatever the number of users. Micro-batches come in time
-order; inside one, rows may come in any order.
+order; inside one, rows may come in any order. The clock is the latest second seen so far: it
+never goes back, and an empty micro-batch leaves it, and what is carried over, as it was.
 """
 
 from __future__ import annotations
@@ -15,17 +16,35 @@ from ..operators import presence
 from .feeds import VersionedTable
 
 
+class _Clock:
+    """The latest second up to each micro-batch, kept like the rest of the state."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.state = VersionedTable(spark, "now LONG", folder)
+
+    def __call__(self, rows: DataFrame, batch_id: int) -> int | None:
+        seen = rows.agg(F.max("sec").alias("now"))
+        self.state.put(
+            seen.unionByName(self.state.before(batch_id)).agg(F.max("now").alias("now")), batch_id
+        )
+        return self.state.before(batch_id + 1).first()[0]
+
+
 class SessionSink:
     """Writes each online session once it has ended, at a later time than its expiry."""
 
     OPEN = "doc_id STRING, user_id LONG, session_start LONG, session_end LONG, heartbeats LONG"
 
     def __init__(self, spark: SparkSession, out: str):
-        self.state = VersionedTable(spark, self.OPEN)
+        self.state = VersionedTable(spark, self.OPEN, f"{out}-state")
+        self.clock = _Clock(spark, f"{out}-clock")
         self.out = out
 
     def __call__(self, heartbeats: DataFrame, batch_id: int) -> None:
-        now = heartbeats.agg(F.max("sec")).first()[0]
+        now = self.clock(heartbeats, batch_id)
+        if now is None:  # nothing has come yet
+            self.state.put(self.state.before(0), batch_id)
+            return
         all_sessions = presence.sessions(heartbeats, self.state.before(batch_id))
         # A session followed by another one has ended before `now`, so at most one stays open.
         is_open = F.col("session_end") >= F.lit(now)
@@ -40,11 +59,15 @@ class CursorSink:
     IN_FORCE = "doc_id STRING, user_id LONG, cursor_json STRING, until LONG"
 
     def __init__(self, spark: SparkSession, out: str):
-        self.state = VersionedTable(spark, self.IN_FORCE)
+        self.state = VersionedTable(spark, self.IN_FORCE, f"{out}-state")
+        self.clock = _Clock(spark, f"{out}-clock")
         self.out = out
 
     def __call__(self, cursors: DataFrame, batch_id: int) -> None:
-        now = cursors.agg(F.max("sec")).first()[0]
+        now = self.clock(cursors, batch_id)
+        if now is None:
+            self.state.put(self.state.before(0), batch_id)
+            return
         carried = self.state.before(batch_id)
         answers = presence.cursors_as_of(cursors, carried)
         answers.write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.sequencer import exit_state, resumed_fold, sequence, valid_ops
+from ..operators.sequencer import exit_state, ops_fault, resumed_fold, sequence
 from ..schemas import ACCEPTED
 from .feeds import VersionedTable, in_order
 
@@ -24,9 +24,9 @@ def _handle(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
     revision, marks = state.get if state.exists else (0, "{}")
     fold = resumed_fold(key[0], revision, json.loads(marks))
     out = []
-    rows = in_order(chunks, ["arrival_seq"], ["client_id", "client_seq", "base_revision", "valid"])
-    for arrival, client, seq, base, valid in rows:
-        outcome = fold.submit(client, seq, base, valid)
+    rows = in_order(chunks, ["arrival_seq"], ["client_id", "client_seq", "base_revision", "fault"])
+    for arrival, client, seq, base, fault in rows:
+        outcome = fold.submit(client, seq, base, fault)
         accepted = fold.revision if outcome == ACCEPTED else None
         out.append((*key, arrival, client, seq, base, outcome, accepted))
     state.update((fold.revision, json.dumps(fold.marks)))
@@ -40,9 +40,12 @@ def sequence_stream(submissions: DataFrame) -> DataFrame:
     A micro-batch must hold whole stretches of a document's submissions; inside it they are
     sorted by arrival. What one task holds is bounded by the size of a micro-batch.
     """
-    valid = valid_ops(F.col("ops"))
     rows = submissions.select(
-        "doc_id", "arrival_seq", "client_id", "client_seq", "base_revision", valid.alias("valid")
+        "doc_id", "arrival_seq",
+        F.coalesce("client_id", F.lit("")).alias("client_id"),
+        F.coalesce("client_seq", F.lit(0).cast("long")).alias("client_seq"),
+        F.coalesce("base_revision", F.lit(0).cast("long")).alias("base_revision"),
+        ops_fault(F.col("ops")).alias("fault"),
     )
     return rows.groupBy("doc_id").applyInPandasWithState(
         _handle, _OUT, "revision LONG, marks STRING", "append", GroupStateTimeout.NoTimeout
@@ -59,7 +62,7 @@ class BatchSequencer:
     STATE = "doc_id STRING, client_id STRING, last_seq LONG, revision LONG"
 
     def __init__(self, spark, out: str):
-        self.state = VersionedTable(spark, self.STATE)
+        self.state = VersionedTable(spark, self.STATE, f"{out}-state")
         self.out = out
 
     def __call__(self, rows: DataFrame, batch_id: int) -> None:

@@ -42,7 +42,6 @@ SPLIT = {
 
 
 def hot(spark, rows, chunk=8):
-    spark.conf.set(runtime.SMALL_BYTES, "0")
     spark.conf.set(runtime.MAX_GROUP_ROWS, str(rows))
     spark.conf.set(runtime.MAX_REPLAY_OPS, str(rows))
     spark.conf.set(runtime.REPLAY_CHUNK, str(chunk))
