@@ -31,7 +31,7 @@ def create_documents(requests: DataFrame, documents: DataFrame, id_base: int) ->
     """Insert a document per request, then answer with the id its title resolves to.
 
     Returns one row per request: the new row (created_id, owner_id, title), the resolved id,
-    the owner's presence expiry in the resolved document and the answer text.
+    the owner's presence in the resolved document (name and expiry) and the answer text.
     """
     created = requests.withColumn("created_id", (F.col("event_id") + F.lit(id_base)).cast("string"))
     rows = documents.select("id", "title").unionByName(
@@ -43,6 +43,7 @@ def create_documents(requests: DataFrame, documents: DataFrame, id_base: int) ->
         F.col("user_id").alias("owner_id"),
         "title",
         "document_id",
+        "username",
         expire_at(F.col("sec"), F.lit(PRESENCE_TTL)).alias("expire_at"),
         document_text(F.col("document_id"), "created by user ", F.col("user_id"))
         .alias("content"),

@@ -83,6 +83,33 @@ def active_documents(heartbeats: DataFrame, now: int) -> DataFrame:
     return _timed(heartbeats).filter(F.col("sec") <= now).select("doc_id").distinct()
 
 
+def active_since(heartbeats: DataFrame) -> DataFrame:
+    """Per document: when its first member came (`since`, a struct of time and event)."""
+    return _timed(heartbeats).groupBy("doc_id").agg(F.min(F.struct(*_ORDER)).alias("since"))
+
+
+# Within one event: a created document has its owner first, then heartbeats, then joins.
+_PHASES = 4
+
+
+def member_events(
+    heartbeats: DataFrame, creates: DataFrame | None = None, joins: DataFrame | None = None
+) -> DataFrame:
+    """All that makes a member: heartbeats, created documents and joins that succeeded.
+
+    The three have event_id, ts, sec, doc_id, user_id, username and ttl. Event ids become
+    unique over them and keep their order.
+    """
+    columns = ["ts", "sec", "doc_id", "user_id", "username", "ttl"]
+    out = None
+    for phase, rows in enumerate((creates, heartbeats, joins)):
+        if rows is not None:
+            numbered_ = (F.col("event_id") * _PHASES + phase).alias("event_id")
+            rows = rows.select(numbered_, *columns)
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def documents_from_keys(keys: DataFrame) -> DataFrame:
     """Document ids from scanned room keys; the name keys under the same prefix are left out."""
     return (
@@ -102,9 +129,14 @@ def cleanup(members: DataFrame, now: int) -> DataFrame:
 
 
 def join_gate(requests: DataFrame, active: DataFrame) -> DataFrame:
-    """Flag requests whose document is in the active set."""
-    flag = active.select("doc_id").distinct().withColumn("found", F.lit(True))
-    return requests.join(flag, "doc_id", "left").withColumn("ok", F.col("found").isNotNull()).drop("found")
+    """Flag requests whose document is active when they arrive.
+
+    `active`: doc_id and since, from `active_since`; an event that makes a document active
+    comes before a join of the same event.
+    """
+    found = requests.join(active.select("doc_id", "since"), "doc_id", "left")
+    asked = F.struct(F.col("ts").alias("ts"), F.col("event_id").alias("event_id"))
+    return found.withColumn("ok", F.coalesce(F.col("since") <= asked, F.lit(False))).drop("since")
 
 
 def sessions(heartbeats: DataFrame, carried: DataFrame | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_micros
 from ..runtime import hot_keys, hot_within
+from .presence import join_gate
 from .scan import COUNT, running
 
 _FOREVER = 2**62
@@ -20,15 +21,18 @@ _FOREVER = 2**62
 def intervals(joins: DataFrame, active: DataFrame) -> DataFrame:
     """Stays of connections in rooms: joined_us, and left_us (null while still there).
 
-    Joining another document leaves the old room first; if the new document is not active
-    the connection is then in no room. Joining the same document again changes nothing.
+    Joining another document leaves the old room first; if the new document is not active at
+    that time the connection is then in no room, and may try again. Joining the document one
+    is in changes nothing. `active`: doc_id and since.
     """
     order = ["ts", "event_id"]
     hot = hot_keys(joins, ["conn_id"])
-    rows = running(joins, ["conn_id"], order, {"old_doc": ("prev", F.col("doc_id"))}, hot=hot)
-    moves = rows.filter(F.col("old_doc").isNull() | (F.col("old_doc") != F.col("doc_id")))
+    last = F.struct("doc_id", "ok")
+    rows = running(join_gate(joins, active), ["conn_id"], order, {"last": ("prev", last)}, hot=hot)
+    stays_in = (F.col("last.doc_id") == F.col("doc_id")) & F.col("last.ok")
+    moves = rows.filter(~F.coalesce(stays_in, F.lit(False)))
     moves = running(moves, ["conn_id"], order, {"left_at": ("prev", F.col("ts"))}, True, hot)
-    return moves.join(active, "doc_id", "left_semi").select(
+    return moves.filter("ok").select(
         "conn_id",
         "user_id",
         "doc_id",

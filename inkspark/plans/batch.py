@@ -12,7 +12,7 @@ from ..operators import documents, interactions, messages, oplog, presence, rank
 from ..operators.scan import running
 from ..operators.sequencer import sequence
 from ..runtime import materialize, new_path
-from ..schemas import ACCEPTED
+from ..schemas import ACCEPTED, PRESENCE_TTL
 from ..sources import event_log
 from ..sources.fixtures import AS_OF, BATCH_UNIT, NEW_ID_BASE, SMALL_RING, SNAPSHOT_UNIT, Inputs
 
@@ -86,8 +86,41 @@ def alive(i: Inputs) -> DataFrame:
     return presence.alive_with_names(state, state, AS_OF)
 
 
+def create_events(i: Inputs) -> DataFrame:
+    """The owners of created documents as members of the document their title resolves to."""
+    made = documents.create_documents(i.create_requests(), i.documents(), NEW_ID_BASE)
+    return i.create_requests().join(
+        made.select("event_id", F.col("document_id").alias("doc_id")), "event_id"
+    ).withColumn("ttl", F.lit(PRESENCE_TTL).cast("long"))
+
+
 def active(i: Inputs) -> DataFrame:
-    return presence.active_documents(i.heartbeats(), 2**62)
+    """Documents and when they became active, through a heartbeat or by being created."""
+    first = presence.active_since(presence.member_events(i.heartbeats(), create_events(i)))
+    # Back from the order over all events to the ids of the inputs.
+    since = F.struct(
+        F.col("since.ts").alias("ts"), F.floor(F.col("since.event_id") / 4).alias("event_id")
+    )
+    return first.select("doc_id", since.alias("since"))
+
+
+def join_events(i: Inputs) -> DataFrame:
+    """Joins that succeeded, as members."""
+    return (
+        presence.join_gate(i.joins(), active(i))
+        .filter("ok")
+        .withColumns(
+            {
+                "sec": scalars.epoch_seconds(F.col("ts")),
+                "username": F.concat(F.lit("u"), F.col("user_id").cast("string")),
+                "ttl": F.lit(PRESENCE_TTL).cast("long"),
+            }
+        )
+    )
+
+
+def member_events(i: Inputs) -> DataFrame:
+    return presence.member_events(i.heartbeats(), create_events(i), join_events(i))
 
 
 def stays(i: Inputs) -> DataFrame:
@@ -297,7 +330,7 @@ def count_convert(i: Inputs) -> DataFrame:
 
 @query
 def presence_state(i: Inputs) -> DataFrame:
-    return presence.state(i.heartbeats())
+    return presence.state(member_events(i))
 
 
 @query
@@ -331,7 +364,7 @@ def room_members(i: Inputs) -> DataFrame:
 
 @query
 def active_documents(i: Inputs) -> DataFrame:
-    return presence.active_documents(i.heartbeats(), AS_OF)
+    return presence.active_documents(member_events(i), AS_OF)
 
 
 @query

@@ -145,12 +145,36 @@ VIEWS = {
                user_id, CAST(k AS VARCHAR) AS doc_id
         FROM ev""",
     "requested": "SELECT DISTINCT doc_id FROM joins",
+    "creates": """
+        SELECT q.event_id, q.ts, q.sec, CAST(d.id AS VARCHAR) AS doc_id, q.user_id
+        FROM create_requests q
+        JOIN (SELECT title, min(id) AS id
+              FROM (SELECT title, id FROM documents_t
+                    UNION ALL SELECT title, event_id + 1000000000 FROM create_requests)
+              GROUP BY title) d USING (title)""",
+    "gated": """
+        SELECT j.*, EXISTS (SELECT 1 FROM first_active f
+                            WHERE f.doc_id = j.doc_id AND row(f.ts, f.event_id) <= row(j.ts, j.event_id)) AS ok
+        FROM joins j""",
+    "first_active": """
+        SELECT doc_id, ts, event_id
+        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts, event_id) AS n
+              FROM (SELECT doc_id, ts, event_id FROM heartbeats UNION ALL SELECT doc_id, ts, event_id FROM creates))
+        WHERE n = 1""",
+    "beats": """
+        SELECT doc_id, user_id, ts, sec, event_id, 0 AS phase, sec + 600 AS expire_at FROM creates
+        UNION ALL SELECT doc_id, user_id, ts, sec, event_id, 1, sec + ttl FROM heartbeats
+        UNION ALL SELECT doc_id, user_id, ts, CAST(floor(epoch(ts)) AS BIGINT), event_id, 2,
+                         CAST(floor(epoch(ts)) AS BIGINT) + 600
+                  FROM gated WHERE ok""",
     "stays": """
         SELECT conn_id, user_id, doc_id, us AS joined_us, left_us
         FROM (SELECT *, lead(us) OVER (PARTITION BY conn_id ORDER BY ts, event_id) AS left_us
-              FROM (SELECT *, lag(doc_id) OVER (PARTITION BY conn_id ORDER BY ts, event_id) AS old_doc FROM joins)
-              WHERE old_doc IS NULL OR old_doc <> doc_id)
-        WHERE doc_id IN (SELECT doc_id FROM heartbeats)""",
+              FROM (SELECT *, lag(doc_id) OVER (PARTITION BY conn_id ORDER BY ts, event_id) AS old_doc,
+                           lag(ok) OVER (PARTITION BY conn_id ORDER BY ts, event_id) AS old_ok
+                    FROM gated)
+              WHERE old_doc IS NULL OR old_doc <> doc_id OR NOT old_ok)
+        WHERE ok""",
     "users": "SELECT c_custkey AS id, c_name AS username FROM customer",
     "register_requests": """
         SELECT o_orderkey AS request_id,
@@ -160,7 +184,7 @@ VIEWS = {
     "documents_t": """
         SELECT doc_id AS id, doc_id % 100 AS owner_id, source || '/' || lang AS title FROM documents""",
     "create_requests": """
-        SELECT event_id, user_id, sec,
+        SELECT event_id, ts, user_id, sec,
                CASE WHEN event_id % 2 = 0 THEN 'note/' || CAST(k AS VARCHAR)
                     ELSE 'src' || CAST(k % 20 AS VARCHAR) || '/en' END AS title
         FROM ev WHERE event_id % 9 = 1""",
@@ -310,7 +334,11 @@ BODIES = {
                              WHEN 4 THEN ' ' || CAST(event_id AS VARCHAR)
                              ELSE '9223372036854775' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') END AS raw
                     FROM ev))""",
-    "presence_state": "SELECT doc_id, user_id, username, expire_at FROM final_members",
+    "presence_state": """
+        SELECT doc_id, user_id, 'u' || CAST(user_id AS VARCHAR) AS username, expire_at
+        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, user_id
+                                           ORDER BY ts DESC, event_id DESC, phase DESC) AS newest FROM beats)
+        WHERE newest = 1""",
     "presence_expired": f"SELECT doc_id, user_id, expire_at FROM members WHERE expire_at <= {AS_OF}",
     "presence_alive": "SELECT doc_id, user_id, expire_at, username, ord FROM named",
     "presence_quarantine": """
@@ -318,7 +346,7 @@ BODIES = {
         FROM heartbeats WHERE event_id % 53 = 0 OR event_id % 59 = 0""",
     "presence_alive_semi": "SELECT doc_id, user_id, username FROM named",
     "room_members": "SELECT DISTINCT doc_id, user_id FROM heartbeats",
-    "active_documents": f"SELECT DISTINCT doc_id FROM heartbeats WHERE sec <= {AS_OF}",
+    "active_documents": f"SELECT DISTINCT doc_id FROM beats WHERE sec <= {AS_OF}",
     "active_documents_from_keys": "SELECT DISTINCT doc_id FROM heartbeats",
     "presence_cleanup": f"""
         SELECT doc_id, count(*) FILTER (expire_at <= {AS_OF}) AS expired,
@@ -329,7 +357,7 @@ BODIES = {
         SELECT event_id, conn_id, doc_id, ok,
                CASE WHEN ok THEN 'Document ' || doc_id || ' joined by user ' || CAST(user_id AS VARCHAR)
                     ELSE 'Document ' || doc_id || ' not found' END AS content
-        FROM (SELECT *, doc_id IN (SELECT doc_id FROM heartbeats) AS ok FROM joins)""",
+        FROM gated""",
     "presence_sessions": """
         SELECT doc_id, user_id, min(sec) AS session_start, arg_max(expire_at, (ts, event_id)) AS session_end,
                count(*) AS heartbeats
@@ -415,7 +443,8 @@ BODIES = {
         FROM register_requests r LEFT JOIN users u USING (username)""",
     "create_documents": """
         SELECT q.event_id, CAST(q.event_id + 1000000000 AS VARCHAR) AS created_id, q.user_id AS owner_id, q.title,
-               CAST(d.id AS VARCHAR) AS document_id, q.sec + 600 AS expire_at,
+               CAST(d.id AS VARCHAR) AS document_id, 'u' || CAST(q.user_id AS VARCHAR) AS username,
+               q.sec + 600 AS expire_at,
                'Document ' || CAST(d.id AS VARCHAR) || ' created by user ' || CAST(q.user_id AS VARCHAR) AS content
         FROM create_requests q
         JOIN (SELECT title, min(id) AS id

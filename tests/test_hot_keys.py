@@ -54,6 +54,17 @@ def plain_settings_after(spark):
         spark.conf.unset(key)
 
 
+def test_a_key_of_equal_rows_is_hot(spark, tmp_path):
+    """Rows that compress to almost nothing still count one by one."""
+    path = str(tmp_path / "equal")
+    rows = spark.range(3000).select(F.lit("a").alias("k"), F.lit(1).alias("t"))
+    rows.unionByName(spark.sql("SELECT 'b' k, 1 t")).coalesce(1).write.parquet(path)
+    table = spark.read.parquet(path)
+    assert runtime.hot_keys(table, ["k"]) is None
+    spark.conf.set(runtime.MAX_GROUP_ROWS, "1000")
+    assert [r.k for r in runtime.hot_keys(table, ["k"]).collect()] == ["a"]
+
+
 @pytest.mark.parametrize("name", sorted(SPLIT))
 def test_split_keys_match_sql(spark, name):
     _, expected = duck_rows(connect(SF), ORACLE[name])

@@ -42,6 +42,20 @@ def test_torn_records_go_to_quarantine(spark):
     assert good.isEmpty() and bad.count() == 3
 
 
+def test_records_with_fields_of_another_type_go_to_quarantine(spark):
+    whole = (
+        '{"eventType":"OP_APPLIED","docId":"a","operationId":"o","revision":1,"authorId":1,'
+        '"clientId":"c","clientSeq":1,"baseRevision":0,"ops":[],"appliedAt":"2024-01-01T00:00:00.0Z"}'
+    )
+    bad = [
+        whole.replace('"revision":1', '"revision":"x7"'), whole.replace("[]", '"nonsense"'),
+        whole.replace('"revision":1,', ""), whole.replace("OP_APPLIED", "OTHER"),
+    ]
+    records = spark.createDataFrame([("a", v) for v in [whole, *bad]], "key STRING, value STRING")
+    good, torn = event_log.split_corrupt(event_log.decode(records))
+    assert good.count() == 1 and {r.value for r in torn.collect()} == set(bad)
+
+
 def test_snapshot_append_skips_stored_keys(spark, tmp_path):
     schema = "document_id STRING, revision LONG, content STRING"
     path = str(tmp_path / "snapshots")

@@ -59,6 +59,22 @@ def test_session_at_the_second_of_expiry_goes_on_in_the_next_batch(spark, tmp_pa
     assert sorted(map(tuple, got.collect())) == [(100, 160, 2), (161, 166, 1)]
 
 
+def test_open_sessions_outlive_an_empty_batch_and_a_new_process(spark, tmp_path):
+    schema = "event_id LONG, ts TIMESTAMP_NTZ, sec LONG, doc_id STRING, user_id LONG, ttl LONG"
+    rows = spark.createDataFrame(
+        [(n, None, sec, "d", user, ttl) for n, (sec, user, ttl) in
+         enumerate([(100, 1, 50), (120, 1, 50), (900, 2, 1)])],
+        schema,
+    ).withColumn("ts", F.timestamp_seconds("sec").cast("timestamp_ntz"))
+    out = str(tmp_path / "sessions")
+    parts = [rows.limit(0), rows.filter("event_id = 0"), rows.limit(0), rows.filter("event_id = 1"),
+             rows.limit(0), rows.filter("event_id = 2")]
+    for n, part in enumerate(parts):
+        presence.SessionSink(spark, out)(part, n)  # a new object for every batch
+    got = spark.read.parquet(out).select("user_id", "session_start", "session_end", "heartbeats")
+    assert sorted(map(tuple, got.collect())) == [(1, 100, 170, 2)]
+
+
 def test_reorder_waits_for_late_events_and_gives_up_on_lost_ones(spark):
     log = op_log(sequence(Inputs(spark, SF).submissions())).filter("doc_id = '3'")
     log = log.withColumn("applied_at", F.timestamp_millis(F.col("revision") * 1000))
