@@ -23,6 +23,7 @@ PERCENT = 80  # smallest similarity of a link
 K = 64  # retained values
 MISS = 1e-7  # chance that the sketches of a pair at `PERCENT` share fewer values than asked for
 CHUNK = 256  # partners of a document whose sets one task reads against its set
+SMALL_LIST = 16  # members of a list, or classes with a shingle, that are compared directly
 STAR_ROUNDS = 3  # rounds of links to one member of a list before the rest is compared
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -134,6 +135,77 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * inter >= percent * union).select("a", "b")
 
 
+def _may_link(x: Column, y: Column, percent: int) -> Column:
+    """For structs c, own (what a class holds alone) and common (the rest of its set): the
+    intersection is no larger than either common part, and the union holds what both hold
+    alone and the larger common part."""
+    union = x["own"] + y["own"] + F.greatest(x["common"], y["common"])
+    return 100 * F.least(x["common"], y["common"]) >= percent * union
+
+
+def _ordered(x: Column, y: Column) -> list[Column]:
+    return [F.least(x["c"], y["c"]).alias("a"), F.greatest(x["c"], y["c"]).alias("b")]
+
+
+def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a list and may still be linked.
+
+    `members`: value, m and root of the lists that hold several components. In lists of up to
+    `SMALL_LIST` members all such pairs are taken. In a longer one a pair either shares a
+    shingle that few members of long lists have, and is found by that shingle; or it shares
+    none of those, so that all of them count as held alone, which rules out most pairs before
+    they are made. One side of each pair lies outside the component of the list's hub.
+    """
+    sizes = members.groupBy("value").agg(F.count("*").alias("n"))
+    sized = freeze(members.join(sizes, "value"), "open-lists")
+    short = sized.filter(F.col("n") <= SMALL_LIST).select("value", "m", "root")
+    other = short.select("value", F.col("m").alias("o"), F.col("root").alias("root_o"))
+    differ = F.col("root") != F.col("root_o")
+    pairs = short.join(other, "value").filter(
+        (F.col("m.c") < F.col("o.c")) & differ & _may_link(F.col("m"), F.col("o"), percent)
+    )
+    pairs = pairs.select(*_ordered(F.col("m"), F.col("o")))
+
+    long = sized.filter(F.col("n") > SMALL_LIST).select("value", F.col("m.c").alias("c"), "root")
+    if long.isEmpty():
+        return pairs
+    of = long.select("c", "root").distinct()
+    held = sets.join(of, "c").select("c", "root", "s")
+    each = held.select("c", "root", F.explode("s").alias("v"))
+    few = each.groupBy("v").agg(F.count("*").alias("n")).filter(F.col("n") <= SMALL_LIST)
+    rare = freeze(each.join(few, "v"), "rare-shingles")
+    own = rare.groupBy("c").agg(F.count("*").alias("own"))
+    facts = held.join(own, "c", "left").select(
+        "c",
+        F.coalesce("own", F.lit(0).cast("long")).alias("own"),
+        (F.size("s") - F.coalesce("own", F.lit(0).cast("long"))).alias("common"),
+    )
+    able = 100 * F.col("common") >= percent * (F.col("own") + F.col("common"))
+    known = freeze(
+        long.join(facts.filter(able), "c").select(
+            "value", F.struct("c", "own", "common").alias("m"), "root"
+        ),
+        "long-lists",
+    )
+    hub = F.min_by("root", F.struct("m.own", "m.c")).alias("hub_root")
+    outside = known.join(known.groupBy("value").agg(hub), "value").filter("root != hub_root")
+    other = known.select("value", F.col("m").alias("o"), F.col("root").alias("root_o"))
+    spread = outside.join(other, "value").filter(
+        differ & _may_link(F.col("m"), F.col("o"), percent)
+    )
+    # By a shared rare shingle: one side is outside the hub's component of some long list.
+    hubs = long.groupBy("value").agg(F.min_by("root", F.struct("c")).alias("hub_root"))
+    apart = long.join(hubs, "value").filter("root != hub_root").select("c").distinct()
+    met = rare.filter("n > 1").select("v", F.struct("c").alias("m"), "root")
+    mine = met.join(apart, F.col("m.c") == F.col("c"), "left_semi")
+    other = met.select("v", F.col("m").alias("o"), F.col("root").alias("root_o"))
+    shared = mine.join(other, "v").filter(differ)
+    return (
+        pairs.unionByName(spread.select(*_ordered(F.col("m"), F.col("o"))))
+        .unionByName(shared.select(*_ordered(F.col("m"), F.col("o"))))
+    )
+
+
 def linked_classes(
     classes: DataFrame, docs: DataFrame, n: int, k: int, percent: int
 ) -> DataFrame:
@@ -153,40 +225,54 @@ def linked_classes(
         .dropDuplicates(["c"]),
         "sets",
     )
+    # What a class holds alone among them bounds its similarity to any other.
+    alone = (
+        sets.select("c", F.explode("s").alias("v"))
+        .groupBy("v")
+        .agg(F.count("*").alias("n"), F.first("c").alias("c"))
+        .filter("n = 1")
+        .groupBy("c")
+        .agg(F.count("*").alias("own"))
+    )
+    held = sets.select("c", F.size("s").cast("long").alias("size")).join(alone, "c", "left")
+    held = held.withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
+    held = held.withColumn("common", F.col("size") - F.col("own"))
+    lists = freeze(
+        lists.join(held.filter(100 * F.col("common") >= percent * F.col("size")), "c").select(
+            "value", F.struct("c", "own", "common").alias("m")
+        ),
+        "lists",
+    )
+
     links = spark.createDataFrame([], "a long, b long")
-    tried = None
-    roots = None
+    tried = roots = None
     for turn in range(STAR_ROUNDS + 1):
-        members = lists
-        if roots is not None:
-            members = lists.join(roots.withColumnRenamed("node", "c"), "c", "left")
-        label = F.col("c") if roots is None else F.coalesce("root", "c")
-        members = members.select("value", "c", label.alias("root"))
-        open_ = (
-            members.groupBy("value")
-            .agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-            .filter("lo != hi")
-        )
+        if roots is None:
+            members = lists.withColumn("root", F.col("m.c"))
+        else:
+            members = (
+                lists.withColumn("node", F.col("m.c"))
+                .join(roots, "node", "left")
+                .select("value", "m", F.coalesce("root", "node").alias("root"))
+            )
+        open_ = members.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+        open_ = open_.filter("lo != hi").select("value")
         if open_.isEmpty():
             break
+        members = members.join(open_, "value")
         if turn < STAR_ROUNDS:
             # One member of every list against those of other components. The choice is the
-            # same in all lists a group of copies shares.
-            order = F.struct(F.xxhash64("c", F.lit(turn)), "c")
-            hubs = (
-                members.join(open_.select("value"), "value")
-                .groupBy("value")
-                .agg(F.min_by("c", order).alias("hub"), F.min_by("root", order).alias("hub_root"))
-            )
-            pairs = members.join(hubs, "value").filter("root != hub_root")
-            pairs = pairs.select(
-                F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")
+            # same in all lists that a group of copies shares: first the member with the least
+            # of its own, which is nearest to the others, then any.
+            first = F.col("m.own") if turn == 0 else F.xxhash64("m.c", F.lit(turn))
+            hub = F.min_by(F.struct("m", "root"), F.struct(first, "m.c")).alias("hub")
+            hubs = members.groupBy("value").agg(hub)
+            pairs = members.join(hubs, "value").filter(
+                (F.col("root") != F.col("hub.root")) & _may_link(F.col("m"), F.col("hub.m"), percent)
             )
+            pairs = pairs.select(*_ordered(F.col("m"), F.col("hub.m")))
         else:
-            left = members.join(open_.select("value"), "value")
-            right = left.select("value", F.col("c").alias("d"), F.col("root").alias("root_d"))
-            pairs = left.join(right, "value").filter("c < d and root != root_d")
-            pairs = pairs.select(F.col("c").alias("a"), F.col("d").alias("b"))
+            pairs = _rest(members, sets, percent)
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -194,7 +280,7 @@ def linked_classes(
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = freeze(links.unionByName(_confirmed(pairs, sets, percent)), "confirmed")
         roots = components(links)
-    return components(links)
+    return components(links) if roots is None else roots
 
 
 def near_dedup(

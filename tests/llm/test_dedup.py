@@ -84,15 +84,18 @@ def test_near_dedup_matches_brute_force(spark):
     assert len(got) == len(rows)
 
 
-def test_near_dedup_of_many_edits(spark):
+@pytest.mark.parametrize("rounds,small", [(3, 16), (0, 2)])
+def test_near_dedup_of_many_edits(spark, monkeypatch, rounds, small):
     """A large group whose members are linked in chains, and a passage that most share."""
+    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(near_dedup, "SMALL_LIST", small)
     rng = random.Random(5)
     base, passage = prose(rng, 120).split(), prose(rng, 60)
     rows = []
     for i in range(60):
         copy = list(base)
-        for _ in range(rng.randint(0, 4)):
-            copy[rng.randrange(len(copy))] = f"edit{rng.random()}"
+        for _ in range(rng.randint(0, 7)):
+            copy[rng.randrange(len(copy))] = f"edit{rng.randrange(9)}"
         rows.append((i, " ".join(copy)))
     rows += [(100 + i, passage + " " + prose(rng, 70)) for i in range(40)]
     rows += [(200 + i, prose(rng, i % 6)) for i in range(12)]
