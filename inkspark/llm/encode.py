@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Callable
+import sys
+from array import array
+from collections.abc import Iterator
 
-import numpy as np
 
-MAX_CACHED = 400_000  # words whose ids one Python worker remembers
-# A space beside other white space: only there can a token reach over the start of a word.
-_LOOSE = re.compile(r"\s(?= )| (?=\s)|^\s|\s$")
+MAX_CACHED = 600_000  # words in each of the two halves of a Python worker's cache
+# White space besides the space and the line feed, as str.isspace has it.
+_OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+
+
+def _loose(text: str, parts: list[str]) -> bool:
+    """Whether a token may reach over the start of a word: where a space stands beside other
+    white space (or at an end), or the text holds other white space at all."""
+    if "" in parts or "\n " in text or " \n" in text:
+        return True
+    return any(c in text for c in (_OTHER[:8] if text.isascii() else _OTHER))
+
+
+# array("I") is written as it lies in memory.
+assert sys.byteorder == "little" and array("I").itemsize == 4
 
 
 class Encoder:
@@ -19,7 +31,8 @@ class Encoder:
     Byte-level BPE splits a text before it merges, and never over a single space between two
     words. So a text whose spaces all stand single is encoded word by word through a bounded
     cache, with each new word encoded by the library; any other text is encoded whole. The ids
-    are the same (tests/llm compares them). Strings of special tokens are ordinary text.
+    are the same (tests/llm compares them). Strings of special tokens are ordinary text. When
+    the cache is full its older half goes, but for the words that were used since.
     """
 
     def __init__(self, path: str, max_cached: int = MAX_CACHED):
@@ -28,24 +41,32 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # Only new words reach the library, so its own cache would never be hit.
+        self.tokenizer.model._resize_cache(0)
         self.max_cached = max_cached
         self.known: dict[str, bytes] = {}  # word without its space -> ids with the space
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
-        split = [None if _LOOSE.search(t) else t.split(" ") for t in texts]
+        split = [t.split(" ") for t in texts]
+        split = [None if _loose(t, s) else s for t, s in zip(texts, split, strict=True)]
         if len(self.known) > self.max_cached:
-            self.known.clear()
-        known = self.known
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         found = [None if s is None else list(map(known.get, s[1:])) for s in split]
         new: set[str] = set()
         for s, f in zip(split, found, strict=True):
             if f is not None and None in f:
                 new.update(w for w, ids in zip(s[1:], f, strict=True) if ids is None)
+        again = new & older.keys()
+        if again:
+            known.update((w, older[w]) for w in again)
+            new -= again
         if new:
             order = list(new)
             known.update(zip(order, self._whole([" " + w for w in order]), strict=True))
@@ -71,7 +92,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def in_slices(values: list, most: int = 2_000_000) -> Callable:
+def in_slices(values: list, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Runs of neighbours whose texts hold about `most` characters, as (from, to)."""
     start, held = 0, 0
     for i, v in enumerate(values):
