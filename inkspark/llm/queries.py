@@ -97,8 +97,74 @@ QUERIES = {
     "op10_shards": op10_shards,
 }
 
+# Windows of lines just long enough, from each line on and up to each line; of equal windows
+# all but the first are copies, unless they overlap it.
+_LINES = r"""
+        WITH line AS (
+          SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS no
+          FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+        numbered AS (
+          SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS seq
+          FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM line)
+          WHERE n > 0),
+        summed AS (
+          SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY seq) AS upto FROM numbered),
+        run AS (
+          SELECT a.doc_id, a.seq AS start, b.seq - a.seq + 1 AS d
+          FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.seq BETWEEN a.seq AND a.seq + @ - 1
+          WHERE b.upto - a.upto + a.n >= @
+            AND (b.upto - b.n - a.upto + a.n < @ OR b.upto - a.upto < @)),
+        named AS (
+          SELECT r.doc_id, start, d, string_agg(line, chr(10) ORDER BY seq) AS body
+          FROM run r JOIN numbered l ON l.doc_id = r.doc_id AND seq BETWEEN start AND start + d - 1
+          GROUP BY r.doc_id, start, d),
+        placed AS (
+          SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(start) OVER w AS first_start
+          FROM named WINDOW w AS (PARTITION BY body ORDER BY doc_id, start)),
+        cut AS (
+          SELECT DISTINCT l.doc_id, l.no
+          FROM placed p JOIN numbered l ON l.doc_id = p.doc_id AND seq BETWEEN start AND start + d - 1
+          WHERE NOT (first_doc = p.doc_id AND start < first_start + d)),
+        rest AS (
+          SELECT doc_id, count(c.no) AS lines_removed,
+                 string_agg(line, chr(10) ORDER BY l.no) FILTER (c.no IS NULL) AS body
+          FROM line l LEFT JOIN cut c USING (doc_id, no) GROUP BY doc_id)
+        SELECT doc_id, CASE WHEN lines_removed > 0 THEN coalesce(body, '') ELSE text END AS text,
+               coalesce(lines_removed, 0) AS lines_removed
+        FROM documents LEFT JOIN rest USING (doc_id)
+"""
+
+# Every pair that shares a shingle is counted; components are what can be reached.
+_NEAR = r"""
+        WITH RECURSIVE word AS (
+          SELECT doc_id, regexp_extract_all(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x20\x09-\x0D]+') AS w
+          FROM documents),
+        held AS MATERIALIZED (
+          SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(
+                                [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)])
+                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+          FROM word),
+        each AS MATERIALIZED (SELECT doc_id, unnest(s) AS v FROM held),
+        pair AS (
+          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+          FROM each a JOIN each b ON a.v = b.v AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        link AS MATERIALIZED (
+          SELECT a, b FROM pair JOIN held x ON x.doc_id = a JOIN held y ON y.doc_id = b
+          WHERE 100 * c >= 80 * (len(x.s) + len(y.s) - c)),
+        reach AS (
+          SELECT doc_id, doc_id AS other FROM held
+          UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other)
+        SELECT doc_id, len(any_value(s)) AS n_shingles, min(other) AS component_id,
+               doc_id = min(other) AS kept
+        FROM held JOIN reach USING (doc_id) GROUP BY doc_id
+"""
+
 # Of equal texts (runs of white space as one space) the smallest id stays.
 ORACLE: dict[str, str] = {
+    "op1_line_dedup": _LINES.replace("@", str(line.MIN_WORDS)),
+    "op2_near_dedup": _NEAR,
     "op5_license_scan": licenses.oracle(),
     "op9_exact_dedup": r"""
         WITH hashed AS (

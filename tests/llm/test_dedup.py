@@ -13,10 +13,11 @@ from inkspark.llm import exact_dedup, graph, line_dedup, near_dedup
 from inkspark.llm.queries import ORACLE, QUERIES
 
 
-def test_exact_dedup_matches_sql(spark):
-    name = "op9_exact_dedup"
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_near_dedup", "op9_exact_dedup"])
+def test_dedup_matches_sql(spark, name):
     out = QUERIES[name](spark, SF)
-    _, expected = duck_rows(connect(SF), ORACLE[name])
+    columns, expected = duck_rows(connect(SF), ORACLE[name])
+    assert sorted(out.columns) == sorted(columns)
     assert spark_rows(out) == expected
 
 
