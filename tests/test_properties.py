@@ -59,7 +59,7 @@ def test_input_order_does_not_matter(spark, inputs):
         return df.repartition(13, F.xxhash64("event_id", F.lit("mix")))
 
     beats, toggles, joins = inputs.heartbeats(), inputs.interactions(), inputs.joins()
-    active = beats.select("doc_id").distinct()
+    active = presence.active_since(beats)
     for build, rows in [
         (presence.sessions, beats),
         (presence.alive_at_heartbeats, beats),
@@ -105,7 +105,7 @@ def test_fanout_skips_only_the_sending_connection(spark):
 
 def test_outbox_holds_every_delivery(inputs):
     log = op_log(sequence(inputs.submissions()))
-    stays = rooms.intervals(inputs.joins(), inputs.heartbeats().select("doc_id").distinct())
+    stays = rooms.intervals(inputs.joins(), presence.active_since(inputs.heartbeats()))
     ranges = rooms.delivery_ranges(op_times(log), stays)
     messages = rooms.outbox(ranges, log.select("doc_id", "revision", "conn_id"))
     per_op = messages.groupBy("doc_id", "revision").agg(F.count("*").alias("recipients"))
