@@ -117,6 +117,22 @@ def test_license_rules(spark):
     assert licenses.license_scan(empty(spark)).count() == 0
 
 
+def test_every_lead_with_every_name(spark):
+    verbs = ["licensed", "released", "distributed", "available", "published", "provided",
+             "made available", "shared"]
+    names = {f: v[len("name:"):] for f, v in licenses.known().items() if f.startswith("under ")}
+    assert "under gpl v3" in names and "under cc by sa 4 0" in names
+    rows = [
+        (f"{verb} {form}", lead.format(verb, form), name)
+        for form, name in names.items()
+        for verb in verbs
+        for lead in ("{} {}.", "Text.\nThis work is {} {}.\nText.")
+    ]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, name string")
+    got = licenses.license_scan(docs).select("doc_id", "licenses").collect()
+    assert Counter(map(tuple, got)) == Counter((d, name) for d, _, name in rows)
+
+
 def brute_base(text):
     w = words(text)
     windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
