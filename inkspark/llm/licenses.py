@@ -56,6 +56,19 @@ LEAD = (
     r"|article|library|material|data|dataset) (?:is|are) )?(?:licensed|released|distributed"
     r"|available|published|provided|made available|shared) under (?:the terms of )?(?:the |a |an )?"
 )
+# Licences of the GNU project and their versions, in normal form.
+FAMILIES = {
+    "gnu general public license": ("GPL", ("1.0", "2.0", "3.0")),
+    "gnu lesser general public license": ("LGPL", ("2.1", "3.0")),
+    "gnu affero general public license": ("AGPL", ("3.0",)),
+}
+# Versions that the notice with a semicolon names: "... Foundation; either version 2 ...".
+CUT_NOTICES = {
+    "gnu general public license": ("GPL", ("1.0", "2.0", "3.0")),
+    "gnu library general public license": ("LGPL", ("2.0",)),
+    "gnu lesser general public license": ("LGPL", ("2.0", "2.1", "3.0")),
+    "gnu affero general public license": ("AGPL", ("3.0",)),
+}
 SPDX = "spdx license identifier "
 # Words of known sentences, which only the SQL reads. A name after "under" may hold none of them.
 HINT = (
@@ -68,12 +81,7 @@ def known() -> dict[str, str]:
     """Normal form -> identifier of every known sentence; names are led by "under "."""
     out = {text: name for name, text in SENTENCES.items()}
     names = dict(NAMES)
-    families = {
-        "gnu general public license": ("GPL", ("1.0", "2.0", "3.0")),
-        "gnu lesser general public license": ("LGPL", ("2.1", "3.0")),
-        "gnu affero general public license": ("AGPL", ("3.0",)),
-    }
-    for long, (short, versions) in families.items():
+    for long, (short, versions) in FAMILIES.items():
         for v in versions:
             spdx = f"{short}-{v}"
             for said in {v, v.removesuffix(".0")}:
@@ -86,6 +94,14 @@ def known() -> dict[str, str]:
                 later = f"you can redistribute it and or modify it under the terms of the {asked}"
                 for end in ("", " or at your option any later version"):
                     out[f"{later} of the license{end}"] = f"gpl_terms:{spdx}-or-later"
+    for long, (short, versions) in CUT_NOTICES.items():
+        terms = f"you can redistribute it and or modify it under the terms of the {long}"
+        out[f"{terms} as published by the free software foundation"] = f"gpl_notice:{short}"
+        for v in versions:
+            for said in {v, v.removesuffix(".0")}:
+                for end in ("", " or at your option any later version"):
+                    form = f"either version {said.replace('.', ' ')} of the license{end}"
+                    out[form] = f"gpl_version:{v}"
     kinds = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
     words = {"by": "attribution", "sa": "sharealike", "nc": "noncommercial", "nd": "noderivatives"}
     for kind in kinds:
@@ -104,12 +120,23 @@ def known() -> dict[str, str]:
     return out
 
 
+def older() -> dict[str, str]:
+    """Like known(): the ends of older notices, which do not say "of the License".
+
+    They hold no word of HINT, so only the operator reads them.
+    """
+    ends = {k: v for k, v in known().items() if v.startswith("gpl_version:")}
+    return {k.replace(" of the license", ""): v for k, v in ends.items()}
+
+
 def rules() -> list[tuple[str, list[str]]]:
-    """(licence, identifiers in order)."""
+    """(licence, identifiers in order); two joined by "|" follow each other directly."""
     named = sorted({v for v in known().values() if v.startswith(("name:", "gpl_terms:"))})
     out = [(v.partition(":")[2], [v]) for v in named]
+    cut = sorted({(short, v) for short, versions in CUT_NOTICES.values() for v in versions})
     return [
         *out,
+        *((f"{short}-{v}-or-later", [f"gpl_notice:{short}|gpl_version:{v}"]) for short, v in cut),
         ("MIT", ["mit_grant", "mit_notice"]),
         ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_names"]),
         ("BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary"]),
@@ -141,7 +168,7 @@ def _matched(text: Column) -> Column:
 
     A sentence may run over several lines; where the whole is not known its lines are tried.
     """
-    table = known()
+    table = known() | older()
     pairs = F.map_from_arrays(
         F.split(F.lit(HARD.join(table)), HARD), F.split(F.lit(HARD.join(table.values())), HARD)
     )
@@ -161,7 +188,7 @@ def _matched(text: Column) -> Column:
 
 def _pattern(ids: list[str]) -> str:
     """Identifiers in order in a sequence that is written "|a|b|c|"."""
-    escaped = [i.replace(".", r"\.") for i in ids]
+    escaped = [i.replace(".", r"\.").replace("|", r"\|") for i in ids]
     return r"\|" + r"\|(?:[^|]+\|)*".join(escaped) + r"\|"
 
 

@@ -133,6 +133,44 @@ def test_every_lead_with_every_name(spark):
     assert Counter(map(tuple, got)) == Counter((d, name) for d, _, name in rows)
 
 
+NOTICE = """    This {what} is free software; you can redistribute it and/or modify
+    it under the terms of the GNU {kind} as published by
+    the Free Software Foundation; either version {v}, or
+    (at your option) any later version.
+
+    This {what} is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU {kind} for more details.
+"""
+
+
+def test_gnu_notices_with_a_semicolon(spark):
+    def notice(kind, v, what="program"):
+        return NOTICE.format(kind=kind, v=v, what=what)
+
+    gpl, lesser = "General Public License", "Lesser General Public\n    License"
+    gpl2, lgpl3 = notice(gpl, "2 of the License"), notice(lesser, "3 of the License", "library")
+    rows = [
+        (1, gpl2), (2, notice(lesser, "2.1 of the License", "library")), (3, notice(gpl, "1")),
+        (4, notice("Library " + gpl, "2 of the License", "library")),
+        (5, "\n".join(" * " + x.strip() for x in gpl2.split("\n"))),
+        (6, gpl2 + "\n\n" + lgpl3), (7, "Either version 2 of the License; see there."),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.license_scan(docs).collect()}
+    assert got == {
+        1: "GPL-2.0-or-later", 2: "LGPL-2.1-or-later", 3: "GPL-1.0-or-later",
+        4: "LGPL-2.0-or-later", 5: "GPL-2.0-or-later",
+        6: "GPL-2.0-or-later + LGPL-3.0-or-later", 7: "",
+    }
+    con = connect(SF)
+    both = docs.filter("doc_id <> 3")  # the SQL does not know the older form
+    con.register("held", both.toPandas())
+    _, expected = duck_rows(con, licenses.oracle("held"))
+    assert spark_rows(licenses.license_scan(both).drop("matches")) == expected
+
+
 def brute_base(text):
     w = words(text)
     windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
