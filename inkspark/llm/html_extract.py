@@ -23,10 +23,16 @@ PARTS = 32  # partial wrappers of a host, aligned side by side before they are j
 
 # Fixed values of HTML: elements without content, with raw content, and inside a line.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea xmp iframe noembed noframes noscript template svg math".split())
+RAW = set(
+    "script style textarea xmp iframe noembed noframes noscript template svg annotation "
+    "annotation-xml".split()
+)
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark "
-    "q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfrac mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom "
+    "mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder "
+    "munderover none semantics".split()
 )
 CLOSES_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption "
@@ -40,17 +46,33 @@ CLOSED_BY_SIBLING = {
 # Elements, and words in class, id or role, of what is not the article.
 NOISE_TAGS = set(
     "head nav header footer aside form menu dialog button select input option fieldset "
-    "figcaption object applet canvas audio video".split()
+    "object applet canvas audio video".split()
 )
 NOISE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs "
-    "byline comment comments commentlist consent cookie cookies disclaimer disqus feedback "
-    "footer gdpr header legal login masthead menu menubar meta modal nav navbar navigation "
+    "comment comments commentlist consent cookie cookies disclaimer disqus feedback "
+    "footer gdpr header legal login masthead menu menubar modal nav navbar navigation "
     "newsletter notice notices notification overlay paginate pagination pager paywall popup "
     "promo promotion recommended related replies reply respond search share sharing sidebar "
-    "signup skip social sponsor sponsored subscribe subscription tags teaser toolbar tracking "
+    "signup skip social sponsor sponsored subscribe subscription teaser toolbar tracking "
     "widget widgets contentinfo complementary".split()
 )
+# A name is noise where it is or ends with such a word ("site-footer"), or begins with one and
+# ends with a word for a part of a page ("share-buttons"), and says not that it only has one.
+PARTS_OF_PAGES = set(
+    "area banner bar block body bottom box button buttons column container content feed form "
+    "group icon icons inner item items label left link links list main outer panel popup post "
+    "posts right row section strip text title top unit wrap wrapper zone".split()
+)
+HAVING = set("has have with without no not is and above below after before".split())
+# Headings and blocks of text are noise only where a class is one of the words of NOISE_WORDS
+# that say that something is not the author's text.
+TEXT_TAGS = set("h1 h2 h3 h4 h5 h6 p pre blockquote li dt dd td th figure figcaption".split())
+TEXT_NOISE = set(
+    "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs cookie cookies "
+    "login newsletter pagination pager paywall promo promotion share sharing signup skip sponsor "
+    "sponsored subscribe tracking".split()
+)
 MAIN_WORDS = set(
     "article articlebody blogpost body content entry main maincontent post story text".split()
 )
@@ -67,13 +89,20 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden
 
 
 def _label(tag: str, attrs: str) -> str:
-    """The tag with the words of its class, id, role and itemprop."""
+    """The tag with the names in its class, id, role and itemprop, as words joined by "-".
+
+    Headings and text blocks go without their ids, which name what the text is about.
+    """
     if not attrs or attrs.isspace():
         return tag
     found = set()
     for name, value in _ATTR.findall(attrs):
-        if name.lower() in ("class", "id", "role", "itemprop"):
-            found.update(_WORDS.findall(_CAMEL.sub(" ", value).lower()))
+        name = name.lower()
+        if name in ("class", "role", "itemprop") or (name == "id" and tag not in TEXT_TAGS):
+            for one in value.strip("\"'").split():
+                words = _WORDS.findall(_CAMEL.sub(" ", one).lower())
+                if words:
+                    found.add("-".join(words))
     if _HIDDEN.search(attrs):
         found.add("hidden")
     return ".".join([tag, *sorted(found)])
@@ -234,23 +263,45 @@ def pattern(wrapper: list) -> str:
     return body
 
 
+def _names_noise(name: str, inside_article: bool) -> bool:
+    words = name.split("-")
+    if HAVING & set(words[:-1]):
+        return False
+    noise = NOISE_WORDS - {"header"} if inside_article else NOISE_WORDS
+    return words[-1] in noise or (words[0] in noise and words[-1] in PARTS_OF_PAGES)
+
+
 def _noise(label: str, inside_article: bool) -> bool:
     tag, *named = label.split(".")
-    if tag == "header" and inside_article and not NOISE_WORDS & (set(named) - {"header"}):
-        return False
-    if tag in NOISE_TAGS or "hidden" in named:
+    if "hidden" in named or (tag in NOISE_TAGS and not (tag == "header" and inside_article)):
         return True
-    return tag not in ("html", "body", "article", "main") and bool(NOISE_WORDS & set(named))
+    if tag in TEXT_TAGS:
+        return bool(TEXT_NOISE & set(named))
+    kept = tag in ("html", "body", "article", "main")
+    return not kept and any(_names_noise(name, inside_article) for name in named)
 
 
 def _kind(label: str) -> int:
     """How clearly an element says that it holds the article; 0: not at all."""
-    tag, *named = label.split(".")
+    tag, *names = label.split(".")
+    named = {word for name in names for word in name.split("-")}
     if tag == "article" or "articlebody" in named:
         return 3
     if tag == "main" or "main" in named or "maincontent" in named:
         return 2
-    return int(tag in ("div", "section", "td") and bool(MAIN_WORDS & set(named)))
+    return int(tag in ("div", "section", "td") and bool(MAIN_WORDS & named))
+
+
+def _holds(node: list) -> int:
+    """The clearest kind of the single elements in a node that are no noise themselves."""
+    best = 0
+    for child in node[3]:
+        if child[0] != "#" and not child[2]:
+            tag = child[0].partition(".")[0]
+            if tag not in NOISE_TAGS or tag == "form":
+                own = 0 if _noise(child[0], False) else _kind(child[0])
+                best = max(best, own, _holds(child))
+    return best
 
 
 def main_paths(wrapper: list) -> list[str]:
@@ -258,19 +309,28 @@ def main_paths(wrapper: list) -> list[str]:
 
     Inside the elements that say most clearly that they are the article, and where none does
     in the whole page; leaving out menus, headers, footers, sidebars, notices, adverts, forms
-    and comments.
+    and comments. An element that holds the only article is never left out for its name.
     """
-    slots: list[tuple[str, int]] = []
 
-    def visit(node: list, path: str, best: int) -> None:
+    def visit(node: list, path: str, best: int, opened: int) -> None:
         for child in node[3]:
+            tag, *named = child[0].split(".")
             if child[0] == "#":
                 slots.append((path, best))
             elif not _noise(child[0], best == 3):
-                visit(child, f"{path}/{child[0]}", max(best, _kind(child[0])))
+                visit(child, f"{path}/{child[0]}", max(best, _kind(child[0])), opened)
+            elif opened and "hidden" not in named and (tag not in NOISE_TAGS or tag == "form"):
+                if _holds(child) == opened:
+                    visit(child, f"{path}/{child[0]}", best, opened)
 
-    visit(wrapper, "", 0)
+    slots: list[tuple[str, int]] = []
+    visit(wrapper, "", 0, 0)
     top = max((k for _, k in slots), default=0)
+    if top == 0 and (opened := _holds(wrapper)):
+        # The article stands in an element that is named like noise: a layout, or a form.
+        slots.clear()
+        visit(wrapper, "", 0, opened)
+        top = max((k for _, k in slots), default=0)
     return sorted({path for path, kind in slots if kind == top})
 
 

@@ -55,6 +55,33 @@ def test_main_text_of_a_page(spark):
     assert html_extract.extract(pages).count() == len(rows)
 
 
+def test_text_stays_where_a_name_only_holds_a_noise_word(spark):
+    body = (
+        "<h2 id='related-work'>a</h2><section id='social-impact'><p>b</p></section>"
+        "<h2 id='legal-notice-periods'>c</h2><p class='alert'>d</p><p class='byline'>e</p>"
+        "<figure><img src=x><figcaption>f</figcaption></figure><div class='meta'>g</div>"
+        "<p>h <math><mi>i</mi><mo>=</mo><mn>1</mn></math></p>"
+        "<div class='entry-header'>j</div><div class='overflow-hidden'>k</div>"
+    )
+    noise = (
+        "<div class='share-buttons'>x</div><div id='comments-area'>x</div><p class='ad'>x</p>"
+        "<div class='site-sidebar'>x</div><section id='comments'>x</section><aside>x</aside>"
+    )
+    around = (
+        "<div class='layout has-sidebar'>{}</div>", "<div id='content-with-comments'>{}</div>",
+        "<div class='sidebar'>{}</div>", "<form>{}</form>", "<div>{}</div>",
+    )
+    rows = [
+        (i, f"http://h{i}.example/", x.format(f"<article>{body}{noise}</article>{noise}"))
+        for i, x in enumerate(around)
+    ]
+    rows.append((9, "http://t.example/", "<div>t</div><aside><article>x</article></aside>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    text = "a b c d e f g".split() + ["h i=1", "j", "k"]
+    assert got == {**dict.fromkeys(range(len(around)), "\n".join(text)), 9: "t"}
+
+
 def test_wrapper_is_a_union_free_expression():
     def own(page):
         return html_extract.wrapper_of(html_extract.parse(page)[0])
