@@ -4,7 +4,8 @@ A wrapper is a regular expression without unions over the tags and texts of a ho
 is found by aligning the pages' token streams one after another: what only one side has becomes
 optional, neighbours that repeat become a repeated group, and every text becomes a slot. The
 streams are kept as trees, so a group always is a whole element. Pages of one shape are aligned
-once. Which slots hold the article is decided on the wrapper, and each page is read by it.
+once. Which slots hold the article is decided on the wrapper by the names of its elements and
+by whether a slot's text is the same on the host's pages, and each page is read by it.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Collection, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MIN_PAGES = 3  # a text that is the same on fewer pages of a host tells nothing
 PARTS = 32  # partial wrappers of a host, aligned side by side before they are joined
 
 # Fixed values of HTML: elements without content, with raw content, and inside a line.
@@ -304,12 +307,14 @@ def _holds(node: list) -> int:
     return best
 
 
-def main_paths(wrapper: list) -> list[str]:
+def main_paths(wrapper: list, constant: Collection[str] = ()) -> list[str]:
     """Paths of the elements whose text slots hold the article.
 
     Inside the elements that say most clearly that they are the article, and where none does
     in the whole page; leaving out menus, headers, footers, sidebars, notices, adverts, forms
     and comments. An element that holds the only article is never left out for its name.
+    Slots in `constant` hold the same text on the host's pages and are left out where no
+    article element says that they belong to it, unless no slot would be left.
     """
 
     def visit(node: list, path: str, best: int, opened: int) -> None:
@@ -331,6 +336,9 @@ def main_paths(wrapper: list) -> list[str]:
         slots.clear()
         visit(wrapper, "", 0, opened)
         top = max((k for _, k in slots), default=0)
+    varied = [(path, kind) for path, kind in slots if kind == 3 or path not in constant]
+    if varied and len(varied) < len(slots):
+        slots, top = varied, max(k for _, k in varied)
     return sorted({path for path, kind in slots if kind == top})
 
 
@@ -379,6 +387,74 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     return partial.groupBy("host").applyInPandas(align, kinds)
 
 
+def constant_slots(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per host that has such slots: host and constant (array of paths).
+
+    A slot is constant where more than half of the host's pages, `MIN_PAGES` at least, have
+    it, all with the same texts, though the pages themselves differ. Only counts, least and
+    greatest hashes per host and path leave a task.
+    """
+
+    def slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found: dict[tuple[str, str], list[int]] = {}
+            for host, page in zip(frame["host"], frame["page"], strict=True):
+                held: dict[str, list[str]] = {}
+                for path, text, _ in parse(page)[1]:
+                    held.setdefault(path, []).append(text)
+                every = zlib.crc32(page.encode("utf-8", "replace"))
+                # No path of a slot is "*", which stands for the page.
+                for path, texts in (*held.items(), ("*", [])):
+                    own = zlib.crc32("\n".join(texts).encode("utf-8", "replace"))
+                    own = own << 31 | len(texts) % (1 << 31)
+                    n, a, b, c, d = found.get((host, path), (0, own, own, every, every))
+                    found[host, path] = [
+                        n + 1, min(a, own), max(b, own), min(c, every), max(d, every)
+                    ]
+            rows = [(host, path, *x) for (host, path), x in found.items()]
+            yield pd.DataFrame(rows, columns=names)
+
+    names = ["host", "path", "n", "text_min", "text_max", "page_min", "page_max"]
+    kinds = "host string, path string, n long, text_min long, text_max long, page_min long, page_max long"
+    rows = pages.select(
+        _host(F.col(url_col)).alias("host"),
+        F.coalesce(F.col(html_col), F.lit("")).alias("page"),
+    )
+    each = rows.mapInPandas(slots, kinds).groupBy("host", "path").agg(
+        F.sum("n").alias("n"), F.min("text_min").alias("text_min"),
+        F.max("text_max").alias("text_max"), F.min("page_min").alias("page_min"),
+        F.max("page_max").alias("page_max"),
+    )
+    same = (F.col("text_min") == F.col("text_max")) & (F.col("page_min") < F.col("page_max"))
+    fixed = F.when(same & (F.col("path") != "*"), F.struct("n", "path"))
+    whole = each.groupBy("host").agg(
+        F.max(F.when(F.col("path") == "*", F.col("n"))).alias("pages"),
+        F.collect_list(fixed).alias("fixed"),
+    )
+    often = F.filter("fixed", lambda x: (x["n"] >= MIN_PAGES) & (2 * x["n"] > F.col("pages")))
+    return whole.select("host", F.transform(often, lambda x: x["path"]).alias("constant")).filter(
+        F.size("constant") > 0
+    )
+
+
+def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per host: host and wanted (array of paths whose texts are the article)."""
+    constant = constant_slots(pages, url_col, html_col)
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            wanted = [
+                main_paths(json.loads(wrapper), set(() if fixed is None else fixed))
+                for wrapper, fixed in zip(frame["wrapper"], frame["constant"], strict=True)
+            ]
+            yield pd.DataFrame({"host": frame["host"], "wanted": wanted})
+
+    both = wrappers(pages, url_col, html_col).join(constant, "host", "left")
+    return both.select("host", "wrapper", "constant").mapInPandas(
+        choose, "host string, wanted array<string>"
+    )
+
+
 def extract(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
@@ -390,7 +466,7 @@ def extract(
     of its own. Repeated rows are extracted alike; an empty table gives an empty one. Other
     columns are not read.
     """
-    found = wrappers(pages, url_col, html_col).select(F.col("host").alias("of"), "wrapper")
+    found = host_paths(pages, url_col, html_col).select(F.col("host").alias("of"), "wanted")
     rows = pages.select(
         F.col(id_col).alias("id"),
         F.col(url_col).alias("url"),
@@ -401,16 +477,11 @@ def extract(
     id_kind = dict(joined.dtypes)["id"]
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, set[str]] = {}
         for frame in frames:
             texts, blocks = [], []
-            for page, wrapper in zip(frame["page"], frame["wrapper"], strict=True):
+            for page, paths in zip(frame["page"], frame["wanted"], strict=True):
                 tree, slots = parse(page or "")
-                if wrapper not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[wrapper] = set(main_paths(json.loads(wrapper)))
-                wanted = known[wrapper]
+                wanted = set(paths)
                 kept = [text for path, text, _ in slots if path in wanted]
                 if not kept and slots:
                     wanted = set(main_paths(wrapper_of(tree)))

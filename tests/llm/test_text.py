@@ -82,6 +82,25 @@ def test_text_stays_where_a_name_only_holds_a_noise_word(spark):
     assert got == {**dict.fromkeys(range(len(around)), "\n".join(text)), 9: "t"}
 
 
+def test_text_that_all_pages_of_a_host_repeat_is_left_out(spark):
+    page = (
+        "<div class='c1'><ul><li>Home</li><li>Contact</li></ul></div><div class='c2'>Get our app</div>"
+        "<div class='c3'><h1>Title {0}</h1><p>Text {0}</p><p>Same</p>{1}</div><div class='c4'>Foot</div>"
+    )
+    more = "<blockquote>Quoted</blockquote>"
+    rows = [(i, "http://n.example/", page.format(i, more if i < 3 else "")) for i in range(9)]
+    copy = "<div class='c1'>Menu</div><div class='c3'>Text</div>"
+    rows += [(i, "http://copies.example/", copy) for i in range(10, 20)]
+    rows += [(20 + i, "http://two.example/", page.format(i, "")) for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    for i in range(9):
+        quoted = ["Quoted"] if i < 3 else []
+        assert got[i].split("\n") == [f"Title {i}", f"Text {i}", "Same", *quoted]
+    assert {got[i] for i in range(10, 20)} == {"Menu\nText"}
+    assert got[20].startswith("Home\nContact") and got[20].endswith("Foot")
+
+
 def test_wrapper_is_a_union_free_expression():
     def own(page):
         return html_extract.wrapper_of(html_extract.parse(page)[0])
