@@ -21,8 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freeze
+
 MIN_PAGES = 3  # a text that is the same on fewer pages of a host tells nothing
-PARTS = 32  # partial wrappers of a host, aligned side by side before they are joined
+TOGETHER = 64  # about so many wrappers of a host are aligned in one task of a round
+RARE = 100  # a name is rare on a host where fewer than one page in so many has it
 
 # Fixed values of HTML: elements without content, with raw content, and inside a line.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -87,12 +90,13 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _WORDS = re.compile(r"[a-z]+")
+_NAMED = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
 def _label(tag: str, attrs: str) -> str:
-    """The tag with the names in its class, id, role and itemprop, as words joined by "-".
+    """The tag with the names in its class, id, role and itemprop, as words and numbers joined by "-".
 
     Headings and text blocks go without their ids, which name what the text is about.
     """
@@ -103,7 +107,7 @@ def _label(tag: str, attrs: str) -> str:
         name = name.lower()
         if name in ("class", "role", "itemprop") or (name == "id" and tag not in TEXT_TAGS):
             for one in value.strip("\"'").split():
-                words = _WORDS.findall(_CAMEL.sub(" ", one).lower())
+                words = _NAMED.findall(_CAMEL.sub(" ", one).lower())
                 if words:
                     found.add("-".join(words))
     if _HIDDEN.search(attrs):
@@ -267,19 +271,48 @@ def pattern(wrapper: list) -> str:
 
 
 def _names_noise(name: str, inside_article: bool) -> bool:
-    words = name.split("-")
-    if HAVING & set(words[:-1]):
+    words = _WORDS.findall(name)
+    if not words or HAVING & set(words[:-1]):
         return False
     noise = NOISE_WORDS - {"header"} if inside_article else NOISE_WORDS
     return words[-1] in noise or (words[0] in noise and words[-1] in PARTS_OF_PAGES)
 
 
+def _decides(tag: str, name: str) -> set[str]:
+    """Names of a fixed vocabulary that decide on an element as `name` does."""
+    words = _WORDS.findall(name)
+    out = MAIN_WORDS & set(words)
+    if tag in TEXT_TAGS:
+        return out | ({"-".join(words)} & TEXT_NOISE)
+    if words and not HAVING & set(words[:-1]):
+        if words[-1] in NOISE_WORDS:
+            out.add(words[-1])
+        elif words[0] in NOISE_WORDS and words[-1] in PARTS_OF_PAGES:
+            out.add(f"{words[0]}-{words[-1]}")
+    return out
+
+
+def _common(label: str, names: Collection[str]) -> str:
+    """A label in which names that are not in `names` leave only what decides."""
+    tag, *named = label.split(".")
+    out: set[str] = set()
+    for name in named:
+        out |= {name} if name in names or name == "hidden" else _decides(tag, name)
+    return ".".join([tag, *sorted(out)])
+
+
+def _relabelled(node: list, names: Collection[str]) -> list:
+    label, optional, repeated, children = node
+    inner = _folded([_relabelled(c, names) for c in children])
+    return [_common(label, names), optional, repeated, inner]
+
+
 def _noise(label: str, inside_article: bool) -> bool:
     tag, *named = label.split(".")
     if "hidden" in named or (tag in NOISE_TAGS and not (tag == "header" and inside_article)):
         return True
     if tag in TEXT_TAGS:
-        return bool(TEXT_NOISE & set(named))
+        return any("-".join(_WORDS.findall(name)) in TEXT_NOISE for name in named)
     kept = tag in ("html", "body", "article", "main")
     return not kept and any(_names_noise(name, inside_article) for name in named)
 
@@ -287,7 +320,7 @@ def _noise(label: str, inside_article: bool) -> bool:
 def _kind(label: str) -> int:
     """How clearly an element says that it holds the article; 0: not at all."""
     tag, *names = label.split(".")
-    named = {word for name in names for word in name.split("-")}
+    named = {word for name in names for word in _WORDS.findall(name)}
     if tag == "article" or "articlebody" in named:
         return 3
     if tag == "main" or "main" in named or "maincontent" in named:
@@ -342,16 +375,15 @@ def main_paths(wrapper: list, constant: Collection[str] = ()) -> list[str]:
     return sorted({path for path, kind in slots if kind == top})
 
 
+KINDS = "host string, wrapper string, pages long"
+
+
 def _host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per host: host, wrapper (JSON) and pages.
-
-    Pages of a host that have the same shape are one row before anything is aligned. The
-    shapes of a host are aligned in `PARTS` groups side by side, then the groups' wrappers.
-    """
+def shapes_of(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Written rows (host, wrapper as JSON, pages): the pages' own wrappers with all names."""
 
     def shapes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -362,6 +394,62 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             rows = [(host, own, n) for (host, own), n in found.items()]
             yield pd.DataFrame(rows, columns=["host", "wrapper", "pages"])
 
+    rows = pages.select(
+        _host(F.col(url_col)).alias("host"),
+        F.coalesce(F.col(html_col), F.lit("")).alias("page"),
+    )
+    each = rows.mapInPandas(shapes, KINDS).groupBy("host", "wrapper")
+    return freeze(each.agg(F.sum("pages").alias("pages")), "page-shapes")
+
+
+def host_names(shapes: DataFrame) -> DataFrame:
+    """One row per host: host and names (array), those that two pages and one in `RARE` have.
+
+    They are at most `RARE` times as many as a page has names, however many pages there are.
+    """
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def visit(node: list, found: set[str]) -> set[str]:
+            found.update(node[0].split(".")[1:])
+            for child in node[3]:
+                visit(child, found)
+            return found
+
+        for frame in frames:
+            found: dict[tuple[str, str], int] = {}
+            for host, own, n in zip(frame["host"], frame["wrapper"], frame["pages"], strict=True):
+                # No name is "*", which stands for the page.
+                for name in visit(json.loads(own), {"*"}):
+                    found[host, name] = found.get((host, name), 0) + n
+            rows = [(host, name, n) for (host, name), n in found.items()]
+            yield pd.DataFrame(rows, columns=["host", "name", "n"])
+
+    counted = shapes.mapInPandas(count, "host string, name string, n long")
+    counted = counted.groupBy("host", "name").agg(F.sum("n").alias("n"))
+    every = counted.filter("name = '*'").select("host", F.col("n").alias("pages"))
+    often = counted.filter("name <> '*' AND n > 1").join(every, "host")
+    often = often.filter(RARE * F.col("n") >= F.col("pages"))
+    held = often.groupBy("host").agg(F.collect_list("name").alias("names"))
+    none = F.array().cast("array<string>")
+    out = every.join(held, "host", "left").select("host", F.coalesce("names", none).alias("names"))
+    return freeze(out, "host-names")
+
+
+def wrappers(shapes: DataFrame, names: DataFrame) -> DataFrame:
+    """One row per host: host, wrapper (JSON) and pages.
+
+    Pages of a host that have the same shape, but for rare names, are one row before anything
+    is aligned. The shapes of a host are aligned in rounds, about `TOGETHER` in a group.
+    """
+
+    def rename(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            own = [
+                json.dumps(_relabelled(json.loads(w), set(n)), ensure_ascii=False)
+                for w, n in zip(frame["wrapper"], frame["names"], strict=True)
+            ]
+            yield pd.DataFrame({"host": frame["host"], "wrapper": own, "pages": frame["pages"]})
+
     def align(group: pd.DataFrame) -> pd.DataFrame:
         whole = None
         for own in sorted(group["wrapper"]):
@@ -372,22 +460,21 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             {"host": [group["host"].iloc[0]], "wrapper": [text], "pages": [group["pages"].sum()]}
         )
 
-    kinds = "host string, wrapper string, pages long"
-    rows = pages.select(
-        _host(F.col(url_col)).alias("host"),
-        F.coalesce(F.col(html_col), F.lit("")).alias("page"),
-    )
-    each = (
-        rows.mapInPandas(shapes, kinds)
-        .groupBy("host", "wrapper")
-        .agg(F.sum("pages").alias("pages"))
-    )
-    part = F.pmod(F.xxhash64("wrapper"), F.lit(PARTS))
-    partial = each.withColumn("part", part).groupBy("host", "part").applyInPandas(align, kinds)
-    return partial.groupBy("host").applyInPandas(align, kinds)
-
-
-def constant_slots(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    rows = shapes.join(names, "host").mapInPandas(rename, KINDS)
+    while True:
+        rows = rows.groupBy("host", "wrapper").agg(F.sum("pages").alias("pages"))
+        rows = freeze(rows, "wrappers")
+        counts = rows.groupBy("host").agg(F.count("*").alias("shapes"))
+        if (counts.agg(F.max("shapes")).first()[0] or 0) <= 1:
+            return rows
+        part = F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("shapes") / TOGETHER))
+        rows = rows.join(counts, "host").withColumn("part", part).drop("shapes")
+        rows = rows.groupBy("host", "part").applyInPandas(align, KINDS)
+
+
+def constant_slots(
+    pages: DataFrame, names: DataFrame, url_col: str = "url", html_col: str = "html"
+) -> DataFrame:
     """One row per host that has such slots: host and constant (array of paths).
 
     A slot is constant where more than half of the host's pages, `MIN_PAGES` at least, have
@@ -412,19 +499,31 @@ def constant_slots(pages: DataFrame, url_col: str = "url", html_col: str = "html
                         n + 1, min(a, own), max(b, own), min(c, every), max(d, every)
                     ]
             rows = [(host, path, *x) for (host, path), x in found.items()]
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(rows, columns=cols)
 
-    names = ["host", "path", "n", "text_min", "text_max", "page_min", "page_max"]
+    def rename(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            paths = [
+                "/".join(_common(label, set(n)) for label in path.split("/"))
+                for path, n in zip(frame["path"], frame["names"], strict=True)
+            ]
+            yield frame[cols].assign(path=paths)
+
+    def merged(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("host", "path").agg(
+            F.sum("n").alias("n"), F.min("text_min").alias("text_min"),
+            F.max("text_max").alias("text_max"), F.min("page_min").alias("page_min"),
+            F.max("page_max").alias("page_max"),
+        )
+
+    cols = ["host", "path", "n", "text_min", "text_max", "page_min", "page_max"]
     kinds = "host string, path string, n long, text_min long, text_max long, page_min long, page_max long"
     rows = pages.select(
         _host(F.col(url_col)).alias("host"),
         F.coalesce(F.col(html_col), F.lit("")).alias("page"),
     )
-    each = rows.mapInPandas(slots, kinds).groupBy("host", "path").agg(
-        F.sum("n").alias("n"), F.min("text_min").alias("text_min"),
-        F.max("text_max").alias("text_max"), F.min("page_min").alias("page_min"),
-        F.max("page_max").alias("page_max"),
-    )
+    full = merged(rows.mapInPandas(slots, kinds)).join(names, "host")
+    each = merged(full.mapInPandas(rename, kinds))
     same = (F.col("text_min") == F.col("text_max")) & (F.col("page_min") < F.col("page_max"))
     fixed = F.when(same & (F.col("path") != "*"), F.struct("n", "path"))
     whole = each.groupBy("host").agg(
@@ -438,8 +537,10 @@ def constant_slots(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per host: host and wanted (array of paths whose texts are the article)."""
-    constant = constant_slots(pages, url_col, html_col)
+    """One row per host: host, names and wanted (array of paths whose texts are the article)."""
+    shapes = shapes_of(pages, url_col, html_col)
+    names = host_names(shapes)
+    constant = constant_slots(pages, names, url_col, html_col)
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -449,10 +550,11 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             ]
             yield pd.DataFrame({"host": frame["host"], "wanted": wanted})
 
-    both = wrappers(pages, url_col, html_col).join(constant, "host", "left")
-    return both.select("host", "wrapper", "constant").mapInPandas(
+    both = wrappers(shapes, names).join(constant, "host", "left")
+    wanted = both.select("host", "wrapper", "constant").mapInPandas(
         choose, "host string, wanted array<string>"
     )
+    return wanted.join(names, "host")
 
 
 def extract(
@@ -466,7 +568,7 @@ def extract(
     of its own. Repeated rows are extracted alike; an empty table gives an empty one. Other
     columns are not read.
     """
-    found = host_paths(pages, url_col, html_col).select(F.col("host").alias("of"), "wanted")
+    found = host_paths(pages, url_col, html_col).select(F.col("host").alias("of"), "wanted", "names")
     rows = pages.select(
         F.col(id_col).alias("id"),
         F.col(url_col).alias("url"),
@@ -477,12 +579,26 @@ def extract(
     id_kind = dict(joined.dtypes)["id"]
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple[set[str], set[str], dict[str, str]]] = {}
         for frame in frames:
             texts, blocks = [], []
-            for page, paths in zip(frame["page"], frame["wanted"], strict=True):
+            for host, page, paths, names in zip(
+                frame["host"], frame["page"], frame["wanted"], frame["names"], strict=True
+            ):
+                if host not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[host] = set(paths), set(names), {"": ""}
+                wanted, common, renamed = known[host]
                 tree, slots = parse(page or "")
-                wanted = set(paths)
-                kept = [text for path, text, _ in slots if path in wanted]
+                kept = []
+                for path, text, _ in slots:
+                    if path not in renamed:
+                        if len(renamed) > 10_000:
+                            renamed.clear()
+                        renamed[path] = "/".join(_common(x, common) for x in path.split("/"))
+                    if renamed[path] in wanted:
+                        kept.append(text)
                 if not kept and slots:
                     wanted = set(main_paths(wrapper_of(tree)))
                     kept = [text for path, text, _ in slots if path in wanted]

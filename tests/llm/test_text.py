@@ -101,6 +101,27 @@ def test_text_that_all_pages_of_a_host_repeat_is_left_out(spark):
     assert got[20].startswith("Home\nContact") and got[20].endswith("Foot")
 
 
+def test_wrapper_of_a_host_does_not_grow_with_its_pages(spark):
+    def slug(i):
+        return "".join("abcdefghij"[int(d)] for d in f"{i:04}")
+
+    shape = "<div id='ad-{0}'>x</div><article id='post-{0}' class='{0}-story'>{1}</article>"
+    page = "<div class='c1' id='{0}'>" + shape + "<div class='c2 {0}-ad'>x</div></div>"
+    blocks = ("<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</ul>", "<pre>{}</pre>", "<blockquote>{}</blockquote>")
+    rows = []
+    for i in range(600):
+        text = "".join(blocks[int(d)].format(f"t{i}") for d in np.base_repr(i, 5))
+        rows.append((i, "http://h.example/", page.format(slug(i), text)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got == {i: "\n".join([f"t{i}"] * len(np.base_repr(i, 5))) for i in range(600)}
+    host = html_extract.host_paths(pages).collect()
+    assert len(host) == 1 and sorted(host[0].names) == ["c1", "c2"]
+    assert len(host[0].wanted) <= len(blocks)
+    few = html_extract.host_paths(pages.filter("page_id < 200")).first()
+    assert few.names and sorted(few.wanted) == sorted(host[0].wanted)
+
+
 def test_wrapper_is_a_union_free_expression():
     def own(page):
         return html_extract.wrapper_of(html_extract.parse(page)[0])
