@@ -11,7 +11,7 @@ from inkspark.llm.common import freeze, n_words, spare, table
 from inkspark.llm.line_dedup import line_dedup
 from inkspark.llm.mixing import mix
 from inkspark.llm.near_dedup import near_dedup
-from inkspark.llm.packing import pack, pieces_of
+from inkspark.llm.packing import digests, pack, pieces_of
 from inkspark.llm.quality import quality_rules
 from inkspark.llm.queries import tokenizer_file
 
@@ -55,7 +55,7 @@ def mix_sources(spark, docs, sf_dir):
 
 def pack_sequences(spark, docs, sf_dir):
     """Pieces of the token ids of all documents with their places in sequences."""
-    return pack(pieces_of(docs, tokenizer_file(), with_ids=False))
+    return digests(pack(pieces_of(docs, tokenizer_file())))
 
 
 STAGES = [

@@ -99,11 +99,13 @@ def numbered_by(df: DataFrame, key: str, name: str, label: str) -> DataFrame:
         label,
     )
     before = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    # Written, so that its size is known before the rows and what they carry are dealt to it.
     starts = held.groupBy(key, part).count().select(
         F.col(key).alias(key_),
         F.col(part).alias(part_),
         F.coalesce(F.sum("count").over(before), F.lit(0)).alias(start),
     )
+    starts = freeze(starts, f"{label}-starts")
     here = Window.partitionBy(key, part).orderBy(place)
     return (
         held.withColumn(place, F.row_number().over(here) - 1)
@@ -155,6 +157,11 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
     return rows.mapInArrow(assign, f"{kinds}, sequence_id long, offset long")
 
 
+def digests(packed: DataFrame) -> DataFrame:
+    """`packed` with ids_crc32 taken from the packed ids, which go."""
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def pieces_of(
     docs: DataFrame,
     tokenizer: str,

@@ -54,7 +54,7 @@ def op6_token_files(spark, sf_dir):
 
 def op7_best_fit_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return packing.pack(packing.pieces_of(docs, tokenizer_file(), with_ids=False))
+    return packing.digests(packing.pack(packing.pieces_of(docs, tokenizer_file())))
 
 
 def op8_quality_rules(spark, sf_dir):

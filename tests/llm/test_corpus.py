@@ -229,3 +229,27 @@ def test_pipeline_of_odd_rows(spark):
             docs = corpus_pipeline.freeze(stage(spark, docs, SF), "test")
             assert docs.columns == columns, name
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+
+
+def test_queries_pack_the_ids_themselves(spark, monkeypatch):
+    """op7 and the pipeline's last stage take their digests from packed ids."""
+    import corpus_pipeline
+    from inkspark.llm.queries import QUERIES
+
+    seen = []
+
+    def pack(pieces):
+        seen.append(pieces.columns)
+        return real(pieces)
+
+    real = packing.pack
+    monkeypatch.setattr(packing, "pack", pack)
+    monkeypatch.setattr(corpus_pipeline, "pack", pack)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    stage = corpus_pipeline.pack_sequences(spark, docs, SF)
+    query = QUERIES["op7_best_fit_packing"](spark, SF)
+    assert len(seen) == 2 and all("ids" in columns for columns in seen)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert stage.columns == query.columns == names
+    pieces = packing.pieces_of(docs, TOKENIZER, with_ids=False)
+    assert {tuple(r)[:5] for r in stage.collect()} == {tuple(r) for r in pieces.collect()}
