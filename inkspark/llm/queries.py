@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..runtime import new_path
 from . import exact_dedup as exact
-from . import html_extract, licenses, mixing, near_dedup, packing, quality, sharding, token_files
+from . import hard_negatives as mining
+from . import html_extract, licenses, mixing, near_dedup, packing, periodic, quality, sharding
 from . import line_dedup as line
+from . import token_files, warc
 from .common import n_words, table
 
 
@@ -84,6 +86,41 @@ def op10_shards(spark, sf_dir):
     )
 
 
+def op11_periodic_runs(spark, sf_dir):
+    found = periodic.periodic_runs(periodic.repeated_tails(table(spark, sf_dir, "documents")))
+    best = periodic.strongest(F.col("runs"))
+    lines = F.transform(
+        "runs",
+        lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")),
+    )
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_hard_negatives(spark, sf_dir):
+    seventh = F.col("vec_id") % 7 == 0
+    vectors = table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.when(seventh, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        mining.scaled(F.col("embedding"), 256).alias("vector"),
+    )
+    return mining.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op13_warc(spark, sf_dir):
+    path = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -95,6 +132,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_shards": op10_shards,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_warc": op13_warc,
 }
 
 # Windows of lines just long enough, from each line on and up to each line; of equal windows
@@ -178,4 +218,43 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
         FROM hashed JOIN owned USING (text_sha256)
     """,
+    "op12_hard_negatives": """
+        WITH held AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+          FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        scored AS (
+          SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+                 list_dot_product(a.q, b.q)::BIGINT AS score
+          FROM held a JOIN held b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+        positive AS (
+          SELECT * FROM scored WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT p.anchor_id, p.other_id AS positive_id,
+               (row_number() OVER (PARTITION BY p.anchor_id, p.other_id
+                                   ORDER BY n.score DESC, n.other_id))::INT AS rank,
+               n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positive p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+         AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+        QUALIFY rank <= 3
+    """,
+    # Base32 takes five bits for a character, eight characters for ten hex digits.
+    "op13_warc": """
+        WITH held AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        first AS (SELECT html, min(page_id) AS first FROM held GROUP BY html),
+        digest AS (
+          SELECT page_id, first, strlen(html) AS payload_bytes, sha1(html) AS hex
+          FROM held JOIN first USING (html))
+        SELECT page_id, payload_bytes,
+               list_aggregate([
+                 substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                        ((('0x' || substr(hex, 10 * (i // 8) + 1, 10))::BIGINT
+                          >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1)
+                 FOR i IN range(32)], 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM digest
+    """,
 }
