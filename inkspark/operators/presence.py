@@ -110,6 +110,13 @@ def member_events(
     return out
 
 
+def of_heartbeats(answers: DataFrame) -> DataFrame:
+    """Of answers per member event those per heartbeat, under the heartbeats' own ids."""
+    return answers.filter(F.pmod("event_id", F.lit(_PHASES)) == 1).withColumn(
+        "event_id", F.floor(F.col("event_id") / _PHASES).cast("long")
+    )
+
+
 def documents_from_keys(keys: DataFrame) -> DataFrame:
     """Document ids from scanned room keys; the name keys under the same prefix are left out."""
     return (

@@ -1,8 +1,9 @@
 """Op-log replay: the text of a document at chosen revisions.
 
 Each segment of a document's history (from a base text to the last revision asked for) is
-streamed in revision order through one fold that keeps the current text. No task ever
-holds a document's ops as one row or list.
+streamed in revision order through one fold that keeps the current text in blocks (`Pieces`),
+so an op costs the same in a long text as in a short one. No task ever holds a document's ops
+as one row or list.
 
 For documents with very long logs, runs of ops are first composed in parallel into one
 delta each: a list of pieces, either ranges of the text before or inserted strings. The
@@ -35,6 +36,7 @@ from ..runtime import (
     setting,
     shuffle_partitions,
 )
+from .pieces import Pieces
 from .scan import numbered, running
 
 # Order of rows at one revision: the base text, then ops, then the mark asking for text.
@@ -45,23 +47,6 @@ _MERGE = 64  # composed runs merged into one at a time
 _ROW = ["doc_id", "segment", "revision", "phase", "mark", "body"]
 
 
-def _apply_ops(text: str, ops: list[dict]) -> str:
-    pos = 0
-    for op in ops:
-        kind = op.get("kind")
-        if kind == "retain":
-            pos += op.get("count") or 0
-        elif kind == "insert":
-            new = op.get("text") or ""
-            text = text[:pos] + new + text[pos:]
-            pos += len(new)
-        elif kind == "delete":
-            count = op.get("count") or 0
-            if count > 0:
-                text = text[:pos] + text[pos + count :]
-    return text
-
-
 def _apply_pieces(text: str, pieces: list) -> str:
     return "".join(p if isinstance(p, str) else text[p[0] : p[1]] for p in pieces)
 
@@ -71,7 +56,7 @@ def _fold(arriving: Iterator[pa.RecordBatch], at_end: bool) -> Iterator[pa.Recor
 
     `at_end` yields the text after the last row of each segment instead.
     """
-    key, text, reached = None, "", 0
+    key, text, reached = None, Pieces(), 0
     out, chars = [], 0
 
     def pack():
@@ -85,24 +70,24 @@ def _fold(arriving: Iterator[pa.RecordBatch], at_end: bool) -> Iterator[pa.Recor
         for doc, segment, revision, phase, mark, body in rows_of_batch(batch):
             if key != (doc, segment):
                 if at_end and key is not None:
-                    out.append((key[0], reached, text))
-                    chars += len(text)
-                key, text = (doc, segment), ""
+                    out.append((key[0], reached, text.text()))
+                    chars += text.length
+                key, text = (doc, segment), Pieces()
             if phase == _BASE:
-                text = body
+                text = Pieces(body)
             elif phase == _OPS:
-                text = _apply_ops(text, json.loads(body))
+                text.apply(json.loads(body))
             elif phase == _COMPOSED:
-                text = _apply_pieces(text, json.loads(body))
+                text = Pieces(_apply_pieces(text.text(), json.loads(body)))
             reached = revision
             if mark and not at_end:
-                out.append((doc, revision, text))
-                chars += len(text)
+                out.append((doc, revision, text.text()))
+                chars += text.length
             if chars > _BATCH_CHARS:
                 yield pack()
                 out, chars = [], 0
     if at_end and key is not None:
-        out.append((key[0], reached, text))
+        out.append((key[0], reached, text.text()))
     if out:
         yield pack()
 

@@ -115,9 +115,10 @@ VIEWS = {
               FROM heartbeats)
         WHERE newest = 1""",
     "members": f"""
-        SELECT doc_id, user_id, username, sec + ttl AS expire_at
-        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, user_id ORDER BY ts DESC, event_id DESC) AS newest
-              FROM heartbeats WHERE sec <= {AS_OF})
+        SELECT doc_id, user_id, 'u' || CAST(user_id AS VARCHAR) AS username, expire_at
+        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, user_id
+                                           ORDER BY ts DESC, event_id DESC, phase DESC) AS newest
+              FROM beats WHERE sec <= {AS_OF})
         WHERE newest = 1""",
     "names": "SELECT doc_id, user_id, username FROM members WHERE user_id % 7 <> 0",
     "named": f"""
@@ -167,6 +168,10 @@ VIEWS = {
         UNION ALL SELECT doc_id, user_id, ts, CAST(floor(epoch(ts)) AS BIGINT), event_id, 2,
                          CAST(floor(epoch(ts)) AS BIGINT) + 600
                   FROM gated WHERE ok""",
+    "turns": """
+        SELECT *, lead(row(ts, event_id, phase)) OVER (PARTITION BY doc_id, user_id
+                                                       ORDER BY ts, event_id, phase) AS next_beat
+        FROM beats""",
     "stays": """
         SELECT conn_id, user_id, doc_id, us AS joined_us, left_us
         FROM (SELECT *, lead(us) OVER (PARTITION BY conn_id ORDER BY ts, event_id) AS left_us
@@ -345,7 +350,7 @@ BODIES = {
         SELECT event_id, user_id, CASE WHEN event_id % 53 = 0 THEN '' END AS doc_id
         FROM heartbeats WHERE event_id % 53 = 0 OR event_id % 59 = 0""",
     "presence_alive_semi": "SELECT doc_id, user_id, username FROM named",
-    "room_members": "SELECT DISTINCT doc_id, user_id FROM heartbeats",
+    "room_members": "SELECT DISTINCT doc_id, user_id FROM beats",
     "active_documents": f"SELECT DISTINCT doc_id FROM beats WHERE sec <= {AS_OF}",
     "active_documents_from_keys": "SELECT DISTINCT doc_id FROM heartbeats",
     "presence_cleanup": f"""
@@ -359,22 +364,19 @@ BODIES = {
                     ELSE 'Document ' || doc_id || ' not found' END AS content
         FROM gated""",
     "presence_sessions": """
-        SELECT doc_id, user_id, min(sec) AS session_start, arg_max(expire_at, (ts, event_id)) AS session_end,
+        SELECT doc_id, user_id, min(sec) AS session_start, arg_max(expire_at, (ts, event_id, phase)) AS session_end,
                count(*) AS heartbeats
         FROM (SELECT *, sum(CASE WHEN held IS NULL OR sec > held THEN 1 ELSE 0 END)
-                        OVER (PARTITION BY doc_id, user_id ORDER BY ts, event_id) AS no
-              FROM (SELECT *, sec + ttl AS expire_at,
-                           lag(sec + ttl) OVER (PARTITION BY doc_id, user_id ORDER BY ts, event_id) AS held
-                    FROM heartbeats))
+                        OVER (PARTITION BY doc_id, user_id ORDER BY ts, event_id, phase) AS no
+              FROM (SELECT *, lag(expire_at) OVER (PARTITION BY doc_id, user_id ORDER BY ts, event_id, phase) AS held
+                    FROM beats))
         GROUP BY doc_id, user_id, no""",
-    # Every heartbeat against the latest heartbeat of every user at that moment.
+    # Every heartbeat against the latest sign of life of every user at that moment.
     "heartbeat_alive": """
         SELECT h.event_id, h.doc_id, h.user_id, count(*) AS alive_members
-        FROM heartbeats h JOIN (
-          SELECT *, lead(row(ts, event_id)) OVER (PARTITION BY doc_id, user_id ORDER BY ts, event_id) AS next_beat
-          FROM heartbeats) m
-          ON m.doc_id = h.doc_id AND row(m.ts, m.event_id) <= row(h.ts, h.event_id)
-         AND (m.next_beat IS NULL OR m.next_beat > row(h.ts, h.event_id)) AND m.sec + m.ttl > h.sec
+        FROM heartbeats h JOIN turns m
+          ON m.doc_id = h.doc_id AND row(m.ts, m.event_id, m.phase) <= row(h.ts, h.event_id, 1)
+         AND (m.next_beat IS NULL OR m.next_beat > row(h.ts, h.event_id, 1)) AND m.expire_at > h.sec
         GROUP BY h.event_id, h.doc_id, h.user_id""",
     "cursor_asof": """
         SELECT event_id, doc_id, user_id, CASE WHEN live THEN json END AS cursor_json, coalesce(live, false) AS found
@@ -396,20 +398,18 @@ BODIES = {
         SELECT s.conn_id, o.doc_id, o.revision, o.operation_id, o.author_id
         FROM skewed o JOIN stays s ON o.doc_id = s.doc_id AND o.sent_us >= s.joined_us
                                   AND o.sent_us < coalesce(s.left_us, {FOREVER}) AND s.conn_id <> o.conn_id
-        WHERE s.user_id % 32 = 0""",
+        WHERE s.user_id % 20 = 0""",
     "heartbeat_members": """
-        SELECT h.event_id, h.doc_id, m.user_id, m.username
-        FROM heartbeats h JOIN (
-          SELECT *, lead(row(ts, event_id)) OVER (PARTITION BY doc_id, user_id ORDER BY ts, event_id) AS next_beat
-          FROM heartbeats) m
-          ON m.doc_id = h.doc_id AND row(m.ts, m.event_id) <= row(h.ts, h.event_id)
-         AND (m.next_beat IS NULL OR m.next_beat > row(h.ts, h.event_id)) AND m.sec + m.ttl > h.sec
-        WHERE h.event_id % 64 = 0""",
+        SELECT h.event_id, h.doc_id, m.user_id, 'u' || CAST(m.user_id AS VARCHAR) AS username
+        FROM heartbeats h JOIN turns m
+          ON m.doc_id = h.doc_id AND row(m.ts, m.event_id, m.phase) <= row(h.ts, h.event_id, 1)
+         AND (m.next_beat IS NULL OR m.next_beat > row(h.ts, h.event_id, 1)) AND m.expire_at > h.sec
+        WHERE h.event_id % 20 = 0""",
     "cursor_receivers": f"""
         SELECT c.event_id, c.doc_id, s.conn_id
         FROM cursors c JOIN stays s ON c.doc_id = s.doc_id AND c.us >= s.joined_us
                                    AND c.us < coalesce(s.left_us, {FOREVER})
-        WHERE c.op = 'set' AND c.event_id % 64 = 0""",
+        WHERE c.op = 'set' AND c.event_id % 20 = 0""",
     "op_recipients": f"""
         SELECT o.doc_id, o.revision, count(s.conn_id) AS recipients
         FROM log o LEFT JOIN stays s ON o.doc_id = s.doc_id AND o.ts_us >= s.joined_us

@@ -35,6 +35,7 @@ def _far_row(rows: DataFrame, **values) -> DataFrame:
     return spark.range(1).select(*[c.alias(n) for n, c in names.items()])
 
 
+DOCUMENT_RING = 4
 _FAR = "2124-01-01 00:00:00"
 _FAR_US = 4_859_740_800_000_000
 
@@ -63,28 +64,69 @@ def stream_sequencer_batches(i: Inputs) -> DataFrame:
     )
 
 
+def _presence_events(i: Inputs) -> DataFrame:
+    rows = _clocked(batch.member_events(i))
+    closing = _far_row(rows, doc_id="-", user_id=-1, event_id=-1, ts=_FAR, ts_us=_FAR_US,
+                       sec=_FAR_US // 1_000_000, ttl=1)
+    out = feeds.replay_to_table(rows, "ts_us", presence.presence_stream, closing=closing)
+    return out.filter("doc_id <> '-'")
+
+
 @query
 def stream_presence(i: Inputs) -> DataFrame:
-    rows = _clocked(i.heartbeats())
-    closing = _far_row(rows, doc_id="", user_id=-1, event_id=-1, ts_us=_FAR_US,
-                       sec=_FAR_US // 1_000_000, ttl=1)
-    out = new_path(i.spark, "sessions")
-    feeds.replay_batches(rows, "ts_us", presence.SessionSink(i.spark, out), closing=closing)
-    return i.spark.read.parquet(out).drop("batch")
+    """Sessions, as members leave."""
+    left = _presence_events(i).filter(F.col("event") == presence.LEAVE)
+    return left.select("doc_id", "user_id", "session_start", "session_end", "heartbeats")
+
+
+@query
+def stream_presence_events(i: Inputs) -> DataFrame:
+    """Members as they join, refresh and leave."""
+    return _presence_events(i).select("doc_id", "user_id", "event", "sec", "expire_at")
 
 
 @query
 def stream_interactions(i: Inputs) -> DataFrame:
-    out = new_path(i.spark, "applied")
-    feeds.replay_batches(_clocked(i.interactions()), "ts_us", interactions.ToggleSink(i.spark, out))
-    return i.spark.read.parquet(out).drop("batch")
+    out = feeds.replay_to_table(
+        _clocked(i.interactions()), "ts_us", interactions.toggle_stream
+    )
+    return interactions.merge_counts(out)
 
 
 @query
 def stream_cursor(i: Inputs) -> DataFrame:
-    out = new_path(i.spark, "answers")
-    feeds.replay_batches(_clocked(i.cursors()), "ts_us", presence.CursorSink(i.spark, out))
-    return i.spark.read.parquet(out).drop("batch")
+    rows = _clocked(i.cursors())
+    longest = rows.agg(F.max("ttl")).first()[0] or 0
+    return feeds.replay_to_table(
+        rows, "ts_us", lambda s: presence.cursor_stream(s, longest), idle=False
+    )
+
+
+def _document_requests(rows: DataFrame) -> DataFrame:
+    """Saves and catch-up reads that come with some submissions."""
+    number = F.col("arrival_seq")
+    kind = F.when(number % 50 == 0, sequencer.SAVE).when(number % 37 == 0, sequencer.SINCE)
+    back = F.greatest(F.floor(number / 3) - 6, F.lit(0)).cast("long")
+    asked = rows.select(
+        "doc_id", "arrival_seq", kind.alias("kind"),
+        F.when(kind == sequencer.SINCE, back).alias("base_revision"),
+    )
+    return asked.filter("kind IS NOT NULL")
+
+
+@query
+def stream_documents(i: Inputs) -> DataFrame:
+    """Submissions, saves and catch-up reads of documents, answered from the state they meet:
+    status and revision, the saved text, the ops of a ring of four."""
+    rows = _clocked(i.submissions())
+
+    def documents(stream: DataFrame) -> DataFrame:
+        return sequencer.document_stream(stream, _document_requests(stream), DOCUMENT_RING)
+
+    out = feeds.replay_to_table(rows, "ts_us", documents)
+    return out.select(
+        "doc_id", "arrival_seq", "kind", "status", "revision", "operation_id", "content", "truncated"
+    )
 
 
 def _published(i: Inputs, lossy: bool) -> DataFrame:
@@ -149,6 +191,41 @@ STREAM_ORACLE = {
     "stream_presence": ORACLE["presence_sessions"],
     "stream_interactions": ORACLE["interaction_apply"],
     "stream_cursor": ORACLE["cursor_asof"],
+    "stream_presence_events": sql_for(
+        """SELECT * FROM (WITH turn AS (
+             SELECT *, (sec > held) IS NOT FALSE AS opens
+             FROM (SELECT *, lag(expire_at) OVER w AS held FROM beats
+                   WINDOW w AS (PARTITION BY doc_id, user_id ORDER BY ts, event_id, phase)))
+           SELECT doc_id, user_id, CASE WHEN opens THEN 'join' ELSE 'refresh' END AS event, sec, expire_at
+           FROM turn
+           UNION ALL
+           SELECT doc_id, user_id, 'leave', last_expire, last_expire
+           FROM (SELECT doc_id, user_id, arg_max(expire_at, (ts, event_id, phase)) AS last_expire
+                 FROM (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END)
+                                 OVER (PARTITION BY doc_id, user_id ORDER BY ts, event_id, phase) AS no
+                       FROM turn)
+                 GROUP BY doc_id, user_id, no))"""
+    ),
+    "stream_documents": sql_for(
+        f"""SELECT * FROM (WITH reached AS (
+             SELECT doc_id, arrival_seq,
+                    coalesce(max(revision) OVER (PARTITION BY doc_id ORDER BY arrival_seq), 0) AS rev
+             FROM labelled)
+           SELECT doc_id, arrival_seq, 'submit' AS kind, status, revision,
+                  CAST(NULL AS VARCHAR) AS operation_id, CAST(NULL AS VARCHAR) AS content,
+                  CAST(NULL AS BOOLEAN) AS truncated
+           FROM labelled
+           UNION ALL
+           SELECT r.doc_id, arrival_seq, 'save', NULL, rev, NULL, coalesce(t.content, ''), NULL
+           FROM reached r LEFT JOIN texts t ON t.doc_id = r.doc_id AND t.revision = r.rev
+           WHERE arrival_seq % 50 = 0
+           UNION ALL
+           SELECT r.doc_id, arrival_seq, 'since', NULL, l.revision, l.operation_id, NULL,
+                  greatest(1, rev - {DOCUMENT_RING} + 1) > greatest(arrival_seq // 3 - 6, 0) + 1
+           FROM reached r JOIN log l ON l.doc_id = r.doc_id AND l.revision <= rev
+            AND l.revision > greatest(arrival_seq // 3 - 6, 0, rev - {DOCUMENT_RING})
+           WHERE arrival_seq % 37 = 0 AND arrival_seq % 50 <> 0)"""
+    ),
     "stream_oplog_dedup": ORACLE["op_log_dedup"],
     "stream_oplog_reorder": sql_for(
         f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY revision) AS position,

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
 from ..runtime import materialize, new_path
 
@@ -20,8 +22,34 @@ def time_slices(rows: DataFrame, clock: str, count: int) -> list[DataFrame]:
     return [rows.filter(F.floor((F.col(clock) - F.lit(low)) / span) == n) for n in range(count)]
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# State variables, timers and times to live need this store.
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+_IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+@contextmanager
+def state_variables(spark: SparkSession, idle: bool = True) -> Iterator[None]:
+    """Queries that are started inside keep their state in a store with state variables. Without
+    `idle` they run no micro-batch without rows: where state has a time to live, Spark would
+    never be done with those."""
+    before = {k: spark.conf.get(k) for k in (_PROVIDER, _IDLE)}
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    spark.conf.set(_IDLE, str(idle).lower())
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def replay(
-    slices: list[DataFrame], start: Callable[[DataFrame], DataStreamWriter], checkpoint: str
+    slices: list[DataFrame],
+    start: Callable[[DataFrame], DataStreamWriter],
+    checkpoint: str,
+    idle: bool = True,
 ) -> None:
     """Append each slice to a folder and run the stream until it has taken it in.
 
@@ -33,7 +61,8 @@ def replay(
         rows.write.mode("append").parquet(folder)
         stream = spark.readStream.schema(slices[0].schema).parquet(folder)
         writer = start(stream).option("checkpointLocation", checkpoint)
-        writer.trigger(availableNow=True).start().awaitTermination()
+        with state_variables(spark, idle):
+            writer.trigger(availableNow=True).start().awaitTermination()
 
 
 def _in_slices(
@@ -52,6 +81,7 @@ def replay_to_table(
     transform: Callable[[DataFrame], DataFrame],
     slices: int = 3,
     closing: DataFrame | None = None,
+    idle: bool = True,
 ) -> DataFrame:
     """Stream `rows` through `transform` into an append-only table and return the table.
 
@@ -66,7 +96,8 @@ def replay_to_table(
         schema.append(result.schema)
         return result.writeStream.outputMode("append").format("parquet").option("path", out)
 
-    replay(_in_slices(rows, clock, slices, closing), start, new_path(spark, "stream-checkpoint"))
+    parts = _in_slices(rows, clock, slices, closing)
+    replay(parts, start, new_path(spark, "stream-checkpoint"), idle)
     return spark.read.schema(schema[0]).parquet(out)
 
 
@@ -86,31 +117,31 @@ def replay_batches(
     replay(_in_slices(rows, clock, slices, closing), start, new_path(spark, "stream-checkpoint"))
 
 
-def in_order(chunks, order: list[str], columns: list[str]) -> list[tuple]:
-    """The rows of one key in one micro-batch as tuples, sorted by `order`."""
-    rows: list[tuple] = []
-    for chunk in chunks:
-        rows.extend(zip(*[chunk[c].tolist() for c in (*order, *columns)]))
-    rows.sort(key=lambda row: row[: len(order)])
-    return rows
+class RowProcessor(StatefulProcessor):
+    """A processor that takes and gives rows as tuples instead of data frames: `on_rows(key,
+    rows, timers)` and, where timers are used, `on_timer(key, timers)`."""
 
+    def __init__(self, schema: str):
+        fields = [c.split()[:2] for c in schema.split(", ")]
+        self.names = [n for n, _ in fields]
+        # Integers and flags that may be missing need pandas' own types.
+        kinds = {"LONG": "Int64", "INT": "Int32", "BOOLEAN": "boolean"}
+        self.kinds = {n: kinds[t] for n, t in fields if t in kinds}
 
-class VersionedTable:
-    """A small state table rewritten once per micro-batch, under the batch's own name.
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = [r for frame in rows for r in frame.itertuples(index=False)]
+        return self._frames(self.on_rows(key, held, timerValues))
 
-    A batch run again after a failure reads the version before it and overwrites its own,
-    so it gives the same state. The folder is the caller's, so a new process goes on from it.
-    """
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self._frames(self.on_timer(key, timerValues))
 
-    def __init__(self, spark: SparkSession, schema: str, folder: str):
-        self.spark = spark
-        self.schema = schema
-        self.folder = folder
+    def _frames(self, rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        out = list(rows)
+        if out:
+            yield pd.DataFrame(out, columns=self.names).astype(self.kinds)
 
-    def before(self, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{batch_id - 1}")
+    def on_timer(self, key, timers) -> Iterator[tuple]:
+        return iter(())
 
-    def put(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{batch_id}")
+    def close(self) -> None:
+        pass

@@ -1,74 +1,170 @@
-"""Streaming presence sessions and cursors.
+"""Streaming presence and cursors, with their state in Spark's state store.
 
-Each micro-batch runs the batch operator over its rows and what is carried over: sessions
-still open, cursors still in force. Both are bounded by their time to live, and the work
-stays in Spark's own operators whatever the number of users. Micro-batches come in time
-order; inside one, rows may come in any order. The clock is the latest second seen so far: it
-never goes back, and an empty micro-batch leaves it, and what is carried over, as it was.
+Presence waits for the watermark: what a member sent is taken in order of event time once
+nothing earlier can come, so rows may arrive in any order within the watermark's delay. Each
+member has one value (the open session), a list of what waits, and one timer, for whichever is
+due first. A later row than the watermark is left out, and an empty micro-batch changes nothing.
+
+Cursors are answered as they come. A document's cursors are dealt over sub-keys; each entry has
+a time to live, after which the store itself drops it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from ..operators import presence
-from .feeds import VersionedTable
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessorHandle
 
+from ..functions.scalars import epoch_micros
+from .feeds import RowProcessor
 
-class _Clock:
-    """The latest second up to each micro-batch, kept like the rest of the state."""
+JOIN, REFRESH, LEAVE = "join", "refresh", "leave"
+SUB_KEYS = 64  # parts of a document whose members are kept apart
+CURSOR_LAG = 86_400  # seconds that a stream may run behind before cursors go too early
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.state = VersionedTable(spark, "now LONG", folder)
+PRESENCE_EVENT = (
+    "doc_id STRING, user_id LONG, event STRING, sec LONG, expire_at LONG, session_start LONG, "
+    "session_end LONG, heartbeats LONG"
+)
 
-    def __call__(self, rows: DataFrame, batch_id: int) -> int | None:
-        seen = rows.agg(F.max("sec").alias("now"))
-        self.state.put(
-            seen.unionByName(self.state.before(batch_id)).agg(F.max("now").alias("now")), batch_id
-        )
-        return self.state.before(batch_id + 1).first()[0]
 
+class _Member(RowProcessor):
+    """The sessions of one user in one document."""
 
-class SessionSink:
-    """Writes each online session once it has ended, at a later time than its expiry."""
-
-    OPEN = "doc_id STRING, user_id LONG, session_start LONG, session_end LONG, heartbeats LONG"
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState(
+            "member", "started LONG, until LONG, beats LONG, due LONG"
+        )
+        self.waiting = handle.getListState(
+            "waiting", "us LONG, event_id LONG, sec LONG, until LONG"
+        )
 
-    def __init__(self, spark: SparkSession, out: str):
-        self.state = VersionedTable(spark, self.OPEN, f"{out}-state")
-        self.clock = _Clock(spark, f"{out}-clock")
-        self.out = out
+    def on_rows(self, key, rows, timers) -> Iterator[tuple]:
+        held = self.open.get() or (None, None, 0, None)
+        more = [(int(r.us), int(r.event_id), int(r.sec), int(r.expire_at)) for r in rows]
+        self.waiting.appendList(more)
+        self._keep(*held, min(w[0] for w in more))
+        return iter(())
 
-    def __call__(self, heartbeats: DataFrame, batch_id: int) -> None:
-        now = self.clock(heartbeats, batch_id)
-        if now is None:  # nothing has come yet
-            self.state.put(self.state.before(0), batch_id)
+    def on_timer(self, key, timers) -> Iterator[tuple]:
+        held = self.open.get()
+        if held is None:
             return
-        all_sessions = presence.sessions(heartbeats, self.state.before(batch_id))
-        # A session followed by another one has ended before `now`, so at most one stays open.
-        is_open = F.col("session_end") >= F.lit(now)
-        columns = [c.split()[0] for c in self.OPEN.split(", ")]
-        self.state.put(all_sessions.filter(is_open).select(*columns), batch_id)
-        all_sessions.filter(~is_open).write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
-
-
-class CursorSink:
-    """Answers cursor reads from the cursors set before them."""
-
-    IN_FORCE = "doc_id STRING, user_id LONG, cursor_json STRING, until LONG"
-
-    def __init__(self, spark: SparkSession, out: str):
-        self.state = VersionedTable(spark, self.IN_FORCE, f"{out}-state")
-        self.clock = _Clock(spark, f"{out}-clock")
-        self.out = out
+        started, until, beats, _ = held
+        now_ms = timers.getCurrentWatermarkInMs()
+        waiting, done = sorted(self.waiting.get()), 0
+        for us, _, sec, expire_at in waiting:
+            if us > now_ms * 1000:
+                break
+            done += 1
+            if until is not None and sec > until:
+                yield (*key, LEAVE, until, until, started, until, beats)
+                until = None
+            event = JOIN if until is None else REFRESH
+            if until is None:
+                started, beats = sec, 0
+            until, beats = expire_at, beats + 1
+            yield (*key, event, sec, until, started, None, beats)
+        if until is not None and now_ms >= _after(until):
+            yield (*key, LEAVE, until, until, started, until, beats)
+            started, until, beats = None, None, 0
+        waiting = waiting[done:]
+        if waiting:
+            self.waiting.put(waiting)
+        elif done:
+            self.waiting.clear()
+        if until is None and not waiting:
+            self.open.clear()
+        else:
+            self._keep(started, until, beats, None, waiting[0][0] if waiting else None)
+
+    def _keep(self, started, until, beats, due, first_us) -> None:
+        """Store the session, with a timer at the first time something is to be done."""
+        times = [] if first_us is None else [-(-first_us // 1000)]
+        if until is not None:
+            times.append(_after(until))
+        first = min(times)
+        if due is None or first < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(first)
+            due = first
+        self.open.update((started, until, beats, due))
+
+
+def _after(second: int) -> int:
+    """The first millisecond that is later than a whole second."""
+    return (second + 1) * 1000
+
+
+def presence_stream(heartbeats: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Join, refresh and leave rows of members, each once its time is sure.
+
+    Input: event_id, ts (TIMESTAMP_NTZ, UTC), sec, doc_id, user_id, ttl; rows of no document
+    are left out. A leave row closes a session, with its start, end and number of heartbeats.
+    """
+    us = epoch_micros(F.col("ts"))
+    rows = heartbeats.filter("doc_id <> ''").select(
+        "doc_id", "user_id", "event_id", us.alias("us"), "sec",
+        (F.col("sec") + F.col("ttl")).alias("expire_at"),
+        F.timestamp_micros(us).alias("at"),
+    )
+    return (
+        rows.withWatermark("at", delay)
+        .groupBy("doc_id", "user_id")
+        .transformWithStateInPandas(_Member(PRESENCE_EVENT), PRESENCE_EVENT, "append", "EventTime")
+    )
+
+
+CURSOR_ANSWER = "event_id LONG, doc_id STRING, user_id LONG, cursor_json STRING, found BOOLEAN"
+
+
+class _Cursors(RowProcessor):
+    """The cursors of some of a document's users."""
+
+    def __init__(self, keep_ms: int):
+        super().__init__(CURSOR_ANSWER)
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.cursors = handle.getMapState(
+            "cursors", "user_id LONG", "cursor_json STRING, until LONG", self.keep_ms
+        )
 
-    def __call__(self, cursors: DataFrame, batch_id: int) -> None:
-        now = self.clock(cursors, batch_id)
-        if now is None:
-            self.state.put(self.state.before(0), batch_id)
-            return
-        carried = self.state.before(batch_id)
-        answers = presence.cursors_as_of(cursors, carried)
-        answers.write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
-        self.state.put(presence.latest_cursors(cursors, carried, now), batch_id)
+    def on_rows(self, key, rows, timers) -> Iterator[tuple]:
+        held: dict[int, tuple | None] = {}
+        fresh: set[int] = set()
+        for r in sorted(rows, key=lambda r: (r.us, r.event_id)):
+            user = int(r.user_id)
+            if r.op == "set":
+                held[user] = (r.cursor_json, int(r.until))
+                fresh.add(user)
+                continue
+            if user not in held:
+                held[user] = self.cursors.getValue((user,))
+            text, until = held[user] or (None, None)
+            found = until is not None and until > r.sec
+            yield r.event_id, key[0], user, text if found else None, found
+        for user in fresh:
+            self.cursors.updateValue((user,), held[user])
+
+
+def cursor_stream(cursors: DataFrame, longest_ttl: int, lag: int = CURSOR_LAG) -> DataFrame:
+    """Answers to cursor reads, from the cursors set before them.
+
+    Input: event_id, ts, sec, doc_id, user_id, op, cursor_json, ttl (`longest_ttl` at most).
+    An entry goes from the store `longest_ttl` + `lag` seconds after it was set, by the clock
+    of the cluster, so the state holds live cursors and those of the lag only.
+    """
+    rows = cursors.select(
+        "doc_id", F.pmod(F.hash("user_id"), F.lit(SUB_KEYS)).alias("sub"), "user_id", "event_id",
+        epoch_micros(F.col("ts")).alias("us"), "sec", "op", "cursor_json",
+        (F.col("sec") + F.col("ttl")).alias("until"),
+    )
+    keep = _Cursors((longest_ttl + lag) * 1000)
+    return rows.groupBy("doc_id", "sub").transformWithStateInPandas(
+        keep, CURSOR_ANSWER, "append", "ProcessingTime"
+    )
