@@ -5,7 +5,7 @@ sketch. Documents that retain the same value meet in that value's inverted list.
 of Jaccard similarity 0.8 share about 80% of the k smallest values of their union, so pairs are
 only looked for among documents that share `min_shared` retained values or more with others,
 and only in the lists of their rarest values. The union's sketch estimates the similarity and
-filters pairs; the full shingle sets confirm the rest.
+filters pairs; the full shingle sets, as sets of 64-bit hashes, confirm the rest.
 """
 
 from __future__ import annotations
@@ -151,10 +151,11 @@ def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that meet in a list and may still be linked.
 
     `members`: value, m and root of the lists that hold several components. In lists of up to
-    `SMALL_LIST` members all such pairs are taken. In a longer one a pair either shares a
-    shingle that few members of long lists have, and is found by that shingle; or it shares
-    none of those, so that all of them count as held alone, which rules out most pairs before
-    they are made. One side of each pair lies outside the component of the list's hub.
+    `SMALL_LIST` members all such pairs are taken. Members of longer ones meet through a finer
+    index: their shingles in order of how many of them hold each, rarest first. Linked sets share
+    `percent` percent of either, so they share one of the first shingles, those that are more
+    than the rest can make up for; what a class holds alone takes places there and meets nobody.
+    One side of each pair lies outside the component of a list's hub.
     """
     sizes = members.groupBy("value").agg(F.count("*").alias("n"))
     sized = freeze(members.join(sizes, "value"), "open-lists")
@@ -170,40 +171,32 @@ def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     if long.isEmpty():
         return pairs
     of = long.select("c", "root").distinct()
-    held = sets.join(of, "c").select("c", "root", "s")
-    each = held.select("c", "root", F.explode("s").alias("v"))
-    few = each.groupBy("v").agg(F.count("*").alias("n")).filter(F.col("n") <= SMALL_LIST)
-    rare = freeze(each.join(few, "v"), "rare-shingles")
-    own = rare.groupBy("c").agg(F.count("*").alias("own"))
-    facts = held.join(own, "c", "left").select(
-        "c",
-        F.coalesce("own", F.lit(0).cast("long")).alias("own"),
-        (F.size("s") - F.coalesce("own", F.lit(0).cast("long"))).alias("common"),
+    each = sets.join(of, "c").select("c", "root", F.size("s").alias("size"), F.explode("s").alias("v"))
+    often = each.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1")
+    turn = Window.partitionBy("c").orderBy("n", "v")
+    # Shingles held alone come first in the order; they are counted, not kept.
+    shared = each.join(often, "v").withColumns(
+        {"place": F.row_number().over(turn), "held": F.count("*").over(Window.partitionBy("c"))}
     )
-    able = 100 * F.col("common") >= percent * (F.col("own") + F.col("common"))
-    known = freeze(
-        long.join(facts.filter(able), "c").select(
-            "value", F.struct("c", "own", "common").alias("m"), "root"
+    alone = F.col("size") - F.col("held")
+    first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    rare = freeze(
+        shared.filter(alone + F.col("place") <= first).select(
+            "v", "root",
+            F.struct("c", "size", (F.col("size") - alone - F.col("place") + 1).alias("left")).alias("m"),
         ),
-        "long-lists",
+        "rare-shingles",
     )
-    hub = F.min_by("root", F.struct("m.own", "m.c")).alias("hub_root")
-    outside = known.join(known.groupBy("value").agg(hub), "value").filter("root != hub_root")
-    other = known.select("value", F.col("m").alias("o"), F.col("root").alias("root_o"))
-    spread = outside.join(other, "value").filter(
-        differ & _may_link(F.col("m"), F.col("o"), percent)
-    )
-    # By a shared rare shingle: one side is outside the hub's component of some long list.
     hubs = long.groupBy("value").agg(F.min_by("root", F.struct("c")).alias("hub_root"))
     apart = long.join(hubs, "value").filter("root != hub_root").select("c").distinct()
-    met = rare.filter("n > 1").select("v", F.struct("c").alias("m"), "root")
-    mine = met.join(apart, F.col("m.c") == F.col("c"), "left_semi")
-    other = met.select("v", F.col("m").alias("o"), F.col("root").alias("root_o"))
-    shared = mine.join(other, "v").filter(differ)
-    return (
-        pairs.unionByName(spread.select(*_ordered(F.col("m"), F.col("o"))))
-        .unionByName(shared.select(*_ordered(F.col("m"), F.col("o"))))
+    mine = rare.join(apart, F.col("m.c") == F.col("c"), "left_semi")
+    other = rare.select("v", F.col("m").alias("o"), F.col("root").alias("root_o"))
+    # The first shingle that two sets share has all that they share behind it, on both sides.
+    alike = (100 + percent) * F.least("m.left", "o.left") >= percent * (
+        F.col("m.size") + F.col("o.size")
     )
+    met = mine.join(other, "v").filter(differ & alike)
+    return pairs.unionByName(met.select(*_ordered(F.col("m"), F.col("o"))))
 
 
 def linked_classes(
