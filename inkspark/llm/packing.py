@@ -109,7 +109,10 @@ def numbered_by(df: DataFrame, key: str, name: str, label: str) -> DataFrame:
     here = Window.partitionBy(key, part).orderBy(place)
     return (
         held.withColumn(place, F.row_number().over(here) - 1)
-        .join(starts, F.col(key).eqNullSafe(F.col(key_)) & (F.col(part) == F.col(part_)))
+        # The starts grow with the partitions, so they are not broadcast.
+        .join(
+            starts.hint("merge"), F.col(key).eqNullSafe(F.col(key_)) & (F.col(part) == F.col(part_))
+        )
         .select(*df.columns, (F.col(start) + F.col(place)).cast("long").alias(name))
     )
 
@@ -158,7 +161,8 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
 
 
 def digests(packed: DataFrame) -> DataFrame:
-    """`packed` with ids_crc32 taken from the packed ids, which go."""
+    """`packed` with ids_crc32 taken from the packed ids, which go. Null ids give a null; an empty
+    table gives an empty one."""
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
@@ -175,7 +179,9 @@ def pieces_of(
     with `with_ids` ids (BINARY, little-endian uint32).
 
     A document's ids end with `end_id`; a null text is empty. Only documents longer than
-    `capacity` are cut, into pieces of `capacity`, of which the first may be shorter.
+    `capacity` are cut, into pieces of `capacity`, of which the first may be shorter. Null ids of
+    documents stay null; repeated rows are documents of their own; an empty table gives an empty
+    one. Other columns are not read.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
