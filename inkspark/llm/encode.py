@@ -30,9 +30,10 @@ class Encoder:
 
     Byte-level BPE splits a text before it merges, and never over a single space between two
     words. So a text whose spaces all stand single is encoded word by word through a bounded
-    cache, with each new word encoded by the library; any other text is encoded whole. The ids
-    are the same (tests/llm compares them). Strings of special tokens are ordinary text. When
-    the cache is full its older half goes, but for the words that were used since.
+    cache, with each new word encoded by the library; any other text is encoded whole, also one
+    that holds the string of a special token, which the library gives that token's id. The ids
+    are the same (tests/llm compares them). When the cache is full its older half goes, but for
+    the words that were used since.
     """
 
     def __init__(self, path: str, max_cached: int = MAX_CACHED):
@@ -40,7 +41,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Strings that the library takes out of a text before it splits the rest.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Only new words reach the library, so its own cache would never be hit.
         self.tokenizer.model._resize_cache(0)
         self.max_cached = max_cached
@@ -54,7 +56,10 @@ class Encoder:
     def batch(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         split = [t.split(" ") for t in texts]
-        split = [None if _loose(t, s) else s for t, s in zip(texts, split, strict=True)]
+        split = [
+            None if _loose(t, s) or any(a in t for a in self.added) else s
+            for t, s in zip(texts, split, strict=True)
+        ]
         if len(self.known) > self.max_cached:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older

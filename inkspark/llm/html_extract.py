@@ -14,6 +14,8 @@ import html
 import json
 import re
 import zlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Collection, Iterator
 from difflib import SequenceMatcher
 
@@ -76,18 +78,21 @@ HAVING = set("has have with without no not is and above below after before".spli
 TEXT_TAGS = set("h1 h2 h3 h4 h5 h6 p pre blockquote li dt dd td th figure figcaption".split())
 TEXT_NOISE = set(
     "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs cookie cookies "
-    "login newsletter pagination pager paywall promo promotion share sharing signup skip sponsor "
-    "sponsored subscribe tracking".split()
+    "comment comments login newsletter notice notices pagination pager paywall promo promotion "
+    "share sharing signup skip sponsor sponsored subscribe tracking".split()
 )
 MAIN_WORDS = set(
     "article articlebody blogpost body content entry main maincontent post story text".split()
 )
 
+# Comments, sections and declarations, or the start of a tag, whose end `_Tags` finds.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/a-zA-Z][^<]*\Z",
+    r"|<(/?)([a-zA-Z][^\s/><]*)|<[/a-zA-Z][^<]*\Z",
     re.S,
 )
+_STOP = re.compile(r"[>\"']")
+MAX_DEPTH = 100  # blocks; what lies deeper counts to the block at that depth
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _WORDS = re.compile(r"[a-z]+")
 _NAMED = re.compile(r"[a-z0-9]+")
@@ -95,6 +100,43 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
+class _Tags:
+    """Ends of the tags of a page, in time that grows with the page alone.
+
+    A tag ends at the first ">" outside of quoted values; a quote that nothing closes is no
+    quote. A search that comes to the page's end without one is kept: a later tag that starts
+    where that search stood outside of quotes would end the same way. Searches that stand at one
+    place in one state go on alike, so there are three such searches at most.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'"}
+        self.vain: list[tuple[int, list[int], list[int]]] = []
+
+    def end(self, at: int) -> int:
+        """The place after the tag that goes on at `at`, or -1."""
+        for start, opened, closed in self.vain:
+            i = bisect_right(opened, at) - 1
+            if at >= start and (i < 0 or at >= closed[i]):
+                return self._plain(at)
+        opened, closed, here = [], [], at
+        while (stop := _STOP.search(self.page, here)) is not None:
+            here = stop.end()
+            if stop[0] == ">":
+                return here
+            if here <= self.last[stop[0]]:
+                opened.append(stop.start())
+                here = self.page.find(stop[0], here) + 1
+                closed.append(here)
+        self.vain.append((at, opened, closed))
+        return self._plain(at)
+
+    def _plain(self, at: int) -> int:
+        """Without regard to quotes."""
+        return self.page.find(">", at) + 1 or -1
+
+
 def _label(tag: str, attrs: str) -> str:
     """The tag with the names in its class, id, role and itemprop, as words and numbers joined by "-".
 
@@ -120,9 +162,11 @@ def parse(page: str) -> tuple[list, list[tuple[str, str, int]]]:
 
     A tree is [label, children]; a text in it is "#". Only elements that form blocks stand in
     the tree. What is left open closes where HTML closes it, at the latest at the page's end.
+    Blocks below `MAX_DEPTH` have their text in the block at that depth.
     """
     root: list = ["", []]
-    stack, paths = [root], [""]
+    stack, paths, tags, open_tags = [root], [""], [""], Counter()
+    ends = _Tags(page)
     texts: list[tuple[str, str, int]] = []
     held: list[str] = []
     links, in_link, at = 0, 0, 0
@@ -138,7 +182,15 @@ def parse(page: str) -> tuple[list, list[tuple[str, str, int]]]:
         links = 0
 
     def close(depth: int) -> None:
-        del stack[depth:], paths[depth:]
+        open_tags.subtract(tags[depth:])
+        del stack[depth:], paths[depth:], tags[depth:]
+
+    def last(tag: str) -> int:
+        """The innermost open element with this tag; 0 if none is open."""
+        i = len(tags) - 1 if open_tags[tag] else 0
+        while i and tags[i] != tag:
+            i -= 1
+        return i
 
     def take(raw: str) -> None:
         nonlocal links
@@ -159,18 +211,24 @@ def parse(page: str) -> tuple[list, list[tuple[str, str, int]]]:
             continue
         if found[2] is None:
             continue
+        end = ends.end(at)
+        if end < 0:
+            # No tag ends any more: the last one is cut off, what stands before is text.
+            cut = page.rfind("<", at)
+            take(page[found.start() : cut] if cut >= 0 else "")
+            break
+        attrs, at = page[at : end - 1], end
         tag = found[2].lower()
         if found[1]:
             if tag == "a":
                 in_link = max(0, in_link - 1)
             elif tag not in INLINE:
                 flush()
-                open_ = [i for i, node in enumerate(stack) if node[0].partition(".")[0] == tag]
-                if open_:
-                    close(open_[-1])
+                if open_ := last(tag):
+                    close(open_)
             continue
         if tag in RAW:
-            if not found[3].endswith("/"):
+            if not attrs.endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
@@ -182,22 +240,25 @@ def parse(page: str) -> tuple[list, list[tuple[str, str, int]]]:
             continue
         flush()
         in_link = 0
-        names = [node[0].partition(".")[0] for node in stack]
-        if tag in CLOSES_P and "p" in names:
-            close(len(names) - 1 - names[::-1].index("p"))
-        elif tag in CLOSED_BY_SIBLING:
-            for i in range(len(names) - 1, 0, -1):
-                if names[i] in CLOSED_BY_SIBLING[tag]:
+        if tag in CLOSES_P and (open_ := last("p")):
+            close(open_)
+        elif tag in CLOSED_BY_SIBLING and any(open_tags[t] for t in CLOSED_BY_SIBLING[tag]):
+            for i in range(len(tags) - 1, 0, -1):
+                if tags[i] in CLOSED_BY_SIBLING[tag]:
                     close(i)
                     break
-                if names[i] in ("ul", "ol", "dl", "table", "select"):
+                if tags[i] in ("ul", "ol", "dl", "table", "select"):
                     break
-        label = _label(tag, found[3])
-        node = [label, []]
-        stack[-1][1].append(node)
-        if tag not in VOID and not found[3].endswith("/"):
+        node, path = stack[-1], paths[-1]
+        if len(stack) <= MAX_DEPTH:
+            label = _label(tag, attrs)
+            node, path = [label, []], f"{path}/{label}"
+            stack[-1][1].append(node)
+        if tag not in VOID and not attrs.endswith("/"):
             stack.append(node)
-            paths.append(f"{paths[-1]}/{label}")
+            paths.append(path)
+            tags.append(tag)
+            open_tags[tag] += 1
     flush()
     return root, texts
 
@@ -313,7 +374,8 @@ def _noise(label: str, inside_article: bool) -> bool:
         return True
     if tag in TEXT_TAGS:
         return any("-".join(_WORDS.findall(name)) in TEXT_NOISE for name in named)
-    kept = tag in ("html", "body", "article", "main")
+    # Reader comments are often article elements too.
+    kept = tag in ("html", "body", "main")
     return not kept and any(_names_noise(name, inside_article) for name in named)
 
 

@@ -52,8 +52,7 @@ NAMES = {
     "eclipse public license 2 0": "EPL-2.0",
 }
 LEAD = (
-    r"^(?:(?:this|the) (?:work|text|page|document|file|project|software|program|code|content"
-    r"|article|library|material|data|dataset) (?:is|are) )?(?:licensed|released|distributed"
+    r"^(?:(?:[^ ]+ ){0,12}(?:is|are) )?(?:licensed|released|distributed"
     r"|available|published|provided|made available|shared) under (?:the terms of )?(?:the |a |an )?"
 )
 # Licences of the GNU project and their versions, in normal form.
@@ -70,11 +69,17 @@ CUT_NOTICES = {
     "gnu affero general public license": ("AGPL", ("3.0",)),
 }
 SPDX = "spdx license identifier "
-# Words of known sentences, which only the SQL reads. A name after "under" may hold none of them.
-HINT = (
-    r"(?i)licen[sc]e|copyright|permi[ts]|redistribut|rights\s+reserved|warrant|liable|spdx"
-    r"|free\s+software|public\s+domain"
-)
+# Headings of the licences' own texts, in normal form.
+TITLES = {
+    "apache license version 2 0 january 2004": "Apache-2.0",
+    "version 2 0 january 2004": "Apache-2.0",
+    "terms and conditions for use reproduction and distribution": "Apache-2.0",
+    "gnu general public license version 2 june 1991": "GPL-2.0-only",
+    "gnu general public license version 3 29 june 2007": "GPL-3.0-only",
+    "gnu lesser general public license version 2 1 february 1999": "LGPL-2.1-only",
+    "gnu lesser general public license version 3 29 june 2007": "LGPL-3.0-only",
+    "gnu affero general public license version 3 19 november 2007": "AGPL-3.0-only",
+}
 
 
 def known() -> dict[str, str]:
@@ -116,15 +121,15 @@ def known() -> dict[str, str]:
     out |= {f"under {said}": f"name:{spdx}" for said, spdx in names.items()}
     for spdx in sorted(set(names.values())):
         form = "".join(c if c.isalnum() else " " for c in spdx.lower())
-        out[SPDX + form] = f"name:{spdx}"
-    return out
+        out[SPDX + form] = out[f"license {form}"] = f"name:{spdx}"
+    for said, spdx in NAMES.items():
+        if said.endswith("license"):  # "License: MIT License", and a badge that links the file
+            out[f"license {said}"] = out[f"{said} license"] = f"name:{spdx}"
+    return out | {title: f"name:{spdx}" for title, spdx in TITLES.items()}
 
 
 def older() -> dict[str, str]:
-    """Like known(): the ends of older notices, which do not say "of the License".
-
-    They hold no word of HINT, so only the operator reads them.
-    """
+    """Like known(): the ends of older notices, which do not say "of the License"."""
     ends = {k: v for k, v in known().items() if v.startswith("gpl_version:")}
     return {k.replace(" of the license", ""): v for k, v in ends.items()}
 
@@ -154,6 +159,10 @@ YIELDS = {"BSD-2-Clause": "BSD-3-Clause"}
 # Ends of sentences and blank lines become this sign, which also parts the known sentences.
 HARD = "\x1e"
 _ENDS = r"(?<=[.!?;:])\s+|\s*\n\s*\n\s*"
+# After these a colon ends no sentence: what follows on the line belongs to them.
+_TAG = r"(?im)((?:spdx-license-identifier|^[^\p{L}\p{N}\n]*licen[sc]e):)[ \t]+"
+# The parts of a licence expression; "or later" is no "or".
+_OPERATOR = " (?:or|and) "
 
 
 def normal_form(sentence: Column) -> Column:
@@ -163,6 +172,19 @@ def normal_form(sentence: Column) -> Column:
     return F.regexp_replace(flat, LEAD, "under ")
 
 
+def _parts(form: Column) -> Column:
+    """A line's form, or one for each licence of a tag's expression, without exceptions."""
+    said = F.replace(F.substring(form, len(SPDX) + 1, 1 << 20), F.lit(" or later"), F.lit(" or-later"))
+    each = F.transform(
+        F.split(said, _OPERATOR),
+        lambda x: F.concat(
+            F.lit(SPDX),
+            F.regexp_replace(F.replace(x, F.lit("or-later"), F.lit("or later")), " with .*", ""),
+        ),
+    )
+    return F.when(F.startswith(form, F.lit(SPDX)), each).otherwise(F.array(form))
+
+
 def _matched(text: Column) -> Column:
     """Array of (sentence, id): known sentences in order, by number of their sentence from 0.
 
@@ -172,15 +194,14 @@ def _matched(text: Column) -> Column:
     pairs = F.map_from_arrays(
         F.split(F.lit(HARD.join(table)), HARD), F.split(F.lit(HARD.join(table.values())), HARD)
     )
-    cut = F.split(F.regexp_replace(text, _ENDS, HARD), HARD)
+    tagged = F.regexp_replace(text, _TAG, "$1")
+    cut = F.split(F.regexp_replace(tagged, _ENDS, HARD), HARD)
 
     def one(s: Column, i: Column) -> Column:
         whole = F.try_element_at(pairs, normal_form(s))
-        lines = F.filter(
-            F.transform(F.split(s, "\n"), lambda x: F.try_element_at(pairs, normal_form(x))),
-            lambda x: x.isNotNull(),
-        )
-        ids = F.when(whole.isNotNull(), F.array(whole)).otherwise(lines)
+        lines = F.flatten(F.transform(F.split(s, "\n"), lambda x: _parts(normal_form(x))))
+        found = F.transform(lines, lambda x: F.try_element_at(pairs, x))
+        ids = F.when(whole.isNotNull(), F.array(whole)).otherwise(F.array_compact(found))
         return F.transform(ids, lambda x: F.struct(i.alias("sentence"), x.alias("id")))
 
     return F.flatten(F.transform(cut, one))
@@ -234,7 +255,7 @@ def oracle(documents: str = "documents") -> str:
         flat = rf"regexp_replace({flat}, '^\d+ (redistributions|neither)', '\1')"
         return f"regexp_replace({flat}, {quote(LEAD)}, 'under ')"
 
-    pairs = ",\n".join(f"({quote(a)}, {quote(b)})" for a, b in known().items())
+    pairs = ",\n".join(f"({quote(a)}, {quote(b)})" for a, b in (known() | older()).items())
     lines = ",\n".join(
         f"({i}, {quote(name)}, {quote(_pattern(ids))})" for i, (name, ids) in enumerate(rules())
     )
@@ -246,22 +267,31 @@ def oracle(documents: str = "documents") -> str:
         WITH known(form, ident) AS (VALUES {pairs}),
         rule(no, name, pattern) AS (VALUES {lines}),
         text AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM {documents}),
+        tagged AS (SELECT r, regexp_replace(t, {quote(_TAG)}, '\1', 'g') AS t FROM text),
         cut AS (
           SELECT r, unnest(range(len(parts))) AS s, unnest(parts) AS part
           FROM (SELECT r, string_split(regexp_replace(regexp_replace(t,
                   '\s*\n\s*\n\s*', chr(30), 'g'), '([.!?;:])\s+', '\1' || chr(30), 'g'), chr(30)) AS parts
-                FROM text WHERE regexp_matches(t, {quote(HINT)}))),
+                FROM tagged)),
         whole AS (
           SELECT r, s, part, ident FROM cut LEFT JOIN known ON form = {norm("part")}),
         line AS (
-          SELECT r, s, unnest(range(len(x))) AS l, unnest(x) AS part
-          FROM (SELECT r, s, string_split(part, chr(10)) AS x FROM whole WHERE ident IS NULL)),
+          SELECT r, s, l, {norm("part")} AS said
+          FROM (SELECT r, s, unnest(range(len(x))) AS l, unnest(x) AS part
+                FROM (SELECT r, s, string_split(part, chr(10)) AS x FROM whole WHERE ident IS NULL))),
+        part AS (
+          SELECT r, s, l, unnest(range(len(x))) AS o, unnest(x) AS said
+          FROM (SELECT r, s, l, CASE WHEN NOT starts_with(said, '{SPDX}') THEN [said] ELSE
+                  ['{SPDX}' || regexp_replace(replace(y, 'or-later', 'or later'), ' with .*', '')
+                   FOR y IN string_split_regex(replace(said[{len(SPDX) + 1}:], ' or later', ' or-later'),
+                                               '{_OPERATOR}')] END AS x
+                FROM line)),
         hit AS (
-          SELECT r, s, 0 AS l, ident FROM whole WHERE ident IS NOT NULL
+          SELECT r, s, 0 AS l, 0 AS o, ident FROM whole WHERE ident IS NOT NULL
           UNION ALL
-          SELECT r, s, l, ident FROM line JOIN known ON form = {norm("part")}),
+          SELECT r, s, l, o, ident FROM part JOIN known ON form = said),
         seq AS (
-          SELECT r, count(*) AS n, '|' || string_agg(ident, '|' ORDER BY s, l) || '|' AS ids
+          SELECT r, count(*) AS n, '|' || string_agg(ident, '|' ORDER BY s, l, o) || '|' AS ids
           FROM hit GROUP BY r),
         held AS (
           SELECT r, list(DISTINCT name) AS names FROM seq JOIN rule
