@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import document_text, expire_at
 from ..schemas import PRESENCE_TTL
+from .presence import EARLIEST
+from .scan import running
 
 
 def _ids_by_title(documents: DataFrame) -> DataFrame:
@@ -27,25 +29,96 @@ def user_by_username(requests: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
+def created_documents(requests: DataFrame, id_base: int) -> DataFrame:
+    """Create requests with created_id, the id of the document that each one inserts."""
+    return requests.withColumn("created_id", (F.col("event_id") + F.lit(id_base)).cast("string"))
+
+
+def _ids_over_time(events: DataFrame, documents: DataFrame) -> DataFrame:
+    """`events` with document_id, the smallest id that bears the title by then.
+
+    `events`: title, ts, event_id, phase and id, which is null where nothing is inserted. The
+    documents that were there before them are one row per title at the start of time.
+    """
+    before = _ids_by_title(documents.filter("title IS NOT NULL")).select(
+        "title",
+        F.expr(EARLIEST).alias("ts"),
+        F.lit(-1).cast("long").alias("event_id"),
+        F.lit(0).alias("phase"),
+        F.col("document_id").cast("long").alias("id"),
+    )
+    rows = events.unionByName(before, allowMissingColumns=True)
+    order = ["ts", "event_id", "phase"]
+    rows = running(rows, ["title"], order, {"document_id": ("min", F.col("id"))})
+    return rows.withColumn("document_id", F.col("document_id").cast("string"))
+
+
+def _as_event(phase: int, inserted: Column, request: Column | None = None) -> list[Column]:
+    carried = [] if request is None else [request.alias("request")]
+    row = [F.col("title"), F.col("ts"), F.col("event_id"), F.lit(phase).alias("phase")]
+    return [*row, inserted.cast("long").alias("id"), *carried]
+
+
+def ids_by_title_at(requests: DataFrame, created: DataFrame, documents: DataFrame) -> DataFrame:
+    """Requests with document_id: the id their title resolves to when they arrive, null if no
+    document bears it yet. A document created in the same event comes first.
+
+    `requests`: title, ts, event_id and any other columns; a null title finds nothing.
+    `created`: from `created_documents`; `documents`: those that were there before.
+    """
+    named = created.filter("title IS NOT NULL").select(_as_event(0, F.col("created_id")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in requests.columns])
+    asked = requests.select(_as_event(1, F.lit(None), whole))
+    rows = _ids_over_time(asked.unionByName(named, allowMissingColumns=True), documents)
+    return rows.filter("request IS NOT NULL").select("request.*", "document_id")
+
+
+def join_targets(joins: DataFrame, created: DataFrame, documents: DataFrame) -> DataFrame:
+    """The document that each join request is for, and the error where its title is unknown.
+
+    `joins`: event_id, ts, conn_id, user_id, title, and doc_id, the document a connection was
+    opened on. A known title becomes the connection's document; an unknown one is refused and
+    leaves the connection where it was; without either the join is for the current document,
+    '' if there never was one. Refused requests have a null doc_id.
+    """
+    titled = F.coalesce(F.col("title"), F.lit("")) != ""
+    found = ids_by_title_at(joins.filter(titled), created, documents)
+    untitled = joins.filter(~titled).withColumn("document_id", F.lit(None).cast("string"))
+    named = F.when(titled, F.col("document_id")).otherwise(F.col("doc_id"))
+    rows = running(
+        found.unionByName(untitled), ["conn_id"], ["ts", "event_id"], {"current": ("last", named)}
+    )
+    refused = titled & F.col("document_id").isNull()
+    return rows.select(
+        "event_id",
+        "ts",
+        "conn_id",
+        "user_id",
+        F.when(~refused, F.coalesce("current", F.lit(""))).alias("doc_id"),
+        F.when(refused, "GET_DOCID_FAILED").alias("error"),
+    )
+
+
 def create_documents(requests: DataFrame, documents: DataFrame, id_base: int) -> DataFrame:
-    """Insert a document per request, then answer with the id its title resolves to.
+    """Insert a document per request, then answer with the id its title resolves to by then.
 
     Returns one row per request: the new row (created_id, owner_id, title), the resolved id,
-    the owner's presence in the resolved document (name and expiry) and the answer text.
+    the owner's presence in the resolved document (name and expiry) and the answer text. A null
+    title is inserted too, but resolves to nothing.
     """
-    created = requests.withColumn("created_id", (F.col("event_id") + F.lit(id_base)).cast("string"))
-    rows = documents.select("id", "title").unionByName(
-        created.select(F.col("created_id").alias("id"), "title")
-    )
-    return created.join(_ids_by_title(rows), "title", "left").select(
+    created = created_documents(requests, id_base)
+    whole = F.struct("user_id", "username", "sec", "created_id")
+    own = F.when(F.col("title").isNotNull(), F.col("created_id"))
+    rows = _ids_over_time(created.select(_as_event(0, own, whole)), documents)
+    return rows.filter("request IS NOT NULL").select(
         "event_id",
-        "created_id",
-        F.col("user_id").alias("owner_id"),
+        "request.created_id",
+        F.col("request.user_id").alias("owner_id"),
         "title",
         "document_id",
-        "username",
-        expire_at(F.col("sec"), F.lit(PRESENCE_TTL)).alias("expire_at"),
-        document_text(F.col("document_id"), "created by user ", F.col("user_id"))
+        "request.username",
+        expire_at(F.col("request.sec"), F.lit(PRESENCE_TTL)).alias("expire_at"),
+        document_text(F.col("document_id"), "created by user ", F.col("request.user_id"))
         .alias("content"),
     )
 

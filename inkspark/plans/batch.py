@@ -109,10 +109,16 @@ def active_table(i: Inputs) -> DataFrame:
     return materialize(active(i), "active")
 
 
+def join_targets(i: Inputs) -> DataFrame:
+    """Join requests with the documents they are for, by the titles known when they arrive."""
+    made = documents.created_documents(i.create_requests(), NEW_ID_BASE)
+    return documents.join_targets(i.join_requests(), made, i.documents())
+
+
 def join_events(i: Inputs) -> DataFrame:
     """Joins that succeeded, as members."""
     return (
-        presence.join_gate(i.joins(), active_table(i))
+        presence.join_gate(join_targets(i), active_table(i))
         .filter("ok")
         .withColumns(
             {
@@ -134,7 +140,7 @@ def member_table(i: Inputs) -> DataFrame:
 
 
 def stays(i: Inputs) -> DataFrame:
-    return rooms.intervals(i.joins(), active(i))
+    return rooms.intervals(join_targets(i).filter("error IS NULL"), active(i))
 
 
 # -- op log --
@@ -396,13 +402,15 @@ def presence_cleanup(i: Inputs) -> DataFrame:
 
 @query
 def join_gate(i: Inputs) -> DataFrame:
-    rows = presence.join_gate(i.joins(), active(i))
+    """Join requests, the title step included, with their answers."""
+    rows = presence.join_gate(join_targets(i), active(i))
     return rows.select(
         "event_id",
         "conn_id",
         "doc_id",
         "ok",
-        F.when(F.col("ok"), scalars.document_text(F.col("doc_id"), "joined by user ", F.col("user_id")))
+        F.when(F.col("error").isNotNull(), F.col("error"))
+        .when(F.col("ok"), scalars.document_text(F.col("doc_id"), "joined by user ", F.col("user_id")))
         .otherwise(scalars.document_text(F.col("doc_id"), "not found"))
         .alias("content"),
     )

@@ -140,19 +140,38 @@ VIEWS = {
                CASE WHEN event_type = 'purchase' THEN 'get' ELSE 'set' END AS op,
                CASE WHEN event_type <> 'purchase' THEN '{"start":' || CAST(k AS VARCHAR) || '}' END AS cursor_json
         FROM ev""",
-    "joins": """
+    "join_requests": """
         SELECT event_id, ts, us,
-               'u' || CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 2 AS VARCHAR) AS conn_id,
-               user_id, CAST(k AS VARCHAR) AS doc_id
+               'u' || CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 2 AS VARCHAR) AS conn_id, user_id,
+               CASE WHEN event_id % 8 IN (0, 4, 6) THEN CAST(k AS VARCHAR) END AS opened_on,
+               CASE event_id % 4 WHEN 1 THEN 'note/' || CAST(k AS VARCHAR)
+                                 WHEN 3 THEN 'src' || CAST(k % 25 AS VARCHAR) || '/en' END AS title
         FROM ev""",
-    "requested": "SELECT DISTINCT doc_id FROM joins",
-    "creates": """
-        SELECT q.event_id, q.ts, q.sec, CAST(d.id AS VARCHAR) AS doc_id, q.user_id
+    # Every title row against every request that could see it.
+    "titles": """
+        SELECT title, id, CAST(NULL AS TIMESTAMP) AS since, 0 AS by_event FROM documents_t
+        UNION ALL SELECT title, event_id + 1000000000, ts, event_id FROM create_requests""",
+    "joins": """
+        SELECT event_id, ts, us, conn_id, user_id, title IS NOT NULL AND found IS NULL AS refused,
+               CASE WHEN title IS NOT NULL AND found IS NULL THEN NULL
+                    ELSE coalesce(last_value(coalesce(found, opened_on) IGNORE NULLS)
+                                  OVER (PARTITION BY conn_id ORDER BY ts, event_id
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') END AS doc_id
+        FROM join_requests
+        LEFT JOIN (SELECT r.event_id, CAST(min(t.id) AS VARCHAR) AS found
+                   FROM join_requests r JOIN titles t
+                     ON t.title = r.title AND (t.since IS NULL OR row(t.since, t.by_event) <= row(r.ts, r.event_id))
+                   GROUP BY r.event_id) USING (event_id)""",
+    "requested": "SELECT DISTINCT CAST(k AS VARCHAR) AS doc_id FROM ev",
+    "created": """
+        SELECT q.*, d.id
         FROM create_requests q
-        JOIN (SELECT title, min(id) AS id
-              FROM (SELECT title, id FROM documents_t
-                    UNION ALL SELECT title, event_id + 1000000000 FROM create_requests)
-              GROUP BY title) d USING (title)""",
+        JOIN (SELECT c.event_id, min(t.id) AS id
+              FROM create_requests c JOIN titles t
+                ON t.title = c.title AND (t.since IS NULL OR row(t.since, t.by_event) <= row(c.ts, c.event_id))
+              GROUP BY c.event_id) d USING (event_id)""",
+    "creates": """
+        SELECT event_id, ts, sec, CAST(id AS VARCHAR) AS doc_id, user_id FROM created""",
     "gated": """
         SELECT j.*, EXISTS (SELECT 1 FROM first_active f
                             WHERE f.doc_id = j.doc_id AND row(f.ts, f.event_id) <= row(j.ts, j.event_id)) AS ok
@@ -177,7 +196,7 @@ VIEWS = {
         FROM (SELECT *, lead(us) OVER (PARTITION BY conn_id ORDER BY ts, event_id) AS left_us
               FROM (SELECT *, lag(doc_id) OVER (PARTITION BY conn_id ORDER BY ts, event_id) AS old_doc,
                            lag(ok) OVER (PARTITION BY conn_id ORDER BY ts, event_id) AS old_ok
-                    FROM gated)
+                    FROM gated WHERE NOT refused)
               WHERE old_doc IS NULL OR old_doc <> doc_id OR NOT old_ok)
         WHERE ok""",
     "users": "SELECT c_custkey AS id, c_name AS username FROM customer",
@@ -360,7 +379,8 @@ BODIES = {
         FROM members GROUP BY doc_id""",
     "join_gate": """
         SELECT event_id, conn_id, doc_id, ok,
-               CASE WHEN ok THEN 'Document ' || doc_id || ' joined by user ' || CAST(user_id AS VARCHAR)
+               CASE WHEN refused THEN 'GET_DOCID_FAILED'
+                    WHEN ok THEN 'Document ' || doc_id || ' joined by user ' || CAST(user_id AS VARCHAR)
                     ELSE 'Document ' || doc_id || ' not found' END AS content
         FROM gated""",
     "presence_sessions": """
@@ -442,15 +462,11 @@ BODIES = {
         SELECT r.request_id, r.username, u.id AS user_id, CASE WHEN u.id IS NULL THEN 'USER_NOT_FOUND' END AS error
         FROM register_requests r LEFT JOIN users u USING (username)""",
     "create_documents": """
-        SELECT q.event_id, CAST(q.event_id + 1000000000 AS VARCHAR) AS created_id, q.user_id AS owner_id, q.title,
-               CAST(d.id AS VARCHAR) AS document_id, 'u' || CAST(q.user_id AS VARCHAR) AS username,
-               q.sec + 600 AS expire_at,
-               'Document ' || CAST(d.id AS VARCHAR) || ' created by user ' || CAST(q.user_id AS VARCHAR) AS content
-        FROM create_requests q
-        JOIN (SELECT title, min(id) AS id
-              FROM (SELECT title, id FROM documents_t
-                    UNION ALL SELECT title, event_id + 1000000000 FROM create_requests)
-              GROUP BY title) d USING (title)""",
+        SELECT event_id, CAST(event_id + 1000000000 AS VARCHAR) AS created_id, user_id AS owner_id, title,
+               CAST(id AS VARCHAR) AS document_id, 'u' || CAST(user_id AS VARCHAR) AS username,
+               sec + 600 AS expire_at,
+               'Document ' || CAST(id AS VARCHAR) || ' created by user ' || CAST(user_id AS VARCHAR) AS content
+        FROM created""",
     "register_users": """
         SELECT request_id, username,
                CASE WHEN username NOT IN (SELECT username FROM users) AND nth = 1 THEN 'created'

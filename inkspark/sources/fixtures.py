@@ -111,6 +111,18 @@ class Inputs:
     def joins(self) -> DataFrame:
         return self.ev().select("event_id", "ts", self._conn().alias("conn_id"), "user_id", _text("k").alias("doc_id"))
 
+    def join_requests(self) -> DataFrame:
+        """Joins by the document a connection was opened on, by title, or by neither; a title may
+        be of an old document, of one created sooner or later, or of none."""
+        event = F.col("event_id")
+        note = F.concat(F.lit("note/"), _text("k"))
+        old = F.concat(F.lit("src"), (F.col("k") % 25).cast("string"), F.lit("/en"))
+        return self.ev().select(
+            "event_id", "ts", self._conn().alias("conn_id"), "user_id",
+            F.when((event % 2 == 0) & (event % 8 != 2), _text("k")).alias("doc_id"),
+            F.when(event % 4 == 1, note).when(event % 4 == 3, old).when(event % 8 == 2, "").alias("title"),
+        )
+
     def users(self) -> DataFrame:
         return self.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"))
 

@@ -34,6 +34,8 @@ SPLIT = {
     "heartbeat_alive": 8,
     "cursor_asof": 8,
     "room_intervals": 20,
+    "join_gate": 8,
+    "create_documents": 3,
     "op_fanout": 30,
     "op_recipients": 30,
     "cursor_fanout": 30,
