@@ -73,6 +73,17 @@ def ids_by_title_at(requests: DataFrame, created: DataFrame, documents: DataFram
     return rows.filter("request IS NOT NULL").select("request.*", "document_id")
 
 
+def _with_names(joins: DataFrame, created: DataFrame, documents: DataFrame) -> DataFrame:
+    """Join requests with `named`, the document they move their connection to, and `refused`."""
+    titled = F.coalesce(F.col("title"), F.lit("")) != ""
+    found = ids_by_title_at(joins.filter(titled), created, documents)
+    untitled = joins.filter(~titled).withColumn("document_id", F.lit(None).cast("string"))
+    named = F.when(titled, F.col("document_id")).otherwise(F.col("doc_id"))
+    return found.unionByName(untitled).withColumns(
+        {"named": named, "refused": titled & F.col("document_id").isNull()}
+    )
+
+
 def join_targets(joins: DataFrame, created: DataFrame, documents: DataFrame) -> DataFrame:
     """The document that each join request is for, and the error where its title is unknown.
 
@@ -81,21 +92,33 @@ def join_targets(joins: DataFrame, created: DataFrame, documents: DataFrame) ->
     leaves the connection where it was; without either the join is for the current document,
     '' if there never was one. Refused requests have a null doc_id.
     """
-    titled = F.coalesce(F.col("title"), F.lit("")) != ""
-    found = ids_by_title_at(joins.filter(titled), created, documents)
-    untitled = joins.filter(~titled).withColumn("document_id", F.lit(None).cast("string"))
-    named = F.when(titled, F.col("document_id")).otherwise(F.col("doc_id"))
-    rows = running(
-        found.unionByName(untitled), ["conn_id"], ["ts", "event_id"], {"current": ("last", named)}
-    )
-    refused = titled & F.col("document_id").isNull()
+    rows = _with_names(joins, created, documents)
+    rows = running(rows, ["conn_id"], ["ts", "event_id"], {"current": ("last", F.col("named"))})
     return rows.select(
         "event_id",
         "ts",
         "conn_id",
         "user_id",
-        F.when(~refused, F.coalesce("current", F.lit(""))).alias("doc_id"),
-        F.when(refused, "GET_DOCID_FAILED").alias("error"),
+        F.when(~F.col("refused"), F.coalesce("current", F.lit(""))).alias("doc_id"),
+        F.when(F.col("refused"), "GET_DOCID_FAILED").alias("error"),
+    )
+
+
+def documents_asked(
+    asks: DataFrame, joins: DataFrame, created: DataFrame, documents: DataFrame
+) -> DataFrame:
+    """Asks (event_id, ts, conn_id and more) with doc_id, the document their connection is in
+    when they arrive, '' if there never was one. A join of the same event comes first."""
+    moves = _with_names(joins, created, documents).select(
+        "event_id", "ts", "conn_id", "named", F.lit(0).alias("phase")
+    )
+    whole = F.struct(*[F.col(f"`{c}`") for c in asks.columns]).alias("request")
+    asked = asks.select("event_id", "ts", "conn_id", F.lit(1).alias("phase"), whole)
+    rows = moves.unionByName(asked, allowMissingColumns=True)
+    order = ["ts", "event_id", "phase"]
+    rows = running(rows, ["conn_id"], order, {"current": ("last", F.col("named"))})
+    return rows.filter("request IS NOT NULL").select(
+        "request.*", F.coalesce("current", F.lit("")).alias("doc_id")
     )
 
 

@@ -88,8 +88,9 @@ def active_since(heartbeats: DataFrame) -> DataFrame:
     return _timed(heartbeats).groupBy("doc_id").agg(F.min(F.struct(*_ORDER)).alias("since"))
 
 
-# Within one event: a created document has its owner first, then heartbeats, then joins.
-_PHASES = 4
+# Within one event: a created document has its owner first, then heartbeats, then joins, then reads.
+PHASES = 4
+ASK_PHASE = 3
 
 
 def member_events(
@@ -104,7 +105,7 @@ def member_events(
     out = None
     for phase, rows in enumerate((creates, heartbeats, joins)):
         if rows is not None:
-            numbered_ = (F.col("event_id") * _PHASES + phase).alias("event_id")
+            numbered_ = (F.col("event_id") * PHASES + phase).alias("event_id")
             rows = rows.select(numbered_, *columns)
             out = rows if out is None else out.unionByName(rows)
     return out
@@ -112,8 +113,8 @@ def member_events(
 
 def of_heartbeats(answers: DataFrame) -> DataFrame:
     """Of answers per member event those per heartbeat, under the heartbeats' own ids."""
-    return answers.filter(F.pmod("event_id", F.lit(_PHASES)) == 1).withColumn(
-        "event_id", F.floor(F.col("event_id") / _PHASES).cast("long")
+    return answers.filter(F.pmod("event_id", F.lit(PHASES)) == 1).withColumn(
+        "event_id", F.floor(F.col("event_id") / PHASES).cast("long")
     )
 
 

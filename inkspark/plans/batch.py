@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import deltas, scalars
-from ..operators import documents, interactions, messages, oplog, presence, ranks, replay, rooms
+from ..operators import documents, interactions, member_reads, messages, oplog, presence, ranks, replay, rooms
 from ..operators.scan import running
 from ..operators.sequencer import sequence
 from ..runtime import materialize, new_path
@@ -139,6 +139,16 @@ def member_table(i: Inputs) -> DataFrame:
     return materialize(member_events(i), "member-events")
 
 
+def asks(i: Inputs) -> DataFrame:
+    """Reads and clean-ups of the documents that connections are in."""
+    made = documents.created_documents(i.create_requests(), NEW_ID_BASE)
+    return documents.documents_asked(i.member_asks(), i.join_requests(), made, i.documents())
+
+
+def swept(i: Inputs) -> DataFrame:
+    return member_reads.sweep(member_table(i), materialize(asks(i), "asks"))
+
+
 def stays(i: Inputs) -> DataFrame:
     return rooms.intervals(join_targets(i).filter("error IS NULL"), active(i))
 
@@ -400,6 +410,35 @@ def presence_cleanup(i: Inputs) -> DataFrame:
     return presence.cleanup(member_state(i), AS_OF)
 
 
+@query
+def member_reads_answered(i: Inputs) -> DataFrame:
+    """What every read and clean-up removed and left."""
+    return member_reads.answers(materialize(swept(i), "swept"))
+
+
+@query
+def members_after_reads(i: Inputs) -> DataFrame:
+    return member_reads.members_after(swept(i))
+
+
+@query
+def active_after_reads(i: Inputs) -> DataFrame:
+    return member_reads.active_after(swept(i))
+
+
+@query
+def members_shown(i: Inputs) -> DataFrame:
+    """The members that every 20th request showed, each with its text."""
+    chosen = member_reads.numbered_asks(asks(i).filter("NOT clean AND event_id % 20 = 0"))
+    seen = presence.members_seen(chosen, member_table(i))
+    return seen.select(
+        F.floor(F.col("event_id") / presence.PHASES).cast("long").alias("event_id"),
+        "doc_id",
+        "user_id",
+        scalars.online_text(F.col("user_id"), F.col("username")).alias("content"),
+    )
+
+
 @query
 def join_gate(i: Inputs) -> DataFrame:
     """Join requests, the title step included, with their answers."""

@@ -191,6 +191,33 @@ VIEWS = {
         SELECT *, lead(row(ts, event_id, phase)) OVER (PARTITION BY doc_id, user_id
                                                        ORDER BY ts, event_id, phase) AS next_beat
         FROM beats""",
+    # The latest join up to a request that named a document.
+    "asks": """
+        SELECT a.event_id, a.ts, a.sec, a.clean, coalesce(arg_max(j.doc_id, (j.ts, j.event_id)), '') AS doc_id
+        FROM (SELECT event_id, ts, sec, event_id % 9 <> 3 AS clean,
+                     'u' || CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 2 AS VARCHAR) AS conn_id
+              FROM ev WHERE event_id % 9 = 3 OR event_id % 50 = 8) a
+        LEFT JOIN (SELECT * FROM joins WHERE NOT refused) j
+          ON j.conn_id = a.conn_id AND row(j.ts, j.event_id) <= row(a.ts, a.event_id)
+        GROUP BY ALL""",
+    # Every read against every sign of life that it could find expired.
+    "removals": """
+        SELECT t.doc_id, t.user_id, t.ts, t.event_id, t.phase, arg_min(a.event_id, (a.ts, a.event_id)) AS ask
+        FROM turns t JOIN asks a
+          ON a.doc_id = t.doc_id AND a.sec >= t.expire_at
+         AND (t.next_beat IS NULL OR row(a.ts, a.event_id, 3) < t.next_beat)
+        GROUP BY t.doc_id, t.user_id, t.ts, t.event_id, t.phase""",
+    "seen": """
+        SELECT a.event_id, a.clean, a.ts, a.doc_id, m.user_id
+        FROM asks a JOIN turns m
+          ON m.doc_id = a.doc_id AND row(m.ts, m.event_id, m.phase) <= row(a.ts, a.event_id, 3)
+         AND (m.next_beat IS NULL OR m.next_beat > row(a.ts, a.event_id, 3)) AND m.expire_at > a.sec""",
+    "answered": """
+        SELECT a.event_id, a.ts, a.doc_id, coalesce(r.n, 0) AS removed, coalesce(s.n, 0) AS members_left,
+               a.clean AND coalesce(s.n, 0) = 0 AS leaves_active
+        FROM asks a
+        LEFT JOIN (SELECT ask AS event_id, count(*) AS n FROM removals GROUP BY ask) r USING (event_id)
+        LEFT JOIN (SELECT event_id, count(*) AS n FROM seen GROUP BY event_id) s USING (event_id)""",
     "stays": """
         SELECT conn_id, user_id, doc_id, us AS joined_us, left_us
         FROM (SELECT *, lead(us) OVER (PARTITION BY conn_id ORDER BY ts, event_id) AS left_us
@@ -377,6 +404,20 @@ BODIES = {
                count(*) FILTER (expire_at > {AS_OF}) AS alive,
                count(*) FILTER (expire_at > {AS_OF}) = 0 AS remove_doc
         FROM members GROUP BY doc_id""",
+    "member_reads_answered": "SELECT event_id, doc_id, removed, members_left, leaves_active FROM answered",
+    "members_after_reads": """
+        SELECT t.doc_id, t.user_id, 'u' || CAST(t.user_id AS VARCHAR) AS username, t.expire_at
+        FROM turns t LEFT JOIN removals r USING (doc_id, user_id, ts, event_id, phase)
+        WHERE t.next_beat IS NULL AND r.ask IS NULL""",
+    "active_after_reads": """
+        SELECT doc_id FROM (SELECT doc_id, max(row(ts, event_id)) AS written FROM beats GROUP BY doc_id)
+        LEFT JOIN (SELECT doc_id, max(row(ts, event_id)) AS cleaned FROM answered
+                   WHERE leaves_active GROUP BY doc_id) USING (doc_id)
+        WHERE cleaned IS NULL OR cleaned < written""",
+    "members_shown": """
+        SELECT event_id, doc_id, user_id,
+               'User ' || CAST(user_id AS VARCHAR) || '(u' || CAST(user_id AS VARCHAR) || ') is online' AS content
+        FROM seen WHERE NOT clean AND event_id % 20 = 0""",
     "join_gate": """
         SELECT event_id, conn_id, doc_id, ok,
                CASE WHEN refused THEN 'GET_DOCID_FAILED'

@@ -123,6 +123,13 @@ class Inputs:
             F.when(event % 4 == 1, note).when(event % 4 == 3, old).when(event % 8 == 2, "").alias("title"),
         )
 
+    def member_asks(self) -> DataFrame:
+        """Requests for the members of the document a connection is in, and clean-ups of it."""
+        event = F.col("event_id")
+        return self.ev().filter("event_id % 9 = 3 OR event_id % 50 = 8").select(
+            "event_id", "ts", "sec", self._conn().alias("conn_id"), (event % 9 != 3).alias("clean")
+        )
+
     def users(self) -> DataFrame:
         return self.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"))
 
