@@ -36,7 +36,6 @@ SPLIT = {
     "room_intervals": 20,
     "join_gate": 8,
     "member_reads_answered": 8,
-    "members_after_reads": 8,
     "create_documents": 3,
     "op_fanout": 30,
     "op_recipients": 30,
