@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import deltas, scalars
-from ..operators import documents, interactions, member_reads, messages, oplog, presence, ranks, replay, rooms
+from ..operators import documents, interactions, member_reads, messages, oplog, presence, ranks, replay, rooms, served
 from ..operators.scan import running
 from ..operators.sequencer import sequence
 from ..runtime import materialize, new_path
@@ -149,6 +149,11 @@ def swept(i: Inputs) -> DataFrame:
     return member_reads.sweep(member_table(i), materialize(asks(i), "asks"))
 
 
+def messages_served(i: Inputs, submissions: DataFrame) -> DataFrame:
+    """Load and save messages with the revision they met, given labelled submissions."""
+    return served.served(served.requests(messages.decode(i.messages())), submissions)
+
+
 def stays(i: Inputs) -> DataFrame:
     return rooms.intervals(join_targets(i).filter("error IS NULL"), active(i))
 
@@ -196,6 +201,22 @@ def snapshot_rows(i: Inputs) -> DataFrame:
     return oplog.snapshot_rows(log(i))
 
 
+@query
+def documents_served(i: Inputs) -> DataFrame:
+    """The answer to every load and save message as of its arrival."""
+    return messages_served(i, sequence(i.submissions(), keep=["ts"]))
+
+
+@query
+def document_texts_served(i: Inputs) -> DataFrame:
+    """The text that every 20th load and save message met."""
+    submissions = materialize(sequence(i.submissions()), "labelled")
+    op_log = oplog.op_log(submissions)
+    chosen = materialize(messages_served(i, submissions).filter("event_id % 20 = 0"), "served")
+    texts = served.texts_served(chosen, op_log, stored_snapshots(op_log))
+    return texts.select("event_id", "type", "doc_id", "revision", "stores", "content")
+
+
 @query
 def snapshot_insert_ignore(i: Inputs) -> DataFrame:
     def keyed(df: DataFrame) -> DataFrame:

@@ -255,13 +255,24 @@ VIEWS = {
         SELECT kind, doc_id, count(*) FILTER (last_action = 'add') AS cnt
         FROM last_actions GROUP BY kind, doc_id""",
     "messages": """
-        SELECT event_id, k, user_id,
+        SELECT event_id, ts, k, user_id,
                CASE event_id % 9 WHEN 0 THEN 'heartbeat' WHEN 1 THEN 'createDocument' WHEN 2 THEN 'joinDocument'
                     WHEN 3 THEN 'show_alive_members' WHEN 4 THEN 'op_submit' WHEN 5 THEN 'saveDocument'
                     WHEN 6 THEN 'loadDocumentContent' WHEN 7 THEN 'setCursor' ELSE 'ping' END AS type,
                CASE WHEN event_id % 11 = 0 THEN '' ELSE doc_id END AS doc_id,
                event_id % 97 = 0 AS broken
         FROM ev""",
+    # Each load and save against every submission up to its instant.
+    "served": """
+        SELECT m.event_id, m.type, m.doc_id, m.ts,
+               CASE WHEN count(l.doc_id) > 0 THEN coalesce(max(l.revision), 0) END AS revision
+        FROM messages m LEFT JOIN labelled l ON l.doc_id = m.doc_id AND l.ts <= m.ts
+        WHERE m.type IN ('loadDocumentContent', 'saveDocument') AND NOT m.broken
+        GROUP BY m.event_id, m.type, m.doc_id, m.ts""",
+    "served_stores": """
+        SELECT *, CASE WHEN type = 'saveDocument' THEN revision IS NOT NULL AND
+                    row_number() OVER (PARTITION BY type, doc_id, revision ORDER BY ts, event_id) = 1 END AS stores
+        FROM served""",
     "case_ops": """
         SELECT event_id, event_type || 'a😀b' || doc_id AS initial, k % 9 AS c, event_id % 8 AS n FROM ev""",
 }
@@ -295,6 +306,17 @@ BODIES = {
         FROM (SELECT DISTINCT doc_id, k AS revision FROM ev) q
         LEFT JOIN latest l USING (doc_id)
         LEFT JOIN texts t ON t.doc_id = q.doc_id AND t.revision = q.revision""",
+    "documents_served": """
+        SELECT event_id, type, doc_id, revision, stores,
+               CASE WHEN type = 'saveDocument'
+                    THEN CASE WHEN revision IS NULL THEN 'Document ' || doc_id || ' save failed' || chr(10) ELSE '' END
+                         || 'Document ' || doc_id || ' saved' END AS answer,
+               CASE WHEN revision IS NULL THEN 'document not found' END AS error
+        FROM served_stores""",
+    "document_texts_served": """
+        SELECT s.event_id, s.type, s.doc_id, s.revision, s.stores, coalesce(t.content, '') AS content
+        FROM served_stores s LEFT JOIN texts t ON t.doc_id = s.doc_id AND t.revision = s.revision
+        WHERE s.revision IS NOT NULL AND s.event_id % 20 = 0""",
     "snapshot_rows": """
         SELECT t.doc_id AS document_id, t.revision, t.content
         FROM texts t JOIN latest l ON t.doc_id = l.doc_id AND t.revision = l.latest""",
