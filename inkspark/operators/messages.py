@@ -17,10 +17,11 @@ OLDER_ROUTES = [*ROUTES, "register", "login", "setCursor", "getCursor"]
 
 
 def decode(messages: DataFrame) -> DataFrame:
-    """JSON text to one wide struct `message`; `broken` marks text that is not JSON."""
+    """JSON text to one wide struct `message`; `broken` marks text that is not JSON, blank text too."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     rows = messages.withColumn("message", F.from_json("json", CLIENT_MESSAGE, options))
-    return rows.withColumn("broken", F.col("message._corrupt").isNotNull())
+    blank = F.coalesce(F.trim("json") == "", F.lit(False))
+    return rows.withColumn("broken", F.col("message._corrupt").isNotNull() | blank)
 
 
 def _route(kind: Column, known: list[str]) -> Column:

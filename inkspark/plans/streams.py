@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import epoch_micros
 from ..operators import messages, oplog
 from ..runtime import materialize, new_path
+from ..sources import tables
 from ..sources.fixtures import Inputs
-from ..streaming import feeds, interactions, log, presence, sequencer
+from ..streaming import feeds, interactions, log, presence, sequencer, sinks
 from . import batch
 from .oracle import BODIES, ORACLE, sql_for
 
@@ -50,6 +51,20 @@ def stream_message_route(i: Inputs) -> DataFrame:
     return feeds.replay_to_table(i.messages(), "event_id", route)
 
 
+@query
+def stream_message_lines(i: Inputs) -> DataFrame:
+    """Lines of JSON files as they arrive: good ones decoded and routed, torn ones kept as they are."""
+    sink = sinks.MessageSink(new_path(i.spark, "message-lines"))
+    feeds.replay_lines(i.messages(), "event_id", "json", tables.stream_message_lines, sink)
+    good = sink.good(i.spark).select(
+        F.lit(sink.GOOD).alias("kept_in"), "type", F.col("docId").alias("doc_id"),
+        F.col("baseRevision").alias("base_revision"), F.col("clientId").alias("client_id"),
+        F.col("clientSeq").alias("client_seq"), "route", "older_route", "reply",
+    )
+    torn = sink.quarantine(i.spark).select(F.lit(sink.TORN).alias("kept_in"), "line")
+    return good.unionByName(torn, allowMissingColumns=True)
+
+
 @query
 def stream_sequencer(i: Inputs) -> DataFrame:
     return feeds.replay_to_table(_clocked(i.submissions()), "ts_us", sequencer.sequence_stream)
@@ -167,11 +182,11 @@ def stream_snapshots(i: Inputs) -> DataFrame:
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumnRenamed("doc_id", "document_id")
 
-    path = new_path(i.spark, "snapshots")
+    table = sinks.PartedSnapshots(new_path(i.spark, "snapshots"))
     op_log = batch.log_table(i)
-    keyed(batch.stored_snapshots(op_log)).write.parquet(path)
-    feeds.replay_batches(keyed(batch.snapshot_batch(op_log)), "revision", log.SnapshotSink(path))
-    return i.spark.read.parquet(path).select("document_id", "revision", "content")
+    table.load(keyed(batch.stored_snapshots(op_log)))
+    feeds.replay_batches(keyed(batch.snapshot_batch(op_log)), "revision", table)
+    return table.read(i.spark)
 
 
 @query
@@ -186,6 +201,20 @@ def stream_fanout(i: Inputs) -> DataFrame:
 
 STREAM_ORACLE = {
     "stream_message_route": ORACLE["message_route"],
+    "stream_message_lines": sql_for(
+        """SELECT CASE WHEN broken THEN 'quarantine' ELSE 'messages' END AS kept_in,
+                  CASE WHEN NOT broken THEN m.type END AS type, CASE WHEN NOT broken THEN doc_id END AS doc_id,
+                  CASE WHEN NOT broken AND event_id % 5 <> 0 THEN k END AS base_revision,
+                  CASE WHEN NOT broken AND event_id % 5 <> 0 THEN 'c' || CAST(user_id % 4 AS VARCHAR) END AS client_id,
+                  CASE WHEN NOT broken AND event_id % 5 <> 0 THEN event_id END AS client_seq,
+                  CASE WHEN broken THEN NULL WHEN m.type IN ('setCursor', 'ping') THEN 'ignored'
+                       ELSE m.type END AS route,
+                  CASE WHEN broken THEN NULL WHEN m.type = 'ping' THEN 'ignored' ELSE m.type END AS older_route,
+                  CASE WHEN broken THEN NULL WHEN m.type = 'heartbeat' THEN 'Heartbeat received'
+                       WHEN m.type IN ('setCursor', 'ping') THEN 'Unknown message type' END AS reply,
+                  CASE WHEN broken THEN substr('{"type":"' || m.type || '","docId":"', 1, 20) END AS line
+           FROM messages m"""
+    ),
     "stream_sequencer": ORACLE["op_sequence"],
     "stream_sequencer_batches": ORACLE["op_sequence"],
     "stream_presence": ORACLE["presence_sessions"],

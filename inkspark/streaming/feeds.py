@@ -50,16 +50,22 @@ def replay(
     start: Callable[[DataFrame], DataStreamWriter],
     checkpoint: str,
     idle: bool = True,
+    lines: Callable[[SparkSession, str], DataFrame] | None = None,
 ) -> None:
     """Append each slice to a folder and run the stream until it has taken it in.
 
-    The query stops and resumes from its checkpoint between slices, as after a restart.
+    The query stops and resumes from its checkpoint between slices, as after a restart. With
+    `lines` the folder holds text files, one line per row, which `lines(spark, folder)` reads.
     """
     spark = slices[0].sparkSession
     folder = new_path(spark, "feed")
     for rows in slices:
-        rows.write.mode("append").parquet(folder)
-        stream = spark.readStream.schema(slices[0].schema).parquet(folder)
+        if lines is None:
+            rows.write.mode("append").parquet(folder)
+            stream = spark.readStream.schema(slices[0].schema).parquet(folder)
+        else:
+            rows.write.mode("append").text(folder)
+            stream = lines(spark, folder)
         writer = start(stream).option("checkpointLocation", checkpoint)
         with state_variables(spark, idle):
             writer.trigger(availableNow=True).start().awaitTermination()
@@ -117,6 +123,23 @@ def replay_batches(
     replay(_in_slices(rows, clock, slices, closing), start, new_path(spark, "stream-checkpoint"))
 
 
+def replay_lines(
+    rows: DataFrame,
+    clock: str,
+    line: str,
+    source: Callable[[SparkSession, str], DataFrame],
+    on_batch: Callable[[DataFrame, int], None],
+    slices: int = 3,
+) -> None:
+    """Stream column `line` of `rows` as text files, read by `source`, through `on_batch`."""
+
+    def start(stream: DataFrame) -> DataStreamWriter:
+        return stream.writeStream.foreachBatch(on_batch)
+
+    parts = [part.select(line) for part in _in_slices(rows, clock, slices, None)]
+    replay(parts, start, new_path(rows.sparkSession, "stream-checkpoint"), lines=source)
+
+
 class RowProcessor(StatefulProcessor):
     """A processor that takes and gives rows as tuples instead of data frames: `on_rows(key,
     rows, timers)` and, where timers are used, `on_timer(key, timers)`."""
