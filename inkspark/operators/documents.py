@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import document_text, expire_at
+from ..runtime import hot_keys
 from ..schemas import PRESENCE_TTL
 from .presence import EARLIEST
-from .scan import running
+from .scan import COUNT, running
 
 
 def _ids_by_title(documents: DataFrame) -> DataFrame:
@@ -84,16 +85,22 @@ def _with_names(joins: DataFrame, created: DataFrame, documents: DataFrame) -> D
     )
 
 
-def join_targets(joins: DataFrame, created: DataFrame, documents: DataFrame) -> DataFrame:
+def join_targets(
+    joins: DataFrame, created: DataFrame, documents: DataFrame, hot=COUNT
+) -> DataFrame:
     """The document that each join request is for, and the error where its title is unknown.
 
     `joins`: event_id, ts, conn_id, user_id, title, and doc_id, the document a connection was
     opened on. A known title becomes the connection's document; an unknown one is refused and
     leaves the connection where it was; without either the join is for the current document,
-    '' if there never was one. Refused requests have a null doc_id.
+    '' if there never was one. Refused requests have a null doc_id. `hot`: the connections too large
+    for one task, if known.
     """
+    # One row per join: counted on the joins, the titles need not be resolved for it.
+    hot = hot_keys(joins, ["conn_id"]) if hot is COUNT else hot
     rows = _with_names(joins, created, documents)
-    rows = running(rows, ["conn_id"], ["ts", "event_id"], {"current": ("last", F.col("named"))})
+    current = {"current": ("last", F.col("named"))}
+    rows = running(rows, ["conn_id"], ["ts", "event_id"], current, hot=hot)
     return rows.select(
         "event_id",
         "ts",

@@ -18,15 +18,16 @@ from .scan import COUNT, running
 _FOREVER = 2**62
 
 
-def intervals(joins: DataFrame, active: DataFrame) -> DataFrame:
+def intervals(joins: DataFrame, active: DataFrame, hot=COUNT) -> DataFrame:
     """Stays of connections in rooms: joined_us, and left_us (null while still there).
 
     Joining another document leaves the old room first; if the new document is not active at
     that time the connection is then in no room, and may try again. Joining the document one
-    is in changes nothing. `active`: doc_id and since.
+    is in changes nothing. `active`: doc_id and since. `hot`: the connections too large for one
+    task, if known.
     """
     order = ["ts", "event_id"]
-    hot = hot_keys(joins, ["conn_id"])
+    hot = hot_keys(joins, ["conn_id"]) if hot is COUNT else hot
     last = F.struct("doc_id", "ok")
     rows = running(join_gate(joins, active), ["conn_id"], order, {"last": ("prev", last)}, hot=hot)
     stays_in = (F.col("last.doc_id") == F.col("doc_id")) & F.col("last.ok")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import document_text
+from ..runtime import hot_keys, hot_within
 from .replay import content_at
 from .scan import running
 
@@ -45,15 +46,17 @@ def served(asked: DataFrame, labelled: DataFrame) -> DataFrame:
     )
     order = ["ts", "phase", "number"]
     submission = F.when(F.col("phase") == 0, 1)
+    hot = hot_keys(rows, ["doc_id"])
     rows = running(
         rows, ["doc_id"], order,
-        {"reached": ("max", F.col("revision")), "known": ("max", submission)},
+        {"reached": ("max", F.col("revision")), "known": ("max", submission)}, hot=hot,
     ).filter("phase = 1")
     reached = F.when(F.col("known").isNotNull(), F.coalesce("reached", F.lit(0)))
     rows = rows.withColumn("revision", reached.cast("long"))
     # Revisions only grow, so the save before tells whether this one is the first of its revision.
     kind = ["doc_id", "type"]
-    rows = running(rows, kind, order, {"before": ("prev", F.col("revision"))})
+    hot = hot_within(hot, rows, kind)
+    rows = running(rows, kind, order, {"before": ("prev", F.col("revision"))}, hot=hot)
     first = F.col("revision").isNotNull() & ~F.col("revision").eqNullSafe(F.col("before"))
     saved = document_text(F.col("doc_id"), "saved")
     failed = F.concat_ws("\n", document_text(F.col("doc_id"), "save failed"), saved)

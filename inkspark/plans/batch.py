@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import deltas, scalars
 from ..operators import documents, interactions, member_reads, messages, oplog, presence, ranks, replay, rooms, served
-from ..operators.scan import running
+from ..operators.scan import COUNT, running
 from ..operators.sequencer import sequence
-from ..runtime import materialize, new_path
+from ..runtime import hot_keys, materialize, new_path
 from ..schemas import ACCEPTED, PRESENCE_TTL
 from ..sources import event_log
 from ..sources.fixtures import AS_OF, BATCH_UNIT, NEW_ID_BASE, SMALL_RING, SNAPSHOT_UNIT, Inputs
@@ -109,10 +109,10 @@ def active_table(i: Inputs) -> DataFrame:
     return materialize(active(i), "active")
 
 
-def join_targets(i: Inputs) -> DataFrame:
+def join_targets(i: Inputs, hot=COUNT) -> DataFrame:
     """Join requests with the documents they are for, by the titles known when they arrive."""
     made = documents.created_documents(i.create_requests(), NEW_ID_BASE)
-    return documents.join_targets(i.join_requests(), made, i.documents())
+    return documents.join_targets(i.join_requests(), made, i.documents(), hot)
 
 
 def join_events(i: Inputs) -> DataFrame:
@@ -155,7 +155,14 @@ def messages_served(i: Inputs, submissions: DataFrame) -> DataFrame:
 
 
 def stays(i: Inputs) -> DataFrame:
-    return rooms.intervals(join_targets(i).filter("error IS NULL"), active(i))
+    # Counted once on the requests; the rows of a connection only get fewer after that.
+    hot = hot_keys(i.join_requests(), ["conn_id"])
+    return rooms.intervals(join_targets(i, hot).filter("error IS NULL"), active(i), hot)
+
+
+def stays_table(i: Inputs) -> DataFrame:
+    """Stays as a written table, for the sweeps, which read them more than once."""
+    return materialize(stays(i), "stays")
 
 
 # -- op log --
@@ -204,7 +211,7 @@ def snapshot_rows(i: Inputs) -> DataFrame:
 @query
 def documents_served(i: Inputs) -> DataFrame:
     """The answer to every load and save message as of its arrival."""
-    return messages_served(i, sequence(i.submissions(), keep=["ts"]))
+    return messages_served(i, materialize(sequence(i.submissions(), keep=["ts"]), "labelled"))
 
 
 @query
@@ -510,7 +517,7 @@ def room_intervals(i: Inputs) -> DataFrame:
 
 @query
 def op_fanout(i: Inputs) -> DataFrame:
-    return rooms.delivery_ranges(oplog.op_times(log_table(i)), stays(i))
+    return rooms.delivery_ranges(oplog.op_times(log_table(i)), stays_table(i))
 
 
 @query
@@ -524,7 +531,7 @@ def op_outbox(i: Inputs) -> DataFrame:
         "doc_id", "revision", "conn_id",
         (scalars.epoch_micros(F.col("ts")) - F.when(even, hours).otherwise(0)).alias("ts_us"),
     )
-    ranges = rooms.delivery_ranges(ops, materialize(stays(i), "stays"))
+    ranges = rooms.delivery_ranges(ops, stays_table(i))
     user = F.regexp_extract("conn_id", r"^u(\d+)-", 1).cast("long")
     payload = log_.select("doc_id", "revision", "conn_id", "operation_id", "author_id")
     return rooms.outbox(ranges.filter(user % 20 == 0), payload)
@@ -543,13 +550,13 @@ def cursor_receivers(i: Inputs) -> DataFrame:
     sets = i.cursors().filter("op = 'set' and event_id % 20 = 0").select(
         "event_id", "doc_id", scalars.epoch_micros(F.col("ts")).alias("ts_us")
     )
-    return rooms.receivers(sets, stays(i))
+    return rooms.receivers(sets, stays_table(i))
 
 
 @query
 def op_recipients(i: Inputs) -> DataFrame:
     ops = rooms.sent_times(oplog.op_times(log_table(i))).withColumnRenamed("revision", "message_id")
-    return rooms.recipients(ops, stays(i), skip_sender=True).withColumnRenamed("message_id", "revision")
+    return rooms.recipients(ops, stays_table(i), skip_sender=True).withColumnRenamed("message_id", "revision")
 
 
 @query
@@ -570,7 +577,7 @@ def cursor_fanout(i: Inputs) -> DataFrame:
         scalars.epoch_micros(F.col("ts")).alias("ts_us"),
         F.col("event_id").alias("message_id"),
     )
-    return rooms.recipients(sets, stays(i), skip_sender=False).withColumnRenamed("message_id", "event_id")
+    return rooms.recipients(sets, stays_table(i), skip_sender=False).withColumnRenamed("message_id", "event_id")
 
 
 # -- documents, users, messages --
