@@ -1,9 +1,11 @@
 """Streaming presence and cursors, with their state in Spark's state store.
 
 Presence waits for the watermark: what a member sent is taken in order of event time once
-nothing earlier can come, so rows may arrive in any order within the watermark's delay. Each
-member has one value (the open session), a list of what waits, and one timer, for whichever is
-due first. A later row than the watermark is left out, and an empty micro-batch changes nothing.
+nothing earlier can come, so rows may arrive in any order within the watermark's delay. Members
+are dealt over parts by their hash, since a call costs far more than a row. A part has an entry
+per open session, a list of what waits, and one timer, for whichever is due first; only sessions
+that change are written. A later row than the watermark is left out, and an empty micro-batch
+changes nothing.
 
 Cursors are answered as they come. A document's cursors are dealt over sub-keys; each entry has
 a time to live, after which the store itself drops it.
@@ -22,6 +24,7 @@ from .feeds import RowProcessor
 
 JOIN, REFRESH, LEAVE = "join", "refresh", "leave"
 SUB_KEYS = 64  # parts of a document whose members are kept apart
+MEMBER_PARTS = 512  # parts that the members of all documents are dealt over
 CURSOR_LAG = 86_400  # seconds that a stream may run behind before cursors go too early
 
 PRESENCE_EVENT = (
@@ -30,69 +33,95 @@ PRESENCE_EVENT = (
 )
 
 
-class _Member(RowProcessor):
-    """The sessions of one user in one document."""
+class _Members(RowProcessor):
+    """The sessions of the members of one part."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState(
-            "member", "started LONG, until LONG, beats LONG, due LONG"
+        self.due = handle.getValueState("due", "at LONG")
+        self.open = handle.getMapState(
+            "open", "doc_id STRING, user_id LONG", "started LONG, until LONG, beats LONG"
         )
         self.waiting = handle.getListState(
-            "waiting", "us LONG, event_id LONG, sec LONG, until LONG"
+            "waiting",
+            "doc_id ARRAY<STRING>, user_id ARRAY<LONG>, us ARRAY<LONG>, event_id ARRAY<LONG>, "
+            "sec ARRAY<LONG>, until ARRAY<LONG>",
         )
 
     def on_rows(self, key, rows, timers) -> Iterator[tuple]:
-        held = self.open.get() or (None, None, 0, None)
-        more = [(int(r.us), int(r.event_id), int(r.sec), int(r.expire_at)) for r in rows]
-        self.waiting.appendList(more)
-        self._keep(*held, min(w[0] for w in more))
+        more = [
+            (r.doc_id, None if r.member is None else int(r.member),
+             int(r.us), int(r.event_id), int(r.sec), int(r.expire_at))
+            for r in rows
+        ]
+        self._wait(more)
+        self._wake(min(_first_ms(w[2]) for w in more))
         return iter(())
 
     def on_timer(self, key, timers) -> Iterator[tuple]:
-        held = self.open.get()
-        if held is None:
-            return
-        started, until, beats, _ = held
         now_ms = timers.getCurrentWatermarkInMs()
-        waiting, done = sorted(self.waiting.get()), 0
-        for us, _, sec, expire_at in waiting:
-            if us > now_ms * 1000:
-                break
-            done += 1
+        self.due.clear()  # Spark takes out the timer itself
+        ready: dict[tuple, list[tuple]] = {}
+        later = []
+        for chunk in list(self.waiting.get()):
+            for doc, user, *beat in zip(*chunk, strict=True):
+                if beat[0] > now_ms * 1000:
+                    later.append((doc, user, *beat))
+                else:
+                    ready.setdefault((doc, user), []).append(tuple(beat))
+        held = {tuple(m): tuple(v) for m, v in self.open.iterator()}
+        untils = []
+        for member in held.keys() | ready.keys():
+            before = held.get(member)
+            after = yield from self._turns(member, before, sorted(ready.get(member, [])), now_ms)
+            if after is not None:
+                untils.append(after[1])
+                if after != before:
+                    self.open.updateValue(member, after)
+            elif before is not None:
+                self.open.removeKey(member)
+        if ready:
+            self.waiting.clear()
+            if later:
+                self._wait(later)
+        times = [_first_ms(w[2]) for w in later] + [_after(u) for u in untils]
+        if times:
+            self._wake(min(times))
+
+    @staticmethod
+    def _turns(member, session, beats_, now_ms):
+        """What a member's next heartbeats give, and the session that is open after them."""
+        started, until, beats = session or (None, None, 0)
+        for _, _, sec, expire_at in beats_:
             if until is not None and sec > until:
-                yield (*key, LEAVE, until, until, started, until, beats)
+                yield (*member, LEAVE, until, until, started, until, beats)
                 until = None
             event = JOIN if until is None else REFRESH
             if until is None:
                 started, beats = sec, 0
             until, beats = expire_at, beats + 1
-            yield (*key, event, sec, until, started, None, beats)
-        if until is not None and now_ms >= _after(until):
-            yield (*key, LEAVE, until, until, started, until, beats)
-            started, until, beats = None, None, 0
-        waiting = waiting[done:]
-        if waiting:
-            self.waiting.put(waiting)
-        elif done:
-            self.waiting.clear()
-        if until is None and not waiting:
-            self.open.clear()
-        else:
-            self._keep(started, until, beats, None, waiting[0][0] if waiting else None)
-
-    def _keep(self, started, until, beats, due, first_us) -> None:
-        """Store the session, with a timer at the first time something is to be done."""
-        times = [] if first_us is None else [-(-first_us // 1000)]
-        if until is not None:
-            times.append(_after(until))
-        first = min(times)
+            yield (*member, event, sec, until, started, None, beats)
+        if now_ms >= _after(until):
+            yield (*member, LEAVE, until, until, started, until, beats)
+            return None
+        return started, until, beats
+
+    def _wait(self, rows: list[tuple]) -> None:
+        self.waiting.appendValue(tuple(map(list, zip(*rows, strict=True))))
+
+    def _wake(self, first: int) -> None:
+        """Have one timer, at the first time something is to be done."""
+        (due,) = self.due.get() or (None,)
         if due is None or first < due:
             if due is not None:
                 self.handle.deleteTimer(due)
             self.handle.registerTimer(first)
-            due = first
-        self.open.update((started, until, beats, due))
+            self.due.update((first,))
+
+
+def _first_ms(us: int) -> int:
+    """The first millisecond that is not before a time."""
+    return -(-us // 1000)
 
 
 def _after(second: int) -> int:
@@ -108,14 +137,16 @@ def presence_stream(heartbeats: DataFrame, delay: str = "0 seconds") -> DataFram
     """
     us = epoch_micros(F.col("ts"))
     rows = heartbeats.filter("doc_id <> ''").select(
-        "doc_id", "user_id", "event_id", us.alias("us"), "sec",
+        F.pmod(F.hash("doc_id", "user_id"), F.lit(MEMBER_PARTS)).alias("part"),
+        # As text, for pandas would make a number that may be missing a float.
+        "doc_id", F.col("user_id").cast("string").alias("member"), "event_id", us.alias("us"), "sec",
         (F.col("sec") + F.col("ttl")).alias("expire_at"),
         F.timestamp_micros(us).alias("at"),
     )
     return (
         rows.withWatermark("at", delay)
-        .groupBy("doc_id", "user_id")
-        .transformWithStateInPandas(_Member(PRESENCE_EVENT), PRESENCE_EVENT, "append", "EventTime")
+        .groupBy("part")
+        .transformWithStateInPandas(_Members(PRESENCE_EVENT), PRESENCE_EVENT, "append", "EventTime")
     )
 
 

@@ -106,6 +106,33 @@ def test_presence_takes_rows_within_the_delay_in_order_of_time(spark):
     assert {r[4:] for r in got if r[2] == "leave"} == ended - {(10_000, 10_001, 1)}
 
 
+def test_presence_calls_and_timers_are_per_part_of_members(spark, tmp_path):
+    many = 3 * presence.MEMBER_PARTS
+    rows = beats(spark, [(user, 100, 50) for user in [None, None, *range(many)]])
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(BEAT).parquet(str(tmp_path / "in"))
+    with feeds.state_variables(spark, idle=False):
+        query = (
+            presence.presence_stream(stream).writeStream.format("parquet")
+            .option("checkpointLocation", str(tmp_path / "checkpoint"))
+            .trigger(availableNow=True).start(str(tmp_path / "out"))
+        )
+        query.awaitTermination()
+    state = query.lastProgress.stateOperators[0]
+    assert 0 < state.customMetrics["numRegisteredTimers"] <= presence.MEMBER_PARTS
+
+
+def test_presence_keeps_members_without_a_user_apart(spark):
+    rows = beats(spark, [(None, 100, 50), (1, 110, 50), (None, 120, 50), FAR])
+    parts = [rows.filter("event_id < 3"), rows.filter("event_id = 3")]
+    out = run_parts(spark, parts, presence.presence_stream)
+    left = {
+        (r.user_id, r.session_start, r.session_end, r.heartbeats)
+        for r in out.filter("event = 'leave'").collect()
+    }
+    assert left == {(None, 100, 170, 2), (1, 110, 160, 1)}
+
+
 def test_cursors_go_when_their_time_is_over(spark):
     import time
 
