@@ -6,21 +6,28 @@ import os
 import sys
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 
 MAX_CACHED = 600_000  # words in each of the two halves of a Python worker's cache
+_JOINED = 512  # new words that the library encodes as one text
 # White space besides the space and the line feed, as str.isspace has it.
 _OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
-def _loose(text: str, parts: list[str]) -> bool:
+def _loose(text: str) -> bool:
     """Whether a token may reach over the start of a word: where a space stands beside other
     white space (or at an end), or the text holds other white space at all."""
-    if "" in parts or "\n " in text or " \n" in text:
+    if not text or text[0] == " " or text[-1] == " ":
+        return True
+    if "  " in text or "\n " in text or " \n" in text:
         return True
     return any(c in text for c in (_OTHER[:8] if text.isascii() else _OTHER))
 
 
+_SPACE = "\u0120"  # a space in the names of byte-level tokens
+
 # array("I") is written as it lies in memory.
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -30,10 +37,11 @@ class Encoder:
 
     Byte-level BPE splits a text before it merges, and never over a single space between two
     words. So a text whose spaces all stand single is encoded word by word through a bounded
-    cache, with each new word encoded by the library; any other text is encoded whole, also one
-    that holds the string of a special token, which the library gives that token's id. The ids
-    are the same (tests/llm compares them). When the cache is full its older half goes, but for
-    the words that were used since.
+    cache. The library encodes new words, many in one text with single spaces between them; a
+    word's ids begin with the one token that has its space. Any other text is encoded whole,
+    also one that holds the string of a special token, which the library gives that token's id.
+    The ids are the same (tests/llm compares them). When the cache is full its older half goes,
+    but for the words that were used since.
     """
 
     def __init__(self, path: str, max_cached: int = MAX_CACHED):
@@ -45,6 +53,9 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Only new words reach the library, so its own cache would never be hit.
         self.tokenizer.model._resize_cache(0)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.spaced[[i for token, i in vocab.items() if token[0] == _SPACE]] = True
         self.max_cached = max_cached
         self.known: dict[str, bytes] = {}  # word without its space -> ids with the space
         self.older: dict[str, bytes] = {}
@@ -53,12 +64,30 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def forget(self) -> None:
+        """Empty the cache."""
+        self.known, self.older = {}, {}
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words with a space before them."""
+        parts = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
+        found = self.tokenizer.encode_batch_fast(
+            [" " + " ".join(p) for p in parts], add_special_tokens=False
+        )
+        out: list[bytes] = []
+        for part, e in zip(parts, found, strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            at = (np.flatnonzero(self.spaced[ids]) * 4).tolist()
+            if len(at) != len(part):
+                raise ValueError("a token reaches over the start of a word")
+            held = ids.tobytes()
+            out += map(held.__getitem__, map(slice, at, [*at[1:], len(held)]))
+        return out
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
-        split = [t.split(" ") for t in texts]
         split = [
-            None if _loose(t, s) or any(a in t for a in self.added) else s
-            for t, s in zip(texts, split, strict=True)
+            None if _loose(t) or any(a in t for a in self.added) else t.split(" ") for t in texts
         ]
         if len(self.known) > self.max_cached:
             self.known, self.older = {}, self.known
@@ -74,7 +103,7 @@ class Encoder:
             new -= again
         if new:
             order = list(new)
-            known.update(zip(order, self._whole([" " + w for w in order]), strict=True))
+            known.update(zip(order, self._words(order), strict=True))
         heads = self._whole([t if s is None else s[0] for t, s in zip(texts, split, strict=True)])
         out = []
         for s, f, head in zip(split, found, heads, strict=True):
@@ -97,6 +126,17 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+@contextmanager
+def encoding(path: str) -> Iterator[Encoder]:
+    """The worker's encoder for one task. Workers outlive their tasks, so the cache goes with
+    the task: what later stages have of the executor's memory is not held by idle workers."""
+    encode = encoder(path)
+    try:
+        yield encode
+    finally:
+        encode.forget()
+
+
 def in_slices(values: list, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Runs of neighbours whose texts hold about `most` characters, as (from, to)."""
     start, held = 0, 0

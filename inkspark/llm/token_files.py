@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import shuffle_partitions
-from .encode import encoder, in_slices
+from .encode import encoding, in_slices
 
 MAGIC = b"TOKBLK1\0"
 END_ID = 2  # closes a document
@@ -131,18 +131,19 @@ def write_tokens(
     sorted_ = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        end = np.array([end_id], dtype="<u4").tobytes()
         part, block, names, held, tokens = TaskContext.get().partitionId(), 0, [], [], 0
-        for batch in batches:
-            doc, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
-            for a, b in in_slices(texts):
-                for name, ids in zip(doc[a:b], encode.batch(texts[a:b]), strict=True):
-                    names.append(name)
-                    held.append(ids + end)
-                    tokens += len(ids) // 4 + 1
-                    if tokens >= block_tokens:
-                        yield one(write_block(part, block, names, held))
-                        block, names, held, tokens = block + 1, [], [], 0
+        with encoding(tokenizer) as encode:
+            for batch in batches:
+                doc, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
+                for a, b in in_slices(texts):
+                    for name, ids in zip(doc[a:b], encode.batch(texts[a:b]), strict=True):
+                        names.append(name)
+                        held.append(ids + end)
+                        tokens += len(ids) // 4 + 1
+                        if tokens >= block_tokens:
+                            yield one(write_block(part, block, names, held))
+                            block, names, held, tokens = block + 1, [], [], 0
         if names:
             yield one(write_block(part, block, names, held))
 

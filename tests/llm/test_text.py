@@ -397,6 +397,31 @@ def test_word_cache_gives_the_library_ids(spark):
             assert np.frombuffer(ids, "<u4").tolist() == w.ids
 
 
+def test_new_words_go_to_the_library_many_at_a_time():
+    encode, texts = Encoder(TOKENIZER), []
+    whole = encode.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, batch, **options):
+            texts.extend(batch)
+            return whole.encode_batch_fast(batch, **options)
+
+    encode.tokenizer = Counted()
+    text = " ".join(f"word{n},\n{n}" for n in range(2000))
+    ids = encode.batch([text])[0]
+    assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert len(texts) < 10
+
+
+def test_a_task_leaves_no_cached_words_behind():
+    from inkspark.llm.encode import encoding
+
+    with encoding(TOKENIZER) as encode:
+        encode.batch(["one two three"])
+        assert encode.known
+    assert not encode.known and not encode.older
+
+
 def test_ranks_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 5, 1000):
