@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import freeze, spare
-from .encode import encoder, in_slices
+from .encode import encoding, in_slices
 
 CAPACITY = 2048
 END_ID = 0  # closes a document
@@ -91,9 +91,12 @@ def numbered_by(df: DataFrame, key: str, name: str, label: str) -> DataFrame:
     """Add a LONG number from 0 within each value of `key`, which has few values.
 
     Every partition numbers its own rows and starts after those of the partitions before it,
-    so no value's rows need to meet in one task.
+    so no value's rows need to meet in one task. The rows are shuffled once: the places and the
+    starts meet them by the same columns, the key in a struct, in which a null equals a null.
     """
-    part, place, start, key_, part_ = spare(df, "part_no", "place", "first_no", "k", "p")
+    part, place, start, same, key_, part_ = spare(
+        df, "part_no", "place", "first_no", "same_key", "k", "p"
+    )
     held = freeze(
         df.withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id()}),
         label,
@@ -101,17 +104,18 @@ def numbered_by(df: DataFrame, key: str, name: str, label: str) -> DataFrame:
     before = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     # Written, so that its size is known before the rows and what they carry are dealt to it.
     starts = held.groupBy(key, part).count().select(
-        F.col(key).alias(key_),
+        F.struct(F.col(key)).alias(key_),
         F.col(part).alias(part_),
         F.coalesce(F.sum("count").over(before), F.lit(0)).alias(start),
     )
     starts = freeze(starts, f"{label}-starts")
-    here = Window.partitionBy(key, part).orderBy(place)
+    here = Window.partitionBy(same, part).orderBy(place)
     return (
-        held.withColumn(place, F.row_number().over(here) - 1)
+        held.withColumn(same, F.struct(F.col(key)))
+        .withColumn(place, F.row_number().over(here) - 1)
         # The starts grow with the partitions, so they are not broadcast.
         .join(
-            starts.hint("merge"), F.col(key).eqNullSafe(F.col(key_)) & (F.col(part) == F.col(part_))
+            starts.hint("merge"), (F.col(same) == F.col(key_)) & (F.col(part) == F.col(part_))
         )
         .select(*df.columns, (F.col(start) + F.col(place)).cast("long").alias(name))
     )
@@ -185,24 +189,25 @@ def pieces_of(
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            doc, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
-            for a, b in in_slices(texts):
-                rows = []
-                for d, ids in zip(doc[a:b], encode.batch(texts[a:b]), strict=True):
-                    ids += end
-                    total = len(ids) // 4
-                    first = total % capacity or capacity
-                    starts = [0, *range(first, total, capacity)]
-                    for piece, (x, y) in enumerate(zip(starts, [*starts[1:], total], strict=True)):
-                        part = ids[4 * x : 4 * y]
-                        rows.append((d, piece, x, y - x, zlib.crc32(part), part))
-                cols = [
-                    pa.array(list(values), type=kind)
-                    for values, kind in zip(zip(*rows, strict=True), types, strict=False)
-                ]
-                yield pa.RecordBatch.from_arrays(cols[: len(names)], names=names)
+        end = np.array([end_id], dtype="<u4").tobytes()
+        with encoding(tokenizer) as encode:
+            for batch in batches:
+                doc, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
+                for a, b in in_slices(texts):
+                    rows = []
+                    for d, ids in zip(doc[a:b], encode.batch(texts[a:b]), strict=True):
+                        ids += end
+                        total = len(ids) // 4
+                        first = total % capacity or capacity
+                        starts = [0, *range(first, total, capacity)]
+                        for piece, (x, y) in enumerate(zip(starts, [*starts[1:], total], strict=True)):
+                            part = ids[4 * x : 4 * y]
+                            rows.append((d, piece, x, y - x, zlib.crc32(part), part))
+                    cols = [
+                        pa.array(list(values), type=kind)
+                        for values, kind in zip(zip(*rows, strict=True), types, strict=False)
+                    ]
+                    yield pa.RecordBatch.from_arrays(cols[: len(names)], names=names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]

@@ -253,3 +253,13 @@ def test_queries_pack_the_ids_themselves(spark, monkeypatch):
     assert stage.columns == query.columns == names
     pieces = packing.pieces_of(docs, TOKENIZER, with_ids=False)
     assert {tuple(r)[:5] for r in stage.collect()} == {tuple(r) for r in pieces.collect()}
+
+
+def test_numbering_shuffles_what_the_rows_carry_once(spark):
+    sizes = [5, None, 7, 5, None, 5, 7, 5, 0, None]
+    rows = spark.createDataFrame([(n, "x") for n in sizes], "length LONG, ids STRING")
+    numbered = packing.numbered_by(rows.repartition(3), "length", "no", "t")
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # the rows, and the starts
+    got = Counter((r.length, r.no) for r in numbered.collect())
+    assert got == Counter((n, i) for n, c in Counter(sizes).items() for i in range(c))
