@@ -138,7 +138,7 @@ def stream_documents(i: Inputs) -> DataFrame:
     def documents(stream: DataFrame) -> DataFrame:
         return sequencer.document_stream(stream, _document_requests(stream), DOCUMENT_RING)
 
-    out = feeds.replay_to_table(rows, "ts_us", documents)
+    out = feeds.replay_to_table(rows, "ts_us", documents, key="doc_id")
     return out.select(
         "doc_id", "arrival_seq", "kind", "status", "revision", "operation_id", "content", "truncated"
     )

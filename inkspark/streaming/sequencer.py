@@ -74,6 +74,7 @@ class _Document(RowProcessor):
                 if done and self.with_text:
                     name = f"o-{doc}-{fold.revision}"
                     recent[fold.revision] = (fold.revision, name, int(r.author_id), r.ops)
+                    recent.pop(fold.revision - self.ring_cap, None)
                     text.apply(json.loads(r.steps) if r.steps else [])
                 yield self._row(
                     r, client_id=r.client_id, client_seq=r.client_seq,

@@ -235,3 +235,37 @@ def test_reorder_waits_for_late_events_and_gives_up_on_lost_ones(spark):
     ).filter("doc_id = '3'")
     got = [r.revision for r in out.orderBy("position").collect()]
     assert got == sorted(r.revision for r in rows.collect())
+
+
+class Doubler(feeds.RowProcessor):
+    def init(self, handle):
+        pass
+
+    def on_rows(self, key, rows, timers):
+        for r in rows:
+            yield r.n, r.text
+
+
+def test_frames_of_a_processor_are_bounded():
+    import pandas as pd
+
+    def frames(rows):
+        taken = pd.DataFrame(rows, columns=["n", "text"])
+        return list(Doubler("n LONG, text STRING").handleInputRows(("k",), iter([taken]), None))
+
+    many = frames([(n, "") for n in range(2 * feeds.FRAME_ROWS + 1)])
+    assert [len(f) for f in many] == [feeds.FRAME_ROWS, feeds.FRAME_ROWS, 1]
+    assert [n for f in many for n in f.n] == list(range(2 * feeds.FRAME_ROWS + 1))
+    long = frames([(n, "x" * (feeds.FRAME_CHARS // 2)) for n in range(5)])
+    assert [len(f) for f in long] == [2, 2, 1]
+
+
+def test_a_key_with_many_rows_comes_in_more_slices(spark, monkeypatch):
+    rows = spark.range(1000).selectExpr("id", "id * id AS at", "CAST(id % 2 AS STRING) AS k")
+    rows = rows.unionByName(rows.filter("id % 10 = 0"))
+    assert len(feeds._in_slices(rows, "at", 3, None, "k")) == 3
+    monkeypatch.setattr(feeds, "KEY_ROWS", 100)
+    parts = [[r.id for r in p.collect()] for p in feeds._in_slices(rows, "at", 3, None, "k")]
+    assert len(parts) == 6 and max(map(len, parts)) <= 250
+    assert sorted(n for p in parts for n in p) == sorted(r.id for r in rows.collect())
+    assert all(max(a) < min(b) for a, b in zip(parts, parts[1:]))
