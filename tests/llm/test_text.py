@@ -413,6 +413,42 @@ def test_new_words_go_to_the_library_many_at_a_time():
     assert len(texts) < 10
 
 
+def test_a_piece_reaches_the_library_once_whatever_stands_beside_it():
+    encode = Encoder(TOKENIZER)
+    words = ["".join(random.Random(n).choices("abcdefghé", k=9)) for n in range(200)]
+    texts = [" ".join(f"{w}{end}" for w in words) for end in ("", ",", ".\nNew", "!  ", "\t", " 12")]
+    want = Tokenizer.from_file(TOKENIZER).encode_batch(texts, add_special_tokens=False)
+    for ids, w in zip(encode.batch(texts), want, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == w.ids
+    # Words by themselves, with the space before them, and the signs and numbers.
+    assert len(encode.known) < len(words) + 20
+
+
+def test_pieces_give_the_library_ids_for_any_character():
+    rng, encode = random.Random(5), Encoder(TOKENIZER, max_cached=300)
+    signs = [chr(c) for c in [*range(0x250), *range(0x2000, 0x2070), 0x180E, 0x1D7D8, 0x3042]]
+    signs += ["'s", "'re", "'LL", " ", " ", "\n", "\r\n", "a", "B", "7", "\U0001f600", "ǅ", "Ⅷ", "²"]
+    texts = ["".join(rng.choices(signs, k=12)) for _ in range(4000)]
+    texts += ["".join(rng.choices("ab'sl1. \n\t\r", k=12)) for _ in range(4000)]
+    want = Tokenizer.from_file(TOKENIZER).encode_batch(texts, add_special_tokens=False)
+    for start in range(0, len(texts), 500):
+        for ids, w in zip(encode.batch(texts[start : start + 500]), want[start:], strict=False):
+            assert np.frombuffer(ids, "<u4").tolist() == w.ids
+
+
+def test_a_vocabulary_with_another_rule_is_encoded_whole(tmp_path):
+    from tokenizers import pre_tokenizers
+
+    other = Tokenizer.from_file(TOKENIZER)
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True, use_regex=True)
+    other.save(str(tmp_path / "other.json"))
+    texts = ["one two", "don't, 12", "", None]
+    ids = Encoder(str(tmp_path / "other.json")).batch(texts)
+    for got, text in zip(ids, texts, strict=True):
+        want = other.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(got, "<u4").tolist() == want
+
+
 def test_a_task_leaves_no_cached_words_behind():
     from inkspark.llm.encode import encoding
 
