@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import shuffle_partitions
+from .common import freeze
 from .encode import encoding, in_slices
 
 MAGIC = b"TOKBLK1\0"
@@ -45,8 +46,13 @@ def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     four[: len(ranks)] = extra
     four = four.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    bytes_ = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), bytes_[np.arange(4) <= extra[:, None]].tobytes()
+    ends = np.cumsum(extra, dtype=np.int64) + np.arange(1, len(ranks) + 1)
+    data = np.empty(ends[-1] if len(ends) else 0, dtype=np.uint8)
+    data[ends - extra - 1] = ranks.astype(np.uint8)
+    for k in range(1, int(extra.max(initial=0)) + 1):
+        at = np.flatnonzero(extra >= k)
+        data[ends[at] - extra[at] - 1 + k] = (ranks[at] >> np.uint32(8 * k)).astype(np.uint8)
+    return control.tobytes(), data.tobytes()
 
 
 def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -64,11 +70,12 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 def write_block(part: int, block: int, docs: list[int | None], ids: list[bytes]) -> bytes:
     """One block of documents; `ids` are little-endian uint32."""
     flat = np.frombuffer(b"".join(ids), dtype="<u4")
-    used, place, count = np.unique(flat, return_inverse=True, return_counts=True)
-    order = np.lexsort((used, -count))
-    rank = np.empty(len(used), dtype=np.uint32)
-    rank[order] = np.arange(len(used), dtype=np.uint32)
-    control, data = pack_ranks(rank[place])
+    counts = np.bincount(flat)
+    used = np.flatnonzero(counts)
+    order = np.lexsort((used, -counts[used]))
+    rank = np.empty(len(counts), dtype=np.uint32)
+    rank[used[order]] = np.arange(len(used), dtype=np.uint32)
+    control, data = pack_ranks(rank[flat])
     null = np.array([d is None for d in docs], dtype=np.uint8)
     sections = [
         np.array([d or 0 for d in docs], dtype="<i8").tobytes(),
@@ -191,7 +198,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def with_starts(tokens: DataFrame) -> DataFrame:
     """Replace part, block and inside by start, from the sums of the blocks before."""
     before = Window.unboundedPreceding, -1
-    sums = tokens.groupBy("part", "block").agg(F.sum("n_tokens").alias("n"))
+    # Written, as the files would be decoded again for each use.
+    sums = freeze(tokens.groupBy("part", "block").agg(F.sum("n_tokens").alias("n")), "block-sums")
     parts = sums.groupBy("part").agg(F.sum("n").alias("n"))
     zero = F.lit(0)
     first = parts.select(

@@ -466,6 +466,16 @@ def test_ranks_round_trip():
         assert (token_files.unpack_ranks(control, data, n) == ranks).all()
 
 
+def test_a_block_ranks_its_ids_without_sorting_its_tokens(monkeypatch):
+    rng = np.random.default_rng(3)
+    flat = (rng.integers(0, 50_000, 5000) >> rng.integers(0, 16, 5000)).astype("<u4")
+    monkeypatch.setattr(np, "unique", None)
+    block = token_files.write_block(2, 3, [7, None, 9], [flat[:10].tobytes(), b"", flat[10:].tobytes()])
+    [(part, number, docs, counts, ids)] = token_files.read_blocks(block)
+    assert (part, number, docs, counts.tolist()) == (2, 3, [7, None, 9], [10, 0, 4990])
+    assert (ids == flat).all()
+
+
 @pytest.mark.parametrize("block_tokens", [50, token_files.BLOCK_TOKENS])
 def test_token_files_round_trip(spark, tmp_path, block_tokens):
     path = str(tmp_path / "tokens")
