@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from datetime import datetime, timedelta
+
 import pytest
 from compare import spark_rows
 from conftest import DATA
@@ -124,3 +127,36 @@ def test_members_seen_are_as_many_as_counted(inputs):
     assert spark_rows(counted) == spark_rows(swept)
     own = seen.join(beats.select("event_id", "user_id"), ["event_id", "user_id"], "left_semi")
     assert own.count() == beats.count()
+
+
+@pytest.mark.parametrize("limit", [10_000_000, 40])
+def test_members_meet_only_those_who_see_them(spark, limit, monkeypatch):
+    """Crowded heartbeats, equal times, lives of no length, lost times and repeated rows."""
+    monkeypatch.setattr(presence, "ASKED_BLOCK", 8)
+    pick, start = random.Random(limit), datetime(2024, 1, 1)
+    rows = []
+    for event in range(240):
+        sec, ttl = pick.randrange(200), pick.choice([-5, 0, 1, 10, 90, None])
+        ts = None if event % 50 == 0 else start + timedelta(seconds=sec, microseconds=pick.choice([0, 5]))
+        at = None if ts is None else int((ts - datetime(1970, 1, 1)).total_seconds())
+        rows.append((event, ts, at, pick.choice(["a", "a", "b", "", None]), pick.randrange(5), f"n{event}", ttl))
+    schema = "event_id long, ts timestamp_ntz, sec long, doc_id string, user_id long, username string, ttl long"
+    beats = spark.createDataFrame(rows, schema)
+    chosen = beats.filter("event_id % 3 = 0").unionByName(beats.filter("event_id = 9"))
+    expected = []
+    for event, ts, sec, doc, *_ in [*[r for r in rows if r[0] % 3 == 0], rows[9]]:
+        latest = {}
+        for r in sorted((r for r in rows if r[1] and r[3] == doc and doc), key=lambda r: (r[1], r[0])):
+            if ts and (r[1], r[0]) <= (ts, event):
+                latest[r[4]] = r
+        expected += [
+            (event, doc, user, r[5]) for user, r in latest.items() if r[6] is not None and r[2] + r[6] > sec
+        ]
+    spark.conf.set("spark.inkspark.maxGroupRows", limit)
+    try:
+        seen = presence.members_seen(chosen, beats)
+        assert sorted(map(tuple, seen.collect())) == sorted(expected) and expected
+        ranges, _ = presence._seen_by(chosen.filter("doc_id <> '' AND sec IS NOT NULL"), beats)
+        assert ranges.agg(F.sum(F.col("high") - F.col("low"))).first()[0] == len(expected)
+    finally:
+        spark.conf.unset("spark.inkspark.maxGroupRows")
