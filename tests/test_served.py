@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from inkspark.operators import replay
 from inkspark.operators.served import LOAD, SAVE, served, texts_served
 
 SUBMITTED = "doc_id string, arrival_seq long, ts timestamp_ntz, revision long, ops string"
@@ -81,3 +82,42 @@ def test_no_rows(spark):
     none = spark.createDataFrame([], "doc_id string, revision long, content string")
     assert found.collect() == []
     assert texts_served(found, labelled.select("doc_id", "revision", "ops"), none).collect() == []
+
+
+def test_texts_stay_where_they_are_replayed(spark, monkeypatch):
+    """Requests travel with the replay: nothing is joined or shuffled behind it."""
+    monkeypatch.setattr("inkspark.operators.served.TOGETHER", 3)
+    submitted, asked, answers = _case(7, 15)
+    labelled = spark.createDataFrame(submitted, SUBMITTED)
+    found = served(spark.createDataFrame(asked, ASKED), labelled)
+    log = labelled.filter("revision IS NOT NULL").select("doc_id", "revision", "ops")
+    none = spark.createDataFrame([], "doc_id string, revision long, content string")
+    rows = texts_served(found, log, none)
+    behind = rows._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert "Join" not in behind and "Exchange" not in behind
+    before = found.filter("revision IS NOT NULL").collect()
+    same = {r.event_id: (r.type, r.doc_id, r.revision, r.stores, r.answer, r.error) for r in before}
+    got = {r.event_id: (r.type, r.doc_id, r.revision, r.stores, r.answer, r.error) for r in rows.collect()}
+    assert got == same and len(got) == rows.count()
+    assert {r.event_id: r.content for r in rows.collect()} == {n: answers[n][2] for n in same}
+
+
+def test_close_marks_are_folded_op_by_op(spark, monkeypatch):
+    """Composed runs cost a text each, so marks that lie close get none; far ones do."""
+    composed = []
+    steps = replay._composed_steps
+    monkeypatch.setattr(replay, "_composed_steps", lambda ops: composed.append(1) or steps(ops))
+    rows = [("a", r, '[{"kind":"insert","text":"x"}]') for r in range(1, 101)]
+    log = spark.createDataFrame(rows, "doc_id string, revision long, ops string")
+    none = spark.createDataFrame([], "doc_id string, revision long, content string")
+    spark.conf.set("spark.inkspark.maxReplayOps", 20)
+    spark.conf.set("spark.inkspark.replayChunk", 10)
+    try:
+        for step, times in ((5, 0), (50, 1)):
+            points = spark.createDataFrame([("a", r) for r in range(step, 101, step)], "doc_id string, revision long")
+            texts = {r.revision: r.content for r in replay.content_at(log, none, points).collect()}
+            assert texts == {r: "x" * r for r in range(step, 101, step)}
+            assert len(composed) == times
+    finally:
+        spark.conf.unset("spark.inkspark.maxReplayOps")
+        spark.conf.unset("spark.inkspark.replayChunk")
