@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from compare import spark_rows
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from inkspark.operators import interactions, presence, rooms
 from inkspark.operators.oplog import op_log, op_times
 from inkspark.operators.sequencer import sequence
+from inkspark.plans.batch import QUERIES
+from inkspark.runtime import DROP_SHUFFLES, shared_dir
 from inkspark.sources.fixtures import Inputs
 
 SF = f"{DATA}/sf0.001"
@@ -160,3 +164,32 @@ def test_members_meet_only_those_who_see_them(spark, limit, monkeypatch):
         assert ranges.agg(F.sum(F.col("high") - F.col("low"))).first()[0] == len(expected)
     finally:
         spark.conf.unset("spark.inkspark.maxGroupRows")
+
+
+def test_members_seen_stand_in_order_of_time(spark, monkeypatch):
+    """Members of one block come as their heartbeats did, so their stretches of ids lie close
+    when written; edges of blocks need not fit into a task."""
+    monkeypatch.setattr(presence, "SMALL_EDGES", 0)
+    schema = "event_id long, sec long, doc_id string, user_id long, username string, ttl long"
+    users = random.Random(7).sample(range(1000), 120)
+    rows = [(event, 1000 + event, "d", user, f"u{user}", 40) for event, user in enumerate(users)]
+    beats = spark.createDataFrame(rows, schema).withColumn("ts", F.col("sec").cast("timestamp").cast("timestamp_ntz"))
+    seen = presence.members_seen(beats, beats).collect()
+    came = [r.user_id for r, before in zip(seen, [None, *seen]) if before is None or r.user_id != before.user_id]
+    assert came == users
+    assert [r.event_id for r in seen] == [e for b in range(120) for e in range(b, min(b + 40, 120))]
+
+
+def test_heartbeat_members_keeps_only_what_its_result_reads(spark, tmp_path):
+    def stored():
+        return {p.name for p in Path(urlparse(shared_dir(spark)).path).glob("*")}
+
+    columns = ["id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id) AS ts", "id % 7 AS user_id",
+               "'view' AS event_type", "0D AS value", "concat('{\"k\": ', id % 30, '}') AS props"]
+    spark.range(200).selectExpr(*columns).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(5).selectExpr("id AS doc_id", "'src1' AS source", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    before = stored()
+    seen = QUERIES["heartbeat_members"](spark, str(tmp_path))
+    assert sorted(p.rsplit("-", 1)[0] for p in stored() - before) == ["asked-blocks", "held"]
+    assert spark.conf.get(DROP_SHUFFLES) == "false"
+    assert seen.count() == seen.count() > 0
